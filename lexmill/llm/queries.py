@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm.common import table
 from lexmill.llm.langid import op1_language_id
+from lexmill.llm.licenses import op10_license_scans, op10_sql
 from lexmill.llm.secrets import op4_secret_scans
+from lexmill.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     on = lambda f, name: lambda spark, sf_dir: f(table(spark, sf_dir, name))
     return {
         "op1_language_id": on(op1_language_id, "documents"),
+        "op3_toxicity": lambda spark, sf_dir: op3_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op4_secret_scans": on(op4_secret_scans, "documents"),
+        "op10_license_scans": on(op10_license_scans, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_license_scans": op10_sql()}
