@@ -6,22 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexmill.llm.ann import op7_nearest
 from lexmill.llm.common import table
 from lexmill.llm.langid import op1_language_id
 from lexmill.llm.licenses import op10_license_scans, op10_sql
 from lexmill.llm.secrets import op4_secret_scans
+from lexmill.llm.sharding import op5_sharding
 from lexmill.llm.toxicity import op3_toxicity
+from lexmill.llm.warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     on = lambda f, name: lambda spark, sf_dir: f(table(spark, sf_dir, name))
     return {
         "op1_language_id": on(op1_language_id, "documents"),
+        "op2_warc": on(op2_warc, "pages"),
         "op3_toxicity": lambda spark, sf_dir: op3_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op4_secret_scans": on(op4_secret_scans, "documents"),
+        "op5_sharding": on(op5_sharding, "documents"),
+        "op7_nearest": on(op7_nearest, "embeddings"),
         "op10_license_scans": on(op10_license_scans, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scans": op10_sql()}
+    return {"op2_warc": OP2_SQL, "op10_license_scans": op10_sql()}
