@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm.ann import op7_nearest
 from lexmill.llm.common import table
+from lexmill.llm.jaccard import OP9_SQL, op9_ngram_jaccard
 from lexmill.llm.langid import op1_language_id
 from lexmill.llm.licenses import op10_license_scans, op10_sql
 from lexmill.llm.secrets import op4_secret_scans
@@ -25,9 +26,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scans": on(op4_secret_scans, "documents"),
         "op5_sharding": on(op5_sharding, "documents"),
         "op7_nearest": on(op7_nearest, "embeddings"),
+        "op9_ngram_jaccard": on(op9_ngram_jaccard, "documents"),
         "op10_license_scans": on(op10_license_scans, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op10_license_scans": op10_sql()}
+    return {"op2_warc": OP2_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_license_scans": op10_sql()}
