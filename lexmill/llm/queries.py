@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm.ann import op7_nearest
 from lexmill.llm.common import table
+from lexmill.llm.decontaminate import op8_decontamination
 from lexmill.llm.jaccard import OP9_SQL, op9_ngram_jaccard
 from lexmill.llm.langid import op1_language_id
 from lexmill.llm.licenses import op10_license_scans, op10_sql
+from lexmill.llm.packing import op6_packing
 from lexmill.llm.secrets import op4_secret_scans
 from lexmill.llm.sharding import op5_sharding
 from lexmill.llm.toxicity import op3_toxicity
@@ -25,7 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": lambda spark, sf_dir: op3_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op4_secret_scans": on(op4_secret_scans, "documents"),
         "op5_sharding": on(op5_sharding, "documents"),
+        "op6_packing": on(op6_packing, "documents"),
         "op7_nearest": on(op7_nearest, "embeddings"),
+        "op8_decontamination": lambda spark, sf_dir: op8_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op9_ngram_jaccard": on(op9_ngram_jaccard, "documents"),
         "op10_license_scans": on(op10_license_scans, "documents"),
     }
