@@ -210,6 +210,18 @@ class Items:
         return sorted(out)
 
 
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items with a text, ITEM_BLOCK at a time; one empty block if there are none."""
+    block, n = [], 0
+    for r in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct().toLocalIterator():
+        block.append((r.item_id, r.text))
+        if len(block) == ITEM_BLOCK:
+            yield block
+            block, n = [], n + 1
+    if block or not n:
+        yield block
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document and region that holds a benchmark item within its edit budget: doc_id, item_id, start_pos, end_pos, edits, similarity.
 
@@ -235,21 +247,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float
 
         return rows.mapInArrow(scan, f"_key {kind}, item_id long, start_pos long, end_pos long, edits long, similarity double")
 
-    parts, block = [], []
-    for r in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct().toLocalIterator():
-        block.append((r.item_id, r.text))
-        if len(block) == ITEM_BLOCK:
-            parts.append(search(block))
-            block = []
-    parts.append(search(sorted(block, key=str)))
-    return reduce(DataFrame.unionByName, parts).withColumnRenamed("_key", key)
+    return reduce(DataFrame.unionByName, map(search, item_blocks(benchmark))).withColumnRenamed("_key", key)
 
 
 def op8_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return find_leaks(docs, benchmark)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a benchmark item; rows without an id are kept."""
-    leaks = find_leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, text: str = "text") -> DataFrame:
+    """docs without the rows whose text holds a benchmark item within its edit budget; no join, one pass for each block of items."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    schema = docs.schema
+    for block in item_blocks(benchmark):
+        shared = spark.sparkContext.broadcast(Items(block, q, rate))
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not shared.value.scan(t) for t in b.column(text).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, schema)
+    return docs

@@ -312,12 +312,17 @@ def op9_ngram_jaccard(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, components: DataFrame) -> DataFrame:
     """docs without those that are not their component's smallest id; of rows that share an id one stays. Rows without an id stay."""
-    others = components.where("component_id < doc_id").select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti")
+    others = stored(components.where("component_id < doc_id").select("doc_id").distinct(), "others")
+    if others.count() <= BROADCAST_IDS:
+        others = F.broadcast(others)
+    left = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    again = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not again.count():
+        return left
     order = [c for c in ("text", "lang", "source", "n_chars") if c in docs.columns]
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-    kept = left.where("doc_id IS NOT NULL").withColumn("_r", one).where("_r = 1").drop("_r")
-    return kept.unionByName(left.where("doc_id IS NULL")).select(docs.columns)
+    first = left.join(again, "doc_id", "left_semi").withColumn("_r", one).where("_r = 1").select(docs.columns)
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(first)
 
 
 OP9_SQL = r"""

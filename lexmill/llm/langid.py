@@ -138,6 +138,20 @@ def predict_languages(docs: DataFrame, model: LangModel, *, key: str = "doc_id",
     return rows.mapInArrow(score, ", ".join([*kinds, "lang_pred string", "score double"]))
 
 
+def accepted(docs: DataFrame, model: LangModel, least: float = 0.3, *, text: str = "text") -> DataFrame:
+    """docs without the rows that are rejected: those without a letter (und), and those that score below least."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, scores = shared.value.predict(b.column(text).to_pylist())
+            yield b.filter(pa.array([lang != UND and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op1_language_id(docs: DataFrame) -> DataFrame:
     """Every document's language, learned from the documents whose crc32 remainder by 3 is not 1."""
     model = fit_documents(docs.where(crc_mod("doc_id", 3) != 1))
