@@ -1,0 +1,171 @@
+"""Ordered rows: windows, islands, segmentation, streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
+
+from lexmill.functions import text as X
+from lexmill.operators import joins, picks, sequences as S
+from lexmill.queries.corpus import LINES, lines
+from lexmill.queries.registry import query, table
+from lexmill.streaming import logs
+
+USER = ["user_id"]
+TIME = ["ts", "event_id"]
+OVER = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+def events(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+@query(f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, length(line) AS n, length(next_line) AS next_n FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next_line FROM {LINES}) WHERE next_line IS NOT NULL")
+def w05_adjacent_pairs(spark, sf_dir):
+    """Neighbouring lines."""
+    out = S.adjacent(lines(spark, sf_dir), ["doc_id"], ["pos"], "line")
+    return out.select("doc_id", "pos", F.length("line").cast("long").alias("n"), F.length("next_value").cast("long").alias("next_n"))
+
+
+@query(f"""
+WITH c AS (SELECT *, coalesce(event_type IN ('view', 'click') AND lead(event_type) {OVER} IN ('click', 'purchase'), false) AS p, lead(event_id) {OVER} AS next_id FROM events),
+s AS (SELECT *, CASE WHEN p AND NOT coalesce(lag(p) {OVER}, false) THEN 1 ELSE 0 END AS s FROM c), r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM s)
+SELECT event_id, next_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS i FROM r WHERE p) WHERE i % 2 = 1""")
+def w06_consumed_pairs(spark, sf_dir):
+    """Pairs of neighbours that use both rows up."""
+    opens, closes = F.col("event_type").isin("view", "click"), F.col("event_type").isin("click", "purchase")
+    return S.consumed_pairs(events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type"), USER, TIME, "event_id", opens, closes).select("event_id", F.col("next_value").alias("next_id"))
+
+
+@query(f"""
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum,
+  CAST(floor(60000.0::DOUBLE * sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) / sum(length(line)) OVER (PARTITION BY doc_id)) AS BIGINT) AS target FROM {LINES} WHERE line <> ''""")
+def w10_running_targets(spark, sf_dir):
+    """Running sizes, and times in proportion to them."""
+    rows = lines(spark, sf_dir).where("line <> ''").select("doc_id", "pos", F.length("line").alias("n"))
+    return S.proportional_targets(rows, ["doc_id"], ["pos"], "n", F.lit(60000.0)).select("doc_id", "pos", "cum", "target")
+
+
+@query("""
+WITH v AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('click', 'view') THEN value END AS v FROM events)
+SELECT event_id, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM v""")
+def w12_gap_fill(spark, sf_dir):
+    """Gaps filled from before, else from after."""
+    rows = events(spark, sf_dir).select("user_id", "ts", "event_id", F.when(F.col("event_type").isin("click", "view"), F.col("value")).alias("v"))
+    return S.fill_gaps(rows, USER, TIME, "v").select("event_id", "filled")
+
+
+_RUNS = f"""(SELECT user_id, island, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM
+  (SELECT *, value < 10 AS inside, CASE WHEN value < 10 AND NOT coalesce(lag(value < 10) {OVER}, false) THEN 1 ELSE 0 END AS s FROM events)) WHERE inside GROUP BY user_id, island)"""
+
+
+@query(f"SELECT user_id, CAST(island AS BIGINT) AS island, first_ts, last_ts, n FROM {_RUNS} WHERE n >= 3")
+def w13_islands(spark, sf_dir):
+    """Runs below a threshold of at least three rows."""
+    out = S.islands(events(spark, sf_dir), USER, TIME, F.col("value") < 10, 3)
+    return out.withColumnsRenamed({"first": "first_ts", "last": "last_ts"})
+
+
+@query(f"SELECT user_id, arg_min(first_ts, -n * 1000000 + island) AS first_ts, max(n) AS n FROM {_RUNS} WHERE n >= 2 AND first_ts < TIMESTAMP '2024-02-01' GROUP BY user_id")
+def w14_longest_run(spark, sf_dir):
+    """Each user's longest run that starts in the first part, ties to the first."""
+    runs = S.islands(events(spark, sf_dir), USER, TIME, F.col("value") < 10, 2).where("first < timestamp'2024-02-01'")
+    return runs.groupBy("user_id").agg(F.min_by(F.struct(F.col("first").alias("first_ts"), "n"), F.struct(-F.col("n"), "island")).alias("r")).select("user_id", "r.*")
+
+
+@query("""
+WITH t AS (SELECT user_id, value, 0 AS tier FROM events WHERE value < 1 UNION ALL SELECT user_id, value, 1 FROM events WHERE value < 2 UNION ALL SELECT user_id, value, 2 FROM events WHERE value < 4),
+c AS (SELECT user_id, tier, count(*) AS n FROM t GROUP BY ALL), p AS (SELECT user_id, coalesce(min(tier) FILTER (n >= 5), 2) AS tier FROM c GROUP BY user_id)
+SELECT user_id, CAST(tier AS INTEGER) AS tier, count(*) AS n, max(value) AS top FROM t JOIN p USING (user_id, tier) GROUP BY ALL""")
+def w15_relax(spark, sf_dir):
+    """The first of three thresholds that gives enough rows."""
+    tiers = [F.col("value") < 1, F.col("value") < 2, F.col("value") < 4]
+    out = picks.relax(events(spark, sf_dir).select("user_id", "value"), USER, tiers, F.count("*") >= 5)
+    return out.groupBy("user_id", "tier").agg(F.count("*").alias("n"), F.max("value").alias("top"))
+
+
+@query(f"SELECT event_id, event_type FROM (SELECT *, lag(event_type) {OVER} AS b FROM events) WHERE (b IS NULL OR b <> event_type) AND event_type <> 'error'")
+def w16_collapse_repeats(spark, sf_dir):
+    """Repeats collapsed, blanks dropped."""
+    return S.collapse_repeats(events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type"), USER, TIME, "event_type", "error").select("event_id", "event_type")
+
+
+@query("""
+WITH s AS (SELECT DISTINCT l_shipdate AS at FROM lineitem WHERE l_quantity > 49), t AS (SELECT DISTINCT o_orderdate AS at FROM orders WHERE o_orderpriority LIKE '1%')
+SELECT epoch(t.at)::BIGINT AS target, (SELECT epoch(s.at)::BIGINT FROM s ORDER BY abs(epoch(s.at) - epoch(t.at)), s.at LIMIT 1) AS point FROM t""")
+def j29_nearest(spark, sf_dir):
+    """The nearest point to each target, found by as-of windows."""
+    points = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.lit(1).alias("k"), F.unix_timestamp("l_shipdate").alias("point")).distinct()
+    targets = table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'").select(F.lit(1).alias("k"), F.unix_timestamp("o_orderdate").alias("target")).distinct()
+    return joins.nearest(targets, points, "k", "target", "point").select("target", "point")
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, pos, len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')) AS n FROM (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+e AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM s), w AS (SELECT doc_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS w FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents))
+SELECT w.doc_id, CAST(w.pos AS BIGINT) AS word_no, CAST(e.pos AS INTEGER) AS line_no, w.w AS word FROM w JOIN e ON e.doc_id = w.doc_id AND w.pos >= e.e - e.n AND w.pos < e.e""")
+def j30_positional(spark, sf_dir):
+    """Words and the lines they lie in, by running offsets."""
+    spans = lines(spark, sf_dir).select("doc_id", F.col("pos").alias("line_no"), F.size(X.split_words(F.col("line"))).cast("long").alias("n"))
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.split_words(F.col("text"))).alias("pos", "word"))
+    out = joins.positional(spans, words.withColumn("pos", F.col("pos").cast("long")), "doc_id", "line_no", "n")
+    return out.select("doc_id", F.col("pos").alias("word_no"), "line_no", "word")
+
+
+@query("""
+WITH v AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events),
+m AS (SELECT user_id, event_type, value AS upper_median FROM v WHERE r = n // 2 + 1)
+SELECT user_id, event_type, upper_median, avg(value) AS mean_value, sum(value) / 3600 AS hours, count(*) FILTER (value < 5) AS short FROM events JOIN m USING (user_id, event_type) GROUP BY ALL""")
+def a14_upper_median(spark, sf_dir):
+    """Upper median, mean, sum and bands of durations."""
+    from lexmill.operators.stats import upper_median
+
+    keys = ["user_id", "event_type"]
+    e = events(spark, sf_dir)
+    rest = e.groupBy(*keys).agg(F.avg("value").alias("mean_value"), (F.sum("value") / 3600).alias("hours"), F.count_if(F.col("value") < 5).alias("short"))
+    return upper_median(e, keys, "value").join(rest, keys)
+
+
+def chapters(spark, sf_dir) -> DataFrame:
+    """user_id, sizes, points, total_ms: lengths of a user's values, and times of gaps."""
+    e = events(spark, sf_dir).withColumn("ms", (F.col("ts").cast("timestamp").cast("double") * 1000).cast("long"))
+    g = e.groupBy("user_id").agg(F.min("ms").alias("low"), F.max("ms").alias("high"), F.array_sort(F.collect_list(F.struct("event_id", (F.col("value") * 10 + 1).cast("int").alias("n"), "event_type", "ms"))).alias("rows"))
+    return g.select("user_id", F.transform(F.filter("rows", lambda r: r["event_type"] == "purchase"), lambda r: r["n"]).alias("sizes"), F.transform(F.filter("rows", lambda r: r["event_type"] != "view"), lambda r: r["ms"] - F.col("low")).alias("points"), (F.col("high") - F.col("low")).alias("total_ms"))
+
+
+@query()
+def g02_dp_split(spark, sf_dir):
+    """Boundaries by dynamic programming; held against brute force in the tests."""
+    return S.split_by_silence(chapters(spark, sf_dir).where(F.size("sizes") > 0), "user_id")
+
+
+@query()
+def j28_nearest_unused(spark, sf_dir):
+    """Each target takes the nearest point that is free; held against brute force in the tests."""
+    rows = chapters(spark, sf_dir).select("user_id", F.transform("sizes", lambda n: n.cast("long") * 1_000_000).alias("targets"), "points")
+    return S.nearest_unused(rows, "user_id")
+
+
+@query()
+def g04_sub_split(spark, sf_dir):
+    """Segments that are too long, split by a table function at the nearest gaps."""
+    rows = chapters(spark, sf_dir).select("user_id", "total_ms", "points", F.concat_ws(" ", F.transform("sizes", lambda n: n.cast("string"))).alias("text"))
+    return rows.lateralJoin(S.SubSplit(F.lit(0).cast("long"), F.col("total_ms").outer(), F.col("text").outer(), F.col("points").outer(), F.lit(400_000.0))).select("user_id", "start_ms", "end_ms", "text")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+def x01_stream_window(spark, sf_dir):
+    """Streaming extension: tumbling hours over a file stream with a watermark, all that is there worked off once."""
+    e = events(spark, sf_dir)
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lexmill-")
+    name = f"x01_{uuid.uuid4().hex}"
+    # the folder is listed and filtered by name, so that one file and a folder of files are both read
+    stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
+    out = logs.windowed(stream, "ts", "value", ["event_type"])
+    # complete mode returns the last windows too, which append mode holds back until the watermark passes them
+    run = out.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")

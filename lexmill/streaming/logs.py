@@ -15,7 +15,7 @@ def file_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", f
 
 def windowed(events: DataFrame, ts: str, value: str, keys: list[str], width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """window_start, keys, n, total by tumbling window; rows later than the watermark are dropped by Spark."""
-    out = events.withWatermark(ts, late).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    out = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return out.select(F.col("window.start").alias("window_start"), *keys, "n", "total")
 
 
