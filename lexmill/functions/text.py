@@ -224,8 +224,8 @@ def difficulty(category: Column, pos: Column, n_words: Column) -> Column:
 
 
 def dice(together: Column, a: Column, b: Column) -> dict[str, Column]:
-    """dice, ratio of the marginals' overlap, and their weighted score, unrounded."""
-    d, r = 2.0 * together / (a + b), F.least(together / a, together / b)
+    """dice, ratio of the smaller to the larger marginal, and their weighted score, unrounded."""
+    d, r = 2.0 * together / (a + b), F.least(a, b) / F.greatest(a, b)
     return {"dice": d, "ratio": r, "score": 0.6 * d + 0.4 * r}
 
 

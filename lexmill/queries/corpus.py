@@ -270,7 +270,7 @@ WITH u AS (SELECT pair_id, list_distinct(list_transform(range(1, len(aw)), lambd
 a AS (SELECT pair_id, unnest(g) AS gram FROM u), b AS (SELECT pair_id, unnest(w) AS word FROM u),
 an AS (SELECT gram, count(*) AS a_n FROM a GROUP BY gram), bn AS (SELECT word, count(*) AS b_n FROM b GROUP BY word),
 p AS (SELECT gram, word, count(*) AS together FROM a JOIN b USING (pair_id) GROUP BY gram, word HAVING count(*) >= 2),
-s AS (SELECT gram, word, together, a_n, b_n, 0.6 * (2.0::DOUBLE * together / (a_n + b_n)) + 0.4 * least(together::DOUBLE / a_n, together::DOUBLE / b_n) AS score FROM p JOIN an USING (gram) JOIN bn USING (word) WHERE 2.0 * together / (a_n + b_n) >= 0.15)
+s AS (SELECT gram, word, together, a_n, b_n, 0.6 * (2.0::DOUBLE * together / (a_n + b_n)) + 0.4 * (least(a_n, b_n)::DOUBLE / greatest(a_n, b_n)) AS score FROM p JOIN an USING (gram) JOIN bn USING (word) WHERE 2.0 * together / (a_n + b_n) >= 0.15)
 SELECT gram, word, together, a_n, b_n, score FROM s QUALIFY row_number() OVER (PARTITION BY gram ORDER BY score DESC, word) <= 2""")
 def a07_cooccur_dice(spark, sf_dir):
     """J26 A07 F29 W01 G09, lifecycle of phrase mining: bigrams of one side with words of the other, the two best by score."""

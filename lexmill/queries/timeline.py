@@ -151,8 +151,8 @@ def j28_nearest_unused(spark, sf_dir):
 @query()
 def g04_sub_split(spark, sf_dir):
     """Segments that are too long, split by a table function at the nearest gaps."""
-    rows = chapters(spark, sf_dir).select("user_id", "total_ms", "points", F.concat_ws(" ", F.transform("sizes", lambda n: n.cast("string"))).alias("text"))
-    return rows.lateralJoin(S.SubSplit(F.lit(0).cast("long"), F.col("total_ms").outer(), F.col("text").outer(), F.col("points").outer(), F.lit(400_000.0))).select("user_id", "start_ms", "end_ms", "text")
+    rows = chapters(spark, sf_dir).select("user_id", "total_ms", "points", F.concat_ws(" ", F.transform("sizes", lambda n: n.cast("string"))).alias("words"))
+    return rows.lateralJoin(S.SubSplit(F.lit(0).cast("long"), F.col("total_ms").outer(), F.col("words").outer(), F.col("points").outer(), F.lit(400_000.0))).select("user_id", "start_ms", "end_ms", "text")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
