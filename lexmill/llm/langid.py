@@ -44,9 +44,8 @@ def gram_buckets(text: str) -> np.ndarray | None:
     is_letter = letters()[cp]
     if not is_letter.any():
         return None
-    cp = np.where(is_letter, cp, 0)
-    gap = np.concatenate(([True], cp[1:] + cp[:-1] != 0))  # of neighbouring gaps one stays
-    cp = np.concatenate(([0], cp[gap], [0])).astype(np.uint32)
+    cp = np.concatenate(([0], np.where(is_letter, cp, 0), [0])).astype(np.uint32)
+    cp = cp[np.concatenate(([True], (cp[1:] | cp[:-1]) != 0))]  # of neighbouring gaps one stays
     h, out = cp * np.uint32(0x9E3779B1), []
     for n in range(2, max(ORDERS) + 1):
         if len(h) < 2:
