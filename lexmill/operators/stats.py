@@ -26,23 +26,23 @@ def ngram_counts(rows: DataFrame, words: str, sizes: tuple[int, ...] = (1, 2, 3)
     return rows.select(F.inline(every)).groupBy("n", "gram").agg(F.count("*").alias("cnt"))
 
 
-def cooccurrence(rows: DataFrame, a: str, b: str, least: int, marginal: str = "doc") -> DataFrame:
-    """a, b, together, a_n, b_n of items that share at least so many rows; a and b are array columns of one row per unit.
+def cooccurrence(rows: DataFrame, key: str, a: str, b: str, least: int, marginal: str = "doc") -> DataFrame:
+    """a, b, together, a_n, b_n of items that share at least so many units; a and b are array columns, one row per key.
 
     Items rarer than least can't qualify, so they go before pairs are made. Marginals are the items' own numbers of
     units (doc), or as inflated by the other side's size (pair: a's units times the b items of each, and the reverse).
     """
-    units = rows.select(F.monotonically_increasing_id().alias("_u"), F.array_distinct(a).alias("_a"), F.array_distinct(b).alias("_b"))
-    if marginal == "doc":
-        weight = {"_a": F.lit(1), "_b": F.lit(1)}
-    else:
-        weight = {"_a": F.size("_b"), "_b": F.size("_a")}
-    n = {s: units.select(F.explode(s).alias("x"), weight[s].alias("_w")).groupBy("x").agg(F.sum("_w").cast("long").alias("n"), F.count("*").alias("u")).where(F.col("u") >= least).drop("u") for s in ("_a", "_b")}
-    pairs = units.select(F.explode("_a").alias(a), "_b").select(a, F.explode("_b").alias(b))
-    common = lambda s, name: n[s].select(F.col("x").alias(name))
-    kept = pairs.join(common("_a", a), a, "left_semi").join(common("_b", b), b, "left_semi")
-    together = kept.groupBy(a, b).agg(F.count("*").alias("together")).where(F.col("together") >= least)
-    return together.join(n["_a"].select(F.col("x").alias(a), F.col("n").alias("a_n")), a).join(n["_b"].select(F.col("x").alias(b), F.col("n").alias("b_n")), b)
+    units = rows.select(key, F.array_distinct(a).alias("_a"), F.array_distinct(b).alias("_b"))
+    weight = {"_a": F.lit(1), "_b": F.lit(1)} if marginal == "doc" else {"_a": F.size("_b"), "_b": F.size("_a")}
+
+    def side(column: str, name: str) -> tuple[DataFrame, DataFrame]:
+        each = units.select(key, F.explode(column).alias(name), weight[column].alias("_w"))
+        n = each.groupBy(name).agg(F.sum("_w").cast("long").alias(f"{column[1]}_n"), F.count("*").alias("_u")).where(F.col("_u") >= least).drop("_u")
+        return each.drop("_w").join(n.select(name), name, "left_semi"), n
+
+    (left, left_n), (right, right_n) = side("_a", a), side("_b", b)
+    together = left.join(right, key).groupBy(a, b).agg(F.count("*").alias("together")).where(F.col("together") >= least)
+    return together.join(left_n, a).join(right_n, b)
 
 
 def threshold_counts(keys: list[str], score: Column, cuts: dict[str, Column]) -> list[Column]:

@@ -274,8 +274,8 @@ s AS (SELECT gram, word, together, a_n, b_n, 0.6 * (2.0::DOUBLE * together / (a_
 SELECT gram, word, together, a_n, b_n, score FROM s QUALIFY row_number() OVER (PARTITION BY gram ORDER BY score DESC, word) <= 2""")
 def a07_cooccur_dice(spark, sf_dir):
     """J26 A07 F29 W01 G09, lifecycle of phrase mining: bigrams of one side with words of the other, the two best by score."""
-    rows = units(spark, sf_dir).select(X.ngrams(F.col("aw"), 2).alias("gram"), F.col("bw").alias("word"))
-    return phrases.phrase_pairs(rows, "gram", "word", least=2)
+    rows = units(spark, sf_dir).select("pair_id", X.ngrams(F.col("aw"), 2).alias("gram"), F.col("bw").alias("word"))
+    return phrases.phrase_pairs(rows, "pair_id", "gram", "word", least=2)
 
 
 @query(f"""
@@ -286,7 +286,7 @@ SELECT tol, verb, count(*) AS together, any_value(a_n) AS a_n, any_value(b_n) AS
 def a08_pair_marginal(spark, sf_dir):
     """Co-occurrence of words and verb forms with marginals counted per pair."""
     verbs = F.filter("bw", lambda w: w.rlike("(ed|ing|es)$"))
-    return stats.cooccurrence(units(spark, sf_dir).select(F.col("aw").alias("tol"), verbs.alias("verb")), "tol", "verb", 3, marginal="pair")
+    return stats.cooccurrence(units(spark, sf_dir).select("pair_id", F.col("aw").alias("tol"), verbs.alias("verb")), "pair_id", "tol", "verb", 3, marginal="pair")
 
 
 _SCORED = f"(SELECT lang, len({WORDS.format('text')}) % 10 AS k, coalesce(quality, 0) * 0.5 + (1 - coalesce(toxic, 0)) * 0.5 AS s FROM documents LEFT JOIN labels USING (doc_id))"
