@@ -129,7 +129,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "
         return empty
     dim = sizes.d
     rows = rows.where(F.size("embedding") == dim)
-    sample = np.array([r.embedding for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(SAMPLE_ROWS).collect()], np.float64)
+    drawn = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).distinct()  # ids first: tasks send no more vectors than are drawn
+    picked = rows.join(F.broadcast(drawn), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    sample = np.array([r.embedding for r in picked.orderBy("vec_id").collect()], np.float64)
     quantiser = fit(sample)
     tie = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     kept = rows.withColumn("_n", tie).where(F.col("_n") <= k + 1).drop("_n")

@@ -69,8 +69,10 @@ def lookup_skewed(rows: DataFrame, found: DataFrame, key: str, weight: str, *, s
     1/share of all those rows are fewer than share, so they are broadcast; the others are joined by shuffle,
     where no key is large. weight is not returned.
     """
-    total = found.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    least = max(1, total // share)
+    total, largest = found.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
+    least = max(100, total // share)
+    if largest <= least:
+        return rows.join(found.drop(weight), key, "left")
     hot = F.broadcast(found.where(F.col(weight) > least).drop(weight).withColumn("_hot", F.lit(True)).limit(share))
     cold = found.where(F.col(weight) <= least).drop(weight)
     value = [c for c in found.columns if c not in (key, weight)]

@@ -30,9 +30,8 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     """By code point: lower case (where that is one code point), and whether it is a letter or digit."""
     global _tables
     if _tables is None:
-        chars = [chr(c) for c in range(0x110000)]
-        low = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars), np.uint32, len(chars))
-        _tables = low, np.fromiter((c.isalnum() for c in chars), bool, len(chars))
+        low = np.fromiter((ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x110000)), np.uint32, 0x110000)
+        _tables = low, np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
     return _tables
 
 

@@ -154,7 +154,9 @@ def read_archive(data: bytes) -> Iterator[Record]:
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from at most SAMPLE_PAGES pages of at most SAMPLE_CHARS characters, drawn by a hash of the id; b"" if they are too few."""
-    rows = pages.where(F.length("html").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(SAMPLE_PAGES).collect()
+    drawn = pages.select("page_id").where("page_id IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).distinct()
+    same = pages.join(F.broadcast(drawn), "page_id", "left_semi").where(F.length("html").between(1, SAMPLE_CHARS))
+    rows = same.groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect()  # ids first: tasks send no more pages than are drawn
     if len(rows) < 16:
         return b""
     try:
