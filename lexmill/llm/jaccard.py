@@ -6,7 +6,8 @@ overlaps; it is accumulated only where it can reach the bound that follows from
 1. Documents with equal sets are one row (the smallest id stands for them).
 2. A row's n-grams are ordered, those that many documents share last. Two sets that reach the threshold share an
    n-gram among the first n - ceil(t n) + 1 of both, so only these prefixes are multiplied, a block of columns a task.
-3. In a first product each row meets only the hub of its column (the smallest set of like size), and pairs are
+3. In a first product each row meets only the hub of its column (of the sets of like size that with fewest n-grams of its
+   own, so that of near copies the original is met); pairs that reach the bound with the columns counted so far are
    verified on whole sets. The components of these links hold nearly all near copies, so that a second product
    emits only pairs of different components; their overlap counts are accumulated and pairs below the bound
    that the sizes give are dropped; the rest is verified. No link between different components is lost, and links
@@ -29,10 +30,12 @@ from lexmill.llm.common import lookup_skewed, small_batches, stored
 from lexmill.llm.components import connected_components
 
 #: Frequencies: n-grams of a piece, least count within it, and how many n-grams at most have a place at the end of the order.
-PIECE, OFTEN, RANKED = 2_000_000, 4, 100_000
+PIECE, OFTEN, RANKED = 8_000_000, 3, 400_000
 #: Up to so many documents to verify, their ids are broadcast (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 400_000
-HUB_PARTS, PAIRS_AT_ONCE = 8, 500_000
+#: Columns that a pair must share within the places that go with that number, where its sizes allow. More of them make fewer pairs pass, but more be counted.
+COUNTED = 1
+HUB_PARTS, PAIRS_AT_ONCE, PAIRS_HELD = 8, 500_000, 2_000_000
 
 
 class WordHashes(dict):
@@ -92,44 +95,54 @@ def frequent(docs: DataFrame, k: int, ranked: int = RANKED) -> tuple[np.ndarray,
         if held:
             yield often()
 
-    found = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = found.orderBy(F.desc("c"), "h").limit(ranked).toArrow()
+    found = stored(docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
+    band = F.floor(F.log2("c") * 8)  # a cut at a band's edge, so that no more than the rows wanted leave the executors
+    least, n = None, 0
+    for b, size in found.groupBy(band.alias("b")).count().orderBy(F.desc("b")).collect():
+        n += size
+        if n > ranked:
+            break
+        least = b
+    top = found.where(band >= least if least is not None else F.lit(False)).toArrow()
     h, c = top.column("h").to_numpy(), top.column("c").to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
 
 
-def ordered_prefix(h: np.ndarray, often: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
+def ordered_prefix(h: np.ndarray, often: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, int]:
+    """The set's prefix in order, and how many of the set's n-grams are not frequent."""
     known, counts = often
     n = len(h)
     c = np.zeros(n, np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         c = np.where(known[at] == h, counts[at], 0)
-    return h[np.lexsort((h, c))][: prefix_length(n, num, den)]
+    return h[np.lexsort((h, c))][: prefix_length(n, num, den)], int((c == 0).sum())
 
 
 def set_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Per row: doc_id, n, a 128-bit digest of the set, the prefix in order (64-bit integers)."""
+    """Per row: doc_id, n, the number of n-grams that are not frequent, a 128-bit digest of the set, the prefix in order (64-bit integers)."""
     spark = docs.sparkSession
     often = spark.sparkContext.broadcast(frequent(docs, k))  # RANKED n-grams at most
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            n, sig, prefix = [], [], []
+            n, rare, sig, prefix = [], [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 h = shingles(t, k, cache)
                 n.append(len(h))
                 sig.append(xxhash.xxh3_128_digest(h.tobytes()))
-                prefix.append(ordered_prefix(h, often.value, num, den).tobytes() if len(h) else b"")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "sig", "prefix"])
+                first, own = ordered_prefix(h, often.value, num, den) if len(h) else (h, 0)
+                prefix.append(first.tobytes())
+                rare.append(own)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "rare", "sig", "prefix"])
 
-    return stored(docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n long, sig binary, prefix binary"), "sets")
+    return stored(docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n long, rare long, sig binary, prefix binary"), "sets")
 
 
 def columns(rows: DataFrame) -> DataFrame:
-    """The incidence matrix of the prefixes by column: h, node, n, pos; a column's rows together in a task, by size."""
+    """The incidence matrix of the prefixes: h, node, n, rare, pos."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,9 +151,10 @@ def columns(rows: DataFrame) -> DataFrame:
             if size.sum():
                 h = np.frombuffer(b"".join(prefixes), np.int64)
                 pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(b.column("node").to_numpy(zero_copy_only=False), size)), pa.array(np.repeat(b.column("n").to_numpy(zero_copy_only=False), size).astype(np.int32)), pa.array(pos.astype(np.int32))], ["h", "node", "n", "pos"])
+                each = lambda c, kind: pa.array(np.repeat(b.column(c).to_numpy(zero_copy_only=False), size).astype(kind))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(h), each("node", np.int64), each("n", np.int32), each("rare", np.int32), pa.array(pos.astype(np.int32))], ["h", "node", "n", "rare", "pos"])
 
-    return rows.mapInArrow(explode, "h long, node long, n int, pos int")
+    return rows.mapInArrow(explode, "h long, node long, n int, rare int, pos int")
 
 
 def in_lists(batches: Iterator[pa.RecordBatch], names: list[str], most: int = 1 << 20) -> Iterator[tuple[dict[str, np.ndarray], bool, bool]]:
@@ -167,10 +181,10 @@ def in_lists(batches: Iterator[pa.RecordBatch], names: list[str], most: int = 1
 
 
 def hubs(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """h, node, n, pos of columns with two rows or more, and the hub: the column's smallest row of like size."""
+    """h, node, n, pos of columns with two rows or more, and the hub with its size: of the column's rows of like size that with fewest n-grams of its own."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, on, more in in_lists(batches, ["h", "node", "n", "pos"]):
+        for x, on, more in in_lists(batches, ["h", "node", "n", "rare", "pos"]):
             h, n = x["h"], x["n"].astype(np.int64)
             first = np.concatenate(([True], h[1:] != h[:-1]))
             start = np.flatnonzero(first)
@@ -182,19 +196,27 @@ def hubs(postings: DataFrame, num: int, den: int) -> DataFrame:
                 multi |= h == h[0]
             if more:
                 multi |= h == h[-1]
-            while True:  # rows too large for their hub get the first such row of the column
+            while True:  # rows too large for the first of their part of the column begin the next part
                 far = np.flatnonzero(n * num > n[hub] * den)
                 if not len(far):
                     break
                 lead = far[np.concatenate(([True], end[far[1:]] != end[far[:-1]]))]
                 hub[far] = lead[np.searchsorted(lead, far, side="right") - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(v[multi]) for v in (h, x["node"], x["n"], x["pos"], x["node"][hub])], ["h", "node", "n", "pos", "hub"])
+            order = np.lexsort((x["node"], x["rare"], hub))
+            part = hub[order]
+            best = order[np.concatenate(([True], part[1:] != part[:-1]))]
+            hub = np.repeat(best, np.unique(part, return_counts=True)[1])[np.argsort(order, kind="stable")]
+            yield pa.RecordBatch.from_arrays([pa.array(v[multi]) for v in (h, x["node"], x["n"], x["pos"], x["node"][hub], n[hub])], ["h", "node", "n", "pos", "hub", "hub_n"])
 
-    return postings.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(find, "h long, node long, n int, pos int, hub long")
+    return postings.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(find, "h long, node long, n int, pos int, hub long, hub_n long")
 
 
 def cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b and the number of columns they share, for rows of different components whose sizes and positions allow the threshold."""
+    """a, b of rows of different components whose shared columns can reach the threshold.
+
+    Sets that overlap in alpha n-grams share the first l of them within the first n - alpha + l of both, for every l up to
+    alpha. The sizes give alpha; columns within those places are counted, and pairs with fewer than l of them go.
+    """
 
     def pairs_of(x: dict[str, np.ndarray], s: int, e: int) -> Iterator[tuple[np.ndarray, ...]]:
         node, n, pos, comp = x["node"][s:e], x["n"][s:e].astype(np.int64), x["pos"][s:e].astype(np.int64), x["comp"][s:e]
@@ -204,12 +226,14 @@ def cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
             stop = int(np.searchsorted(n * num, n[min(at + step, e - s) - 1] * den, side="right"))
             i, j = np.arange(at, min(at + step, e - s))[:, None], np.arange(at, stop)[None, :]
             ok = (j > i) & (comp[i] != comp[j]) & (n[j] * num <= n[i] * den) & (node[i] != node[j])
-            room = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-            ok &= room >= least_overlap(n[i], n[j], num, den)
+            alpha = least_overlap(n[i], n[j], num, den)
+            spare = prefix_length(n, num, den) - n
+            need = np.minimum(COUNTED, alpha + np.minimum(spare[i], spare[j]))
+            ok &= (pos[i] < n[i] - alpha + need) & (pos[j] < n[j] - alpha + need)
             r, c = np.nonzero(ok)
             i, j = r + at, c + at
             swap = node[i] > node[j]
-            yield np.where(swap, node[j], node[i]), np.where(swap, node[i], node[j]), np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j])
+            yield np.where(swap, node[j], node[i]), np.where(swap, node[i], node[j]), np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j]), need[r, c]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -222,17 +246,22 @@ def cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
                 for p in pairs_of(x, start[k], start[k + 1]):
                     held.append(p)
                     size += len(p[0])
-                    if size >= PAIRS_AT_ONCE:
+                    if size >= PAIRS_HELD:
                         yield batch(held)
                         held, size = [], 0
         if size:
             yield batch(held)
 
     def batch(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[c] for p in held])) for c in range(4)], ["a", "b", "na", "nb"])
+        """The held pairs, each once with its number of columns."""
+        a, b, na, nb, need = (np.concatenate([p[c] for p in held]) for c in range(5))
+        order = np.lexsort((nb, na, b, a))
+        a, b, na, nb, need = a[order], b[order], na[order], nb[order], need[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (na[1:] != na[:-1]) | (nb[1:] != nb[:-1]))))
+        return pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c in (a, b, na, nb, need)), pa.array(np.diff(np.append(first, len(a))))], ["a", "b", "na", "nb", "need", "shared"])
 
-    found = postings.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(emit, "a long, b long, na long, nb long")
-    return found.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    found = postings.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(emit, "a long, b long, na long, nb long, need long, shared long")
+    return found.groupBy("a", "b", "na", "nb", "need").agg(F.sum("shared").alias("shared")).where("shared >= need").select("a", "b").distinct()
 
 
 def above_bound(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -286,18 +315,19 @@ def near_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     rows = set_rows(docs, k, num, den)
     live = rows.where("n > 0 AND doc_id IS NOT NULL")
     first = live.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("doc_id"))).where("r = 1")
-    distinct = stored(first.select(F.col("doc_id").alias("node"), "n", "sig", "prefix"), "distinct-sets")
+    distinct = stored(first.select(F.col("doc_id").alias("node"), "n", "rare", "sig", "prefix"), "distinct-sets")
     size = live.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1")
     copies = lookup_skewed(live.select("doc_id", "sig"), size, "sig", "copies").where("node < doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     small_batches(docs.sparkSession, 16_384)  # numbers only
     shared = stored(hubs(columns(distinct), num, den), "columns")
     small_batches(docs.sparkSession)
-    hub_pairs = shared.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    met = shared.where("hub <> node").groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("na"), F.col("n").cast("long").alias("nb")).agg(F.count("*").alias("shared"))
+    hub_pairs = above_bound(met, num, den).where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b").distinct()  # a pair that meets in other columns too may be missed here, not below
     links = stored(verified(hub_pairs, docs, k, num, den), "links")
     found = connected_components(links)
     small_batches(docs.sparkSession, 16_384)
-    placed = shared.drop("hub").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    pairs = stored(above_bound(cross_pairs(placed, num, den), num, den).select("a", "b"), "pairs")
+    placed = shared.drop("hub", "hub_n").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    pairs = stored(cross_pairs(placed, num, den), "pairs")
     small_batches(docs.sparkSession)
     more = stored(verified(pairs, docs, k, num, den), "links")
     stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
