@@ -2,7 +2,7 @@
 
 Documents are tokenised once and stored. Document frequencies of token ids are counted over the whole corpus; they are
 as many as the vocabulary, so they reach every task. Each task packs its rows in shards of SHARD_TOKENS: a shard's inverted
-index holds its documents' weighted postings, a seed's heaviest terms are looked up, and the best unused documents
+index holds its documents' weighted postings, all of a seed's terms are looked up, and the best unused documents
 fill the seed's window, the last one cut to fit. What a shard's last window lacks is carried to the task's next shard.
 No document is moved to another task, so there is no shuffle, and memory is bounded by the shard.
 
@@ -25,7 +25,7 @@ from lexmill.llm.common import small_batches, stored
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS, SHARD_DOCS = 3_000_000, 4096
-QUERY_TERMS, NEIGHBOURS, K1, B = 24, 24, 1.2, 0.75
+QUERY_TERMS, K1, B = 1 << 16, 1.2, 0.75  # all terms of a seed
 
 _ODD = re.compile(r"<\||[\x1c-\x1f]")
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
@@ -168,17 +168,13 @@ class Shard:
         self.lists = np.searchsorted(term[order], np.arange((1 << 16) + 1))
 
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
-        """The free documents that score best for the seed's heaviest terms, best first, ties in order."""
-        s, e = self.bounds[seed], self.bounds[seed + 1]
-        w = self.weights[s:e]
-        top = np.argpartition(-w, QUERY_TERMS - 1)[:QUERY_TERMS] if len(w) > QUERY_TERMS else np.arange(len(w))
-        spans = [slice(self.lists[t], self.lists[t + 1]) for t in self.terms[s:e][top]]
+        """All free documents that share a term with the seed, best first, ties in order."""
+        spans = [slice(self.lists[t], self.lists[t + 1]) for t in self.terms[self.bounds[seed] : self.bounds[seed + 1]]]
         if not spans:
             return np.zeros(0, np.int64)
         score = np.bincount(np.concatenate([self.docs[x] for x in spans]), np.concatenate([self.by_term[x] for x in spans]), self.n)
         score[~free] = 0
-        best = np.argpartition(-score, NEIGHBOURS - 1)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        best = best[score[best] > 0]
+        best = np.flatnonzero(score > 0)
         return best[np.lexsort((best, -score[best]))]
 
 

@@ -291,6 +291,25 @@ def test_bm25_by_hand():
     assert shard.neighbours(0, free)[:5].tolist() == want[:5]
 
 
+def weights_of(toks):
+    df = np.zeros(1 << 16, np.int64)
+    for t in toks:
+        df[np.unique(t)] += 1
+    n, mean = len(toks), np.mean([len(t) for t in toks])
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    return idf, mean, lambda d, w: idf[w] * (tf := (toks[d] == w).sum()) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks[d]) / mean))
+
+
+def test_neighbours_by_all_terms_and_to_the_last():
+    rng = np.random.default_rng(2)
+    toks = [rng.integers(0, 90, rng.integers(60, 90)).astype("<u2") for _ in range(70)]
+    idf, mean, weight = weights_of(toks)
+    free = np.ones(70, bool)
+    free[0] = False
+    want = sorted(range(1, 70), key=lambda d: (-sum(weight(d, w) for w in np.unique(toks[0])), d))
+    assert packing.Shard(toks, idf, mean).neighbours(0, free).tolist() == want
+
+
 # --- nearest neighbours
 
 
