@@ -1,12 +1,15 @@
 """Lexical retrieval packing: windows are filled with a seed document's nearest unused documents by BM25.
 
 Documents are tokenised once and stored. Document frequencies of token ids are counted over the whole corpus; they are
-as many as the vocabulary, so they reach every task. Each task packs its rows in shards of SHARD_TOKENS: a shard's inverted
-index holds its documents' weighted postings, all of a seed's terms are looked up, and the best unused documents
-fill the seed's window, the last one cut to fit. What a shard's last window lacks is carried to the task's next shard.
-No document is moved to another task, so there is no shuffle, and memory is bounded by the shard.
-
-Windows are full; only a task's last tokens form shorter sequences, of sizes that are powers of two.
+as many as the vocabulary, so they reach every task. Seeds are drawn from the whole table, one for each window. In each
+round every unused document is scored against every open window's seed, over all the seed's terms, and picks the window
+it scores best for (as a share of the root of the seed's own weight, as sums over long and short seeds cannot be
+compared); a window takes the best of those that picked it until it is full, the last one cut to fit. What is left picks
+again among the windows still open, and what is left when all are full gets seeds of its own. Once the unused documents
+fit one index shard they are packed there, seed by seed. The search is over the whole corpus: its work grows with the
+square of the number of documents. Memory is bounded by the shard and by a block of seeds.
+
+Windows are full; only the last tokens form shorter sequences, of sizes that are powers of two.
 """
 
 from __future__ import annotations
@@ -19,13 +22,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lexmill.llm.common import small_batches, stored
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS, SHARD_DOCS = 3_000_000, 4096
 QUERY_TERMS, K1, B = 1 << 16, 1.2, 0.75  # all terms of a seed
+#: Terms scored by a dense product (the commonest; the others by their postings), seeds a product, bytes of seeds sent at once.
+COMMON, BLOCK, SEED_BYTES = 1024, 256, 64 << 20
+#: Share of the unused tokens that a generation's windows hold, so that open windows find documents to the end.
+FILLED = 0.97
+#: Share of a generation's windows that may stay open at its end; their pieces are unused again and get new seeds.
+SCARCE = 0.1
 
 _ODD = re.compile(r"<\||[\x1c-\x1f]")
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
@@ -177,6 +186,36 @@ class Shard:
         best = np.flatnonzero(score > 0)
         return best[np.lexsort((best, -score[best]))]
 
+    def picks(self, seeds: list[np.ndarray], norms: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each document the best of all seeds by score / norm (-1 if none shares a term), ties to the first; and its score.
+
+        column: a term's place among the COMMON terms, or -1.
+        """
+        owner = np.repeat(np.arange(self.n), np.diff(self.bounds))
+        at = column[self.terms]
+        dense = np.zeros((COMMON, self.n), np.float32)
+        dense[at[at >= 0], owner[at >= 0]] = self.weights[at >= 0]
+        best, share, score = np.full(self.n, -1), np.zeros(self.n, np.float32), np.zeros(self.n, np.float32)
+        for first in range(0, len(seeds), BLOCK):
+            block = seeds[first : first + BLOCK]
+            row, term = np.repeat(np.arange(len(block)), [len(t) for t in block]), np.concatenate(block)
+            at = column[term]
+            query = np.zeros((len(block), COMMON), np.float32)
+            query[row[at >= 0], at[at >= 0]] = 1
+            sums = query @ dense
+            row, term = row[at < 0], term[at < 0].astype(np.int64)
+            size = self.lists[term + 1] - self.lists[term]
+            if size.sum():
+                places = np.arange(size.sum()) + np.repeat(self.lists[term] - (np.cumsum(size) - size), size)
+                cells = np.repeat(row, size) * self.n + self.docs[places]
+                sums += np.bincount(cells, self.by_term[places], sums.size).reshape(sums.shape).astype(np.float32)
+            shares = sums / norms[first : first + BLOCK, None]
+            top = shares.argmax(axis=0)
+            value = shares[top, np.arange(self.n)]
+            better = value > share
+            best[better], share[better], score[better] = first + top[better], value[better], sums[top, np.arange(self.n)][better]
+        return best, score
+
 
 Piece = tuple[object, np.ndarray, int, int]  # id, all tokens, start, length
 
@@ -233,70 +272,247 @@ def fill(pool: list[Piece], shard: Shard, last: bool) -> Iterator[list[Piece]]:
     return []
 
 
-def pack(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of all documents in sequences of at most WINDOW tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+OUT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+COLUMNS = ["doc_id", *(c.split()[0] for c in OUT.split(", "))]
+
+
+def crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def partition() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
 
-    Null and empty texts are END alone. A document of WINDOW tokens or more gets sequences of its own; its rest is packed like
-    any other. Repeated rows are packed each. An empty table has no pieces.
-    """
-    tokens = tokenised(docs, vocabulary, key=key, text=text)
-    df, n, mean = corpus_statistics(tokens)
-    spark = docs.sparkSession
-    idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))  # one per id
+
+def batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], list(kinds))
+
+
+def whole_windows(tokens: DataFrame) -> DataFrame:
+    """The sequences that a document of WINDOW tokens or more has of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        sequence = (context.partitionId() if context else 0) << 36
-        pool: list[Piece] = []
-        held, kind = 0, None
-        out: list[list] = [[] for _ in range(7)]
+        sequence = 1 << 62 | partition() << 36
+        for b in batches:
+            kinds = {"doc_id": b.column("doc_id").type} | dict.fromkeys(COLUMNS[1:], pa.int64())
+            rows = []
+            for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+                ids = np.frombuffer(raw, "<u2")
+                for start in range(0, len(ids) // WINDOW * WINDOW, WINDOW):
+                    rows.append((doc, start, WINDOW, crc(ids[start : start + WINDOW]), len(ids), sequence, 0))
+                    sequence += 1
+            yield batch(rows, kinds)
 
-        def write(window: list[Piece]) -> None:
-            nonlocal sequence
-            at = 0
-            for doc, ids, start, length in window:
-                crc = zlib.crc32(ids[start : start + length].astype("<u4").tobytes())
-                for c, v in zip(out, (doc, start, length, crc, len(ids), sequence, at), strict=True):
-                    c.append(v)
-                at += length
-            sequence += 1
-
-        def flush() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(out[0], kind), *(pa.array(c, pa.int64()) for c in out[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            for c in out:
-                c.clear()
-            return got
-
-        def pack_pool(last: bool) -> list[Piece]:
-            windows = fill(pool, Shard([p[1][p[2] : p[2] + p[3]] for p in pool], idf.value, mean), last)
-            while True:
-                try:
-                    write(next(windows))
-                except StopIteration as e:
-                    return e.value
+    return tokens.mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, {OUT}")
 
+
+def remainders(tokens: DataFrame) -> DataFrame:
+    """id (below 2 ** 56), doc_id, start, doc_tokens, tokens of what the own sequences leave, stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i = partition() << 36
         for b in batches:
-            kind = b.column("doc_id").type
+            kinds = {"id": pa.int64(), "doc_id": b.column("doc_id").type, "start": pa.int64(), "doc_tokens": pa.int64(), "tokens": pa.binary()}
+            rows = []
             for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+                start = len(raw) // 2 // WINDOW * WINDOW
+                if len(raw) > 2 * start:
+                    rows.append((i, doc, start, len(raw) // 2, raw[2 * start :]))
+                    i += 1
+            yield batch(rows, kinds)
+
+    return stored(tokens.mapInArrow(run, f"id long, doc_id {tokens.schema['doc_id'].dataType.simpleString()}, start long, doc_tokens long, tokens binary"), "rest")
+
+
+def seed_blocks(windows: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Windows, their room and their seeds' distinct ids, at most about SEED_BYTES at once."""
+    names, rooms, terms, held = [], [], [], 0
+    for r in windows.select("window", "room", "seed").toLocalIterator():
+        names.append(r.window)
+        rooms.append(r.room)
+        terms.append(np.unique(np.frombuffer(r.seed, "<u2")))
+        held += terms[-1].nbytes + 200
+        if held >= SEED_BYTES:
+            yield np.array(names), np.array(rooms), terms
+            names, rooms, terms, held = [], [], [], 0
+    if names:
+        yield np.array(names), np.array(rooms), terms
+
+
+def best_windows(free: DataFrame, windows: DataFrame, idf: np.ndarray, column: np.ndarray, mean: float) -> DataFrame:
+    """id, n, window, score: the window of all that each unused piece scores best for; stored."""
+    sc = free.sparkSession.sparkContext
+    weights = sc.broadcast((idf, column))
+
+    def chosen(block) -> DataFrame:
+        sent = sc.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (idf, column), (names, rooms, seeds) = weights.value, sent.value
+            norms = np.sqrt(np.array([idf[t].sum() for t in seeds], np.float32) + 1e-9)
+            kinds = {"id": pa.int64(), "n": pa.int64(), "window": pa.int64(), "score": pa.float32(), "share": pa.float32()}
+
+            def score(ids: list[int], toks: list[np.ndarray]) -> pa.RecordBatch:
+                best, got = Shard(toks, idf, mean).picks(seeds, norms, column)
+                on = np.flatnonzero(best >= 0)
+                on = on[np.lexsort((on, -got[on], best[on]))]
+                # a window takes no more than its room, so the shard's best that fill it are enough
+                size = np.array([len(toks[i]) for i in on], np.int64)
+                begun = np.cumsum(size) - size
+                head = np.concatenate(([True], best[on][1:] != best[on][:-1])) if len(on) else np.zeros(0, bool)
+                ahead = begun - np.repeat(begun[head], np.diff(np.append(np.flatnonzero(head), len(on))))
+                on = on[ahead < rooms[best[on]]]
+                return batch([(ids[i], len(toks[i]), int(names[best[i]]), float(got[i]), float(got[i] / norms[best[i]])) for i in on], kinds)
+
+            ids, toks, held = [], [], 0
+            for b in batches:
+                for i, raw in zip(b.column("id").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+                    ids.append(i)
+                    toks.append(np.frombuffer(raw, "<u2"))
+                    held += len(toks[-1])
+                    if len(ids) >= SHARD_DOCS or held >= SHARD_TOKENS:
+                        yield score(ids, toks)
+                        ids, toks, held = [], [], 0
+            if ids:
+                yield score(ids, toks)
+
+        return stored(free.select("id", "tokens").mapInArrow(run, "id long, n long, window long, score float, share float"), "picks")
+
+    parts = [chosen(block) for block in seed_blocks(windows)]
+    if len(parts) == 1:
+        return parts[0]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("id", "n").agg(F.max_by(F.struct("window", "score", "share"), F.struct("share", -F.col("window"))).alias("b")).select("id", "n", "b.*")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """window, round, score, id, doc_id, start, length, ids_crc32, doc_tokens of the taken pieces; stored, without tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [np.frombuffer(t, "<u2") for t in b.column("tokens").to_pylist()]
+            cols = {c: b.column(c) for c in ("window", "round", "score", "id", "doc_id", "start")}
+            cols |= {"length": pa.array([len(t) for t in raw], pa.int64()), "ids_crc32": pa.array([crc(t) for t in raw], pa.int64()), "doc_tokens": b.column("doc_tokens")}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = rows.select("window", "round", "score", "id", "doc_id", "start", "doc_tokens", "tokens")
+    return stored(rows.mapInArrow(run, f"window long, round int, score float, id long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"), "placed")
+
+
+def last_windows(rest: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
+    """Sequences of each partition's pieces, seed by seed."""
+    weights = rest.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool: list[Piece] = []
+        base: list[tuple[int, int]] = []
+        kinds: dict = {}
+        for b in batches:
+            kinds = {"doc_id": b.column("doc_id").type} | dict.fromkeys(COLUMNS[1:], pa.int64())
+            for doc, start, n, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "tokens")), strict=True):
                 ids = np.frombuffer(raw, "<u2")
-                whole = len(ids) // WINDOW * WINDOW
-                for start in range(0, whole, WINDOW):
-                    write([(doc, ids, start, WINDOW)])
-                if len(ids) > whole:
-                    pool.append((doc, ids, whole, len(ids) - whole))
-                    held += len(ids) - whole
-                if held >= SHARD_TOKENS or len(pool) >= SHARD_DOCS:
-                    pool = pack_pool(last=False)
-                    held = sum(p[3] for p in pool)
-            if len(out[0]) >= 10_000:
-                yield flush()
-        if pool:
-            pack_pool(last=True)
-        if out[0]:
-            yield flush()
-
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+                pool.append((len(base), ids, 0, len(ids)))
+                base.append((doc, start, n))
+        if not pool:
+            return
+        rows = []
+        for sequence, window in enumerate(fill(pool, Shard([p[1] for p in pool], weights.value, mean), True), 3 << 61 | partition() << 36):
+            at = 0
+            for i, ids, start, length in window:
+                doc, first, n = base[i]
+                rows.append((doc, first + start, length, crc(ids[start : start + length]), n, sequence, at))
+                at += length
+        yield batch(rows, kinds)
+
+    return rest.sortWithinPartitions("id").mapInArrow(run, f"doc_id {rest.schema['doc_id'].dataType.simpleString()}, {OUT}")
+
+
+def pack(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pieces of all documents in sequences of at most WINDOW tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Null and empty texts are END alone. A document of WINDOW tokens or more gets sequences of its own; its rest is packed like
+    any other. Repeated rows are packed each. An empty table has no pieces.
+    """
+    tokens = tokenised(docs, vocabulary, key=key, text=text)
+    df, n, mean = corpus_statistics(tokens)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    column = np.full(1 << 16, -1)
+    column[np.argsort(-df, kind="stable")[:COMMON]] = np.arange(COMMON)
+
+    first = free = remainders(tokens)
+    done, generation, filled = [], 0, True
+    while filled and generation < 32:
+        pieces, left = free.agg(F.count("*"), F.coalesce(F.sum(F.length("tokens") / 2), F.lit(0.0))).first()
+        if pieces <= SHARD_DOCS and left <= SHARD_TOKENS:
+            free = free.coalesce(1)
+            break
+        seeding = F.pmod(F.xxhash64("id", F.lit(generation)), F.lit(1 << 40)) < int((1 << 40) * FILLED * left / WINDOW / pieces)
+        taken, free, filled = generation_of(first, free, seeding, generation, idf, column, mean)
+        done.append(taken)
+        generation += 1
+    out = whole_windows(tokens)
+    if done:
+        every = done[0]
+        for d in done[1:]:
+            every = every.unionByName(d)
+        before = Window.partitionBy("window").orderBy("round", F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, -1)
+        at = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
+        out = out.unionByName(every.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("window").alias("sequence_id"), at))
+    return out.unionByName(last_windows(free, idf, mean))
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what stored wrote, when a later state has replaced it."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def generation_of(first: DataFrame, free: DataFrame, seeding, generation: int, idf: np.ndarray, column: np.ndarray, mean: float) -> tuple[DataFrame, DataFrame, bool]:
+    """Rounds over one set of seeds until few windows are open: pieces of full windows, what is unused, whether any window was open.
+
+    The windows that stay open are given up and their pieces are unused again, for the next seeds over the whole table.
+    """
+    name = (F.col("id") + F.lit(generation << 56)).alias("window")
+    seeds = stored(free.where(seeding), "seeds")
+    done = placed(seeds.select(name, F.lit(0).alias("round"), F.lit(0.0).cast("float").alias("score"), "*"))
+    windows = stored(seeds.select(name, (F.lit(WINDOW) - F.length("tokens") / 2).cast("long").alias("room"), F.col("tokens").alias("seed")), "windows")
+    free, number, count = free.where(~seeding), 0, windows.count()
+    while windows.count() > SCARCE * count:
+        number += 1
+        picks = best_windows(free, windows, idf, column, mean)
+        order = Window.partitionBy("window").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
+        take = F.least("n", F.col("room") - (F.sum("n").over(order) - F.col("n")))
+        rows = picks.join(windows.select("window", "room"), "window").select("id", "window", "score", take.alias("take")).where("take > 0")
+        accepted = stored(rows, "accepted")
+        if not accepted.take(1):
+            break
+        both = free.join(accepted, "id", "left")
+        head, tail = "substring(tokens, 1, cast(2 * take as int))", "substring(tokens, cast(2 * take + 1 as int))"
+        done = done.unionByName(placed(both.where("take > 0").select("window", F.lit(number).alias("round"), "score", "id", "doc_id", "start", "doc_tokens", F.expr(head).alias("tokens"))))
+        took = F.coalesce("take", F.lit(0))
+        rest = both.select("id", "doc_id", (F.col("start") + took).alias("start"), "doc_tokens", F.when(F.col("take").isNull(), F.col("tokens")).otherwise(F.expr(tail)).alias("tokens"))
+        old, free = (free, windows), stored(rest.where(F.length("tokens") > 0), "free")
+        used = accepted.groupBy("window").agg(F.sum("take").alias("used"))
+        room = F.col("room") - F.coalesce("used", F.lit(0))
+        windows = stored(windows.join(used, "window", "left").select("window", room.alias("room"), "seed").where("room > 0"), "windows")
+        if number > 1:
+            discard(old[0])
+        discard(old[1])
+    short = windows.count()
+    if short:
+        given_up = done.join(windows.select("window"), "window", "left_semi").select("id", F.col("start").alias("s"), "length")
+        part = F.expr("substring(tokens, cast(2 * (s - start) + 1 as int), cast(2 * length as int))")
+        back = given_up.join(first, "id").select("id", "doc_id", F.col("s").alias("start"), "doc_tokens", part.alias("tokens"))
+        free = stored(free.unionByName(back), "free")
+        done = done.join(windows.select("window"), "window", "left_anti")
+    return done, free, count == 0 or short < count
 
 
 def op6_packing(docs: DataFrame) -> DataFrame:

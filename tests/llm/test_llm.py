@@ -310,6 +310,41 @@ def test_neighbours_by_all_terms_and_to_the_last():
     assert packing.Shard(toks, idf, mean).neighbours(0, free).tolist() == want
 
 
+def test_windows_are_searched_over_the_whole_table(spark):
+    rng = np.random.default_rng(3)
+    toks = [rng.integers(0, 60, rng.integers(20, 60)).astype("<u2") for _ in range(90)]
+    idf, mean, weight = weights_of(toks)
+    column = np.full(1 << 16, -1)
+    column[:30] = np.arange(30)  # the other terms go by their postings
+    seeds = {i: set(toks[i].tolist()) for i in range(0, 90, 9)}
+    windows = spark.createDataFrame([(i, 10**6, toks[i].tobytes()) for i in seeds], "window long, room long, seed binary")
+    free = spark.createDataFrame([(i, toks[i].tobytes()) for i in range(90) if i not in seeds], "id long, tokens binary").repartition(7)
+    got = {r.id: r for r in packing.best_windows(free, windows, idf, column, mean).collect()}
+    assert got.keys() == set(range(90)) - seeds.keys()
+    for i, r in got.items():
+        score = {s: sum(weight(i, w) for w in terms) for s, terms in seeds.items()}
+        share = {s: score[s] / np.sqrt(sum(idf[w] for w in seeds[s])) for s in seeds}
+        assert share[r.window] >= max(share.values()) - 1e-4 and abs(r.score - score[r.window]) < 1e-3
+
+
+def test_related_documents_meet_from_far_files(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 40)
+    rng = random.Random(4)
+    topics = [["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)] for _ in range(2)]
+    texts = [(i, " ".join(rng.choice(topics[i % 2]) for _ in range(300))) for i in range(160)]
+    order = sorted(texts, key=lambda x: (x[0] // 2 % 4, x[0]))
+    rows = packing.op6_packing(spark.createDataFrame(order, "doc_id long, text string").repartition(4, "doc_id")).collect()
+    check_packed(rows, [x[1] for x in texts])
+    parts, windows = {}, {}
+    for r in spark.createDataFrame(order, "doc_id long, text string").repartition(4, "doc_id").select("doc_id", __import__("pyspark").sql.functions.spark_partition_id().alias("p")).collect():
+        parts[r.doc_id] = r.p
+    for r in rows:
+        windows.setdefault(r.sequence_id, []).append(r)
+    full = [w for w in windows.values() if sum(r.length for r in w) == 4096]
+    pure = sum(max(sum(r.length for r in w if r.doc_id % 2 == k) for k in (0, 1)) for w in full) / (4096 * len(full))
+    assert pure > 0.8 and any(len({parts[r.doc_id] for r in w}) > 1 for w in full)
+
+
 # --- nearest neighbours
 
 
