@@ -45,6 +45,17 @@ ALLOW = (
 KINDS = ("assign", "access", "hex")
 
 
+def uncovered(start: int, end: int, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of start to end that no span covers."""
+    out = []
+    for s, e, _ in sorted(spans):
+        if s < end and start < e:
+            if start < s:
+                out.append((start, s))
+            start = max(start, e)
+    return out + [(start, end)] if start < end else out
+
+
 @dataclass
 class Scanner:
     classes: tuple = CLASSES
@@ -87,7 +98,7 @@ class Scanner:
             yield open_at, end
 
     def entropy(self, text: str) -> list[tuple[int, int, str]]:
-        """Spans of high entropy; of spans of several classes over the same place the first class's stays."""
+        """Spans of high entropy; where those of several classes overlap, a later class has what earlier ones leave uncovered."""
         found: list[tuple[int, int, str]] = []
         for m in CANDIDATE.finditer(text):
             if any(a.fullmatch(m[0]) for a in self.allow):
@@ -99,8 +110,7 @@ class Scanner:
                         continue
                     for s, e in self.windows(r[0], width, least):
                         at = (m.start() + r.start() + s, m.start() + r.start() + e)
-                        if all(at[1] <= x or y <= at[0] for x, y, _ in mine):
-                            mine.append((*at, f"entropy_{name}"))
+                        mine += [(*part, f"entropy_{name}") for part in uncovered(*at, mine)]
             found += mine
         return sorted(found)
 
@@ -145,7 +155,7 @@ def scan_secrets(docs: DataFrame, scanner: Scanner | None = None, *, key: str =
 def redact(docs: DataFrame, scanner: Scanner | None = None, mark: str = "[SECRET]", *, text: str = "text", chars: str | None = "n_chars") -> DataFrame:
     """docs with each base or added span replaced by mark; texts without spans stay as they are.
 
-    Overlapping spans are replaced as one. If there is a column chars, it holds the new length of changed texts.
+    Spans that overlap or touch are replaced as one. If there is a column chars, it holds the new length of changed texts.
     """
     small_batches(docs.sparkSession)
     scanner = scanner or Scanner()
@@ -156,7 +166,7 @@ def redact(docs: DataFrame, scanner: Scanner | None = None, mark: str = "[SECRET
         out, at = [], 0
         merged: list[list[int]] = []
         for s, e, _ in sorted(base + extra):
-            if merged and s < merged[-1][1]:
+            if merged and s <= merged[-1][1]:
                 merged[-1][1] = max(e, merged[-1][1])
             else:
                 merged.append([s, e])

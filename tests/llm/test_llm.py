@@ -185,6 +185,22 @@ def test_secrets_on_odd_tables(spark):
     assert clean[9].text == "[SECRET]\" é\U0001F600" and clean[9].n_chars == len(clean[9].text) and clean[5].text == LONG and clean[1].text is None and clean[1].n_chars is None
 
 
+def test_base64_key_is_covered_to_its_end():
+    key = "q7RtZ2mXw9LpB4vKs8HdY3nC" + "/" + "Jf6GaT1oUeN5xQ0"
+    assert len(key) == 40
+    text = f"key {key} end"
+    spans = secrets.Scanner().entropy(text)
+    assert {i for s, e, _ in spans for i in range(s, e)} == set(range(4, 44))
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert secrets.uncovered(2, 20, [(0, 3, ""), (5, 8, ""), (7, 12, "")]) == [(3, 5), (12, 20)]
+
+
+def test_base64_key_leaves_nothing_in_the_text(spark):
+    text = "key q7RtZ2mXw9LpB4vKs8HdY3nC/Jf6GaT1oUeN5xQ0 end"
+    (row,) = secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.text == "key [SECRET] end"
+
+
 # --- sharding
 
 
