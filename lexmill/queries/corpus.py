@@ -207,7 +207,7 @@ def f32_fuzzy_match(spark, sf_dir):
     from lexmill.operators.joins import fuzzy
 
     words = table(spark, sf_dir, "benchmark").select(F.explode(X.tokens(F.col("text"), least=3)).alias("word")).distinct()
-    known = table(spark, sf_dir, "documents").select(F.explode(X.tokens(F.col("text"), least=3)).alias("word")).groupBy("word").count().where("count >= 20").select("word")
+    known = table(spark, sf_dir, "documents").select(F.explode(X.tokens(F.col("text"), least=3)).alias("word")).distinct()
     return fuzzy(words, "word", known)
 
 

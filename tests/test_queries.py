@@ -24,3 +24,25 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["gram", "word", "together", "a_n", "b_n", "score"]
     assert set(QUERIES) <= set(e.queries()) and set(ORACLES) <= set(e.oracle_sql())
+
+
+def test_fuzzy_match_knows_rare_words(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lexmill.operators import joins
+
+    texts = ["The river bends northward", "lanterns glow softly; lantern makers sleep", "harbours and harbour walls", "river river river"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "lanternz glow rivers"), (2, "northwards harboor zzz")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    known = sorted({w for t in texts for w in "".join(c if c.isalpha() else " " for c in t.lower()).split() if len(w) >= 3})
+    words = ["lanternz", "glow", "rivers", "northwards", "harboor", "zzz"]
+    every = spark.createDataFrame([(w, k) for w in words for k in known], "word string, match string")
+    ratio = {(r.word, r.match): r.r for r in every.select("word", "match", joins.similarity("word", "match").alias("r")).collect()}
+    want = set()
+    for w, spelled in [(r.word, r.s) for r in spark.createDataFrame([(w,) for w in words], "word string").select("word", joins.spellings(F.col("word")).alias("s")).collect()]:
+        same = [x for x in spelled if x in known]
+        near = sorted((-ratio[w, k], k) for k in known if k[0] == w[0] and abs(len(k) - len(w)) <= 3 and ratio[w, k] >= 0.85)
+        if same or near:
+            want.add((w, same[0] if same else near[0][1]))
+    assert ("glow", "glow") in want and len(want) >= 4
+    assert {(r.word, r.match) for r in QUERIES["f32_fuzzy_match"](spark, str(tmp_path)).collect()} == want
