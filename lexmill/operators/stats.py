@@ -82,7 +82,10 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()))
 
 
-def contexts(rows: DataFrame, a: str, b: str, top: int = 3) -> DataFrame:
-    """a, b, context, cnt: for every two words of aligned units the other words of a's side, sorted, at most top of them."""
-    every = rows.select(F.explode(F.array_distinct(a)).alias("a_word"), F.col(a).alias("_a"), F.array_distinct(b).alias("_b")).select("a_word", F.slice(F.array_sort(F.array_except("_a", F.array("a_word"))), 1, top).alias("context"), F.explode("_b").alias("b_word"))
-    return every.groupBy("a_word", "b_word", F.array_join("context", " ").alias("context")).agg(F.count("*").alias("cnt"))
+def contexts(rows: DataFrame, a: str, b: str, top: int | None = 3) -> DataFrame:
+    """a, b, context, cnt: for every two words of aligned units the other words of a's side, sorted, at most top of them; with top None a digest of them all."""
+    others = F.array_sort(F.array_except("_a", F.array("a_word")))
+    context = F.sha2(F.array_join(others, " "), 256) if top is None else F.array_join(F.slice(others, 1, top), " ")
+    units = rows.select(F.explode(F.array_distinct(a)).alias("a_word"), F.col(a).alias("_a"), F.array_distinct(b).alias("_b"))
+    every = units.select("a_word", context.alias("context"), F.explode("_b").alias("b_word"))
+    return every.groupBy("a_word", "b_word", "context").agg(F.count("*").alias("cnt"))

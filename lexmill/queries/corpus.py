@@ -318,6 +318,15 @@ def a23_contexts(spark, sf_dir):
     return stats.contexts(units(spark, sf_dir).where(F.size("aw") <= 12), "aw", "bw")
 
 
+@query(f"""
+WITH u AS (SELECT list_distinct(aw) AS aw, list_distinct(bw) AS bw FROM {_UNITS}),
+e AS (SELECT aw, bw, unnest(aw) AS a_word FROM u), c AS (SELECT a_word, sha256(array_to_string(list_sort(list_filter(aw, lambda x: x <> a_word)), ' ')) AS context, unnest(bw) AS b_word FROM e)
+SELECT a_word, b_word, context, count(*) AS cnt FROM c GROUP BY ALL""")
+def a23_whole_contexts(spark, sf_dir):
+    """Contexts of all turns and answers, by a digest of all the other words."""
+    return stats.contexts(units(spark, sf_dir), "aw", "bw", top=None)
+
+
 @query(f"""
 WITH t AS (SELECT {SPLIT.format('line')} AS w FROM {LINES})
 SELECT w[1] || ' ' || w[2] AS opening, w[-2] || ' ' || w[-1] AS ending, count(*) AS cnt FROM t WHERE len(w) >= 4 GROUP BY ALL""")

@@ -46,3 +46,19 @@ def test_fuzzy_match_knows_rare_words(spark, tmp_path):
             want.add((w, same[0] if same else near[0][1]))
     assert ("glow", "glow") in want and len(want) >= 4
     assert {(r.word, r.match) for r in QUERIES["f32_fuzzy_match"](spark, str(tmp_path)).collect()} == want
+
+
+def turns(spark, folder, pairs):
+    rows = [(i, t, "user" if t == 0 else "assistant", x) for i, pair in enumerate(pairs) for t, x in enumerate(pair)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+
+
+def test_whole_contexts_of_long_turns(spark, tmp_path):
+    from hashlib import sha256
+
+    shared = ["apple", "banana", "cherry"]
+    more = ["word" + c for c in "defghijklmnopq"]
+    sides = [[*shared, "zebra", "yellow"], [*shared, "zebra", "xylophone"], [*shared, "zebra", *more]]
+    turns(spark, tmp_path, [(" ".join(w), "answer") for w in sides])
+    got = {(r.context, r.cnt) for r in QUERIES["a23_whole_contexts"](spark, str(tmp_path)).collect() if r.a_word == "zebra"}
+    assert got == {(sha256(" ".join(sorted(set(w) - {"zebra"})).encode()).hexdigest(), 1) for w in sides}
