@@ -62,3 +62,23 @@ def test_whole_contexts_of_long_turns(spark, tmp_path):
     turns(spark, tmp_path, [(" ".join(w), "answer") for w in sides])
     got = {(r.context, r.cnt) for r in QUERIES["a23_whole_contexts"](spark, str(tmp_path)).collect() if r.a_word == "zebra"}
     assert got == {(sha256(" ".join(sorted(set(w) - {"zebra"})).encode()).hexdigest(), 1) for w in sides}
+
+
+def test_em_over_all_words_against_brute_force(spark, tmp_path):
+    pairs = [("red dog", "ko ta the"), ("red cat", "ko mi the"), ("big dog", "su ta"), ("big red ox", "su ko na ko")]
+    turns(spark, tmp_path, pairs)
+    split = [(a.split(), b.split()) for a, b in pairs]
+    words = {w for _, b in split for w in b}
+    p = {(e, t): 1 / len(words) for a, b in split for e in a for t in b}
+    for _ in range(5):
+        count, total = dict.fromkeys(p, 0.0), {}
+        for a, b in split:
+            for t in b:
+                z = sum(p[e, t] for e in a)
+                for e in a:
+                    count[e, t] += p[e, t] / z
+                    total[e] = total.get(e, 0.0) + p[e, t] / z
+        p = {(e, t): c / total[e] for (e, t), c in count.items()}
+    want = {k: round(v * 1_000_000) for k, v in p.items() if round(v * 1_000_000) > 100_000}
+    got = {(r.en, r.tol): r.p_millionths for r in QUERIES["g01_em_all_words"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 1 for k in want)
