@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
 Documents are rows, word n-grams (64-bit hashes) columns. The product of the matrix with its transpose holds the
-overlaps; it is accumulated only where it can reach the bound that follows from the sets' sizes:
+overlaps; it is formed only where it can reach the bound that follows from the sets' sizes:
 
 1. Documents with equal sets are one row (the smallest id stands for them).
 2. A row's n-grams are ordered, those that many documents share last. Two sets that reach the threshold share an
@@ -9,8 +9,8 @@ overlaps; it is accumulated only where it can reach the bound that follows from
 3. In a first product each row meets only the hub of its column (of the sets of like size that with fewest n-grams of its
    own, so that of near copies the original is met); pairs that reach the bound with the columns counted so far are
    verified on whole sets. The components of these links hold nearly all near copies, so that a second product
-   emits only pairs of different components; their overlap counts are accumulated and pairs below the bound
-   that the sizes give are dropped; the rest is verified. No link between different components is lost, and links
+   emits only pairs of different components. There one shared prefix column is enough (COUNTED = 1), so no pair is dropped
+   by its count: it is a positional prefix filter, and all its pairs are verified. No link between different components is lost, and links
    within a component can't change it, so components are exact.
 
 The order of n-grams is free to choose (any one order gives exact results), so the frequencies it uses need no
