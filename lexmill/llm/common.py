@@ -44,20 +44,22 @@ def crc_mod(column: str, divisor: int) -> Column:
 
 
 def labelled_sample(df: DataFrame, label: str, per_label: int, *, key: str = "doc_id", text: str = "text", max_chars: int = 20_000, max_labels: int = 64, seed: int = 17) -> list[tuple[str, object]]:
-    """At most per_label (text, label) pairs of each of the max_labels commonest labels, drawn by a hash of the key.
+    """At most per_label (text, label) pairs of every label, drawn by a hash of the key; fewer a label if there are more than max_labels.
 
-    Bounded by per_label * max_labels * max_chars characters. Only texts of at most max_chars are drawn.
+    Bounded by per_label * max_labels * max_chars characters, or max_chars a label. Texts of more than max_chars are drawn
+    where a label has too few others, and of those the first max_chars.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
+    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).collect()
     if not counts:
         return []
+    per_label = max(1, min(per_label, per_label * max_labels // len(counts)))
     h = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 24))
-    wanted = F.lit(False)
-    for value, n in counts:
-        wanted = wanted | ((F.col(label) == F.lit(value)) & (h < int(min(1.0, 3.0 * per_label / n + 0.001) * (1 << 24))))
-    drawn = rows.where(wanted & (F.length(text) <= max_chars)).select(F.col(text).alias("t"), F.col(label).alias("y"), h.alias("h"), F.col(key).alias("k"))
-    first = F.row_number().over(Window.partitionBy("y").orderBy("h", "k", "t"))
+    below = [(value, int(min(1.0, 3.0 * per_label / n + 0.001) * (1 << 24))) for value, n in counts]
+    bound = F.broadcast(df.sparkSession.createDataFrame(below, f"_y {df.schema[label].dataType.simpleString()}, _below long"))
+    long = F.length(text) > max_chars
+    drawn = rows.join(bound, F.col(label) == F.col("_y")).where(h < F.col("_below")).select(F.substring(text, 1, max_chars).alias("t"), F.col(label).alias("y"), h.alias("h"), F.col(key).alias("k"), long.alias("long"))
+    first = F.row_number().over(Window.partitionBy("y").orderBy("long", "h", "k", "t"))
     got = drawn.withColumn("r", first).where(F.col("r") <= per_label).orderBy("y", "r").collect()
     return [(r.t, r.y) for r in got]
 

@@ -138,13 +138,16 @@ def predict_languages(docs: DataFrame, model: LangModel, *, key: str = "doc_id",
 
 
 def accepted(docs: DataFrame, model: LangModel, least: float = 0.3, *, text: str = "text") -> DataFrame:
-    """docs without the rows that are rejected: those without a letter (und), and those that score below least."""
+    """docs without the rows that are rejected: those without a letter (und), and those that score below least. If no language could be learned, texts with a letter stay."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not shared.value.langs:
+                yield b.filter(pa.array([bool(t) and gram_buckets(t) is not None for t in b.column(text).to_pylist()], pa.bool_()))
+                continue
             langs, scores = shared.value.predict(b.column(text).to_pylist())
             yield b.filter(pa.array([lang != UND and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
 

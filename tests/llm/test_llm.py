@@ -532,3 +532,14 @@ def test_filters_lose_nothing():
                     want[label] = max(want.get(label, 0), c)
         raw = [w.encode() for w in words]
         assert index.matches(raw, b" " + b" ".join(raw) + b" ") == want
+
+
+def test_every_language_is_drawn_and_none_drops_nothing(spark):
+    from lexmill.llm.common import labelled_sample
+
+    rows = [(i, f"l{i % 70}", "abc " * 3) for i in range(140)] + [(200, "long", "def " * 6000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = labelled_sample(df, "lang", 4)
+    assert {y for _, y in got} == {f"l{i}" for i in range(70)} | {"long"} and max(len(t) for t, _ in got) == 20_000
+    none = spark.createDataFrame([(1, None, "words"), (2, None, "123"), (3, None, None)], "doc_id long, lang string, text string")
+    assert [r.doc_id for r in langid.accepted(none, langid.fit_documents(none)).collect()] == [1]
