@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lexmill.operators.durable import durable
+
 
 def _pairs(rows: DataFrame, key: str, en: str, tol: str) -> DataFrame:
     """key, en, tol, m_en, m_tol of the words of a row, with their multiplicities."""
-    counted = lambda c: F.transform(F.array_distinct(c), lambda w: F.struct(w.alias("w"), F.size(F.filter(c, lambda x: x == w)).alias("m")))
-    a = rows.select(key, F.explode(counted(en)).alias("e"), counted(tol).alias("_t"))
-    return a.select(key, "e", F.explode("_t").alias("t")).select(key, F.col("e.w").alias("en"), F.col("t.w").alias("tol"), F.col("e.m").alias("m_en"), F.col("t.m").alias("m_tol"))
+    counted = lambda c, name: rows.select(key, F.explode(c).alias(name)).groupBy(key, name).agg(F.count("*").cast("int").alias(f"m_{name}"))
+    return counted(en, "en").join(counted(tol, "tol"), key).select(key, "en", "tol", "m_en", "m_tol")
 
 
 def model1(rows: DataFrame, key: str, en: str, tol: str, rounds: int = 5) -> DataFrame:
-    """en, tol, p after so many rounds from a uniform start. Rounds are checkpointed when the session has a checkpoint folder, as lineage grows with them."""
+    """en, tol, p after so many rounds from a uniform start. Each round is checkpointed, as lineage grows with them."""
     occ = _pairs(rows, key, en, tol)
-    durable = rows.sparkSession.sparkContext.getCheckpointDir() is not None
     v = rows.select(F.explode(tol).alias("w")).agg(F.count_distinct("w").alias("v"))
     table = occ.select("en", "tol").distinct().crossJoin(F.broadcast(v)).select("en", "tol", (1.0 / F.col("v")).alias("p"))  # v is one row
     for i in range(rounds):
@@ -24,8 +24,8 @@ def model1(rows: DataFrame, key: str, en: str, tol: str, rounds: int = 5) -> Dat
         soft = e.join(z, [key, "tol"]).groupBy("en", "tol").agg(F.sum(F.col("m_tol") * F.col("m_en") * F.col("p") / F.col("z")).alias("c"))
         total = soft.groupBy("en").agg(F.sum("c").alias("n"))
         table = soft.join(total, "en").select("en", "tol", (F.col("c") / F.col("n")).alias("p"))
-        if durable and i + 1 < rounds:
-            table = table.checkpoint()
+        if i + 1 < rounds:
+            table = durable(table)
     return table
 
 

@@ -155,13 +155,16 @@ def merge_passes(passes: list[DataFrame], key: str, quality) -> DataFrame:
 
 
 def nearest(targets: DataFrame, points: DataFrame, key: str, target: str, point: str, band: float | None = None) -> DataFrame:
-    """Each target with the nearest point of its key, ties to the smaller. Found by two as-of windows over targets and points together, not by pairing them."""
+    """Each target with the nearest point of its key, ties to the smaller; null if none is within band. Found by two as-of windows over targets and points together, not by pairing them."""
     rows = targets.select(key, F.col(target).alias("_at"), F.lit(None).cast(points.schema[point].dataType).alias("_p"), F.lit(1).alias("_t")).unionByName(points.select(key, F.col(point).alias("_at"), F.col(point).alias("_p"), F.lit(0).alias("_t")))
     w = Window.partitionBy(key).orderBy("_at", "_t")
     both = rows.withColumn("_before", F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_after", F.first("_p", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     far = F.lit(float("inf"))
     left, right = F.coalesce(F.col("_at") - F.col("_before"), far), F.coalesce(F.col("_after") - F.col("_at"), far)
-    return both.where("_t = 1").select(key, F.col("_at").alias(target), F.when(left <= right, F.col("_before")).otherwise(F.col("_after")).alias(point))
+    found = F.when(left <= right, F.col("_before")).otherwise(F.col("_after"))
+    if band is not None:
+        found = F.when(F.least(left, right) <= band, found)
+    return both.where("_t = 1").select(key, F.col("_at").alias(target), found.alias(point))
 
 
 def positional(spans: DataFrame, words: DataFrame, key: str, order: str, n: str) -> DataFrame:

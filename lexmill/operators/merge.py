@@ -8,15 +8,20 @@ from lexmill.operators.picks import pick
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """old, and of new the first row of each key that old has not."""
-    return old.unionByName(pick(new, keys, order).join(old.select(*keys).distinct(), keys, "left_anti").select(old.columns))
+    """old, and of new the first row of each key that old has not. Keys are equal where their columns are, nulls included."""
+    n, o = pick(new, keys, order).alias("n"), old.select(*keys).distinct().alias("o")
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    return old.unionByName(n.join(o, same, "left_anti").select(*(F.col(f"n.{c}") for c in old.columns)))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], set_columns: dict[str, Column], order: list[str]) -> DataFrame:
-    """Rows of both tables by key (unique in old; of new the first by order). Where both have a key, the columns of set_columns are set; their expressions see old's columns as o.name and new's as n.name."""
-    o, n = old.alias("o"), pick(new, keys, order).alias("n")
+    """Rows of both tables by key (unique in old; of new the first by order). Where both have a key, the columns of set_columns are set; their expressions see old's columns as o.name and new's as n.name.
+
+    Keys may hold nulls, which are equal to each other; markers, not keys, tell which table a row is from.
+    """
+    o, n = old.withColumn("_in_old", F.lit(True)).alias("o"), pick(new, keys, order).withColumn("_in_new", F.lit(True)).alias("n")
     both = o.join(n, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full")
-    in_old, in_new = F.coalesce(*(F.col(f"o.{k}") for k in keys)).isNotNull(), F.coalesce(*(F.col(f"n.{k}") for k in keys)).isNotNull()
+    in_old, in_new = F.col("o._in_old").isNotNull(), F.col("n._in_new").isNotNull()
     value = lambda c: F.when(in_old & in_new, set_columns[c] if c in set_columns else F.col(f"o.{c}")).when(in_old, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
     return both.select(*(value(c) for c in old.columns))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexmill.operators.durable import durable
+
 from lexmill import vocab
 
 
@@ -56,8 +58,11 @@ def page(df: DataFrame, order: list[Column], number: int, per_page: int) -> Data
 
 
 def number_rows(df: DataFrame, order: list[Column | str], name: str = "id") -> DataFrame:
-    """Consecutive numbers from 1 in the order, without moving all rows to one task: range partitions, then their offsets."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    """Consecutive numbers from 1 in the order, without moving all rows to one task: range partitions, then their offsets.
+
+    The placed rows are kept once, as both their counts and they themselves are read.
+    """
+    placed = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     counts = placed.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_low"))
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return placed.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_m") - F.col("_low") + F.col("_before") + 1).drop("_p", "_m", "_low", "_before")

@@ -6,24 +6,29 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexmill.functions.text import ngrams
-
 
 def term_counts(rows: DataFrame, words: str, keys: list[str] | None = None) -> DataFrame:
     return rows.select(*(keys or []), F.explode(words).alias("term")).groupBy(*(keys or []), "term").agg(F.count("*").alias("n"))
 
 
 def document_counts(rows: DataFrame, words: str) -> DataFrame:
-    """term, tf, df: each unit counts once for df. One shuffle: units are pre-counted per row."""
-    pairs = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("term"), F.size(F.filter(words, lambda x: x == w)).alias("c")))
-    return rows.select(F.inline(pairs)).groupBy("term").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
+    """term, tf, df: each unit counts once for df.
+
+    Each row gives its words for tf and its distinct words for df; both are exploded and counted in one pass and one
+    shuffle of partial counts, linear in a row's length.
+    """
+    both = F.array(F.struct(F.col(words).alias("_w"), F.lit(1).alias("_t"), F.lit(0).alias("_d")), F.struct(F.array_distinct(words).alias("_w"), F.lit(0).alias("_t"), F.lit(1).alias("_d")))
+    each = rows.select(F.inline(both)).select(F.explode("_w").alias("term"), "_t", "_d")
+    return each.groupBy("term").agg(F.sum("_t").alias("tf"), F.sum("_d").alias("df"))
 
 
 def ngram_counts(rows: DataFrame, words: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """n, gram, count; no gram crosses a row."""
-    sized = lambda n: F.transform(ngrams(F.col(words), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-    every = F.flatten(F.array(*map(sized, sizes)))
-    return rows.select(F.inline(every)).groupBy("n", "gram").agg(F.count("*").alias("cnt"))
+    """n, gram, count; no gram crosses a row. Words are exploded once, each with those that follow it, and grams are joined from these."""
+    ahead = [F.col(words).alias("_0"), *(F.slice(words, k + 1, F.greatest(F.size(words), F.lit(0))).alias(f"_{k}") for k in range(1, max(sizes)))]
+    each = rows.select(F.inline(F.arrays_zip(*ahead)))
+    gram = lambda n: F.concat(*[F.col("_0"), *(F.concat(F.lit(" "), F.col(f"_{k}")) for k in range(1, n))])
+    grams = each.select(F.inline(F.array(*(F.struct(F.lit(n).alias("n"), gram(n).alias("gram")) for n in sizes)))).where("gram IS NOT NULL")
+    return grams.groupBy("n", "gram").agg(F.count("*").alias("cnt"))
 
 
 def cooccurrence(rows: DataFrame, key: str, a: str, b: str, least: int, marginal: str = "doc") -> DataFrame:
@@ -42,7 +47,7 @@ def cooccurrence(rows: DataFrame, key: str, a: str, b: str, least: int, marginal
 
     (left, left_n), (right, right_n) = side("_a", a), side("_b", b)
     together = left.join(right, key).groupBy(a, b).agg(F.count("*").alias("together")).where(F.col("together") >= least)
-    return together.join(left_n, a).join(right_n, b)
+    return together.join(left_n, a).join(right_n, b).select(a, b, "together", "a_n", "b_n")
 
 
 def threshold_counts(keys: list[str], score: Column, cuts: dict[str, Column]) -> list[Column]:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from lexmill.functions import text as X
 from lexmill.operators import joins, picks, sequences as S
+from lexmill.operators.durable import shared_base
 from lexmill.queries.corpus import LINES, lines
 from lexmill.queries.registry import query, table
 from lexmill.streaming import logs
@@ -159,8 +159,7 @@ def g04_sub_split(spark, sf_dir):
 def x01_stream_window(spark, sf_dir):
     """Streaming extension: tumbling hours over a file stream with a watermark, all that is there worked off once."""
     e = events(spark, sf_dir)
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="lexmill-")
+    base = shared_base(spark)
     name = f"x01_{uuid.uuid4().hex}"
     # the folder is listed and filtered by name, so that one file and a folder of files are both read
     stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")

@@ -68,7 +68,7 @@ def records(spark: SparkSession, path: str, separator: str = "_____\n") -> DataF
     """headword, pos, gloss of records parted by the separator: first line the word, 'pos:' lines set the state for the 'gloss:' lines after them."""
     rows = spark.read.text(path, lineSep=separator).select(F.monotonically_increasing_id().alias("rec"), F.split("value", "\n").alias("lines"))
     lines = rows.select("rec", F.get("lines", F.lit(0)).alias("headword"), F.posexplode("lines").alias("pos_no", "line"))
-    value = lambda name: F.when(F.col("line").startswith(name), strip(F.substring("line", len(name) + 1, 1 << 20)))
+    value = lambda name: F.when(F.col("line").startswith(name), strip(F.expr(f"substring(line, {len(name) + 1})")))
     before = Window.partitionBy("rec").orderBy("pos_no").rowsBetween(Window.unboundedPreceding, 0)
     held = lines.select("rec", strip(F.col("headword")).alias("headword"), "pos_no", F.last(value("pos:"), ignorenulls=True).over(before).alias("pos"), value("gloss:").alias("gloss"))
     return held.where("gloss IS NOT NULL AND headword <> ''").select("headword", "pos", "gloss")

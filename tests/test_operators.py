@@ -214,3 +214,30 @@ def test_number_rows(spark, n):
     df = spark.range(n).select((F.col("id") * 7 % 5).alias("a"), "id")
     got = picks.number_rows(df, ["a", "id"], "no").collect()
     assert [(r.a, r.id) for r in sorted(got, key=lambda r: r.no)] == sorted((r.a, r.id) for r in got) and sorted(r.no for r in got) == list(range(1, n + 1))
+
+
+def test_upserts_with_null_keys(spark):
+    old = spark.createDataFrame([(None, 2, "y"), ("a", 1, "z")], "word string, n int, source string")
+    new = spark.createDataFrame([(None, 3, "p"), (None, 1, "q"), ("b", 5, "w")], "word string, n int, source string")
+    kept = merge.upsert_max(old, old, ["word"], "n", ["n"])
+    assert rows(kept, "word", "n", "source") == rows(old, "word", "n", "source")
+    assert rows(merge.upsert_max(old, new, ["word"], "n", ["source"]), "word", "n", "source") == sorted([(None, 3, "y"), ("a", 1, "z"), ("b", 5, "w")], key=str)
+    once = merge.insert_ignore(old, new, ["word"], ["n"])
+    assert rows(once, "word", "n") == sorted([(None, 2), ("a", 1), ("b", 5)], key=str)
+    assert rows(merge.insert_ignore(once, new, ["word"], ["n"]), "word", "n") == rows(once, "word", "n")
+
+
+def test_nearest_within_a_band(spark):
+    targets = spark.createDataFrame([("k", 0.0), ("k", 10.0)], "key string, t double")
+    points = spark.createDataFrame([("k", 0.5), ("k", 1000.0)], "key string, p double")
+    assert rows(joins.nearest(targets, points, "key", "t", "p", band=1), "t", "p") == sorted([(0.0, 0.5), (10.0, None)], key=str)
+    assert rows(joins.nearest(targets, points, "key", "t", "p"), "t", "p") == sorted([(0.0, 0.5), (10.0, 0.5)], key=str)
+
+
+def test_counts_of_a_long_row(spark):
+    words = [f"w{i % 7}" for i in range(20_000)]
+    df = spark.createDataFrame([(words,), (["w1", "w1", "z"],), ([],), (None,)], "w array<string>")
+    got = {r.term: (r.tf, r.df) for r in stats.document_counts(df, "w").collect()}
+    assert got["w1"] == (words.count("w1") + 2, 2) and got["z"] == (1, 1) and len(got) == 8
+    grams = {(r.n, r.gram): r.cnt for r in stats.ngram_counts(df, "w").collect()}
+    assert grams[2, "w1 z"] == 1 and grams[3, "w1 w1 z"] == 1 and grams[1, "z"] == 1 and sum(c for (n, _), c in grams.items() if n == 3) == 20_000 - 2 + 1
