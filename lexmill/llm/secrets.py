@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -37,7 +39,7 @@ CLASSES = (
 ALLOW = (
     re.compile(r"(.{1,4})\1{4,}"),
     re.compile(r"[0-9]+(?:[-_/][0-9]+)*"),
-    re.compile(r"[A-Z]?[a-z]+(?:[-_/=+]*[A-Z]?[a-z]+)*[-_/=+]*"),
+    re.compile(r"[A-Z]?[a-z]+(?:[-_/=+]+[A-Z]?[a-z]+|[A-Z][a-z]+)*[-_/=+]*"),  # a piece begins with a separator or a capital, so there is one way to match
     re.compile(r"[A-Z]+(?:[-_/=+][A-Z]+)*"),
     re.compile(r".*(?:EXAMPLE|example|placeholder|xxxx|XXXX|0123456789|abcdefghij).*"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
@@ -45,15 +47,21 @@ ALLOW = (
 KINDS = ("assign", "access", "hex")
 
 
-def uncovered(start: int, end: int, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """The parts of start to end that no span covers."""
-    out = []
-    for s, e, _ in sorted(spans):
-        if s < end and start < e:
-            if start < s:
-                out.append((start, s))
-            start = max(start, e)
-    return out + [(start, end)] if start < end else out
+def uncovered(places: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of the places (in order, apart from each other) that no span covers; one pass over both."""
+    out, at, spans = [], 0, sorted(spans)
+    for start, end in places:
+        while at < len(spans) and spans[at][1] <= start:  # spans don't overlap each other
+            at += 1
+        k = at
+        while k < len(spans) and spans[k][0] < end:
+            if start < spans[k][0]:
+                out.append((start, spans[k][0]))
+            start = max(start, spans[k][1])
+            k += 1
+        if start < end:
+            out.append((start, end))
+    return out
 
 
 @dataclass
@@ -105,12 +113,13 @@ class Scanner:
                 continue
             mine: list[tuple[int, int, str]] = []
             for name, runs, width, least in self.classes:
+                places = []
                 for r in runs.finditer(m[0]):
                     if any(a.fullmatch(r[0]) for a in self.allow):
                         continue
-                    for s, e in self.windows(r[0], width, least):
-                        at = (m.start() + r.start() + s, m.start() + r.start() + e)
-                        mine += [(*part, f"entropy_{name}") for part in uncovered(*at, mine)]
+                    at = m.start() + r.start()
+                    places += [(at + s, at + e) for s, e in self.windows(r[0], width, least)]
+                mine += [(*part, f"entropy_{name}") for part in uncovered(places, mine)]
             found += mine
         return sorted(found)
 
@@ -119,8 +128,9 @@ class Scanner:
         if not text:
             return [], []
         base = self.base(text)
-        extra = [x for x in self.entropy(text) if not any(s <= x[0] and x[1] <= e for s, e, _ in base)]
-        return base, extra
+        starts, ends = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
+        within = lambda s, e: (i := bisect_right(starts, s)) > 0 and e <= ends[i - 1]  # noqa: E731 - the furthest end of the base spans that start no later
+        return base, [x for x in self.entropy(text) if not within(x[0], x[1])]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -130,7 +140,8 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def scan_secrets(docs: DataFrame, scanner: Scanner | None = None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, counts of base spans, base and all spans as text. Code points, end exclusive.
 
-    Null and empty texts have no spans. Whole texts are scanned, whatever their length; rows stay as they are repeated.
+    Null and empty texts have no spans. Whole texts are scanned, whatever their length, in time linear in it; rows stay as
+    they are repeated, null keys too. An empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     scanner = scanner or Scanner()

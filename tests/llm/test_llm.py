@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -192,7 +193,31 @@ def test_base64_key_is_covered_to_its_end():
     spans = secrets.Scanner().entropy(text)
     assert {i for s, e, _ in spans for i in range(s, e)} == set(range(4, 44))
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
-    assert secrets.uncovered(2, 20, [(0, 3, ""), (5, 8, ""), (7, 12, "")]) == [(3, 5), (12, 20)]
+    assert secrets.uncovered([(2, 20)], [(0, 3, ""), (5, 8, ""), (8, 12, "")]) == [(3, 5), (12, 20)]
+    assert secrets.uncovered([(0, 4), (6, 9), (10, 30)], [(20, 21, ""), (2, 7, "")]) == [(0, 2), (7, 9), (10, 20), (21, 30)]
+
+
+def test_parts_left_uncovered_by_hand():
+    rng = random.Random(8)
+    for _ in range(500):
+        cut = sorted(rng.sample(range(40), 8))
+        spans, places = [(cut[0], cut[1], ""), (cut[4], cut[5], "")], [(a, a + 3) for a in range(0, 40, 4)]
+        covered = {i for s, e, _ in spans for i in range(s, e)}
+        want = {i for s, e in places for i in range(s, e)} - covered
+        assert {i for s, e in secrets.uncovered(places, spans) for i in range(s, e)} == want
+
+
+def test_long_runs_take_linear_time():
+    scanner, began = secrets.Scanner(), time.process_time()
+    for text in ("abcdefghijklmnopqrstuvwxyz1", "a" * 1_000_000 + "1", "aB" * 500_000 + "1", "ab-" * 300_000 + "!1", "A" * 500_000 + "b1", "1-" * 300_000 + "x", "=" * 300_000 + "1", ("x" * 30 + "1 ") * 10_000):
+        scanner.scan(text)
+    assert time.process_time() - began < 30
+    began = time.process_time()
+    scanner.scan("q7RtZ2mXw9LpB4vKs8HdY3nC/Jf6GaT1oUeN5xQ0+aaaaaaaaaaaaaaaaaaaaaaaaa/" * 6_000)
+    scanner.scan("0123456789abcdef0 Zx9Qw7Lm2Rt5Yp8Vb3Nk6Hj1Gd4 " * 6_000)
+    assert time.process_time() - began < 30
+    begun = time.process_time()
+    assert secrets.Scanner().entropy("internationalizationofeverythingelse" * 5 + "1") == [] and time.process_time() - begun < 0.5
 
 
 def test_base64_key_leaves_nothing_in_the_text(spark):
