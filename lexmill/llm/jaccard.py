@@ -7,11 +7,18 @@ overlaps; it is formed only where it can reach the bound that follows from the s
 2. A row's n-grams are ordered, those that many documents share last. Two sets that reach the threshold share an
    n-gram among the first n - ceil(t n) + 1 of both, so only these prefixes are multiplied, a block of columns a task.
 3. In a first product each row meets only the hub of its column (of the sets of like size that with fewest n-grams of its
-   own, so that of near copies the original is met); pairs that reach the bound with the columns counted so far are
-   verified on whole sets. The components of these links hold nearly all near copies, so that a second product
-   emits only pairs of different components. There one shared prefix column is enough (COUNTED = 1), so no pair is dropped
-   by its count: it is a positional prefix filter, and all its pairs are verified. No link between different components is lost, and links
-   within a component can't change it, so components are exact.
+   own, so that of near copies the original is met); overlap counts are accumulated and pairs that can't reach the bound
+   with them go. The components of the links found hold nearly all near copies.
+4. In a second product rows of one column meet where their components differ. A pair's overlap is bounded there and then
+   by the product over all columns at once, folded to parity bits: every n-gram toggles one bit of its document's bitmap,
+   so bitmaps differ in no more bits than sets differ in n-grams, and the overlap is at most (|A| + |B| - differing bits) / 2.
+   Pairs for which that is below the bound that their sizes give are dropped before any row is made for them.
+5. What is left of either product is verified: a hub's row is multiplied with the rows of its partners, and exact overlap
+   counts decide. No link between different components is lost, and links within a component can't change it, so
+   components are exact.
+
+A column that very many rows share is split: its hub in the first product comes from an aggregation, and in the second
+its rows are dealt to blocks that meet pairwise, each in a task of its own.
 
 The order of n-grams is free to choose (any one order gives exact results), so the frequencies it uses need no
 exact counts: they are the sums of the counts that reach OFTEN within pieces of the corpus, over all documents.
@@ -21,6 +28,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from math import log
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,18 +39,20 @@ from lexmill.llm.common import lookup_skewed, small_batches, stored
 from lexmill.llm.components import connected_components
 
 #: Frequencies: n-grams of a piece, least count within it, and how many n-grams at most have a place at the end of the order.
-PIECE, OFTEN, RANKED = 8_000_000, 3, 400_000
+PIECE, OFTEN, RANKED = 2_000_000, 3, 400_000
 #: Up to so many documents to verify, their ids are broadcast (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 400_000
-#: Columns that a pair must share within the places that go with that number, where its sizes allow. More of them make fewer pairs pass, but more be counted.
-COUNTED = 1
-HUB_PARTS, PAIRS_AT_ONCE, PAIRS_HELD = 8, 500_000, 2_000_000
+#: Bytes of a bitmap: a quarter of the set's size, as a power of two between these bounds.
+BITMAP_LEAST, BITMAP_MOST = 16, 256
+#: Rows of a column from which on it is split; partners of a hub that one task verifies.
+SPLIT, PARTNERS = 1 << 18, 512
+PAIRS_AT_ONCE, PAIRS_HELD, BITMAPS_AT_ONCE = 500_000, 1_000_000, 1 << 15
 
 
 class WordHashes(dict):
     """64-bit hash of a word; starts anew when full, so memory is bounded."""
 
-    def __init__(self, most: int = 1 << 19) -> None:
+    def __init__(self, most: int = 1 << 17) -> None:
         super().__init__()
         self.most = most
 
@@ -109,6 +120,40 @@ def frequent(docs: DataFrame, k: int, ranked: int = RANKED) -> tuple[np.ndarray,
     return h[order], c[order]
 
 
+def bitmap(h: np.ndarray) -> bytes:
+    """Parity bits of the set: each n-gram toggles the bit of its lowest hash bits, so a bitmap folds to any shorter one by exclusive or."""
+    size = BITMAP_LEAST
+    while size < BITMAP_MOST and size * 4 < len(h):
+        size *= 2
+    odd = np.bincount(h & (size * 8 - 1), minlength=size * 8) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: list[bytes], size: int) -> np.ndarray:
+    """The bitmaps folded to size bytes, as rows of 64-bit words."""
+    lengths = np.array([len(b) for b in bits])
+    out = np.empty((len(bits), size // 8), np.uint64)
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        words = np.frombuffer(b"".join([bits[i] for i in at]), np.uint64).reshape(len(at), -1, size // 8)
+        out[at] = np.bitwise_xor.reduce(words, axis=1)
+    return out
+
+
+def apart(bits: list[bytes], r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps of r and c differ, the longer folded to the shorter: at most as many as n-grams."""
+    lengths = np.fromiter(map(len, bits), np.int64, len(bits))
+    short, out = np.minimum(lengths[r], lengths[c]), np.zeros(len(r), np.int64)
+    for size in np.unique(short):
+        of = np.flatnonzero(short == size)
+        for at in range(0, len(of), BITMAPS_AT_ONCE):
+            part = of[at : at + BITMAPS_AT_ONCE]
+            used, flat = np.unique(np.concatenate((r[part], c[part])), return_inverse=True)
+            words = folded([bits[u] for u in used], int(size))
+            out[part] = np.bitwise_count(words[flat[: len(part)]] ^ words[flat[len(part) :]]).sum(1)
+    return out
+
+
 def ordered_prefix(h: np.ndarray, often: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, int]:
     """The set's prefix in order, and how many of the set's n-grams are not frequent."""
     known, counts = often
@@ -120,15 +165,16 @@ def ordered_prefix(h: np.ndarray, often: tuple[np.ndarray, np.ndarray], num: int
     return h[np.lexsort((h, c))][: prefix_length(n, num, den)], int((c == 0).sum())
 
 
-def set_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Per row: doc_id, n, the number of n-grams that are not frequent, a 128-bit digest of the set, the prefix in order (64-bit integers)."""
+def set_rows(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, list[int]]:
+    """Per row: doc_id, n, the number of n-grams that are not frequent, a 128-bit digest of the set, the prefix in order (64-bit integers), the bitmap. And the n-grams of more than SPLIT documents."""
     spark = docs.sparkSession
-    often = spark.sparkContext.broadcast(frequent(docs, k))  # RANKED n-grams at most
+    known, counts = frequent(docs, k)
+    often = spark.sparkContext.broadcast((known, counts))  # RANKED n-grams at most
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            n, rare, sig, prefix = [], [], [], []
+            n, rare, sig, prefix, bits = [], [], [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 h = shingles(t, k, cache)
                 n.append(len(h))
@@ -136,9 +182,12 @@ def set_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 first, own = ordered_prefix(h, often.value, num, den) if len(h) else (h, 0)
                 prefix.append(first.tobytes())
                 rare.append(own)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "rare", "sig", "prefix"])
+                bits.append(bitmap(h))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n", "rare", "sig", "prefix", "bits"])
 
-    return stored(docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n long, rare long, sig binary, prefix binary"), "sets")
+    rows = stored(docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n long, rare long, sig binary, prefix binary, bits binary"), "sets")
+    often.destroy()
+    return rows, known[counts > SPLIT].tolist()
 
 
 def columns(rows: DataFrame) -> DataFrame:
@@ -154,7 +203,7 @@ def columns(rows: DataFrame) -> DataFrame:
                 each = lambda c, kind: pa.array(np.repeat(b.column(c).to_numpy(zero_copy_only=False), size).astype(kind))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([pa.array(h), each("node", np.int64), each("n", np.int32), each("rare", np.int32), pa.array(pos.astype(np.int32))], ["h", "node", "n", "rare", "pos"])
 
-    return rows.mapInArrow(explode, "h long, node long, n int, rare int, pos int")
+    return rows.select("node", "n", "rare", "prefix").mapInArrow(explode, "h long, node long, n int, rare int, pos int")
 
 
 def in_lists(batches: Iterator[pa.RecordBatch], names: list[str], most: int = 1 << 20) -> Iterator[tuple[dict[str, np.ndarray], bool, bool]]:
@@ -180,6 +229,13 @@ def in_lists(batches: Iterator[pa.RecordBatch], names: list[str], most: int = 1
         yield held, on, False
 
 
+def split_hubs(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """What hubs returns, for columns of any number of rows: rows of like size are a band, and a band's hub comes from an aggregation."""
+    banded = postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / log(den / num) if den > num else F.col("n")))
+    best = banded.groupBy("h", "band").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("n").cast("long").alias("hub_n")), F.struct("rare", "node")).alias("b"))
+    return banded.join(F.broadcast(best), ["h", "band"]).select("h", "node", "n", "pos", "b.hub", "b.hub_n")  # a band of a column of more than SPLIT rows each
+
+
 def hubs(postings: DataFrame, num: int, den: int) -> DataFrame:
     """h, node, n, pos of columns with two rows or more, and the hub with its size: of the column's rows of like size that with fewest n-grams of its own."""
 
@@ -212,56 +268,99 @@ def hubs(postings: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b of rows of different components whose shared columns can reach the threshold.
+    """a, b of rows of different components that share a column within the places their sizes allow and whose bitmaps leave the threshold within reach.
 
-    Sets that overlap in alpha n-grams share the first l of them within the first n - alpha + l of both, for every l up to
-    alpha. The sizes give alpha; columns within those places are counted, and pairs with fewer than l of them go.
+    postings: h, x, y, side, node, n, pos, comp, bits. Of a column that is split, x and y name the two blocks that meet, and
+    side is the row's own; where x = y, rows of that one block meet. Sets that overlap in alpha n-grams share one within the
+    first n - alpha + 1 of both.
     """
-
-    def pairs_of(x: dict[str, np.ndarray], s: int, e: int) -> Iterator[tuple[np.ndarray, ...]]:
-        node, n, pos, comp = x["node"][s:e], x["n"][s:e].astype(np.int64), x["pos"][s:e].astype(np.int64), x["comp"][s:e]
-        step = max(1, PAIRS_AT_ONCE // (e - s))
-        for at in range(0, e - s, step):
-            # rows are sorted by size, so partners of at..at+step end where sizes get too large
-            stop = int(np.searchsorted(n * num, n[min(at + step, e - s) - 1] * den, side="right"))
-            i, j = np.arange(at, min(at + step, e - s))[:, None], np.arange(at, stop)[None, :]
+    names = ["h", "x", "y", "side", "node", "n", "pos", "comp", "bits"]
+
+    def pairs_of(t: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # rows are sorted by size, so partners of at..at+step end where sizes get too large
+        node, n, pos, comp = t["node"], t["n"].astype(np.int64), t["pos"].astype(np.int64), t["comp"]
+        if comp.min() == comp.max():
+            return
+        side, two = t["side"], t["x"][0] != t["y"][0]
+        step = max(1, PAIRS_AT_ONCE // len(node))
+        for at in range(0, len(node), step):
+            to = min(at + step, len(node))
+            stop = int(np.searchsorted(n * num, n[to - 1] * den, side="right"))
+            i, j = np.arange(at, to)[:, None], np.arange(at, stop)[None, :]
             ok = (j > i) & (comp[i] != comp[j]) & (n[j] * num <= n[i] * den) & (node[i] != node[j])
+            if two:
+                ok &= side[i] != side[j]
             alpha = least_overlap(n[i], n[j], num, den)
-            spare = prefix_length(n, num, den) - n
-            need = np.minimum(COUNTED, alpha + np.minimum(spare[i], spare[j]))
-            ok &= (pos[i] < n[i] - alpha + need) & (pos[j] < n[j] - alpha + need)
+            ok &= (pos[i] <= n[i] - alpha) & (pos[j] <= n[j] - alpha)
             r, c = np.nonzero(ok)
-            i, j = r + at, c + at
-            swap = node[i] > node[j]
-            yield np.where(swap, node[j], node[i]), np.where(swap, node[i], node[j]), np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j]), need[r, c]
+            if not len(r):
+                continue
+            r, c = r + at, c + at
+            near = (n[r] + n[c] - apart(t["bits"], r, c)) // 2 >= least_overlap(n[r], n[c], num, den)
+            r, c = r[near], c[near]
+            yield np.minimum(node[r], node[c]), np.maximum(node[r], node[c])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for x, on, more in in_lists(batches, ["h", "node", "n", "pos", "comp"], 1 << 40):
-            h, comp = x["h"], x["comp"]
-            start = np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h))
-            mixed = np.minimum.reduceat(comp, start[:-1]) != np.maximum.reduceat(comp, start[:-1])
-            for k in np.flatnonzero(mixed):
-                for p in pairs_of(x, start[k], start[k + 1]):
-                    held.append(p)
-                    size += len(p[0])
-                    if size >= PAIRS_HELD:
-                        yield batch(held)
-                        held, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            a, b = (np.concatenate([p[c] for p in held]) for c in range(2))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], ["a", "b"])
+
+        for t in in_cells(batches, names):
+            for p in pairs_of(t):
+                held.append(p)
+                size += len(p[0])
+                if size >= PAIRS_HELD:
+                    yield batch()
+                    held, size = [], 0
         if size:
-            yield batch(held)
+            yield batch()
+
+    dealt = postings.select(names).repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "n", "node")
+    return dealt.mapInArrow(emit, "a long, b long").distinct()
 
-    def batch(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        """The held pairs, each once with its number of columns."""
-        a, b, na, nb, need = (np.concatenate([p[c] for p in held]) for c in range(5))
-        order = np.lexsort((nb, na, b, a))
-        a, b, na, nb, need = a[order], b[order], na[order], nb[order], need[order]
-        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (na[1:] != na[:-1]) | (nb[1:] != nb[:-1]))))
-        return pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c in (a, b, na, nb, need)), pa.array(np.diff(np.append(first, len(a))))], ["a", "b", "na", "nb", "need", "shared"])
 
-    found = postings.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(emit, "a long, b long, na long, nb long, need long, shared long")
-    return found.groupBy("a", "b", "na", "nb", "need").agg(F.sum("shared").alias("shared")).where("shared >= need").select("a", "b").distinct()
+def in_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of one h, x, y at a time; of batches sorted by these. A cell has 2 * SPLIT rows or so at most."""
+    held: list[dict[str, np.ndarray]] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
+        h, x, y = new["h"], new["x"], new["y"]
+        cut = np.flatnonzero((h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        bounds = [0, *cut.tolist(), b.num_rows]
+        for s, e in zip(bounds, bounds[1:]):
+            key = (h[s], x[s], y[s])
+            if held and key != last:
+                if sum(len(p["h"]) for p in held) > 1:
+                    yield {c: np.concatenate([p[c] for p in held]) for c in names}
+                held = []
+            last = key
+            held.append({c: v[s:e] for c, v in new.items()})
+    if held and sum(len(p["h"]) for p in held) > 1:
+        yield {c: np.concatenate([p[c] for p in held]) for c in names}
+
+
+def cells(placed: DataFrame, hot: list[int]) -> DataFrame:
+    """placed with x, y, side: 0 for all rows of a column, or of a hot one a row's block with every other block of it."""
+    whole = [F.lit(0).alias(c) for c in ("x", "y", "side")]
+    if not hot:
+        return placed.select("*", *whole)
+    spark = placed.sparkSession
+    names = F.broadcast(spark.createDataFrame([(h,) for h in hot], "h long"))  # columns of more than SPLIT rows: few
+    rows = placed.join(names, "h", "left_semi")
+    blocks = F.broadcast(rows.groupBy("h").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    each = rows.join(blocks, "h").withColumn("side", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = each.select(*placed.columns, F.least("side", "o").alias("x"), F.greatest("side", "o").alias("y"), "side")
+    return placed.join(names, "h", "left_anti").select("*", *whole).unionByName(split)
 
 
 def above_bound(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -270,11 +369,27 @@ def above_bound(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where(f"shared + greatest(na - {size('na')}, nb - {size('nb')}) >= CAST(ceil({num} * (na + nb) / {num + den}D - 1e-9) AS LONG)")
 
 
+def within_reach(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose bitmaps leave the threshold within reach."""
+    small = lambda c: rows.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
+            bits = x.column("bits_a").to_pylist() + x.column("bits_b").to_pylist()
+            each = np.arange(x.num_rows)
+            near = pa.array((na + nb - apart(bits, each, each + x.num_rows)) // 2 >= least_overlap(na, nb, num, den), pa.bool_())
+            yield x.select(["a", "b"]).filter(near)
+
+    return pairs.join(small("a"), "a").join(small("b"), "b").mapInArrow(keep, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold. A hub's partners are dealt to HUB_PARTS tasks at most."""
-    part = F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS))
-    members = pairs.select(F.col("a").alias("g"), part.alias("part"), F.lit(1).alias("kind"), F.col("b").alias("node"))
-    wanted = stored(members.unionByName(pairs.select(F.col("a").alias("g"), part.alias("part"), F.lit(0).alias("kind"), F.col("a").alias("node")).distinct()), "wanted")
+    """The pairs (a, b) whose whole sets reach the threshold, by exact overlap counts. A task has PARTNERS of a hub's partners at most or so."""
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") > PARTNERS).select("a", F.ceil(F.col("size") / PARTNERS).alias("parts"))
+    parted = pairs.join(sizes, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int"))
+    members = parted.select(F.col("a").alias("g"), "part", F.lit(1).alias("kind"), F.col("b").alias("node"))
+    wanted = stored(members.unionByName(parted.select(F.col("a").alias("g"), "part", F.lit(0).alias("kind"), F.col("a").alias("node")).distinct()), "wanted")
     nodes = wanted.select(F.col("node").alias("doc_id")).distinct()
     if nodes.count() <= BROADCAST_IDS:
         nodes = F.broadcast(nodes)
@@ -312,22 +427,29 @@ def near_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     by any of its texts. Rows without an id have their n_shingles and a null component. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    rows = set_rows(docs, k, num, den)
+    rows, hot = set_rows(docs, k, num, den)
     live = rows.where("n > 0 AND doc_id IS NOT NULL")
     first = live.withColumn("r", F.row_number().over(Window.partitionBy("sig").orderBy("doc_id"))).where("r = 1")
-    distinct = stored(first.select(F.col("doc_id").alias("node"), "n", "rare", "sig", "prefix"), "distinct-sets")
+    distinct = stored(first.select(F.col("doc_id").alias("node"), "n", "rare", "prefix", "bits"), "distinct-sets")
     size = live.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1")
     copies = lookup_skewed(live.select("doc_id", "sig"), size, "sig", "copies").where("node < doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     small_batches(docs.sparkSession, 16_384)  # numbers only
-    shared = stored(hubs(columns(distinct), num, den), "columns")
+    postings = columns(distinct)
+    if hot:
+        names = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in hot], "h long"))
+        found = hubs(postings.join(names, "h", "left_anti"), num, den).unionByName(split_hubs(postings.join(names, "h", "left_semi"), num, den))
+    else:
+        found = hubs(postings, num, den)
+    shared = stored(found, "columns")
     small_batches(docs.sparkSession)
     met = shared.where("hub <> node").groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("na"), F.col("n").cast("long").alias("nb")).agg(F.count("*").alias("shared"))
     hub_pairs = above_bound(met, num, den).where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b").distinct()  # a pair that meets in other columns too may be missed here, not below
-    links = stored(verified(hub_pairs, docs, k, num, den), "links")
+    links = stored(verified(within_reach(hub_pairs, distinct, num, den), docs, k, num, den), "links")
     found = connected_components(links)
-    small_batches(docs.sparkSession, 16_384)
-    placed = shared.drop("hub", "hub_n").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    pairs = stored(cross_pairs(placed, num, den), "pairs")
+    small_batches(docs.sparkSession, 4096)  # numbers and bitmaps
+    nodes = distinct.select("node", "bits").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "bits")
+    placed = shared.select("h", "node", "n", "pos").join(nodes, "node")
+    pairs = stored(cross_pairs(cells(placed, hot), num, den), "pairs")
     small_batches(docs.sparkSession)
     more = stored(verified(pairs, docs, k, num, den), "links")
     stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))

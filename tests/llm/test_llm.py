@@ -505,6 +505,35 @@ def test_components_against_all_pairs(spark, k, num, den):
     assert got == components_by_hand(rows, k, num, den)
 
 
+def test_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(-(1 << 62), 1 << 62, n)) for n in (0, 1, 5, 40, 300, 900, 5000)]
+    sets += [np.unique(np.concatenate((s[: len(s) * 9 // 10], rng.integers(0, 1 << 62, len(s) // 10)))) for s in sets]
+    r, c = np.triu_indices(len(sets))
+    apart = jaccard.apart([jaccard.bitmap(s) for s in sets], r, c)
+    for i, j, d in zip(r, c, apart, strict=True):
+        assert d <= len(np.setxor1d(sets[i], sets[j])) and (i != j or d == 0)
+    assert apart[(r == 6) & (c == 13)] > 0  # and is no empty bound
+
+
+def test_hot_columns_are_split(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SPLIT", 12)
+    monkeypatch.setattr(jaccard, "PARTNERS", 4)
+    rng = random.Random(9)
+    base = [rng.choice(["w", "x", "y"]) + str(rng.randrange(300)) for _ in range(60)]
+    rows = []
+    for i in range(160):  # copies with up to five words changed, so that many are below the threshold, and some strangers
+        words = base[:]
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(60)] = f"z{rng.randrange(1000)}"
+        rows.append((i, " ".join(words) if i % 8 else " ".join(rng.choices(base, k=50))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(jaccard.set_rows(df, 4, 85, 100)[1]) > 20
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_components(df, 4, 85, 100).collect()}
+    want = components_by_hand(rows, 4, 85, 100)
+    assert got == want and len({c for _, c in want.values()}) > 10
+
+
 def test_components_on_odd_tables(spark):
     out = jaccard.op9_ngram_jaccard(docs(spark)).collect()
     assert len(out) == len(ODD)
