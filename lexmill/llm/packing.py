@@ -1,15 +1,16 @@
 """Lexical retrieval packing: windows are filled with a seed document's nearest unused documents by BM25.
 
 Documents are tokenised once and stored. Document frequencies of token ids are counted over the whole corpus; they are
-as many as the vocabulary, so they reach every task. Seeds are drawn from the whole table, one for each window. In each
-round every unused document is scored against every open window's seed, over all the seed's terms, and picks the window
-it scores best for (as a share of the root of the seed's own weight, as sums over long and short seeds cannot be
-compared); a window takes the best of those that picked it until it is full, the last one cut to fit. What is left picks
-again among the windows still open, and what is left when all are full gets seeds of its own. Once the unused documents
-fit one index shard they are packed there, seed by seed. The search is over the whole corpus: its work grows with the
-square of the number of documents. Memory is bounded by the shard and by a block of seeds.
-
-Windows are full; only the last tokens form shorter sequences, of sizes that are powers of two.
+as many as the vocabulary, so they reach every task. The inverted index is sharded by content, not by file: a document's
+route is made of its heaviest terms (by BM25 weight, of those that enough documents hold to fill part of a shard), documents
+are range partitioned by route, and shards are runs of documents in that order. So documents that share their heavy terms
+meet in a shard wherever they lie in the table, and a route that a third of all documents share is cut into as many shards as
+it needs. Within a shard the first unused document seeds a window; all its terms are looked up in the shard's index, and
+unused neighbours fill the window, best first, the last one cut to fit. What a shard leaves, less than a window, goes on to
+the next one of its task; what the tasks leave is routed and packed again, as another level, until one shard holds it all.
+
+Work is linear in the corpus, and memory is bounded by the shard. Every window but the last few is full: the last tokens of
+the corpus form shorter sequences, of sizes that are powers of two.
 """
 
 from __future__ import annotations
@@ -18,46 +19,29 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lexmill.llm.common import small_batches, stored
 
 WINDOW, END = 4096, 2
-SHARD_TOKENS, SHARD_DOCS = 3_000_000, 4096
-QUERY_TERMS, K1, B = 1 << 16, 1.2, 0.75  # all terms of a seed
-#: Terms scored by a dense product (the commonest; the others by their postings), seeds a product, bytes of seeds sent at once.
-COMMON, BLOCK, SEED_BYTES = 1024, 256, 64 << 20
-#: Share of the unused tokens that a generation's windows hold, so that open windows find documents to the end.
-FILLED = 0.97
-#: Share of a generation's windows that may stay open at its end; their pieces are unused again and get new seeds.
-SCARCE = 0.1
+SHARD_TOKENS, SHARD_DOCS = 1_500_000, 2048
+K1, B = 1.2, 0.75
+#: Heaviest terms in a route (at most four), neighbours that are sorted at first.
+ROUTE_TERMS, SORTED = 4, 24
 
 _ODD = re.compile(r"<\||[\x1c-\x1f]")
-_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_PLAIN = re.compile(r"[\s\x21-\x7eÀ-ÖØ-öø-ÿ]*")
 # The vocabulary's own pattern over lower-case text of these characters.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
-class Pieces(dict):
-    """Little-endian 16-bit ids of a part of a word; starts anew when full, so memory is bounded."""
-
-    def __init__(self, encode, most: int = 1 << 19) -> None:
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[part] = ids = np.array(self.encode(part), "<u2").tobytes()
-        return ids
-
-
-class Words(Pieces):
-    """The same of a word: what white space parts is tokenised alone, so a word's ids are looked up."""
+class Words:
+    """16-bit little-endian ids of texts. Holds the vocabulary and no cache, so memory does not grow with texts."""
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
@@ -65,29 +49,35 @@ class Words(Pieces):
         tokenizer = Tokenizer.from_file(vocabulary)
         if tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit in 16 bits")
-        super().__init__(lambda t: tokenizer.encode(t, add_special_tokens=False).ids, 3 << 18)
-        self.parts = Pieces(merger(vocabulary) or self.encode)
-
-    def __missing__(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word):
-            return super().__missing__(word)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = ids = b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
-        return ids
+        self.whole = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+        self.merge = merger(vocabulary)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
-            return np.array(self.encode(text), "<u2").tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+        if self.merge is None or _ODD.search(text):
+            return np.array(self.whole(text), "<u2").tobytes()
+        if _PLAIN.fullmatch(text):
+            return self.plain(text)
+        # what white space parts is tokenised alone, so only words of other characters need the slower way
+        out, run = [], []
+        for word in text.split():
+            if _PLAIN.fullmatch(word):
+                run.append(word)
+                continue
+            out += [self.plain(" ".join(run)), np.array(self.whole(word), "<u2").tobytes()]
+            run = []
+        return b"".join([*out, self.plain(" ".join(run))])
+
+    def plain(self, text: str) -> bytes:
+        parts = _PARTS.findall(text.lower())
+        return np.array(self.merge("\0".join(parts) + "\0"), "<u2").tobytes() if parts else b""
 
 
 def merger(vocabulary: str):
-    """The vocabulary's byte-pair merges of one part by tiktoken, several times as fast; None if it is of another kind.
+    """The vocabulary's byte-pair merges of parts by tiktoken, several times as fast; None if it is of another kind.
 
-    A byte that no part holds stands for the end of a word. Ids are ranks in both, so merges come in the same order;
+    A byte that no part holds stands for the end of a part. Ids are ranks in both, so merges come in the same order;
     tests hold the ids against those of tokenizers.
     """
     import tiktoken
@@ -107,14 +97,14 @@ def merger(vocabulary: str):
         if all(c in byte for c in body) and not token.startswith("<|"):
             ranks[bytes(byte[c] for c in body) + b"\0" * ends] = i
     encoding = tiktoken.Encoding("parts", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks, special_tokens={})
-    return lambda part: encoding.encode_ordinary(part + "\0")
+    return encoding.encode_ordinary
 
 
 _words: dict[str, Words] = {}
 
 
 def words_for(vocabulary: str) -> Words:
-    """The worker's cache for the vocabulary; kept from task to task."""
+    """The worker's tokeniser for the vocabulary; kept from task to task."""
     if vocabulary not in _words:
         _words[vocabulary] = Words(vocabulary)
     return _words[vocabulary]
@@ -133,18 +123,24 @@ def tokenised(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: st
     return stored(rows.mapInArrow(encode, f"doc_id {docs.schema[key].dataType.simpleString()}, tokens binary"), "tokens")
 
 
+def term_counts(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner (place in the list), term and count, sorted by owner and term; of at most 65,536 documents."""
+    owner = np.repeat(np.arange(len(tokens), dtype=np.uint32), [len(t) for t in tokens])
+    key = np.sort(owner << np.uint32(16) | np.concatenate(tokens).astype(np.uint32)) if len(owner) else np.zeros(0, np.uint32)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(key)))
+    return (key[first] >> np.uint32(16)).astype(np.int32), (key[first] & np.uint32(0xFFFF)).astype(np.int32), count
+
+
 def corpus_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     """Document frequency of each id, number of documents, mean length; over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs, total = np.zeros(1 << 16, np.int64), 0, 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                ids = np.frombuffer(t, "<u2")
-                seen = np.zeros(1 << 16, bool)
-                seen[ids] = True
-                df += seen
-                docs, total = docs + 1, total + len(ids)
+            ids = [np.frombuffer(t, "<u2") for t in b.column(0).to_pylist()]
+            df += np.bincount(term_counts(ids)[1], minlength=1 << 16)
+            docs, total = docs + len(ids), total + sum(map(len, ids))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [docs, total]))], ["id", "n"])
 
@@ -158,70 +154,85 @@ def corpus_statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, rest[-1], rest[-2] / max(1, rest[-1])
 
 
+def bm25(term: np.ndarray, count: np.ndarray, size: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """Weights of terms that occur count times in documents of these sizes."""
+    tf = count.astype(np.float32)
+    return (idf[term] * tf * np.float32(K1 + 1) / (tf + K1 * (1 - B + B * size / max(mean, 1e-9)))).astype(np.float32)
+
+
+def routes(tokens: list[np.ndarray], idf: np.ndarray, usual: np.ndarray, mean: float) -> np.ndarray:
+    """Per document its ROUTE_TERMS heaviest terms of those that are usual, heaviest first, as one number."""
+    owner, term, count = term_counts(tokens)
+    size = np.array([len(t) for t in tokens])
+    on = usual[term]
+    owner, term, count = owner[on], term[on], count[on]
+    weight = bm25(term, count, size[owner], idf, mean)
+    order = np.lexsort((term, -weight, owner))
+    owner, term = owner[order], term[order]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    out = np.full((len(tokens), ROUTE_TERMS), 0xFFFF, np.int64)
+    on = place < ROUTE_TERMS
+    out[owner[on], place[on]] = term[on]
+    route = np.zeros(len(tokens), np.int64)
+    for k in range(ROUTE_TERMS):
+        route = route << 16 | out[:, k]
+    return route
+
+
 class Shard:
-    """BM25 inverted index of some documents' tokens."""
+    """BM25 inverted index of some documents' tokens.
+
+    Terms that at least an eighth of them hold have their weights in a dense row, the others in postings.
+    """
 
     def __init__(self, tokens: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         self.n = len(tokens)
-        size = np.array([len(t) for t in tokens])
-        owner = np.repeat(np.arange(self.n, dtype=np.uint32), size)
-        key = np.sort(owner << np.uint32(16) | np.concatenate(tokens).astype(np.uint32)) if self.n else np.zeros(0, np.uint32)
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(first, len(key))).astype(np.float32)
-        doc, term = (key[first] >> np.uint32(16)).astype(np.int64), (key[first] & np.uint32(0xFFFF)).astype(np.int64)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1e-9)))
-        self.terms, self.weights = term, weight  # by document
+        doc, term, count = term_counts(tokens)
+        weight = bm25(term, count, np.array([len(t) for t in tokens])[doc] if self.n else doc, idf, mean)
+        self.terms = term  # by document
         self.bounds = np.searchsorted(doc, np.arange(self.n + 1))
         order = np.argsort(term, kind="stable")
         self.docs, self.by_term = doc[order], weight[order]
         self.lists = np.searchsorted(term[order], np.arange((1 << 16) + 1))
-
-    def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
-        """All free documents that share a term with the seed, best first, ties in order."""
-        spans = [slice(self.lists[t], self.lists[t + 1]) for t in self.terms[self.bounds[seed] : self.bounds[seed + 1]]]
-        if not spans:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.docs[x] for x in spans]), np.concatenate([self.by_term[x] for x in spans]), self.n)
-        score[~free] = 0
-        best = np.flatnonzero(score > 0)
-        return best[np.lexsort((best, -score[best]))]
-
-    def picks(self, seeds: list[np.ndarray], norms: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each document the best of all seeds by score / norm (-1 if none shares a term), ties to the first; and its score.
-
-        column: a term's place among the COMMON terms, or -1.
-        """
-        owner = np.repeat(np.arange(self.n), np.diff(self.bounds))
-        at = column[self.terms]
-        dense = np.zeros((COMMON, self.n), np.float32)
-        dense[at[at >= 0], owner[at >= 0]] = self.weights[at >= 0]
-        best, share, score = np.full(self.n, -1), np.zeros(self.n, np.float32), np.zeros(self.n, np.float32)
-        for first in range(0, len(seeds), BLOCK):
-            block = seeds[first : first + BLOCK]
-            row, term = np.repeat(np.arange(len(block)), [len(t) for t in block]), np.concatenate(block)
-            at = column[term]
-            query = np.zeros((len(block), COMMON), np.float32)
-            query[row[at >= 0], at[at >= 0]] = 1
-            sums = query @ dense
-            row, term = row[at < 0], term[at < 0].astype(np.int64)
-            size = self.lists[term + 1] - self.lists[term]
-            if size.sum():
-                places = np.arange(size.sum()) + np.repeat(self.lists[term] - (np.cumsum(size) - size), size)
-                cells = np.repeat(row, size) * self.n + self.docs[places]
-                sums += np.bincount(cells, self.by_term[places], sums.size).reshape(sums.shape).astype(np.float32)
-            shares = sums / norms[first : first + BLOCK, None]
-            top = shares.argmax(axis=0)
-            value = shares[top, np.arange(self.n)]
-            better = value > share
-            best[better], share[better], score[better] = first + top[better], value[better], sums[top, np.arange(self.n)][better]
-        return best, score
+        held = np.diff(self.lists)
+        common = np.flatnonzero(held * 8 >= max(8, self.n))
+        self.row = np.full(1 << 16, -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        at = self.row[term]
+        self.dense[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Each document's BM25 score for all terms of the seed."""
+        terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
+        row = self.row[terms]
+        out = self.dense[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        terms = terms[row < 0]
+        size = self.lists[terms + 1] - self.lists[terms]
+        if size.sum():
+            places = np.arange(size.sum()) + np.repeat(self.lists[terms] - (np.cumsum(size) - size), size)
+            out += np.bincount(self.docs[places], self.by_term[places], self.n)
+        return out
+
+    def neighbours(self, seed: int, free: np.ndarray) -> Iterator[int]:
+        """All free documents that share a term with the seed, best first, ties in order; free is read at the start."""
+        score = np.where(free, self.scores(seed), 0)
+        least = 0.0
+        if self.n > 2 * SORTED:  # a window rarely needs more than the first few, so these are sorted alone
+            least = max(0.0, -np.partition(-score, SORTED)[SORTED])
+            best = np.flatnonzero(score > least)
+            yield from best[np.lexsort((best, -score[best]))].tolist()
+            best = np.flatnonzero((score <= least) & (score > 0))
+        else:
+            best = np.flatnonzero(score > 0)
+        yield from best[np.lexsort((best, -score[best]))].tolist()
 
 
 Piece = tuple[object, np.ndarray, int, int]  # id, all tokens, start, length
 
 
-def fill(pool: list[Piece], shard: Shard, last: bool) -> Iterator[list[Piece]]:
-    """Windows of exactly WINDOW tokens over the pool's pieces; with last, the rest in powers of two. Returns what is left."""
+def fill(pool: list[Piece], shard: Shard) -> Iterator[list[Piece]]:
+    """Windows of exactly WINDOW tokens over the pool's pieces. Returns the pieces that are left, less than a window."""
     free = np.ones(len(pool), bool)
     pool = list(pool)
     room, window, seed = WINDOW, [], 0
@@ -244,7 +255,7 @@ def fill(pool: list[Piece], shard: Shard, last: bool) -> Iterator[list[Piece]]:
         take(seed)
         if room:
             for i in shard.neighbours(seed, free):
-                take(int(i))
+                take(i)
                 if not room:
                     break
         if not room:
@@ -252,9 +263,12 @@ def fill(pool: list[Piece], shard: Shard, last: bool) -> Iterator[list[Piece]]:
             left -= WINDOW
             room, window = WINDOW, []
     # a window that was begun goes on with what is left
-    rest = window + [p for p, f in zip(pool, free, strict=True) if f]
-    if not last:
-        return rest
+    return window + [p for p, f in zip(pool, free, strict=True) if f]
+
+
+def powers_of_two(rest: list[Piece]) -> Iterator[list[Piece]]:
+    """Sequences of the pieces in their order, each the largest power of two that is left: no padding."""
+    rest = list(rest)
     total = sum(p[3] for p in rest)
     while total:
         size = min(WINDOW, 1 << (total.bit_length() - 1))
@@ -269,7 +283,6 @@ def fill(pool: list[Piece], shard: Shard, last: bool) -> Iterator[list[Piece]]:
                 rest.pop(0)
         yield part
         total -= size
-    return []
 
 
 OUT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -308,211 +321,105 @@ def whole_windows(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, {OUT}")
 
 
-def remainders(tokens: DataFrame) -> DataFrame:
-    """id (below 2 ** 56), doc_id, start, doc_tokens, tokens of what the own sequences leave, stored."""
+PIECES = {"id": pa.int64(), "route": pa.int64(), "doc_id": None, "start": pa.int64(), "doc_tokens": pa.int64(), "tokens": pa.binary()}
+
+
+def remainders(tokens: DataFrame, weights, usual: np.ndarray, mean: float) -> DataFrame:
+    """id, route, doc_id, start, doc_tokens, tokens of what the own sequences leave, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i = partition() << 36
         for b in batches:
-            kinds = {"id": pa.int64(), "doc_id": b.column("doc_id").type, "start": pa.int64(), "doc_tokens": pa.int64(), "tokens": pa.binary()}
-            rows = []
+            rows, ids = [], []
             for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("tokens").to_pylist(), strict=True):
                 start = len(raw) // 2 // WINDOW * WINDOW
                 if len(raw) > 2 * start:
                     rows.append((i, doc, start, len(raw) // 2, raw[2 * start :]))
+                    ids.append(np.frombuffer(rows[-1][-1], "<u2"))
                     i += 1
-            yield batch(rows, kinds)
-
-    return stored(tokens.mapInArrow(run, f"id long, doc_id {tokens.schema['doc_id'].dataType.simpleString()}, start long, doc_tokens long, tokens binary"), "rest")
-
-
-def seed_blocks(windows: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Windows, their room and their seeds' distinct ids, at most about SEED_BYTES at once."""
-    names, rooms, terms, held = [], [], [], 0
-    for r in windows.select("window", "room", "seed").toLocalIterator():
-        names.append(r.window)
-        rooms.append(r.room)
-        terms.append(np.unique(np.frombuffer(r.seed, "<u2")))
-        held += terms[-1].nbytes + 200
-        if held >= SEED_BYTES:
-            yield np.array(names), np.array(rooms), terms
-            names, rooms, terms, held = [], [], [], 0
-    if names:
-        yield np.array(names), np.array(rooms), terms
-
-
-def best_windows(free: DataFrame, windows: DataFrame, idf: np.ndarray, column: np.ndarray, mean: float) -> DataFrame:
-    """id, n, window, score: the window of all that each unused piece scores best for; stored."""
-    sc = free.sparkSession.sparkContext
-    weights = sc.broadcast((idf, column))
-
-    def chosen(block) -> DataFrame:
-        sent = sc.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (idf, column), (names, rooms, seeds) = weights.value, sent.value
-            norms = np.sqrt(np.array([idf[t].sum() for t in seeds], np.float32) + 1e-9)
-            kinds = {"id": pa.int64(), "n": pa.int64(), "window": pa.int64(), "score": pa.float32(), "share": pa.float32()}
-
-            def score(ids: list[int], toks: list[np.ndarray]) -> pa.RecordBatch:
-                best, got = Shard(toks, idf, mean).picks(seeds, norms, column)
-                on = np.flatnonzero(best >= 0)
-                on = on[np.lexsort((on, -got[on], best[on]))]
-                # a window takes no more than its room, so the shard's best that fill it are enough
-                size = np.array([len(toks[i]) for i in on], np.int64)
-                begun = np.cumsum(size) - size
-                head = np.concatenate(([True], best[on][1:] != best[on][:-1])) if len(on) else np.zeros(0, bool)
-                ahead = begun - np.repeat(begun[head], np.diff(np.append(np.flatnonzero(head), len(on))))
-                on = on[ahead < rooms[best[on]]]
-                return batch([(ids[i], len(toks[i]), int(names[best[i]]), float(got[i]), float(got[i] / norms[best[i]])) for i in on], kinds)
-
-            ids, toks, held = [], [], 0
-            for b in batches:
-                for i, raw in zip(b.column("id").to_pylist(), b.column("tokens").to_pylist(), strict=True):
-                    ids.append(i)
-                    toks.append(np.frombuffer(raw, "<u2"))
-                    held += len(toks[-1])
-                    if len(ids) >= SHARD_DOCS or held >= SHARD_TOKENS:
-                        yield score(ids, toks)
-                        ids, toks, held = [], [], 0
-            if ids:
-                yield score(ids, toks)
-
-        return stored(free.select("id", "tokens").mapInArrow(run, "id long, n long, window long, score float, share float"), "picks")
-
-    parts = [chosen(block) for block in seed_blocks(windows)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("id", "n").agg(F.max_by(F.struct("window", "score", "share"), F.struct("share", -F.col("window"))).alias("b")).select("id", "n", "b.*")
-
-
-def placed(rows: DataFrame) -> DataFrame:
-    """window, round, score, id, doc_id, start, length, ids_crc32, doc_tokens of the taken pieces; stored, without tokens."""
+            route = routes(ids, weights.value, usual, mean).tolist() if rows else []
+            yield batch([(r[0], w, *r[1:]) for r, w in zip(rows, route, strict=True)], PIECES | {"doc_id": b.column("doc_id").type})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [np.frombuffer(t, "<u2") for t in b.column("tokens").to_pylist()]
-            cols = {c: b.column(c) for c in ("window", "round", "score", "id", "doc_id", "start")}
-            cols |= {"length": pa.array([len(t) for t in raw], pa.int64()), "ids_crc32": pa.array([crc(t) for t in raw], pa.int64()), "doc_tokens": b.column("doc_tokens")}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+    return stored(tokens.mapInArrow(run, f"id long, route long, doc_id {tokens.schema['doc_id'].dataType.simpleString()}, start long, doc_tokens long, tokens binary"), "rest")
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = rows.select("window", "round", "score", "id", "doc_id", "start", "doc_tokens", "tokens")
-    return stored(rows.mapInArrow(run, f"window long, round int, score float, id long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"), "placed")
 
-
-def last_windows(rest: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
-    """Sequences of each partition's pieces, seed by seed."""
-    weights = rest.sparkSession.sparkContext.broadcast(idf)
+def packed(free: DataFrame, parts: int, level: int, weights, mean: float, last: bool) -> DataFrame:
+    """One level: OUT's columns of the sequences (tokens null), and the pieces that each task leaves (sequence_id null); with last, nothing is left. Stored."""
+    kind = free.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence = level << 58 | partition() << 36
         pool: list[Piece] = []
-        base: list[tuple[int, int]] = []
-        kinds: dict = {}
-        for b in batches:
-            kinds = {"doc_id": b.column("doc_id").type} | dict.fromkeys(COLUMNS[1:], pa.int64())
-            for doc, start, n, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "tokens")), strict=True):
-                ids = np.frombuffer(raw, "<u2")
-                pool.append((len(base), ids, 0, len(ids)))
-                base.append((doc, start, n))
-        if not pool:
-            return
-        rows = []
-        for sequence, window in enumerate(fill(pool, Shard([p[1] for p in pool], weights.value, mean), True), 3 << 61 | partition() << 36):
-            at = 0
-            for i, ids, start, length in window:
-                doc, first, n = base[i]
-                rows.append((doc, first + start, length, crc(ids[start : start + length]), n, sequence, at))
+        held, kinds = 0, {}
+
+        def rows_of(window: list[Piece]) -> list[tuple]:
+            nonlocal sequence
+            at, rows = 0, []
+            for (i, route, doc, first, n), ids, start, length in window:
+                rows.append((doc, first + start, length, crc(ids[start : start + length]), n, sequence, at, None, None, None))
                 at += length
-        yield batch(rows, kinds)
+            sequence += 1
+            return rows
 
-    return rest.sortWithinPartitions("id").mapInArrow(run, f"doc_id {rest.schema['doc_id'].dataType.simpleString()}, {OUT}")
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal pool, held
+            rows = []
+            windows = fill(pool, Shard([ids[start : start + n] for _, ids, start, n in pool], weights.value, mean))  # of a piece that was cut, what is left of it
+            while True:
+                try:
+                    rows += rows_of(next(windows))
+                except StopIteration as end:
+                    pool = end.value
+                    break
+                if len(rows) >= 4096:
+                    yield batch(rows, kinds)
+                    rows = []
+            held = sum(p[3] for p in pool)
+            yield batch(rows, kinds)
+
+        for b in batches:
+            kinds = {"doc_id": b.column("doc_id").type} | dict.fromkeys(COLUMNS[1:], pa.int64()) | {"id": pa.int64(), "route": pa.int64(), "tokens": pa.binary()}
+            for i, route, doc, start, n, raw in zip(*(b.column(c).to_pylist() for c in PIECES), strict=True):
+                ids = np.frombuffer(raw, "<u2")
+                pool.append(((i, route, doc, start, n), ids, 0, len(ids)))
+                held += len(ids)
+                if held >= SHARD_TOKENS or (len(pool) >= SHARD_DOCS and held >= 8 * WINDOW):
+                    yield from flush()
+        if pool:
+            yield from flush()
+        if last:
+            for part in powers_of_two(pool):
+                yield batch(rows_of(part), kinds)
+        elif pool:
+            yield batch([(doc, first + start, None, None, n, None, None, i, route, ids[start : start + length].tobytes()) for (i, route, doc, first, n), ids, start, length in pool], kinds)
+
+    placed = free.repartitionByRange(parts, "route", "id").sortWithinPartitions("route", "id") if parts > 1 else free.coalesce(1).sortWithinPartitions("route", "id")
+    return stored(placed.select(*PIECES).mapInArrow(run, f"doc_id {kind}, {OUT}, id long, route long, tokens binary"), "packed")
 
 
 def pack(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of all documents in sequences of at most WINDOW tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are END alone. A document of WINDOW tokens or more gets sequences of its own; its rest is packed like
-    any other. Repeated rows are packed each. An empty table has no pieces.
+    any other. Repeated rows are packed each, rows without an id too. Columns but the key and the text are not read. An empty
+    table has no pieces.
     """
+    spark = docs.sparkSession
     tokens = tokenised(docs, vocabulary, key=key, text=text)
     df, n, mean = corpus_statistics(tokens)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-    column = np.full(1 << 16, -1)
-    column[np.argsort(-df, kind="stable")[:COMMON]] = np.arange(COMMON)
-
-    first = free = remainders(tokens)
-    done, generation, filled = [], 0, True
-    while filled and generation < 32:
+    weights = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32))
+    free, out, level = remainders(tokens, weights, df >= min(SHARD_DOCS, n) // 8, mean), whole_windows(tokens), 0
+    while True:
         pieces, left = free.agg(F.count("*"), F.coalesce(F.sum(F.length("tokens") / 2), F.lit(0.0))).first()
-        if pieces <= SHARD_DOCS and left <= SHARD_TOKENS:
-            free = free.coalesce(1)
+        if not pieces:
             break
-        seeding = F.pmod(F.xxhash64("id", F.lit(generation)), F.lit(1 << 40)) < int((1 << 40) * FILLED * left / WINDOW / pieces)
-        taken, free, filled = generation_of(first, free, seeding, generation, idf, column, mean)
-        done.append(taken)
-        generation += 1
-    out = whole_windows(tokens)
-    if done:
-        every = done[0]
-        for d in done[1:]:
-            every = every.unionByName(d)
-        before = Window.partitionBy("window").orderBy("round", F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, -1)
-        at = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
-        out = out.unionByName(every.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("window").alias("sequence_id"), at))
-    return out.unionByName(last_windows(free, idf, mean))
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what stored wrote, when a later state has replaced it."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def generation_of(first: DataFrame, free: DataFrame, seeding, generation: int, idf: np.ndarray, column: np.ndarray, mean: float) -> tuple[DataFrame, DataFrame, bool]:
-    """Rounds over one set of seeds until few windows are open: pieces of full windows, what is unused, whether any window was open.
-
-    The windows that stay open are given up and their pieces are unused again, for the next seeds over the whole table.
-    """
-    name = (F.col("id") + F.lit(generation << 56)).alias("window")
-    seeds = stored(free.where(seeding), "seeds")
-    done = placed(seeds.select(name, F.lit(0).alias("round"), F.lit(0.0).cast("float").alias("score"), "*"))
-    windows = stored(seeds.select(name, (F.lit(WINDOW) - F.length("tokens") / 2).cast("long").alias("room"), F.col("tokens").alias("seed")), "windows")
-    free, number, count = free.where(~seeding), 0, windows.count()
-    while windows.count() > SCARCE * count:
-        number += 1
-        picks = best_windows(free, windows, idf, column, mean)
-        order = Window.partitionBy("window").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-        take = F.least("n", F.col("room") - (F.sum("n").over(order) - F.col("n")))
-        rows = picks.join(windows.select("window", "room"), "window").select("id", "window", "score", take.alias("take")).where("take > 0")
-        accepted = stored(rows, "accepted")
-        if not accepted.take(1):
+        parts = ceil(left / SHARD_TOKENS)  # a task leaves less than a window, so levels shrink some hundredfold
+        done = packed(free, parts, level, weights, mean, parts == 1)
+        out = out.unionByName(done.where("tokens IS NULL").select(*COLUMNS))
+        free, level = done.where("tokens IS NOT NULL").select(*PIECES), level + 1
+        if parts == 1:
             break
-        both = free.join(accepted, "id", "left")
-        head, tail = "substring(tokens, 1, cast(2 * take as int))", "substring(tokens, cast(2 * take + 1 as int))"
-        done = done.unionByName(placed(both.where("take > 0").select("window", F.lit(number).alias("round"), "score", "id", "doc_id", "start", "doc_tokens", F.expr(head).alias("tokens"))))
-        took = F.coalesce("take", F.lit(0))
-        rest = both.select("id", "doc_id", (F.col("start") + took).alias("start"), "doc_tokens", F.when(F.col("take").isNull(), F.col("tokens")).otherwise(F.expr(tail)).alias("tokens"))
-        old, free = (free, windows), stored(rest.where(F.length("tokens") > 0), "free")
-        used = accepted.groupBy("window").agg(F.sum("take").alias("used"))
-        room = F.col("room") - F.coalesce("used", F.lit(0))
-        windows = stored(windows.join(used, "window", "left").select("window", room.alias("room"), "seed").where("room > 0"), "windows")
-        if number > 1:
-            discard(old[0])
-        discard(old[1])
-    short = windows.count()
-    if short:
-        given_up = done.join(windows.select("window"), "window", "left_semi").select("id", F.col("start").alias("s"), "length")
-        part = F.expr("substring(tokens, cast(2 * (s - start) + 1 as int), cast(2 * length as int))")
-        back = given_up.join(first, "id").select("id", "doc_id", F.col("s").alias("start"), "doc_tokens", part.alias("tokens"))
-        free = stored(free.unionByName(back), "free")
-        done = done.join(windows.select("window"), "window", "left_anti")
-    return done, free, count == 0 or short < count
+    return out
 
 
 def op6_packing(docs: DataFrame) -> DataFrame:

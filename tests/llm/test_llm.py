@@ -325,11 +325,11 @@ def test_bm25_by_hand():
     idf, mean = np.log1p((20 - df + 0.5) / (df + 0.5)).astype(np.float32), np.mean([len(t) for t in toks])
     shard = packing.Shard(toks, idf, mean)
     weight = lambda d, w: idf[w] * (tf := (toks[d] == w).sum()) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(toks[d]) / mean))
-    top = sorted(np.unique(toks[0]), key=lambda w: -weight(0, w))[: packing.QUERY_TERMS]
+    top = np.unique(toks[0])
     free = np.ones(20, bool)
     free[[0, 3]] = False
     want = sorted((d for d in range(20) if free[d]), key=lambda d: (-sum(weight(d, w) for w in top), d))
-    assert shard.neighbours(0, free)[:5].tolist() == want[:5]
+    assert list(shard.neighbours(0, free))[:5] == want[:5]
 
 
 def weights_of(toks):
@@ -348,24 +348,37 @@ def test_neighbours_by_all_terms_and_to_the_last():
     free = np.ones(70, bool)
     free[0] = False
     want = sorted(range(1, 70), key=lambda d: (-sum(weight(d, w) for w in np.unique(toks[0])), d))
-    assert packing.Shard(toks, idf, mean).neighbours(0, free).tolist() == want
+    assert list(packing.Shard(toks, idf, mean).neighbours(0, free)) == want
 
 
-def test_windows_are_searched_over_the_whole_table(spark):
+def test_routes_by_hand():
     rng = np.random.default_rng(3)
-    toks = [rng.integers(0, 60, rng.integers(20, 60)).astype("<u2") for _ in range(90)]
-    idf, mean, weight = weights_of(toks)
-    column = np.full(1 << 16, -1)
-    column[:30] = np.arange(30)  # the other terms go by their postings
-    seeds = {i: set(toks[i].tolist()) for i in range(0, 90, 9)}
-    windows = spark.createDataFrame([(i, 10**6, toks[i].tobytes()) for i in seeds], "window long, room long, seed binary")
-    free = spark.createDataFrame([(i, toks[i].tobytes()) for i in range(90) if i not in seeds], "id long, tokens binary").repartition(7)
-    got = {r.id: r for r in packing.best_windows(free, windows, idf, column, mean).collect()}
-    assert got.keys() == set(range(90)) - seeds.keys()
-    for i, r in got.items():
-        score = {s: sum(weight(i, w) for w in terms) for s, terms in seeds.items()}
-        share = {s: score[s] / np.sqrt(sum(idf[w] for w in seeds[s])) for s in seeds}
-        assert share[r.window] >= max(share.values()) - 1e-4 and abs(r.score - score[r.window]) < 1e-3
+    toks = [rng.integers(0, 60, n).astype("<u2") for n in [0, 1, 3, *rng.integers(20, 60, 90)]]
+    idf, mean, weight = weights_of(toks[1:])
+    usual = np.zeros(1 << 16, bool)
+    usual[5:50] = True
+    got = packing.routes(toks, idf, usual, mean)
+    for t, r in zip(toks, got.tolist(), strict=True):
+        own = lambda w, t=t: idf[w] * (tf := (t == w).sum()) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / mean))
+        want = sorted((w for w in np.unique(t) if usual[w]), key=lambda w: (-np.float32(own(w)), w))[:4]
+        have = [(r >> 48 - 16 * k) & 0xFFFF for k in range(4)]
+        assert [w for w in have if w != 0xFFFF] == want or np.allclose([own(w) for w in want], [own(w) for w in have[: len(want)]], rtol=1e-5)
+
+
+def test_levels_and_many_short_documents(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 9_000)
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    rng = random.Random(7)
+    rows = [(i, rng.choice([None, "", "a", " ".join(f"word{rng.randrange(500)}" for _ in range(rng.randrange(1, 400)))])) for i in range(400)]
+    rows += [(1000, "the same again " * 5000), (1000, "the same again " * 5000), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = packing.op6_packing(df).collect()
+    check_packed(out, [t for _, t in rows])
+    sizes = {}
+    for r in out:
+        sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
+    short = [n for n in sizes.values() if n < 4096]
+    assert len(short) == len(set(short)) and len(sizes) > 20  # one rest for the whole table, whatever the number of tasks
 
 
 def test_related_documents_meet_from_far_files(spark, monkeypatch):
