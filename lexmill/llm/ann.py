@@ -6,8 +6,10 @@ products. Codes are chosen by coordinate descent under this loss, and centres ar
 solution. The quantiser is fitted on a bounded sample (SAMPLE_ROWS); every row is indexed.
 
 Queries are searched in blocks. For a block, each task scans its rows' codes against per-query tables (two
-codes share a byte and a table of 256 sums), keeps each query's RERANK best rows, and reranks those by exact
-inner products in double precision; the best of all tasks are merged.
+codes share a byte and a table of 256 sums). Of every SCAN_ROWS rows each query's RERANK best are reranked by exact inner
+products in double precision, so the depth goes with the rows scanned, however files are split into tasks, and are merged
+with the best so far; a task returns k rows a query. Tasks get more rows as the table grows, so that their results stay a
+small part of what they scan.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lexmill.llm.common import shared_dir, small_batches, stored
 
 CENTRES, WIDTH, SAMPLE_ROWS, ROUNDS, THRESHOLD = 16, 2, 4096, 6, 0.2
-RERANK, QUERY_BLOCK, TASK_ROWS, SCAN_ROWS = 150, 4096, 4096, 1024
+#: Rows scanned at once and how many of them are reranked; queries of a pass and of a step; least and most rows of a task.
+SCAN_ROWS, RERANK, QUERY_BLOCK, QUERY_STEP, TASK_LEAST, TASK_MOST = 4096, 160, 4096, 64, 4096, 1 << 20
 
 
 @dataclass
@@ -113,31 +116,91 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.where(F.col(key).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(key).alias("vec_id"), v.alias("embedding"))
 
 
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """Of rows that share a vec_id the one with the smallest vector; vectors move only for ids that are repeated."""
+    again = stored(rows.groupBy("vec_id").count().where("count > 1").select("vec_id"), "repeated")
+    if not again.count():
+        return rows
+    one = rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.join(again, "vec_id", "left_anti").unionByName(one)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches' rows, so many at a time."""
+    held, n = [], 0
+    for b in batches:
+        while b.num_rows:
+            part = b.slice(0, rows - n)
+            b = b.slice(part.num_rows)
+            held.append(part)
+            n += part.num_rows
+            if n == rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class Best:
+    """Each query's k best rows so far: ids and exact products, best first, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.own, self.queries, self.k = ids, queries, k
+        self.score = np.full((len(ids), k), -np.inf)
+        self.ids = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def scan(self, tables: np.ndarray, codes: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rerank: int) -> None:
+        """Approximate products of all rows by the tables, exact ones of each query's best."""
+        codes = np.ascontiguousarray(codes.T)
+        depth = min(len(ids), rerank)
+        for at in range(0, len(self.own), QUERY_STEP):
+            of = slice(at, at + QUERY_STEP)
+            q = self.queries[of]
+            s = np.zeros((len(q), len(ids)), np.float32)
+            for j in range(len(codes)):
+                s += np.take(tables[j][of], codes[j], axis=1)
+            top = np.argpartition(-s, depth - 1, axis=1)[:, :depth] if depth < len(ids) else np.broadcast_to(np.arange(depth), s.shape)
+            exact = (vectors[top] * q[:, None, :]).sum(2)
+            exact[ids[top] == self.own[of, None]] = -np.inf
+            score, names = np.concatenate((self.score[of], exact), 1), np.concatenate((self.ids[of], ids[top]), 1)
+            order = np.argsort(names, axis=1)
+            score, names = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
+            order = np.argsort(-score, axis=1, kind="stable")[:, : self.k]
+            self.score[of], self.ids[of] = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        real = self.score > -np.inf
+        asked = np.repeat(self.own, real.sum(1))
+        return pa.RecordBatch.from_arrays([pa.array(asked), pa.array(self.ids[real]), pa.array(self.score[real])], ["query_id", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "vec_id", vector: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows of largest inner product other than its own, ties to the smaller id.
 
-    Null, zero and non-finite vectors take no part, nor do vectors whose length is not the commonest one. Of rows with
-    equal vectors the k + 1 with the smallest ids are scanned: no other can be among the k nearest, so a hot vector costs
-    no more. Repeated ids count as one row each. Empty tables give an empty result.
+    Null, zero and non-finite vectors take no part, nor do rows without an id and vectors whose length is not the commonest
+    one. Of rows that share an id the one with the smallest vector counts, among rows and among queries. Of rows with equal
+    vectors the k + 1 with the smallest ids are scanned: no other can be among the k nearest, so a hot vector costs no more.
+    rerank: how many of SCAN_ROWS rows have their exact products taken. Other columns are not read; empty tables give an
+    empty result.
     """
     spark = vectors.sparkSession
-    small_batches(spark, SCAN_ROWS)
+    small_batches(spark)
     rows = usable(vectors, key, vector)
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if sizes is None:
         return empty
     dim = sizes.d
-    rows = rows.where(F.size("embedding") == dim)
-    drawn = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).distinct()  # ids first: tasks send no more vectors than are drawn
-    picked = rows.join(F.broadcast(drawn), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = one_per_id(rows.where(F.size("embedding") == dim))
+    drawn = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS)  # ids first: tasks send no more vectors than are drawn
+    picked = rows.join(F.broadcast(drawn), "vec_id", "left_semi")
     sample = np.array([r.embedding for r in picked.orderBy("vec_id").collect()], np.float64)
     quantiser = fit(sample)
     tie = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     kept = rows.withColumn("_n", tie).where(F.col("_n") <= k + 1).drop("_n")
 
-    def matrix(b: pa.RecordBatch) -> np.ndarray:
-        return b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    def matrix(b: pa.RecordBatch | pa.Table) -> np.ndarray:
+        return np.asarray(b.column("embedding").combine_chunks().flatten() if isinstance(b, pa.Table) else b.column("embedding").flatten(), np.float64).reshape(-1, dim)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,9 +208,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "
                 codes = packed(quantiser.encode(matrix(b)))
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "codes"])
 
-    index = kept.repartition(max(1, ceil(sizes["count"] / TASK_ROWS))).mapInArrow(encode, "vec_id long, embedding array<float>, codes binary" if "float" in rows.schema["embedding"].dataType.simpleString() else "vec_id long, embedding array<double>, codes binary")
-    index = stored(index, "ann-index")
-    asked = usable(queries, key, vector).where(F.size("embedding") == dim)
+    tasks = max(1, ceil(sizes["count"] / TASK_MOST), min(ceil(sizes["count"] / TASK_LEAST), 4 * spark.sparkContext.defaultParallelism))
+    kind = "array<float>" if "float" in rows.schema["embedding"].dataType.simpleString() else "array<double>"
+    index = stored(kept.repartition(tasks).mapInArrow(encode, f"vec_id long, embedding {kind}, codes binary"), "ann-index")
+    asked = one_per_id(usable(queries, key, vector).where(F.size("embedding") == dim))
     path = shared_dir(spark, "ann-found")
     block: list[tuple[int, list[float]]] = []
     blocks = 0
@@ -157,46 +221,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
-            tables = quantiser.tables(q)
-            best_s = np.full((len(q), 0), -np.inf, np.float32)
-            best_i = np.zeros((len(q), 0), np.int64)
-            own, vecs, seen = [], [], 0
-            for b in batches:
-                for at in range(0, b.num_rows, SCAN_ROWS):
-                    part = b.slice(at, SCAN_ROWS)
-                    codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                    own.append(part.column("vec_id").to_numpy(zero_copy_only=False))
-                    vecs.append(matrix(part).astype(np.float32) if part.column("embedding").type.value_type == pa.float32() else matrix(part))
-                    s = np.zeros((len(q), part.num_rows), np.float32)
-                    for j in range(codes.shape[1]):
-                        s += np.take(tables[j], codes[:, j], axis=1)
-                    s = np.concatenate((best_s, s), 1)
-                    i = np.concatenate((best_i, np.broadcast_to(np.arange(seen, seen + part.num_rows), (len(q), part.num_rows))), 1)
-                    seen += part.num_rows
-                    if s.shape[1] > rerank:
-                        top = np.argpartition(-s, rerank - 1, axis=1)[:, :rerank]
-                        s, i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-                    best_s, best_i = s, i
-                if seen > 1 << 16:  # keep only the vectors that are still candidates
-                    live, flat = np.unique(best_i, return_inverse=True)
-                    own, vecs = [np.concatenate(own)[live]], [np.concatenate(vecs)[live]]
-                    best_i, seen = flat.reshape(best_i.shape), len(live)
-            if not seen:
-                return
-            all_ids, all_vecs = np.concatenate(own), np.concatenate(vecs).astype(np.float64)
-            out: list[list[np.ndarray]] = [[], [], []]
-            for n in range(len(q)):
-                c = best_i[n]
-                exact = (all_vecs[c] * q[n]).sum(1)
-                good = all_ids[c] != ids[n]
-                c, exact = all_ids[c][good], exact[good]
-                first = np.lexsort((c, -exact))[:k]
-                out[0].append(np.full(len(first), ids[n]))
-                out[1].append(c[first])
-                out[2].append(exact[first])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
+            tables, best = quantiser.tables(q), Best(ids, q, k)
+            for part in chunks(batches, SCAN_ROWS):
+                codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                best.scan(tables, codes, part.column("vec_id").to_numpy(), matrix(part), rerank)
+            yield best.rows()
 
         index.mapInArrow(scan, "query_id long, vec_id long, score double").write.mode("append").parquet(path)
+        held.destroy()
 
     for r in asked.toLocalIterator():  # a block at a time
         block.append((r.vec_id, r.embedding))
@@ -208,7 +240,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "
         blocks += 1
     if not blocks:
         return empty
-    found = spark.read.schema("query_id long, vec_id long, score double").parquet(path).distinct()
+    found = spark.read.schema("query_id long, vec_id long, score double").parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from lexmill.operators.durable import shared_base
+
 #: Rows of an Arrow batch. Texts may hold a megabyte each, so batches stay small.
 BATCH_ROWS = 512
 
@@ -15,19 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds in the Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds in the Python workers. Plans are lazy, so the session keeps the setting; it is the same for all operators."""
+    spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Another number of rows for the actions within, for rows of numbers."""
+    old = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, old)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lexmill-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lexmill/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or where it is unset one in the warehouse."""
+    return f"{shared_base(spark).rstrip('/')}/lexmill/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -47,15 +59,15 @@ def labelled_sample(df: DataFrame, label: str, per_label: int, *, key: str = "do
     """At most per_label (text, label) pairs of every label, drawn by a hash of the key; fewer a label if there are more than max_labels.
 
     Bounded by per_label * max_labels * max_chars characters, or max_chars a label. Texts of more than max_chars are drawn
-    where a label has too few others, and of those the first max_chars.
+    where a label has too few others, and of those the first max_chars. What is drawn first is a few times per_label, whatever the number of rows.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).collect()
     if not counts:
         return []
     per_label = max(1, min(per_label, per_label * max_labels // len(counts)))
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 24))
-    below = [(value, int(min(1.0, 3.0 * per_label / n + 0.001) * (1 << 24))) for value, n in counts]
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 40))
+    below = [(value, int(min(1.0, (3.0 * per_label + 30) / n) * (1 << 40))) for value, n in counts]
     bound = F.broadcast(df.sparkSession.createDataFrame(below, f"_y {df.schema[label].dataType.simpleString()}, _below long"))
     long = F.length(text) > max_chars
     drawn = rows.join(bound, F.col(label) == F.col("_y")).where(h < F.col("_below")).select(F.substring(text, 1, max_chars).alias("t"), F.col(label).alias("y"), h.alias("h"), F.col(key).alias("k"), long.alias("long"))

@@ -94,7 +94,7 @@ class Items:
         self.q = q
         self.ids, self.texts, self.budget, self.least = [], [], [], []
         grams, item, place = [], [], []
-        self.short = []  # items without a q-gram are sought as they are
+        self.short = []  # items without a q-gram are sought as they are, as whole words
         for key, text in items:
             s = normalised(text or "")[0]
             s = s[: len(s) - 1] if len(s) and s[-1] == 32 else s
@@ -126,8 +126,6 @@ class Items:
 
     def find(self, s: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(item, start, end, edits) of each region of the normalised text s that holds an item within its budget."""
-        for i in self.short:
-            yield from ((i, p, p + len(self.texts[i]), 0) for p in self.places(s, self.texts[i]))
         h = gram_hashes(s, self.q)
         at = np.flatnonzero(self.bitmap[h >> np.uint64(64 - BITS)]) if len(self.grams) else []
         if not len(at):
@@ -186,12 +184,12 @@ class Items:
         return out
 
     @staticmethod
-    def places(s: np.ndarray, item: np.ndarray) -> list[int]:
+    def places(s: np.ndarray, item: np.ndarray, overlapping: bool = False) -> list[int]:
         raw, sought, found, at = s.tobytes(), item.tobytes(), [], 0
         while (at := raw.find(sought, at)) >= 0:
             if at % 4 == 0:
                 found.append(at // 4)
-                at += len(sought)
+                at += 4 if overlapping else len(sought)
             else:
                 at += 1
         return found
@@ -202,6 +200,11 @@ class Items:
             return []
         s, at = normalised(text)
         out = set()
+        for i in self.short:
+            m = len(self.texts[i])
+            for p in self.places(s, self.texts[i], overlapping=True):
+                if (p == 0 or s[p - 1] == 32) and (p + m == len(s) or s[p + m] == 32):
+                    out.add((self.ids[i], int(at[p]), int(at[p + m - 1]) + 1, 0, m))
         for p in range(0, max(1, len(s)), PIECE):
             for i, a, z, edits in self.find(s[p : p + PIECE + self.overlap]):
                 if a < PIECE:  # later ones are whole in the next piece
@@ -225,7 +228,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float
     """A row per document and region that holds a benchmark item within its edit budget: doc_id, item_id, start_pos, end_pos, edits, similarity.
 
     The budget is rate times the item's normalised length, and at most what the filter can bound. Null and empty texts, and
-    items without a letter or digit, have no regions; repeated items count once, repeated documents each. Items are
+    items without a letter or digit, have no regions; repeated items count once, repeated documents each. Items of fewer
+    than q normalised characters count where they stand as whole words. Items are
     held by the tasks in blocks of ITEM_BLOCK, one pass over the documents for each block.
     """
     spark = docs.sparkSession
@@ -254,7 +258,10 @@ def op8_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, text: str = "text") -> DataFrame:
-    """docs without the rows whose text holds a benchmark item within its edit budget; no join, one pass for each block of items."""
+    """docs without the rows whose text holds a benchmark item within its edit budget; no join, one pass for each block of items.
+
+    Null and empty texts stay, as do null ids and all columns; repeated rows go or stay alike; an empty table stays empty.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     schema = docs.schema

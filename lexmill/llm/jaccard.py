@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexmill.llm.common import lookup_skewed, small_batches, stored
+from lexmill.llm.common import batches_of, lookup_skewed, small_batches, stored
 from lexmill.llm.components import connected_components
 
 #: Frequencies: n-grams of a piece, least count within it, and how many n-grams at most have a place at the end of the order.
@@ -433,24 +433,22 @@ def near_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     distinct = stored(first.select(F.col("doc_id").alias("node"), "n", "rare", "prefix", "bits"), "distinct-sets")
     size = live.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1")
     copies = lookup_skewed(live.select("doc_id", "sig"), size, "sig", "copies").where("node < doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    small_batches(docs.sparkSession, 16_384)  # numbers only
     postings = columns(distinct)
     if hot:
         names = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in hot], "h long"))
         found = hubs(postings.join(names, "h", "left_anti"), num, den).unionByName(split_hubs(postings.join(names, "h", "left_semi"), num, den))
     else:
         found = hubs(postings, num, den)
-    shared = stored(found, "columns")
-    small_batches(docs.sparkSession)
+    with batches_of(docs.sparkSession, 16_384):  # numbers only
+        shared = stored(found, "columns")
     met = shared.where("hub <> node").groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("na"), F.col("n").cast("long").alias("nb")).agg(F.count("*").alias("shared"))
     hub_pairs = above_bound(met, num, den).where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b").distinct()  # a pair that meets in other columns too may be missed here, not below
     links = stored(verified(within_reach(hub_pairs, distinct, num, den), docs, k, num, den), "links")
     found = connected_components(links)
-    small_batches(docs.sparkSession, 4096)  # numbers and bitmaps
     nodes = distinct.select("node", "bits").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "bits")
     placed = shared.select("h", "node", "n", "pos").join(nodes, "node")
-    pairs = stored(cross_pairs(cells(placed, hot), num, den), "pairs")
-    small_batches(docs.sparkSession)
+    with batches_of(docs.sparkSession, 4096):  # numbers and bitmaps
+        pairs = stored(cross_pairs(cells(placed, hot), num, den), "pairs")
     more = stored(verified(pairs, docs, k, num, den), "links")
     stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
     all_found = connected_components(stars.unionByName(more).unionByName(copies))

@@ -26,6 +26,9 @@ BUCKETS = 1 << 14
 UND = "und"
 #: Parameters of the fit: documents per language, landmarks per language, ridge.
 PER_LANG, LANDMARKS, RIDGE = 400, 48, 1e-2
+#: Rejection: least share of letters among visible characters; letters from which on a text is long, and how far below all
+#: fitted texts of that length its best margin may lie.
+LETTERS, LONG, SLACK = 0.2, 100, 0.15
 
 _letters: np.ndarray | None = None
 
@@ -57,6 +60,12 @@ def gram_buckets(text: str) -> np.ndarray | None:
     return np.concatenate(out)
 
 
+def letter_counts(text: str | None) -> tuple[int, int]:
+    """Letters and visible characters of the whole text."""
+    cp = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return int(letters()[cp].sum()), int((cp > 32).sum())
+
+
 def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """A presence row per text, and the numbers of n-grams (0: no letter)."""
     p = np.zeros((len(texts), len(ORDERS) * BUCKETS), np.float32)
@@ -71,21 +80,27 @@ class LangModel:
     langs: list[str]
     folded: np.ndarray  # B A
     bias: np.ndarray
+    floor: float = -np.inf  # best margins of the texts it was fitted on are above this
 
-    def predict(self, texts: list[str | None], block: int = 64) -> tuple[list[str], np.ndarray]:
-        names, scores = [], np.zeros(len(texts))
+    def margins(self, texts: list[str | None], block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """Each regression's margin for each text, and the texts' numbers of n-grams (0: no letter)."""
+        margins, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         for i in range(0, len(texts), block):
             p, size = presence(texts[i : i + block])
-            if not self.langs:
-                names += [UND] * len(p)
-                continue
-            margins = (p @ self.folded) / np.sqrt(np.maximum(size, 1))[:, None] + self.bias
-            e = np.exp(4.0 * (margins - margins.max(1, keepdims=True)))
-            best = margins.argmax(1)
-            got = e[np.arange(len(p)), best] / e.sum(1)
-            names += [self.langs[b] if n else UND for b, n in zip(best, size, strict=True)]
-            scores[i : i + block] = np.where(size > 0, got, 0.0)
-        return names, scores
+            margins[i : i + block] = (p @ self.folded) / np.sqrt(np.maximum(size, 1))[:, None] + self.bias
+            sizes[i : i + block] = size
+        return margins, sizes
+
+    def chosen(self, margins: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
+        if not self.langs:
+            return [UND] * len(sizes), np.zeros(len(sizes))
+        e = np.exp(4.0 * (margins - margins.max(1, keepdims=True)))
+        best = margins.argmax(1)
+        got = e[np.arange(len(sizes)), best] / e.sum(1)
+        return [self.langs[b] if n else UND for b, n in zip(best, sizes, strict=True)], np.where(sizes > 0, got, 0.0)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        return self.chosen(*self.margins(texts))
 
 
 def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LangModel:
@@ -109,7 +124,11 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     reg = ridge * len(sample) / max(1, phi.shape[1]) * np.eye(phi.shape[1])
     reg[-1, -1] = 1e-9
     weights = np.linalg.solve(phi.T @ phi + reg, phi.T @ y)
-    return LangModel(langs, (b @ (to_map @ weights[:-1])).astype(np.float32), weights[-1])
+    model = LangModel(langs, (b @ (to_map @ weights[:-1])).astype(np.float32), weights[-1])
+    long = [t for t, _ in sample if letter_counts(t)[0] >= LONG]
+    if long:
+        model.floor = float(model.margins(long)[0].max(1).min()) - SLACK
+    return model
 
 
 def fit_documents(docs: DataFrame, per_lang: int = PER_LANG, *, lang: str = "lang") -> LangModel:
@@ -137,25 +156,38 @@ def predict_languages(docs: DataFrame, model: LangModel, *, key: str = "doc_id",
     return rows.mapInArrow(score, ", ".join([*kinds, "lang_pred string", "score double"]))
 
 
-def accepted(docs: DataFrame, model: LangModel, least: float = 0.3, *, text: str = "text") -> DataFrame:
-    """docs without the rows that are rejected: those without a letter (und), and those that score below least. If no language could be learned, texts with a letter stay."""
+def accepted(docs: DataFrame, model: LangModel, least: float = 0.3, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs without the rows that are rejected; where a kept row's lang is null, it becomes the predicted language.
+
+    Rejected are null texts and texts without a letter (und); texts of which less than LETTERS is letters; long texts that
+    every regression turns away, further than any text it was fitted on; and those that score below least. If no language
+    could be learned, the first two rules hold. Other columns stay as they are; an empty table stays empty.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not shared.value.langs:
-                yield b.filter(pa.array([bool(t) and gram_buckets(t) is not None for t in b.column(text).to_pylist()], pa.bool_()))
-                continue
-            langs, scores = shared.value.predict(b.column(text).to_pylist())
-            yield b.filter(pa.array([lang != UND and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+            texts, model = b.column(text).to_pylist(), shared.value
+            margins, sizes = model.margins(texts)
+            langs, scores = model.chosen(margins, sizes)
+            counts = np.array([letter_counts(t) for t in texts], np.int64).reshape(-1, 2)
+            ok = (sizes > 0) & (counts[:, 0] >= LETTERS * counts[:, 1])
+            if model.langs:
+                ok &= (scores >= least) & ((counts[:, 0] < LONG) | (margins.max(1) >= model.floor))
+                if lang in b.schema.names:
+                    at = b.schema.get_field_index(lang)
+                    known = b.column(at)
+                    filled = [v if v is not None else n for v, n in zip(known.to_pylist(), langs, strict=True)]
+                    b = b.set_column(at, b.schema.field(at), pa.array(filled, known.type))
+            yield b.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
 
 def op1_language_id(docs: DataFrame) -> DataFrame:
-    """Every document's language, learned from the documents whose crc32 remainder by 3 is not 1."""
+    """Every document's language, learned from the documents whose crc32 remainder by 3 is not 1. Awkward rows as in predict_languages."""
     model = fit_documents(docs.where(crc_mod("doc_id", 3) != 1))
     out = predict_languages(docs, model)
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

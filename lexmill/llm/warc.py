@@ -194,7 +194,7 @@ def write_archives(pages: DataFrame, path: str, dictionary: bytes = b"", level:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row per record of the archives below path, whatever file system: page_id, url, payload (null for revisits),
     payload_bytes, payload_digest, record_type, refers_to. A record that breaks the format fails the query."""
-    small_batches(spark, 4)  # rows are whole archives, of FILE_BYTES and one record at most
+    small_batches(spark)  # rows are whole archives; Arrow's bound on a batch's bytes cuts their batches
 
     def page(urn: str | None) -> int | None:
         number = (urn or "").removeprefix("<urn:page:").removesuffix(">")
