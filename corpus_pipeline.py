@@ -2,7 +2,8 @@
 
 Each stage works on all that the one before kept, and its decisions take effect: language identification drops what it
 rejects, the n-gram Jaccard join keeps one document of each group, decontamination drops documents that hold a benchmark
-item, the secret scan replaces secrets in the text, packing returns pieces of sequences.
+item, the secret scan replaces secrets in the text, packing returns pieces of sequences. Rows without an id pass every
+stage by their text alone; repeated ids become one document at the join; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from lexmill.llm.common import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts whose language is unclear."""
+    """Rejects texts that are null or hold hardly a letter and texts that fit no language; fills in a missing lang."""
     return langid.accepted(docs, langid.fit_documents(docs))
 
 
@@ -24,6 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item within its edit budget; null and empty texts hold none."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -33,6 +35,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of all documents that are left; a null text is its end token alone."""
     return packing.op6_packing(docs)
 
 
