@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from math import ceil
 
@@ -34,12 +36,20 @@ K1, B = 1.2, 0.75
 #: Heaviest terms in a route (at most four), neighbours that are sorted at first.
 ROUTE_TERMS, SORTED = 4, 24
 
-_ODD = re.compile(r"<\||[\x1c-\x1f]")
-_PLAIN = re.compile(r"[\s\x21-\x7eÀ-ÖØ-öø-ÿ]*")
+_PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+_ODD = re.compile(r"[\x1c-\x1f]")
 # The vocabulary's own pattern over lower-case text of these characters.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
 
+def little(ids: list[int]) -> bytes:
+    """Little-endian 16-bit ids."""
+    held = array("H", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 class Words:
     """16-bit little-endian ids of texts. Holds the vocabulary and no cache, so memory does not grow with texts."""
 
@@ -55,23 +65,25 @@ class Words:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.merge is None or _ODD.search(text):
-            return np.array(self.whole(text), "<u2").tobytes()
+        if self.merge is None or "<|" in text:
+            return little(self.whole(text))
         if _PLAIN.fullmatch(text):
             return self.plain(text)
+        if _ODD.search(text):
+            return little(self.whole(text))
         # what white space parts is tokenised alone, so only words of other characters need the slower way
         out, run = [], []
         for word in text.split():
             if _PLAIN.fullmatch(word):
                 run.append(word)
                 continue
-            out += [self.plain(" ".join(run)), np.array(self.whole(word), "<u2").tobytes()]
+            out += [self.plain(" ".join(run)), little(self.whole(word))]
             run = []
         return b"".join([*out, self.plain(" ".join(run))])
 
     def plain(self, text: str) -> bytes:
         parts = _PARTS.findall(text.lower())
-        return np.array(self.merge("\0".join(parts) + "\0"), "<u2").tobytes() if parts else b""
+        return little(self.merge("\0".join(parts) + "\0")) if parts else b""
 
 
 def merger(vocabulary: str):
@@ -167,15 +179,18 @@ def routes(tokens: list[np.ndarray], idf: np.ndarray, usual: np.ndarray, mean: f
     on = usual[term]
     owner, term, count = owner[on], term[on], count[on]
     weight = bm25(term, count, size[owner], idf, mean)
-    order = np.lexsort((term, -weight, owner))
-    owner, term = owner[order], term[order]
-    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    out = np.full((len(tokens), ROUTE_TERMS), 0xFFFF, np.int64)
-    on = place < ROUTE_TERMS
-    out[owner[on], place[on]] = term[on]
     route = np.zeros(len(tokens), np.int64)
-    for k in range(ROUTE_TERMS):
-        route = route << 16 | out[:, k]
+    start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+    held = np.diff(np.append(start, len(owner)))
+    for _ in range(ROUTE_TERMS):
+        heaviest = np.full(len(tokens), 0xFFFF, np.int64)
+        if len(start):
+            best = np.maximum.reduceat(weight, start)
+            at = np.flatnonzero((weight == np.repeat(best, held)) & (weight > 0))
+            at = at[np.concatenate(([True], owner[at[1:]] != owner[at[:-1]]))] if len(at) else at  # of equal ones the smallest term
+            heaviest[owner[at]] = term[at]
+            weight[at] = 0
+        route = route << 16 | heaviest
     return route
 
 
