@@ -111,15 +111,26 @@ def phonetic(c: Column) -> Column:
     return F.regexp_replace(c, r"[.,;:!?¿¡\"\-—()\[\]{}«»“”]", "")
 
 
-def spellings(c: Column) -> Column:
-    """The word and its variants, in the order in which they are tried."""
-    return F.array_distinct(F.array(c, *(F.replace(c, F.lit(a), F.lit(b)) for a, b in vocab.SPELLINGS)))
+def spellings(c: Column, variants: int | None = None) -> Column:
+    """The word and its variants (or the first so many of them), in the order in which they are tried."""
+    return F.array_distinct(F.array(c, *(F.replace(c, F.lit(a), F.lit(b)) for a, b in vocab.SPELLINGS[:variants])))
 
 
 def clean_headword(c: Column) -> Column:
     return F.regexp_replace(collapse(c), r"^[\d.)\-]+\s*", "")
 
 
+def trim_headword(c: Column) -> Column:
+    """Without punctuation at the end and without equals signs, stars, bullets and quotes at either end."""
+    c = F.rtrim(strip(c), F.lit(".,:;!?"))
+    return strip(F.regexp_replace(F.regexp_replace(c, r'^[\s=*•"]+', ""), r'[\s=*•"]+$', ""))
+
+
+def trim_definition(c: Column) -> Column:
+    """Without a number and marks that a scan put before it, and without full stops at the end."""
+    return F.rtrim(strip(F.regexp_replace(F.regexp_replace(strip(c), r"^\d+\s+", ""), r'^[=*•"]+\s*', "")), F.lit("."))
+
+
 def gloss_terms(c: Column) -> Column:
     """Terms of a gloss: qualifiers dropped, 'form of "X"' is X alone, parts at semicolons without article, verbs also bare."""
     c = F.regexp_replace(c, r"\([^)]*\)|\{[^}]*\}|\[[^\]]*\]", "")
@@ -196,10 +207,46 @@ def reverse_entry(c: Column) -> dict[str, Column]:
     return {"term": get(1), "headword": get(2)}
 
 
-def tagged_examples(c: Column, patterns: dict[str, str], clip: int = 200) -> Column:
-    """Array of (kind, text) for every match of each pattern, clipped."""
+def tagged_examples(c: Column, patterns: dict[str, str] | tuple[tuple[str, str], ...] = vocab.GRAMMAR_RULES, clip: int = 200) -> Column:
+    """Array of (kind, text) for every match of each pattern, clipped, in the order of the patterns."""
     found = lambda kind, p: F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("kind"), F.substring(strip(m), 1, clip).alias("text")))
-    return F.flatten(F.array(*(found(k, p) for k, p in patterns.items())))
+    return F.flatten(F.array(*(found(k, p) for k, p in (patterns.items() if isinstance(patterns, dict) else patterns))))
+
+
+def bilingual_examples(c: Column) -> Column:
+    """Array of (kind, tol, translation): numbered lines with a quoted line below, two quoted texts, texts parted by a slash or an equals sign."""
+
+    def found(kind: str, pattern: str) -> Column:
+        first = 2 if kind == "numbered" else 1
+        both = F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(first)).alias("a"), F.regexp_extract_all(c, F.lit(pattern), F.lit(first + 1)).alias("b"))
+        return F.transform(both, lambda m: F.struct(F.lit(kind).alias("kind"), strip(m["a"]).alias("tol"), strip(m["b"]).alias("translation")))
+
+    return F.flatten(F.array(*(found(k, p) for k, p in vocab.GRAMMAR_EXAMPLES)))
+
+
+def conjugation(c: Column, persons: dict[str, str], markers: dict[str, tuple[str, str]]) -> dict[str, Column]:
+    """person, base and tense of a verb phrase: the first person word, in their order, that begins it, then the first marker that the rest holds.
+
+    Without a marker it is an infinitive if it begins with "to " or names no person, else present.
+    """
+    low = strip(F.lower(c))
+    begins = lambda p: low.startswith(p + " ")
+    first = lambda cases, last: reduce(lambda w, kv: w.when(*kv), cases[1:], F.when(*cases[0])).otherwise(last)
+    person = first([(begins(p), F.lit(code)) for p, code in persons.items()], F.lit(""))
+    rest = first([(begins(p), strip(F.substring(low, len(p) + 2, 1 << 30))) for p in persons], low)
+    base = first([(rest.contains(m), F.lit(v)) for m, (v, _) in markers.items()], F.lit(""))
+    tense = first([(rest.contains(m), F.lit(t)) for m, (_, t) in markers.items()], F.when(rest.startswith("to ") | (person == ""), "infinitive").otherwise("present"))
+    return {"person": person, "base": base, "tense": tense}
+
+
+def pcm16(c: Column) -> Column:
+    """A sample of -1 to 1, clamped, as a 16-bit integer cut towards zero."""
+    return (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)) * 32767).cast("short")
+
+
+def plain_quotes(c: Column) -> Column:
+    """Typographic quotes and apostrophes as their plain forms, then composed letters."""
+    return nfc(F.translate(c, "‘’ʼ′“”«»", "'" * 4 + '"' * 4))
 
 
 def pos_name(c: Column) -> Column:

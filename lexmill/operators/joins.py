@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexmill import vocab
-from lexmill.functions.text import similarity, spellings, without_accents
+from lexmill.functions.text import split_words, similarity, spellings, without_accents
 from lexmill.operators.picks import pick
 
 
@@ -87,14 +87,15 @@ def backfill(rows: DataFrame, known: DataFrame, on: list[str], column: str, orde
     return rows.join(best, on, "left").withColumn(column, F.when(lacks, F.coalesce("_new", column)).otherwise(F.col(column))).select(rows.columns)
 
 
-def fuzzy(words: DataFrame, word: str, vocabulary: DataFrame, least: float = 0.85, band: int = 3) -> DataFrame:
+def fuzzy(words: DataFrame, word: str, vocabulary: DataFrame, least: float = 0.85, band: int = 3, variants: int | None = None) -> DataFrame:
     """word, match, ratio, step: a vocabulary word that is equal, else the first spelling variant that is one, else the most similar of like length and equal first letter.
 
-    Candidates are found by equality joins on (first letter, length), so vocabularies are never paired in full.
+    variants: of the spelling variants only so many are tried. Candidates are found by equality joins on (first letter,
+    length), so vocabularies are never paired in full.
     """
     base = words.select(F.col(word).alias("word")).where("word <> ''").distinct()
     known = vocabulary.select(F.col(vocabulary.columns[0]).alias("match")).distinct()
-    tried = base.select("word", F.posexplode(spellings(F.col("word"))).alias("n", "match")).join(known, "match")
+    tried = base.select("word", F.posexplode(spellings(F.col("word"), variants)).alias("n", "match")).join(known, "match")
     spelled = pick(tried.select("word", "n", "match"), ["word"], ["n"]).select("word", "match", F.lit(1.0).alias("ratio"), F.when(F.col("n") == 0, "exact").otherwise("variant").alias("step"))
     rest = base.join(spelled, "word", "left_anti")
     blocks = rest.select("word", F.substring("word", 1, 1).alias("c"), F.explode(F.sequence(F.greatest(F.lit(1), F.length("word") - band), F.length("word") + band)).alias("n"))
@@ -104,6 +105,20 @@ def fuzzy(words: DataFrame, word: str, vocabulary: DataFrame, least: float = 0.8
     return spelled.unionByName(best)
 
 
+def respelled(phrases: DataFrame, key: str, text: str, vocabulary: DataFrame, least: float = 0.88, band: int = 2, variants: int = 5) -> DataFrame:
+    """key, text: each word of a phrase in the vocabulary's spelling by the stricter rule, or as it is (lower case, without punctuation) if none is near; order kept."""
+    word = F.regexp_replace(F.lower("w"), r"[.,;:!?]", "")
+    each = phrases.select(key, F.posexplode(split_words(F.col(text))).alias("pos", "w")).select(key, "pos", word.alias("word"))
+    found = fuzzy(each, "word", vocabulary, least, band, variants).select("word", "match")
+    put = each.join(found, "word", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("match", "word").alias("w")))).alias("ws"))
+    return put.select(key, F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias("text"))
+
+
+def merge_right(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both by key (unique in each); where both have a key, right's."""
+    return right.unionByName(left.join(right.select(*keys), keys, "left_anti").select(right.columns))
+
+
 def pivot_verify(pairs: DataFrame, units: DataFrame, a: str, b: str, least: int = 1, key: str = "unit") -> DataFrame:
     """pairs (a, b) that stand together in at least so many units (unit, word), with that number."""
     left = units.select(key, F.col("word").alias(a)).distinct()
@@ -154,11 +169,22 @@ def merge_passes(passes: list[DataFrame], key: str, quality) -> DataFrame:
     return pick(rows.withColumn("_q", -quality(F.col("line"))), [key, "line_no"], ["_q", "_p"]).select(key, "line_no", "line")
 
 
-def nearest(targets: DataFrame, points: DataFrame, key: str, target: str, point: str, band: float | None = None) -> DataFrame:
-    """Each target with the nearest point of its key, ties to the smaller; null if none is within band. Found by two as-of windows over targets and points together, not by pairing them."""
-    rows = targets.select(key, F.col(target).alias("_at"), F.lit(None).cast(points.schema[point].dataType).alias("_p"), F.lit(1).alias("_t")).unionByName(points.select(key, F.col(point).alias("_at"), F.col(point).alias("_p"), F.lit(0).alias("_t")))
-    w = Window.partitionBy(key).orderBy("_at", "_t")
+def nearest(targets: DataFrame, points: DataFrame, key: str, target: str, point: str, band: float | None = None, width: float | None = None) -> DataFrame:
+    """Each target with the nearest point of its key, ties to the smaller; null if none is within band. Found by two as-of windows over targets and points together, not by pairing them.
+
+    width: a key's rows are cut into stretches of that width, each a partition of its own, for keys with very many rows.
+    The points next to a stretch come from the first and last points of all stretches, of which there are few.
+    """
+    stretch = (lambda c: F.floor(c / width)) if width else (lambda c: F.lit(0).cast("long"))
+    spots = points.select(key, F.col(point).alias("_at"), F.col(point).alias("_p"), F.lit(0).alias("_t"), stretch(F.col(point)).alias("_b"))
+    rows = targets.select(key, F.col(target).alias("_at"), F.lit(None).cast(points.schema[point].dataType).alias("_p"), F.lit(1).alias("_t"), stretch(F.col(target)).alias("_b")).unionByName(spots)
+    w = Window.partitionBy(key, "_b").orderBy("_at", "_t")
     both = rows.withColumn("_before", F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_after", F.first("_p", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    if width:
+        over = Window.partitionBy(key).orderBy("_b")
+        edges = rows.groupBy(key, "_b").agg(F.min("_p").alias("_low"), F.max("_p").alias("_high"))
+        edges = edges.select(key, "_b", F.last("_high", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"), F.first("_low", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_right"))
+        both = both.join(edges, [key, "_b"]).withColumn("_before", F.coalesce("_before", "_left")).withColumn("_after", F.coalesce("_after", "_right"))
     far = F.lit(float("inf"))
     left, right = F.coalesce(F.col("_at") - F.col("_before"), far), F.coalesce(F.col("_after") - F.col("_at"), far)
     found = F.when(left <= right, F.col("_before")).otherwise(F.col("_after"))

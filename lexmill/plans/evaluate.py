@@ -26,6 +26,14 @@ def histogram(scored: DataFrame, score: str = "bow") -> DataFrame:
     return scored.groupBy(bucket(F.col(score)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def report_lines(scored: DataFrame, key: str, score: str = "bow") -> DataFrame:
+    """key and one line of text each: rows, those at least half right, and their share in per cent with one decimal."""
+    half = F.count_if(F.col(score) >= 0.5)
+    out = scored.groupBy(key).agg(F.count("*").alias("n"), half.alias("half"))
+    share = F.format_string("%.1f", F.col("half") * 100.0 / F.col("n"))
+    return out.select(key, F.concat(F.coalesce(F.col(key).cast("string"), F.lit("unknown")), F.lit(": "), F.col("half").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" ("), share, F.lit("%)")).alias("line"))
+
+
 def template_sentences(spark, templates: dict[str, tuple[str, list[str], int]], seed: int = 42) -> DataFrame:
     """template, i, sentence: so many sentences of each template, its blank filled by a hash of (seed, template, i)."""
     rows = spark.createDataFrame([(k, form, words, n) for k, (form, words, n) in templates.items()], "template string, form string, words array<string>, n int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lexmill.operators.picks import page, pick
+from lexmill.operators.picks import hash_sample, page, pick
 
 
 def search_page(entries: DataFrame, query: str, head: str, meaning: str, number: int = 1, per_page: int = 30, most: int = 4) -> DataFrame:
@@ -32,6 +32,14 @@ def net_ratings(events: DataFrame, keys: list[str], rating: str) -> DataFrame:
     return events.where(F.col(rating).isin(-1, 1)).groupBy(*keys).agg(F.sum(rating).alias("net"), F.count("*").alias("votes"))
 
 
+def training_items(entries: DataFrame, key: str, columns: list[str], of: int, below: int) -> DataFrame:
+    """Items to train with: a sample that depends on the key alone, without entries that lack a side."""
+    whole = entries
+    for c in columns:
+        whole = whole.where(F.coalesce(F.col(c), F.lit("")) != "")
+    return hash_sample(whole, F.col(key), of, below).select(key, *columns)
+
+
 def translate_words(words: DataFrame, word: str, known: DataFrame, inferred: DataFrame) -> DataFrame:
     """A lookup of our own: dictionary first, inferred entries next, with the method's name."""
     first = lambda df: pick(df, ["word"], ["value"]).select(F.col("word").alias(word), "value")

@@ -40,7 +40,7 @@ WITH c AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html
 x AS (SELECT page_id, unnest(range(0, len(ps))) AS pos, unnest(ps) AS p FROM c)
 SELECT page_id, CAST(pos AS INTEGER) AS pos, {CLEAN.format('p')} AS text FROM x WHERE {CLEAN.format('p')} <> ''""")
 def s01_page_paragraphs(spark, sf_dir):
-    """Paragraphs of web pages."""
+    """Paragraphs of web pages."""
     return html.paragraphs(table(spark, sf_dir, "pages"), ["page_id"])
 
 
@@ -49,7 +49,7 @@ WITH x AS (SELECT doc_id, pos, {CLEAN.format('line')} AS text FROM {LINES}),
 v AS (SELECT doc_id, CASE WHEN pos < 3 THEN pos + 1 ELSE pos + 2 END AS verse, text FROM x UNION ALL SELECT doc_id, 4, text FROM x WHERE pos = 2)
 SELECT doc_id, CAST(verse AS INTEGER) AS verse, text FROM v WHERE text <> ''""")
 def s02_verse_scan(spark, sf_dir):
-    """Documents set as chapters with verse markup, the third label a range, scanned again."""
+    """Documents set as chapters with verse markup, the third label a range, scanned again."""
     number = lambda i: F.when(i < 2, (i + 1).cast("string")).when(i == 2, "3-4").otherwise((i + 2).cast("string"))
     span = lambda line, i: F.concat(F.lit('<span class="verse" id="V">'), number(i), F.lit("&#160;</span>"), line)
     pages = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.array_join(F.transform(F.split("text", "\n"), span), " "), F.lit('<ul class="tnav">')).alias("value"))
@@ -58,7 +58,7 @@ def s02_verse_scan(spark, sf_dir):
 
 @query("SELECT conv_id, CAST(turn AS INTEGER) AS page, text FROM conversations")
 def s06_page_map(spark, sf_dir):
-    """A JSON object from turn numbers to texts, written and read."""
+    """A JSON object from turn numbers to texts, written and read."""
     entry = F.struct(F.col("turn").cast("string"), F.col("text"))
     maps = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("json"))
     return maps.select("conv_id", F.explode(F.from_json("json", "map<string,string>")).alias("page", "text")).select("conv_id", F.col("page").cast("int").alias("page"), "text")
@@ -66,7 +66,7 @@ def s06_page_map(spark, sf_dir):
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE string_split(p_name, ' ')[1] END AS source_word, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE string_split(p_name, ' ')[2] END AS target FROM part")
 def s08_pair_scan(spark, sf_dir):
-    """Two fields of a line, parted by a tab or else by white space."""
+    """Two fields of a line, parted by a tab or else by white space."""
     line = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit("\t"), "p_type")).otherwise(F.col("p_name"))
     a, b = files.pair_columns(line)
     return table(spark, sf_dir, "part").select("p_partkey", a.alias("source_word"), b.alias("target"))
@@ -203,7 +203,7 @@ def f27_pos_ladder(spark, sf_dir):
 
 @query()
 def f32_fuzzy_match(spark, sf_dir):
-    """Words of benchmark texts matched to the vocabulary of the documents, blocked by first letter and length."""
+    """Words of benchmark texts matched to the vocabulary of the documents, blocked by first letter and length."""
     from lexmill.operators.joins import fuzzy
 
     words = table(spark, sf_dir, "benchmark").select(F.explode(X.tokens(F.col("text"), least=3)).alias("word")).distinct()

@@ -59,7 +59,7 @@ def found_values(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT * FROM {_LADDER}")
 def j04_lookup_ladder(spark, sf_dir):
-    """Three tiers of lookup, with the tier's name and confidence."""
+    """Three tiers of lookup, with the tier's name and confidence."""
     return found_values(spark, sf_dir)
 
 
@@ -153,7 +153,7 @@ def j12_wordwise_substitution(spark, sf_dir):
 WITH d AS (SELECT doc_id, source, quality FROM documents LEFT JOIN labels USING (doc_id)), b AS (SELECT source, min(quality) AS q FROM d WHERE quality IS NOT NULL GROUP BY source)
 SELECT doc_id, source, coalesce(quality, q) AS quality FROM d LEFT JOIN b USING (source)""")
 def j13_backfill(spark, sf_dir):
-    """An empty column filled from the first known row of equal keys."""
+    """An empty column filled from the first known row of equal keys."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return joins.backfill(rows, rows.where("quality IS NOT NULL"), ["source"], "quality", ["quality"]).select("doc_id", "source", "quality")
 
@@ -260,7 +260,7 @@ KEYS = ["user_id", "event_type"]
 
 @query(_MERGED("coalesce(o.value, n.value)"))
 def k01_insert_ignore(spark, sf_dir):
-    """New keys only, the first row of each."""
+    """New keys only, the first row of each."""
     return merge.insert_ignore(*ratings(spark, sf_dir), KEYS, ["seq"])
 
 
@@ -373,7 +373,7 @@ def o10_search_page(spark, sf_dir):
 SELECT 'meaning' AS kind, p_name AS text FROM part WHERE lower(p_name) = 'red ring' UNION ALL
 SELECT 'sentence', text FROM (SELECT text FROM conversations WHERE list_contains(string_split(lower(text), ' '), 'the') ORDER BY conv_id * 1000 + turn LIMIT 3)""")
 def t07_entry(spark, sf_dir):
-    """An entry and sample sentences."""
+    """An entry and sample sentences."""
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     p = table(spark, sf_dir, "part").select("p_name")
     meanings = serve.entry(p, c, "p_name", "Red Ring", "text", "id", 0).where("kind = 'meaning'")
@@ -382,6 +382,6 @@ def t07_entry(spark, sf_dir):
 
 @query("SELECT user_id, event_type, CAST(sum(r) AS BIGINT) AS net, count(*) AS votes FROM (SELECT user_id, event_type, CASE WHEN value > 20 THEN 1 WHEN value < 5 THEN -1 ELSE 0 END AS r FROM events) WHERE r IN (-1, 1) GROUP BY ALL")
 def t03_net_ratings(spark, sf_dir):
-    """Votes and their sum."""
+    """Votes and their sum."""
     e = table(spark, sf_dir, "events").withColumn("r", F.when(F.col("value") > 20, 1).when(F.col("value") < 5, -1).otherwise(0))
     return serve.net_ratings(e, ["user_id", "event_type"], "r")

@@ -99,7 +99,7 @@ def j29_nearest(spark, sf_dir):
     """The nearest point to each target, found by as-of windows."""
     points = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.lit(1).alias("k"), F.unix_timestamp("l_shipdate").alias("point")).distinct()
     targets = table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'").select(F.lit(1).alias("k"), F.unix_timestamp("o_orderdate").alias("target")).distinct()
-    return joins.nearest(targets, points, "k", "target", "point").select("target", "point")
+    return joins.nearest(targets, points, "k", "target", "point", width=30 * 86_400).select("target", "point")  # all rows have one key
 
 
 @query(r"""

@@ -98,6 +98,22 @@ def frames(audio: DataFrame, ms: int = 10) -> DataFrame:
     return rows.select("path", "frame", F.sqrt(total / F.size("s")).alias("rms"))
 
 
+def prefixed(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """The metadata rows whose column begins with the prefix."""
+    return rows.where(F.col(column).startswith(prefix))
+
+
+def table_exists(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name)
+
+
+def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path, stem, mtime, length of the files below path whose names fit; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    return found.select("path", stem.alias("stem"), F.col("modificationTime").alias("mtime"), "length")
+
+
 def not_done(files: DataFrame, done: DataFrame, stem: str = "stem") -> DataFrame:
     """Files whose stem has no result yet."""
     return files.join(done.select(stem).distinct(), stem, "left_anti")

@@ -28,6 +28,7 @@ def speech_lines(df: DataFrame, file: str = "file", text: str = "text") -> DataF
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
+    """JSON lines, batch after batch; also how feedback is kept."""
     df.write.mode("append").json(path)
 
 

@@ -33,5 +33,26 @@ ACCENTS = ("áéíóúüàèìòùâêîôûäëïöãõçñ", "aeiouuaeiouaeiou
 # Spellings that sound alike, in the order in which they are rewritten.
 PHONETIC = (("tsj", "ch"), ("tj", "ch"), ("cj", "ch"), ("pj", "p"), ("ts'", "s"), ("ts", "s"))
 SPELLINGS = (("ph", "pj"), ("kh", "cj"), ("th", "tj"), ("sh", "sj"), ("ch", "cj"), ("ü", "u"), ("ö", "o"), ("ï", "i"), ("ë", "e"), ("ʼ", "'"), ("j", "h"), ("h", "j"), ("k", "c"), ("c", "k"))
+# Patterns of examples and of rules in grammar texts.
+GRAMMAR_EXAMPLES = (
+    ("numbered", r"(?m)(?:^|\n)\s*\(?(\d+)\)?\s*([^\n]+)\n\s*['\"]([^'\"]+)['\"]"),
+    ("quoted", r"['\"]([^'\"]{5,80})['\"][\s.,:]*['\"]([^'\"]{5,80})['\"]"),
+    ("parted", r"([A-Za-záéíóúüñ'']{3,}(?:\s+[A-Za-záéíóúüñ'']+){1,10})\s*[/=]\s*([A-Za-záéíóúüñ'']{3,}(?:\s+[A-Za-záéíóúüñ'']+){1,10})"),
+)
+GRAMMAR_RULES = (
+    ("word_order", r"(?i)(SOV|SVO|VSO|OVS|VOS|OSV)\b.*?order"),
+    ("word_order", r"(?i)word\s+order[:\s]+([^\n.]+)"),
+    ("word_order", r"(?i)(?:subject|verb|object)\s+(?:precedes|follows|comes?\s+(?:before|after))\s+[^\n.]+"),
+    ("word_order", r"(?i)(?:basic|typical|normal|canonical)\s+(?:sentence|clause)\s+(?:order|structure|pattern)[:\s]+([^\n.]+)"),
+    ("verb_morphology", r"(?i)verb\s+(?:prefix|suffix|affix|marker|conjugat)[^\n.]*"),
+    ("verb_morphology", r"(?i)(?:tense|aspect|mood)\s+(?:marker|suffix|prefix)[^\n.]*"),
+    ("verb_morphology", r"(?i)(?:past|present|future)\s+tense[:\s]+[^\n.]+"),
+    ("pronouns", r"(?i)(?:personal\s+)?pronoun[s]?\s*[:\-][^\n]+"),
+    ("determiners", r"(?i)(?:possessive|demonstrative)\s+[^\n.]+"),
+    ("number_marking", r"(?i)(?:plural|number)\s+(?:marker|suffix|prefix)[^\n.]+"),
+    ("negation", r"(?i)negat(?:ion|ive)[:\s]+[^\n.]+"),
+)
+# Constructions that are entered as they are.
+GRAMMAR_PATTERNS = (("because of", "mpes", "grammar_pattern", 0.90), ("that is why", "nin mpes", "grammar_pattern", 0.90), ("in order to", "la", "grammar_pattern", 0.85), ("used to", "=cha", "grammar_pattern", 0.85), ("long time", "pülükh", "grammar_pattern", 0.85), ("how many", "nol", "grammar_pattern", 0.90), ("how much", "nol", "grammar_pattern", 0.90))
 # Entities of the corpus; the ampersand comes last.
 ENTITIES = (("&#160;", " "), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))

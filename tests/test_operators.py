@@ -1,7 +1,12 @@
 """Joins, upserts, picks, sequences, alignments, sources and streams on small cases."""
 
+import functools
 import itertools
+import random
+import re
 import wave
+from difflib import SequenceMatcher
+from math import ceil
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -241,3 +246,69 @@ def test_counts_of_a_long_row(spark):
     assert got["w1"] == (words.count("w1") + 2, 2) and got["z"] == (1, 1) and len(got) == 8
     grams = {(r.n, r.gram): r.cnt for r in stats.ngram_counts(df, "w").collect()}
     assert grams[2, "w1 z"] == 1 and grams[3, "w1 w1 z"] == 1 and grams[1, "z"] == 1 and sum(c for (n, _), c in grams.items() if n == 3) == 20_000 - 2 + 1
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=12), st.lists(st.integers(0, 60), max_size=8), st.sampled_from([None, 1, 7, 25]))
+def test_nearest_against_all_pairs(spark, at, spots, width):
+    targets = spark.createDataFrame([("k", t) for t in sorted(set(at))], "key string, t long")
+    points = spark.createDataFrame([("k", p) for p in spots], "key string, p long")
+    want = [(t, min(spots, key=lambda p, t=t: (abs(p - t), p), default=None)) for t in sorted(set(at))]
+    assert rows(joins.nearest(targets, points, "key", "t", "p", width=width), "t", "p") == sorted(want, key=str)
+
+
+def test_nearest_unused_by_hand(spark):
+    rng = random.Random(3)
+    cases = [(i, [rng.randrange(50) for _ in range(rng.randrange(6))], [rng.randrange(50) for _ in range(rng.randrange(6))]) for i in range(40)]
+    got = {(r.k, r.i): r.point for r in S.nearest_unused(spark.createDataFrame(cases, "k int, targets array<long>, points array<long>"), "k").collect()}
+    want = {}
+    for k, targets, points in cases:
+        free = list(points)
+        for i, t in enumerate(targets):
+            order = sorted(free, key=lambda p, t=t: (abs(p - t), p))
+            want[k, i] = order[0] if order else None
+            if order:
+                free.remove(order[0])
+    assert got == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("aszplnm", max_size=6), st.text("aeszpktlr", max_size=6))
+def test_warp_costs_least(heard, target):
+    @functools.cache
+    def least(i, j):
+        if not i or not j:
+            return i * S.SKIP_HEARD + j * S.SKIP_TARGET
+        return min(least(i - 1, j - 1) + S.sound_cost(heard[i - 1], target[j - 1]), least(i - 1, j) + S.SKIP_HEARD, least(i, j - 1) + S.SKIP_TARGET)
+
+    pairs = S.warp(heard, target)
+    cost = sum(S.sound_cost(heard[s], target[t]) for t, s in pairs) + (len(heard) - len(pairs)) * S.SKIP_HEARD + (len(target) - len(pairs)) * S.SKIP_TARGET
+    assert abs(cost - least(len(heard), len(target))) < 1e-5 and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 40), st.lists(st.integers(1, 99_999), unique=True, max_size=8), st.integers(1, 30))
+def test_sub_split_keeps_words_and_time(n_words, points, most):
+    text, end = " ".join(f"w{i}" for i in range(n_words)), 100_000
+    parts = S.sub_split(0, end, text, points, most)
+    assert " ".join(p[2] for p in parts).split() == text.split() and all(a[1] <= b[0] for a, b in zip(parts, parts[1:]))
+    n = 1 if most >= 100 else max(2, ceil(100 / (most * 0.8)))
+    edges = points if len(points) >= n - 1 else [int(i * (end / n)) for i in range(n)]
+    assert parts[-1][1] == end and {p[0] for p in parts[1:]} <= {0, *edges}
+
+
+def test_respelled_phrases_against_all_pairs(spark):
+    rng = random.Random(5)
+    known = sorted({"".join(rng.choice("cjpkshtau") for _ in range(rng.randrange(2, 7))) for _ in range(60)} | {"pjaa", "cjua"})
+    phrases = [(i, " ".join("".join(w[:k] + rng.choice("cjpkshtau") + w[k + 1 :]) + rng.choice(["", ".", "!"]) for w in rng.choices(known, k=3) for k in [rng.randrange(len(w))])) for i in range(20)] + [(99, "Phaa, khua ZZZ")]
+    got = {r.id: r.text for r in joins.respelled(spark.createDataFrame(phrases, "id int, text string"), "id", "text", spark.createDataFrame([(k,) for k in known], "w string")).collect()}
+
+    def spelled(w):
+        w = re.sub("[.,;:!?]", "", w.lower())
+        tried = [w, *(w.replace(a, b) for a, b in (("ph", "pj"), ("kh", "cj"), ("th", "tj"), ("sh", "sj"), ("ch", "cj")))]
+        if same := [v for v in tried if v in known]:
+            return same[0]
+        near = sorted((-SequenceMatcher(None, w, k).ratio(), k) for k in known if k[0] == w[0] and abs(len(k) - len(w)) <= 2)
+        return near[0][1] if near and -near[0][0] >= 0.88 else w
+
+    assert got == {i: " ".join(map(spelled, t.split())) for i, t in phrases} and got[99] == "pjaa cjua zzz"

@@ -115,3 +115,30 @@ def test_categories(spark):
     cases = [("animals", "noun", 2, 1), ("animals", "noun", 3, 2), ("other", "verb", 1, 2), ("other", "noun", 4, 3)]
     out = spark.createDataFrame(cases, "c string, p string, n int, w int").select((X.difficulty(F.col("c"), F.col("p"), F.col("n")) == F.col("w")).alias("ok")).collect()
     assert all(r.ok for r in out)
+
+
+def test_carried_sentences_by_hand(spark):
+    import random
+    import re
+
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["one", "two three", "four five six.", "seven!", "eight nine?", "ten"]) for _ in range(rng.randrange(8))) for _ in range(60)]
+
+    def by_hand(t):
+        done, carry = [], ""
+        for s in filter(None, map(str.strip, re.split(r"(?<=[.!?])\s+", t))):
+            both = f"{carry} {s}".strip()
+            if len(both.split()) < 3 and both[-1] not in ".!?":
+                carry = both
+            else:
+                done.append(both)
+                carry = ""
+        if carry and done:
+            done[-1] += " " + carry
+        elif carry:
+            done = [carry]
+        return done
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.s for r in df.select("i", X.carried_sentences(df.t).alias("s")).collect()}
+    assert got == {i: by_hand(t) for i, t in enumerate(texts)}
