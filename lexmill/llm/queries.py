@@ -14,7 +14,7 @@ from lexmill.llm.langid import op1_language_id
 from lexmill.llm.licenses import op10_license_scans, op10_sql
 from lexmill.llm.packing import op6_packing
 from lexmill.llm.secrets import op4_secret_scans
-from lexmill.llm.sharding import op5_sharding
+from lexmill.llm.sharding import op5_sharding, op5_sql
 from lexmill.llm.toxicity import op3_toxicity
 from lexmill.llm.warc import OP2_SQL, op2_warc
 
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_license_scans": op10_sql()}
+    return {"op2_warc": OP2_SQL, "op5_sharding": op5_sql(), "op9_ngram_jaccard": OP9_SQL, "op10_license_scans": op10_sql()}

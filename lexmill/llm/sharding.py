@@ -48,8 +48,9 @@ def fill_table(shards: list[str], slots: int = SLOTS, weights: dict[str, int] |
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """A key's slot, from the hash of its text form; null counts as the empty string."""
-    return F.pmod(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+    """A key's slot, from the first 60 bits of the MD5 of its text form, which other engines can compute too; null counts as the empty string."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
 def table_frame(spark: SparkSession, table: list[str], column: str = "shard") -> DataFrame:
@@ -70,3 +71,13 @@ def op5_sharding(docs: DataFrame, n: int = 64) -> DataFrame:
     without = F.broadcast(table_frame(docs.sparkSession, fill_table(names[1:]), "shard_after_loss"))
     out = placed.join(without, "slot", "left")
     return out.select("doc_id", "slot", "shard", "shard_after_loss", (F.col("shard") != F.col("shard_after_loss")).alias("moved"))
+
+
+def op5_sql(n: int = 64) -> str:
+    """The same by both tables as lists."""
+    names = [f"shard-{i:03d}" for i in range(n)]
+    listed = lambda table: "string_split('" + ",".join(name[-3:] for name in table) + "', ',')"
+    return f"""
+WITH t AS (SELECT {listed(fill_table(names))} AS a, {listed(fill_table(names[1:]))} AS b),
+d AS (SELECT doc_id, CAST(CAST('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), ''))[1:15] AS BIGINT) % {SLOTS} AS INTEGER) AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || a[slot + 1] AS shard, 'shard-' || b[slot + 1] AS shard_after_loss, a[slot + 1] <> b[slot + 1] AS moved FROM d, t"""
