@@ -26,9 +26,10 @@ BUCKETS = 1 << 14
 UND = "und"
 #: Parameters of the fit: documents per language, landmarks per language, ridge.
 PER_LANG, LANDMARKS, RIDGE = 400, 48, 1e-2
-#: Rejection: least share of letters among visible characters; letters from which on a text is long, and how far below all
-#: fitted texts of that length its best margin may lie.
-LETTERS, LONG, SLACK = 0.2, 100, 0.15
+#: Rejection: least share of letters among visible characters; letters from which on a text is long, and the least share of
+#: a language's landmarks that hold an n-gram of a long text, on average over its n-grams and for the language that has most.
+#: With fewer than KNOWN n-grams in all landmarks, too little is known of the languages for that.
+LETTERS, LONG, TYPICAL, KNOWN = 0.2, 100, 0.12, 2000
 
 _letters: np.ndarray | None = None
 
@@ -80,16 +81,26 @@ class LangModel:
     langs: list[str]
     folded: np.ndarray  # B A
     bias: np.ndarray
-    floor: float = -np.inf  # best margins of the texts it was fitted on are above this
+    usual: np.ndarray  # by language, the share of its landmarks that hold each n-gram
+    typical: float = 0.0  # least share by which a long text is accepted
 
     def margins(self, texts: list[str | None], block: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """Each regression's margin for each text, and the texts' numbers of n-grams (0: no letter)."""
-        margins, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        return self.measured(texts, False, block)[:2]
+
+    def measured(self, texts: list[str | None], typical: bool = True, block: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """margins, and for each text and language the mean share of landmarks that hold its n-grams, by the same product."""
+        n = len(self.langs)
+        margins, sizes, shares = np.zeros((len(texts), n)), np.zeros(len(texts)), np.zeros((len(texts), n))
+        columns = np.hstack((self.folded, self.usual)) if typical else self.folded
         for i in range(0, len(texts), block):
             p, size = presence(texts[i : i + block])
-            margins[i : i + block] = (p @ self.folded) / np.sqrt(np.maximum(size, 1))[:, None] + self.bias
+            got = p @ columns
+            margins[i : i + block] = got[:, :n] / np.sqrt(np.maximum(size, 1))[:, None] + self.bias
+            if typical:
+                shares[i : i + block] = got[:, n:] / np.maximum(size, 1)[:, None]
             sizes[i : i + block] = size
-        return margins, sizes
+        return margins, sizes, shares
 
     def chosen(self, margins: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
         if not self.langs:
@@ -107,9 +118,11 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     """Fit on (text, lang) pairs. No pairs: a model that says und; one language: always that one."""
     langs = sorted({y for _, y in sample})
     if not langs:
-        return LangModel([], np.zeros((len(ORDERS) * BUCKETS, 0), np.float32), np.zeros(0))
-    marks = [t for lang in langs for t in [t for t, y in sample if y == lang][:landmarks]]
-    p, size = presence(marks)
+        none = np.zeros((len(ORDERS) * BUCKETS, 0), np.float32)
+        return LangModel([], none, np.zeros(0), none)
+    marks, owner = zip(*((t, k) for k, lang in enumerate(langs) for t in [t for t, y in sample if y == lang][:landmarks]), strict=True)
+    p, size = presence(list(marks))
+    usual = np.stack([p[np.array(owner) == k].mean(0) for k in range(len(langs))], 1)
     b = (p / np.sqrt(np.maximum(size, 1))[:, None]).T
     del p
     values, vectors = np.linalg.eigh((b.T @ b).astype(np.float64))
@@ -124,11 +137,7 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     reg = ridge * len(sample) / max(1, phi.shape[1]) * np.eye(phi.shape[1])
     reg[-1, -1] = 1e-9
     weights = np.linalg.solve(phi.T @ phi + reg, phi.T @ y)
-    model = LangModel(langs, (b @ (to_map @ weights[:-1])).astype(np.float32), weights[-1])
-    long = [t for t, _ in sample if letter_counts(t)[0] >= LONG]
-    if long:
-        model.floor = float(model.margins(long)[0].max(1).min()) - SLACK
-    return model
+    return LangModel(langs, (b @ (to_map @ weights[:-1])).astype(np.float32), weights[-1], usual, TYPICAL if size.sum() >= KNOWN else 0.0)
 
 
 def fit_documents(docs: DataFrame, per_lang: int = PER_LANG, *, lang: str = "lang") -> LangModel:
@@ -159,9 +168,10 @@ def predict_languages(docs: DataFrame, model: LangModel, *, key: str = "doc_id",
 def accepted(docs: DataFrame, model: LangModel, least: float = 0.3, *, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs without the rows that are rejected; where a kept row's lang is null, it becomes the predicted language.
 
-    Rejected are null texts and texts without a letter (und); texts of which less than LETTERS is letters; long texts that
-    every regression turns away, further than any text it was fitted on; and those that score below least. If no language
-    could be learned, the first two rules hold. Other columns stay as they are; an empty table stays empty.
+    Rejected are null texts and texts without a letter (und); texts of which less than LETTERS is letters; long texts whose
+    n-grams are hardly found in the landmarks of any language (TYPICAL), such as random letters and scripts that were not
+    learned, if the landmarks hold enough to tell (KNOWN); and those that score below least. If no language could be learned, the first two rules hold. Other columns stay
+    as they are; an empty table stays empty.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -170,12 +180,12 @@ def accepted(docs: DataFrame, model: LangModel, least: float = 0.3, *, text: str
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, model = b.column(text).to_pylist(), shared.value
-            margins, sizes = model.margins(texts)
+            margins, sizes, shares = model.measured(texts)
             langs, scores = model.chosen(margins, sizes)
             counts = np.array([letter_counts(t) for t in texts], np.int64).reshape(-1, 2)
             ok = (sizes > 0) & (counts[:, 0] >= LETTERS * counts[:, 1])
             if model.langs:
-                ok &= (scores >= least) & ((counts[:, 0] < LONG) | (margins.max(1) >= model.floor))
+                ok &= (scores >= least) & ((counts[:, 0] < LONG) | (shares.max(1) >= model.typical))
                 if lang in b.schema.names:
                     at = b.schema.get_field_index(lang)
                     known = b.column(at)

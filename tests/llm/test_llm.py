@@ -85,7 +85,7 @@ def test_rejection(spark):
     words = {"en": "the cat and dog sat on that mat with them all day long".split(), "fr": "le chat et chien sont sur ce tapis avec eux tous les jours".split()}
     sample = [(" ".join(rng.choices(w, k=60)), lang) for lang, w in words.items() for _ in range(40)]
     model = langid.fit(sample)
-    rows = [(1, " ".join(rng.choices(words["en"], k=60)), None, "s", 1), (2, "".join(rng.choices("qxzjkvwbp ", k=600)), "en", "s", 1), (3, "12 34 5x " * 40, "en", "s", 1), (4, "the mat", None, "s", 1), (5, " ".join(rng.choices(words["fr"], k=60)), "xx", "s", 1), (6, None, None, "s", 1)]
+    rows = [(1, " ".join(rng.choices(words["en"], k=60)), None, "s", 1), (2, "".join(rng.choices("qxzjkvwbp ", k=600)), "en", "s", 1), (7, "Съешь же ещё этих мягких французских булок " * 5, None, "s", 1), (3, "12 34 5x " * 40, "en", "s", 1), (4, "the mat", None, "s", 1), (5, " ".join(rng.choices(words["fr"], k=60)), "xx", "s", 1), (6, None, None, "s", 1)]
     kept = {r.doc_id: r.lang for r in langid.accepted(docs(spark, rows), model).collect()}
     assert kept == {1: "en", 4: "en", 5: "xx"}
     assert langid.accepted(empty(spark), model).count() == 0
