@@ -50,6 +50,11 @@ def little(ids: list[int]) -> bytes:
     return held.tobytes()
 
 
+_MARKS = [(c, f"\0{c}\0") for c in map(chr, range(0x21, 0x7F)) if not c.isalnum()]
+_DIGITS = [(c, f"\0{c}\0") for c in "0123456789"]
+_SPACES = "\t\n\v\f\r "
+
+
 class Words:
     """16-bit little-endian ids of texts. Holds the vocabulary and no cache, so memory does not grow with texts."""
 
@@ -82,8 +87,20 @@ class Words:
         return b"".join([*out, self.plain(" ".join(run))])
 
     def plain(self, text: str) -> bytes:
-        parts = _PARTS.findall(text.lower())
-        return little(self.merge("\0".join(parts) + "\0")) if parts else b""
+        """Ids of a text of plain characters; its parts are ended by a zero byte."""
+        low = text.lower()
+        if "'" in low:
+            parts = _PARTS.findall(low)
+            return little(self.merge("\0".join(parts) + "\0")) if parts else b""
+        # without contractions the parts are runs of letters, runs of marks and single digits: ends are put by replacing
+        for old, new in _MARKS:
+            low = low.replace(old, new)
+        low = low.replace("\0\0", "")  # between marks that stand together
+        for old, new in _DIGITS:
+            low = low.replace(old, new)
+        for c in _SPACES:
+            low = low.replace(c, "\0")
+        return little(self.merge(low + "\0"))
 
 
 def merger(vocabulary: str):
@@ -320,6 +337,7 @@ def batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 def whole_windows(tokens: DataFrame) -> DataFrame:
     """The sequences that a document of WINDOW tokens or more has of its own."""
+    tokens = tokens.where(F.length("tokens") >= 2 * WINDOW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = 1 << 62 | partition() << 36
