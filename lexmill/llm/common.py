@@ -50,6 +50,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete what stored wrote for the frames, once later states have been stored and nothing else reads them."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_mod(column: str, divisor: int) -> Column:
     """crc32 of a column's text form, modulo divisor; a null counts as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % divisor

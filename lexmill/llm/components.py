@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lexmill.llm.common import lookup_skewed, stored
+from lexmill.llm.common import discard, lookup_skewed, stored
 
 
 def _min_neighbour(pairs: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = _min_neighbour(large)
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = small.select("u", F.col("m").alias("v"))
-        now = stored(moved.unionByName(own).distinct(), "edges")
+        before, now = now, stored(moved.unionByName(own).distinct(), "edges")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

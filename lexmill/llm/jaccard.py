@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexmill.llm.common import batches_of, lookup_skewed, small_batches, stored
+from lexmill.llm.common import batches_of, discard, lookup_skewed, small_batches, stored
 from lexmill.llm.components import connected_components
 
 #: Frequencies: n-grams of a piece, least count within it, and how many n-grams at most have a place at the end of the order.
@@ -115,6 +115,7 @@ def frequent(docs: DataFrame, k: int, ranked: int = RANKED) -> tuple[np.ndarray,
             break
         least = b
     top = found.where(band >= least if least is not None else F.lit(False)).toArrow()
+    discard(found)
     h, c = top.column("h").to_numpy(), top.column("c").to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
@@ -385,7 +386,7 @@ def within_reach(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataF
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold, by exact overlap counts. A task has PARTNERS of a hub's partners at most or so."""
+    """The pairs (a, b) whose whole sets reach the threshold, by exact overlap counts; stored. A task has PARTNERS of a hub's partners at most or so."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") > PARTNERS).select("a", F.ceil(F.col("size") / PARTNERS).alias("parts"))
     parted = pairs.join(sizes, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int"))
     members = parted.select(F.col("a").alias("g"), "part", F.lit(1).alias("kind"), F.col("b").alias("node"))
@@ -416,7 +417,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
                         break
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    return rows.repartition("g", "part").sortWithinPartitions("g", "part", "kind", "node").select("g", "kind", "node", "text").mapInArrow(check, "a long, b long")
+    links = stored(rows.repartition("g", "part").sortWithinPartitions("g", "part", "kind", "node").select("g", "kind", "node", "text").mapInArrow(check, "a long, b long"), "links")
+    discard(wanted)
+    return links
 
 
 def near_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -443,15 +446,17 @@ def near_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
         shared = stored(found, "columns")
     met = shared.where("hub <> node").groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("na"), F.col("n").cast("long").alias("nb")).agg(F.count("*").alias("shared"))
     hub_pairs = above_bound(met, num, den).where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b").distinct()  # a pair that meets in other columns too may be missed here, not below
-    links = stored(verified(within_reach(hub_pairs, distinct, num, den), docs, k, num, den), "links")
+    links = verified(within_reach(hub_pairs, distinct, num, den), docs, k, num, den)
     found = connected_components(links)
     nodes = distinct.select("node", "bits").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "bits")
     placed = shared.select("h", "node", "n", "pos").join(nodes, "node")
     with batches_of(docs.sparkSession, 4096):  # numbers and bitmaps
         pairs = stored(cross_pairs(cells(placed, hot), num, den), "pairs")
-    more = stored(verified(pairs, docs, k, num, den), "links")
+    discard(shared)
+    more = verified(pairs, docs, k, num, den)
     stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
     all_found = connected_components(stars.unionByName(more).unionByName(copies))
+    discard(distinct, links, found, pairs, more)
     ids = rows.select("doc_id", F.col("n").alias("n_shingles"))
     return ids.join(all_found, ids.doc_id == all_found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lexmill.llm.common import small_batches, stored
+from lexmill.llm.common import discard, small_batches, stored
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS, SHARD_DOCS = 1_500_000, 2048
@@ -448,6 +448,8 @@ def pack(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "
             break
         parts = ceil(left / SHARD_TOKENS)  # a task leaves less than a window, so levels shrink some hundredfold
         done = packed(free, parts, level, weights, mean, parts == 1)
+        if not level:
+            discard(free)
         out = out.unionByName(done.where("tokens IS NULL").select(*COLUMNS))
         free, level = done.where("tokens IS NOT NULL").select(*PIECES), level + 1
         if parts == 1:
