@@ -28,6 +28,13 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
+def rewrite_once(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Work off all that is there; each batch replaces the result by the windows as they then are. Nothing passes through the driver."""
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(path)  # the result if there is nothing
+    replace = lambda df, _: df.write.mode("overwrite").parquet(path)
+    stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+
+
 def upsert_stream(stream: DataFrame, target: str, checkpoint: str, keys: list[str], column: str, order: list[str]) -> None:
     """Merge each micro-batch into the table at target/v<batch>; a batch that runs again writes the same version."""
     spark = stream.sparkSession
