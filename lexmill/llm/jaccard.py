@@ -382,13 +382,14 @@ def within_reach(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataF
             near = pa.array((na + nb - apart(bits, each, each + x.num_rows)) // 2 >= least_overlap(na, nb, num, den), pa.bool_())
             yield x.select(["a", "b"]).filter(near)
 
-    return pairs.join(small("a"), "a").join(small("b"), "b").mapInArrow(keep, "a long, b long")
+    of_hub = small("a").join(pairs.groupBy("a").agg(F.count("*").alias("partners")), "a")  # a hub may have any share of the pairs
+    return lookup_skewed(pairs, of_hub, "a", "partners").join(small("b"), "b").mapInArrow(keep, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold, by exact overlap counts; stored. A task has PARTNERS of a hub's partners at most or so."""
-    sizes = pairs.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") > PARTNERS).select("a", F.ceil(F.col("size") / PARTNERS).alias("parts"))
-    parted = pairs.join(sizes, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int"))
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") > PARTNERS).withColumn("parts", F.ceil(F.col("size") / PARTNERS))
+    parted = lookup_skewed(pairs, sizes, "a", "size").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int"))
     members = parted.select(F.col("a").alias("g"), "part", F.lit(1).alias("kind"), F.col("b").alias("node"))
     wanted = stored(members.unionByName(parted.select(F.col("a").alias("g"), "part", F.lit(0).alias("kind"), F.col("a").alias("node")).distinct()), "wanted")
     nodes = wanted.select(F.col("node").alias("doc_id")).distinct()
@@ -446,7 +447,9 @@ def near_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
         shared = stored(found, "columns")
     met = shared.where("hub <> node").groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("na"), F.col("n").cast("long").alias("nb")).agg(F.count("*").alias("shared"))
     hub_pairs = above_bound(met, num, den).where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").select("a", "b").distinct()  # a pair that meets in other columns too may be missed here, not below
-    links = verified(within_reach(hub_pairs, distinct, num, den), docs, k, num, den)
+    hub_pairs = stored(hub_pairs, "hub-pairs")
+    near = stored(within_reach(hub_pairs, distinct, num, den), "near")
+    links = verified(near, docs, k, num, den)
     found = connected_components(links)
     nodes = distinct.select("node", "bits").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "bits")
     placed = shared.select("h", "node", "n", "pos").join(nodes, "node")
@@ -456,7 +459,7 @@ def near_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     more = verified(pairs, docs, k, num, den)
     stars = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
     all_found = connected_components(stars.unionByName(more).unionByName(copies))
-    discard(distinct, links, found, pairs, more)
+    discard(distinct, hub_pairs, near, links, found, pairs, more)
     ids = rows.select("doc_id", F.col("n").alias("n_shingles"))
     return ids.join(all_found, ids.doc_id == all_found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
