@@ -331,7 +331,7 @@ def segment_name(book: Column, chapter: Column, verse: Column) -> Column:
     return F.format_string("%s_%02d_v%03d.wav", book, chapter, verse)
 
 
-def to_samples(ms: Column, rate: int, low: Column | None = None, high: Column | None = None) -> Column:
+def to_samples(ms: Column, rate: int | Column, low: Column | None = None, high: Column | None = None) -> Column:
     """Milliseconds to a sample number, cut to an integer and clamped."""
     n = (ms * rate / 1000).cast("long")
     n = F.greatest(n, low) if low is not None else n

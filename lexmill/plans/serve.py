@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmill.operators.picks import hash_sample, page, pick
 
 
+def search_request(url: Column) -> dict[str, Column]:
+    """query, page and per_page of a search address, with their defaults."""
+    value = lambda name, other: F.coalesce(F.try_to_number(F.parse_url(url, F.lit("QUERY"), F.lit(name)), F.lit("999999")).cast("int"), F.lit(other))
+    text = F.coalesce(F.parse_url(url, F.lit("QUERY"), F.lit("q")), F.lit(""))
+    return {"query": F.url_decode(text), "page": F.greatest(value("page", 1), F.lit(1)), "per_page": F.least(F.greatest(value("per_page", 30), F.lit(1)), F.lit(100))}
+
+
 def search_page(entries: DataFrame, query: str, head: str, meaning: str, number: int = 1, per_page: int = 30, most: int = 4) -> DataFrame:
     """headword, meanings, total, pages, page of the heads that contain the query (folded), by folded head; at most so many meanings each."""
     hits = entries.where(F.lower(head).contains(query.lower()))

@@ -360,3 +360,16 @@ def t09_feedback(spark, sf_dir):
     for k in range(2):
         sinks.append_jsonl(rows.where(F.coalesce(F.pmod("id", F.lit(2)), F.lit(0)) == k), path)
     return spark.read.schema("kind string, id long").json(path).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, p_partkey % 4 AS k, split_part(p_name, ' ', 1) AS w, split_part(p_name, ' ', 2) AS v FROM part)
+SELECT p_partkey, w || ' ' || v AS query, CAST(CASE WHEN k = 0 THEN 1 ELSE greatest(p_partkey % 7, 1) END AS INTEGER) AS page, CAST(CASE WHEN k < 2 THEN 30 ELSE least(greatest(p_partkey % 200, 1), 100) END AS INTEGER) AS per_page FROM t""")
+def s22_search_request(spark, sf_dir):
+    """Search addresses read: query, page, rows a page."""
+    p, k = F.col("p_partkey"), F.col("p_partkey") % 4
+    w = F.split("p_name", " ")
+    page = F.when(k == 0, "").otherwise(F.concat(F.lit("&page="), (p % 7).cast("string")))
+    per = F.when(k < 2, "").otherwise(F.concat(F.lit("&per_page="), (p % 200).cast("string")))
+    url = F.concat(F.lit("http://localhost/api/dict/search?q="), w[0], F.lit("+"), F.get(w, F.lit(1)), page, per)
+    return table(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for n, c in serve.search_request(url).items()))

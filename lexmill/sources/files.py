@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import urllib.request
 import wave
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexmill.functions.text import null_if_blank, split_words, strip
@@ -75,18 +78,48 @@ def records(spark: SparkSession, path: str, separator: str = "_____\n") -> DataF
 
 
 def pcm(spark: SparkSession, path: str) -> DataFrame:
-    """path, rate, samples of 16-bit mono WAV files."""
-
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for p, content in zip(f["path"], f["content"], strict=True):
-                with wave.open(io.BytesIO(content)) as w:
-                    samples = memoryview(w.readframes(w.getnframes())).cast("h")[:: w.getnchannels()].tolist()
-                    out.append((p, w.getframerate(), samples))
-            yield pd.DataFrame(out, columns=["path", "rate", "samples"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, rate int, samples array<int>")
+    """path, rate, samples of 16-bit WAV files, of several channels the first."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                with wave.open(io.BytesIO(content.as_py())) as w:
+                    samples = np.frombuffer(w.readframes(w.getnframes()), "<i2")[:: w.getnchannels()].astype(np.int32)
+                    held = pa.ListArray.from_arrays(pa.array([0, len(samples)], pa.int32()), pa.array(samples))
+                    yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([w.getframerate()], pa.int32()), held], ["path", "rate", "samples"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, "path string, rate int, samples array<int>")
+
+
+def split_gzip(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
+    """pos, chunk of what a gzip file holds that was split into parts, in the order of their names. A gzip stream can't be entered in its middle, so it is one task's work."""
+
+    def inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, pos = zlib.decompressobj(31), 0
+        for b in batches:
+            for content in b.column("content"):
+                data = content.as_py()
+                while data:
+                    out = stream.decompress(data, chunk)
+                    data = stream.unconsumed_tail
+                    if stream.eof:  # another member may follow
+                        data, stream = stream.unused_data, zlib.decompressobj(31)
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array([pos], pa.int64()), pa.array([out], pa.binary())], ["pos", "chunk"])
+                        pos += len(out)
+
+    parts = spark.read.format("binaryFile").load(path).select("path", "content")
+    return parts.repartition(1).sortWithinPartitions("path").mapInArrow(inflate, "pos long, chunk binary")
+
+
+def word_list(spark: SparkSession, url: str, timeout: float = 10) -> DataFrame:
+    """word of a list, a word a line, that is fetched from an address; no rows if it can't be had. For lists that the driver can hold."""
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as got:
+            words = [w.strip() for w in got.read().decode("utf-8", "replace").splitlines() if w.strip()]
+    except (OSError, ValueError):
+        words = []
+    return spark.createDataFrame([(w,) for w in words], "word string")
 
 
 def frames(audio: DataFrame, ms: int = 10) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import io
+import wave
 
-from lexmill.functions.text import file_stem
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from lexmill.functions.text import file_stem, to_samples
 
 
 def write_json_document(df: DataFrame, path: str, field: str) -> None:
@@ -27,6 +32,30 @@ def speech_lines(df: DataFrame, file: str = "file", text: str = "text") -> DataF
     return df.select(file_stem(F.col(file)).alias("stem"), F.col(text).alias("text"), F.col(text).alias("normalized"))
 
 
+@F.pandas_udf(T.BinaryType())
+def wav_bytes(samples: pd.Series, rate: pd.Series) -> pd.Series:
+    """A 16-bit mono WAV file of the samples."""
+
+    def encode(s: np.ndarray, r: int) -> bytes:
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(int(r))
+            w.writeframes(np.asarray(s, "<i2").tobytes())
+        return out.getvalue()
+
+    return pd.Series([encode(s, r) for s, r in zip(samples, rate, strict=True)])
+
+
+def cut_segments(audio: DataFrame, segments: DataFrame) -> DataFrame:
+    """path, name, content (a WAV file) of segments (path, name, start_ms, end_ms) of audio (path, rate, samples); places are cut to the audio, empty segments give no rows."""
+    n = F.size("samples").cast("long")
+    first, last = (to_samples(F.col(c), F.col("rate"), F.lit(0).cast("long"), n) for c in ("start_ms", "end_ms"))
+    rows = segments.join(audio, "path").withColumn("_a", first).withColumn("_n", last - F.col("_a")).where("_n > 0")
+    return rows.select("path", "name", wav_bytes(F.slice("samples", (F.col("_a") + 1).cast("int"), F.col("_n").cast("int")), "rate").alias("content"))
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines, batch after batch; also how feedback is kept."""
     df.write.mode("append").json(path)

@@ -1,6 +1,7 @@
 """Joins, upserts, picks, sequences, alignments, sources and streams on small cases."""
 
 import functools
+import gzip
 import itertools
 import random
 import re
@@ -312,3 +313,32 @@ def test_respelled_phrases_against_all_pairs(spark):
         return near[0][1] if near and -near[0][0] >= 0.88 else w
 
     assert got == {i: " ".join(map(spelled, t.split())) for i, t in phrases} and got[99] == "pjaa cjua zzz"
+
+
+def test_segments_are_cut_and_read_back(spark, tmp_path):
+    samples = [(i * 37) % 30_000 - 15_000 for i in range(4000)]
+    audio = spark.createDataFrame([("a", 8000, samples), ("b", 8000, [])], "path string, rate int, samples array<int>")
+    cuts = [("a", "one", 0, 100), ("a", "two", 400, 900), ("a", "none", 300, 300), ("a", "late", 9000, 9500), ("b", "empty", 0, 10)]
+    out = sinks.cut_segments(audio, spark.createDataFrame(cuts, "path string, name string, start_ms long, end_ms long")).collect()
+    assert {r.name for r in out} == {"one", "two"}
+    (tmp_path / "wav").mkdir()
+    for r in out:
+        (tmp_path / "wav" / f"{r.name}.wav").write_bytes(r.content)
+    back = {r.path.rsplit("/", 1)[1]: r for r in files.pcm(spark, f"{tmp_path}/wav").collect()}
+    assert back["one.wav"].samples == samples[:800] and back["two.wav"].samples == samples[3200:4000] and back["one.wav"].rate == 8000
+
+
+def test_split_gzip(spark, tmp_path):
+    data = b"".join(b"%d," % i for i in range(200_000))
+    packed = gzip.compress(data[:500_000]) + gzip.compress(data[500_000:])
+    (tmp_path / "parts").mkdir()
+    for k in range(0, len(packed), 100_000):
+        (tmp_path / "parts" / f"x.part{k // 100_000:02d}").write_bytes(packed[k : k + 100_000])
+    got = files.split_gzip(spark, f"{tmp_path}/parts", 1 << 16).orderBy("pos").collect()
+    assert b"".join(r.chunk for r in got) == data and len(got) > 3
+
+
+def test_word_list(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("fire\n\n water \n")
+    assert rows(files.word_list(spark, f"file://{tmp_path}/words.txt")) == [("fire",), ("water",)]
+    assert files.word_list(spark, f"file://{tmp_path}/none.txt").count() == 0 and files.word_list(spark, "no address").count() == 0
