@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 from lexmill import vocab
 from lexmill.functions.text import split_words, strip
 
+# Fixed value: part-of-speech tags of the dictionary.
 POS_TAG = r"(?:s|vi|vt|adj|adv|pro|int|conj|prep|ve|vr|vc)"
 
 

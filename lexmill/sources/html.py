@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexmill.functions.text import collapse, drop_blocks, strip_tags, unescape
 
+# Patterns of the corpus's markup.
 VERSE = r"(?s)<span class=\"verse\"[^>]*>\s*(\d+(?:-\d+)?)(?:&#160;|&nbsp;|\s)*</span>(.*?)(?=<span class=\"verse\"|<ul|<div class=\"footnote|$)"
 SINGLE, NAIVE = r"^\d+$", r"(?s)<span[^>]*class=\"verse\"[^>]*>(.*?)</span>"
+NOTES = r"(?s)<span class=\"(?:popup|notemark)\"[^>]*>.*?</span>|<a[^>]*class=\"notemark\"[^>]*>.*?</a>"
 
 
 def clean_markup(page: Column) -> Column:
     """Pop-ups and note marks dropped, added words unwrapped."""
-    page = F.regexp_replace(page, r"(?s)<span class=\"(?:popup|notemark)\"[^>]*>.*?</span>|<a[^>]*class=\"notemark\"[^>]*>.*?</a>", "")
+    page = F.regexp_replace(page, NOTES, "")
     return F.regexp_replace(page, r"(?s)<span class=['\"]add['\"]>(.*?)</span>", "$1")
 
 
