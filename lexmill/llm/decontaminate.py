@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 from lexmill.llm.common import small_batches
 
 Q, RATE = 10, 0.08
-#: Items are searched in blocks of so many; texts in pieces of so many characters, which overlap.
-ITEM_BLOCK, PIECE = 10_000, 1 << 20
+#: Items are searched in blocks of so many, or of so many characters; texts in pieces of so many characters, which overlap.
+ITEM_BLOCK, BLOCK_CHARS, PIECE = 10_000, 4 << 20, 1 << 20
 BITS = 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _tables: tuple[np.ndarray, np.ndarray] | None = None
@@ -213,13 +213,14 @@ class Items:
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The distinct items with a text, ITEM_BLOCK at a time; one empty block if there are none."""
-    block, n = [], 0
+    """The distinct items with a text, ITEM_BLOCK or BLOCK_CHARS characters at a time; one empty block if there are none."""
+    block, held, n = [], 0, 0
     for r in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct().toLocalIterator():
         block.append((r.item_id, r.text))
-        if len(block) == ITEM_BLOCK:
+        held += len(r.text)
+        if len(block) == ITEM_BLOCK or held >= BLOCK_CHARS:
             yield block
-            block, n = [], n + 1
+            block, held, n = [], 0, n + 1
     if block or not n:
         yield block
 
@@ -230,7 +231,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float
     The budget is rate times the item's normalised length, and at most what the filter can bound. Null and empty texts, and
     items without a letter or digit, have no regions; repeated items count once, repeated documents each. Items of fewer
     than q normalised characters count where they stand as whole words. Items are
-    held by the tasks in blocks of ITEM_BLOCK, one pass over the documents for each block.
+    held by the tasks in blocks of ITEM_BLOCK or BLOCK_CHARS characters, one pass over the documents for each block.
     """
     spark = docs.sparkSession
     small_batches(spark)
