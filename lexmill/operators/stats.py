@@ -89,8 +89,9 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def contexts(rows: DataFrame, a: str, b: str, top: int | None = 3) -> DataFrame:
     """a, b, context, cnt: for every two words of aligned units the other words of a's side, sorted, at most top of them; with top None a digest of them all."""
-    others = F.array_sort(F.array_except("_a", F.array("a_word")))
+    others = F.array_remove("_a", F.col("a_word"))  # sorted once a row
     context = F.sha2(F.array_join(others, " "), 256) if top is None else F.array_join(F.slice(others, 1, top), " ")
-    units = rows.select(F.explode(F.array_distinct(a)).alias("a_word"), F.col(a).alias("_a"), F.array_distinct(b).alias("_b"))
+    sides = rows.select(F.array_sort(F.array_distinct(a)).alias("_a"), F.array_distinct(b).alias("_b"))
+    units = sides.select(F.explode("_a").alias("a_word"), "_a", "_b")
     every = units.select("a_word", context.alias("context"), F.explode("_b").alias("b_word"))
     return every.groupBy("a_word", "b_word", "context").agg(F.count("*").alias("cnt"))
