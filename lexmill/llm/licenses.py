@@ -98,9 +98,11 @@ def phrase_places(words: list[bytes], spaced: bytes) -> list[tuple[int, str]]:
     if b" license " in spaced or b" by " in spaced:
         for phrase, label in PHRASES:
             sought = f" {phrase} ".encode()
-            at = spaced.find(sought)
+            at, counted, words_before = spaced.find(sought), 0, 0
             while at >= 0:
-                found.append((spaced.count(b" ", 0, at), label))
+                words_before += spaced.count(b" ", counted, at)
+                counted = at
+                found.append((words_before, label))
                 at = spaced.find(sought, at + 1)
     return sorted(found)
 

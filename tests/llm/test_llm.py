@@ -695,3 +695,11 @@ def test_every_language_is_drawn_and_none_drops_nothing(spark):
     assert {y for _, y in got} == {f"l{i}" for i in range(70)} | {"long"} and max(len(t) for t, _ in got) == 20_000
     none = spark.createDataFrame([(1, None, "words"), (2, None, "123"), (3, None, None)], "doc_id long, lang string, text string")
     assert [r.doc_id for r in langid.accepted(none, langid.fit_documents(none)).collect()] == [1]
+
+
+def test_many_phrases_take_linear_time():
+    words = [b"mit", b"license", b"cc", b"by"] * 100_000
+    began = time.process_time()
+    places = licenses.phrase_places(words, b" " + b" ".join(words) + b" ")
+    assert time.process_time() - began < 5 and len(places) == 200_000
+    assert places[:4] == [(0, "mit"), (2, "cc-by"), (4, "mit"), (6, "cc-by")] and places[-1] == (399_998, "cc-by")
