@@ -46,7 +46,8 @@ BROADCAST_IDS = 400_000
 BITMAP_LEAST, BITMAP_MOST = 16, 256
 #: Rows of a column from which on it is split; partners of a hub that one task verifies.
 SPLIT, PARTNERS = 1 << 18, 512
-PAIRS_AT_ONCE, PAIRS_HELD, BITMAPS_AT_ONCE = 500_000, 1_000_000, 1 << 15
+#: Rows of a cell from which on it is multiplied alone; pairs at once, pairs held for a batch, bitmaps compared at once.
+LARGE, PAIRS_AT_ONCE, PAIRS_HELD, BITMAPS_AT_ONCE = 512, 500_000, 1_000_000, 1 << 15
 
 
 class WordHashes(dict):
@@ -143,8 +144,11 @@ def folded(bits: list[bytes], size: int) -> np.ndarray:
 
 def apart(bits: list[bytes], r: np.ndarray, c: np.ndarray) -> np.ndarray:
     """In how many bits the bitmaps of r and c differ, the longer folded to the shorter: at most as many as n-grams."""
+    out = np.zeros(len(r), np.int64)
+    if not len(r):
+        return out
     lengths = np.fromiter(map(len, bits), np.int64, len(bits))
-    short, out = np.minimum(lengths[r], lengths[c]), np.zeros(len(r), np.int64)
+    short = np.minimum(lengths[r], lengths[c])
     for size in np.unique(short):
         of = np.flatnonzero(short == size)
         for at in range(0, len(of), BITMAPS_AT_ONCE):
@@ -277,29 +281,47 @@ def cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
     """
     names = ["h", "x", "y", "side", "node", "n", "pos", "comp", "bits"]
 
-    def pairs_of(t: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        # rows are sorted by size, so partners of at..at+step end where sizes get too large
-        node, n, pos, comp = t["node"], t["n"].astype(np.int64), t["pos"].astype(np.int64), t["comp"]
-        if comp.min() == comp.max():
-            return
-        side, two = t["side"], t["x"][0] != t["y"][0]
-        step = max(1, PAIRS_AT_ONCE // len(node))
-        for at in range(0, len(node), step):
-            to = min(at + step, len(node))
-            stop = int(np.searchsorted(n * num, n[to - 1] * den, side="right"))
-            i, j = np.arange(at, to)[:, None], np.arange(at, stop)[None, :]
-            ok = (j > i) & (comp[i] != comp[j]) & (n[j] * num <= n[i] * den) & (node[i] != node[j])
-            if two:
-                ok &= side[i] != side[j]
-            alpha = least_overlap(n[i], n[j], num, den)
-            ok &= (pos[i] <= n[i] - alpha) & (pos[j] <= n[j] - alpha)
-            r, c = np.nonzero(ok)
-            if not len(r):
-                continue
-            r, c = r + at, c + at
-            near = (n[r] + n[c] - apart(t["bits"], r, c)) // 2 >= least_overlap(n[r], n[c], num, den)
-            r, c = r[near], c[near]
-            yield np.minimum(node[r], node[c]), np.maximum(node[r], node[c])
+    def candidates(t: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of rows that meet in a cell, some PAIRS_AT_ONCE at a time; cells whose rows share a component have none."""
+        h, x, y, comp, n = t["h"], t["x"], t["y"], t["comp"], t["n"]
+        start = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+        length = np.diff(np.append(start, len(h)))
+        mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+        large = length > LARGE
+        row = np.flatnonzero(np.repeat(mixed & ~large, length))
+        partners = np.repeat(start + length, length)[row] - row - 1
+        total = np.cumsum(partners)
+        at = 0
+        while at < len(row):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+            count = partners[at:to]
+            r = np.repeat(row[at:to], count)
+            yield r, r + 1 + np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+            at = to
+        for s in np.flatnonzero(mixed & large):
+            first, end = int(start[s]), int(start[s] + length[s])
+            step = max(1, PAIRS_AT_ONCE // (end - first))
+            for at in range(first, end, step):
+                # rows are sorted by size, so partners of at..to end where sizes get too large
+                to = min(at + step, end)
+                stop = first + int(np.searchsorted(n[first:end].astype(np.int64) * num, int(n[to - 1]) * den, side="right"))
+                i, j = np.nonzero(np.arange(at, stop)[None, :] > np.arange(at, to)[:, None])
+                yield i + at, j + at
+
+    def met(t: dict[str, np.ndarray], r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of the candidates: different components, sizes and places that allow the threshold, bitmaps near enough."""
+        node, comp, side = t["node"], t["comp"], t["side"]
+        ok = (comp[r] != comp[c]) & (node[r] != node[c]) & ((t["x"][r] == t["y"][r]) | (side[r] != side[c]))
+        r, c = r[ok], c[ok]
+        n, pos = t["n"].astype(np.int64), t["pos"].astype(np.int64)
+        ok = n[c] * num <= n[r] * den
+        r, c = r[ok], c[ok]
+        alpha = least_overlap(n[r], n[c], num, den)
+        ok = (pos[r] <= n[r] - alpha) & (pos[c] <= n[c] - alpha)
+        r, c, alpha = r[ok], c[ok], alpha[ok]
+        near = (n[r] + n[c] - apart(t["bits"], r, c)) // 2 >= alpha
+        r, c = r[near], c[near]
+        return np.minimum(node[r], node[c]), np.maximum(node[r], node[c])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -313,9 +335,12 @@ def cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], ["a", "b"])
 
         for t in in_cells(batches, names):
-            for p in pairs_of(t):
-                held.append(p)
-                size += len(p[0])
+            for r, c in candidates(t):
+                found = met(t, r, c)
+                if not len(found[0]):
+                    continue
+                held.append(found)
+                size += len(found[0])
                 if size >= PAIRS_HELD:
                     yield batch()
                     held, size = [], 0
@@ -327,7 +352,7 @@ def cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def in_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """The rows of one h, x, y at a time; of batches sorted by these. A cell has 2 * SPLIT rows or so at most."""
+    """Rows of whole cells (equal h, x, y) of batches sorted by these. A cell has 2 * SPLIT rows or so at most."""
     held: list[dict[str, np.ndarray]] = []
     last = None
     for b in batches:
@@ -335,17 +360,18 @@ def in_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[di
             continue
         new = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
         h, x, y = new["h"], new["x"], new["y"]
-        cut = np.flatnonzero((h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
-        bounds = [0, *cut.tolist(), b.num_rows]
-        for s, e in zip(bounds, bounds[1:]):
-            key = (h[s], x[s], y[s])
-            if held and key != last:
-                if sum(len(p["h"]) for p in held) > 1:
-                    yield {c: np.concatenate([p[c] for p in held]) for c in names}
-                held = []
-            last = key
-            held.append({c: v[s:e] for c, v in new.items()})
-    if held and sum(len(p["h"]) for p in held) > 1:
+        if held and (h[0], x[0], y[0]) != last:
+            yield {c: np.concatenate([p[c] for p in held]) for c in names}
+            held = []
+        ends = np.flatnonzero((h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        cut = int(ends[-1]) if len(ends) else 0
+        if cut:
+            held.append({c: v[:cut] for c, v in new.items()})
+            yield {c: np.concatenate([p[c] for p in held]) for c in names}
+            held = []
+        held.append({c: v[cut:] for c, v in new.items()})
+        last = (h[-1], x[-1], y[-1])
+    if held:
         yield {c: np.concatenate([p[c] for p in held]) for c in names}
 
 

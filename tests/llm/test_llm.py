@@ -614,9 +614,12 @@ def test_bitmaps_bound_the_overlap():
     assert apart[(r == 6) & (c == 13)] > 0  # and is no empty bound
 
 
-def test_hot_columns_are_split(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SPLIT", 12)
+@pytest.mark.parametrize("split", [12, 1 << 18])
+def test_hot_columns_are_split(spark, monkeypatch, split):
+    monkeypatch.setattr(jaccard, "SPLIT", split)
     monkeypatch.setattr(jaccard, "PARTNERS", 4)
+    monkeypatch.setattr(jaccard, "LARGE", 9)
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 37)
     rng = random.Random(9)
     base = [rng.choice(["w", "x", "y"]) + str(rng.randrange(300)) for _ in range(60)]
     rows = []
@@ -626,7 +629,7 @@ def test_hot_columns_are_split(spark, monkeypatch):
             words[rng.randrange(60)] = f"z{rng.randrange(1000)}"
         rows.append((i, " ".join(words) if i % 8 else " ".join(rng.choices(base, k=50))))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert len(jaccard.set_rows(df, 4, 85, 100)[1]) > 20
+    assert (len(jaccard.set_rows(df, 4, 85, 100)[1]) > 20) == (split == 12)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_components(df, 4, 85, 100).collect()}
     want = components_by_hand(rows, 4, 85, 100)
     assert got == want and len({c for _, c in want.values()}) > 10
