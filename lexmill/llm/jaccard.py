@@ -50,26 +50,61 @@ SPLIT, PARTNERS = 1 << 18, 512
 LARGE, PAIRS_AT_ONCE, PAIRS_HELD, BITMAPS_AT_ONCE = 512, 500_000, 1_000_000, 1 << 15
 
 
-class WordHashes(dict):
-    """64-bit hash of a word; starts anew when full, so memory is bounded."""
+def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By byte, a random 64-bit number (letters of either case alike) and whether it is white space; powers of an odd base and their inverses."""
+    number = np.random.default_rng(12).integers(1, 1 << 63, 256, np.uint64)
+    number[65:91] = number[97:123]
+    space = np.zeros(256, bool)
+    space[[32, *range(9, 14)]] = True
+    number[space] = 0
+    base = 0x9E3779B97F4A7C15
+    power = lambda b: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(BLOCK - 1, b, np.uint64))), dtype=np.uint64)
+    return number, space, power(base), power(pow(base, -1, 1 << 64))
 
-    def __init__(self, most: int = 1 << 17) -> None:
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+#: Bytes hashed at once.
+BLOCK = 1 << 15
+NUMBER, SPACE, POWER, INVERSE = _byte_tables()
 
 
-def shingles(text: bytes | None, k: int, cache: WordHashes) -> np.ndarray:
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, ASCII letters in lower case, as differences of one running sum over the bytes.
+
+    Texts are hashed in blocks that end at white space; words of BLOCK bytes or more are hashed alone.
+    """
+    raw, out, at = np.frombuffer(text, np.uint8), [], 0
+    while at < len(raw):
+        part = raw[at : at + BLOCK]
+        space = SPACE[part]
+        size = len(part)
+        if size == BLOCK:
+            gaps = np.flatnonzero(space)
+            if not len(gaps):
+                end = at + BLOCK
+                while end < len(raw) and not (more := SPACE[raw[end : end + BLOCK]]).any():
+                    end += BLOCK
+                end = min(len(raw), end + int(more.argmax())) if end < len(raw) else len(raw)
+                out.append(np.array([xxhash.xxh3_64_intdigest(text[at:end].lower())], np.uint64))
+                at = end
+                continue
+            size = int(gaps[-1]) + 1
+            part, space = part[:size], space[:size]
+        sums = np.cumsum(NUMBER[part] * POWER[:size], dtype=np.uint64)
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+        first, last = edge[0::2], edge[1::2]
+        before = np.where(first > 0, sums[first - 1], np.uint64(0))
+        h = (sums[last - 1] - before) * INVERSE[first]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(h ^ (h >> np.uint64(29)))
+        at += size
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles(text: bytes | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of the whole text, ASCII letters in lower case; with fewer words, of the whole sequence."""
-    words = (text or b"").lower().split()  # bytes: only ASCII letters change, and only ASCII white space parts words
-    if not words:
+    h = word_hashes(text or b"")  # bytes: only ASCII letters change, and only ASCII white space parts words
+    if not len(h):
         return np.zeros(0, np.int64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     k = min(k, len(h))
     acc = h[: len(h) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
     for j in range(1, k):
@@ -91,7 +126,7 @@ def frequent(docs: DataFrame, k: int, ranked: int = RANKED) -> tuple[np.ndarray,
     """The most frequent n-grams, sorted by hash, and their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, n = WordHashes(), [], 0
+        held, n = [], 0
 
         def often() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -99,7 +134,7 @@ def frequent(docs: DataFrame, k: int, ranked: int = RANKED) -> tuple[np.ndarray,
 
         for b in batches:
             for t in b.column(0).cast(pa.binary()).to_pylist():
-                held.append(shingles(t, k, cache))
+                held.append(shingles(t, k))
                 n += len(held[-1])
                 if n >= PIECE:
                     yield often()
@@ -159,15 +194,36 @@ def apart(bits: list[bytes], r: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def ordered_prefix(h: np.ndarray, often: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, int]:
-    """The set's prefix in order, and how many of the set's n-grams are not frequent."""
-    known, counts = often
-    n = len(h)
-    c = np.zeros(n, np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        c = np.where(known[at] == h, counts[at], 0)
-    return h[np.lexsort((h, c))][: prefix_length(n, num, den)], int((c == 0).sum())
+class Often:
+    """The frequent n-grams with their counts, and a table of the upper bits that any of them has."""
+
+    BITS = 20
+
+    def __init__(self, known: np.ndarray, counts: np.ndarray) -> None:
+        self.known, self.counts = known, counts
+        self.seen = np.zeros(1 << self.BITS, bool)
+        self.seen[self.upper(known)] = True
+
+    def upper(self, h: np.ndarray) -> np.ndarray:
+        return h.view(np.uint64) >> np.uint64(64 - self.BITS)
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.int64)
+        if len(self.known):
+            maybe = np.flatnonzero(self.seen[self.upper(h)])
+            at = np.minimum(np.searchsorted(self.known, h[maybe]), len(self.known) - 1)
+            out[maybe] = np.where(self.known[at] == h[maybe], self.counts[at], 0)
+        return out
+
+
+def ordered_prefix(h: np.ndarray, often: Often, num: int, den: int) -> tuple[np.ndarray, int]:
+    """The set's prefix in order (by count, then by hash), and how many of the set's n-grams are not frequent."""
+    c = often.count(h)
+    rare, size = h[c == 0], prefix_length(len(h), num, den)  # sorted by hash as h is
+    if len(rare) >= size:
+        return rare[:size], len(rare)
+    h, c = h[c > 0], c[c > 0]
+    return np.concatenate((rare, h[np.lexsort((h, c))]))[:size], len(rare)
 
 
 def set_rows(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, list[int]]:
@@ -177,14 +233,14 @@ def set_rows(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, li
     often = spark.sparkContext.broadcast((known, counts))  # RANKED n-grams at most
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        table = Often(*often.value)
         for b in batches:
             n, rare, sig, prefix, bits = [], [], [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
-                h = shingles(t, k, cache)
+                h = shingles(t, k)
                 n.append(len(h))
                 sig.append(xxhash.xxh3_128_digest(h.tobytes()))
-                first, own = ordered_prefix(h, often.value, num, den) if len(h) else (h, 0)
+                first, own = ordered_prefix(h, table, num, den) if len(h) else (h, 0)
                 prefix.append(first.tobytes())
                 rare.append(own)
                 bits.append(bitmap(h))
@@ -425,11 +481,11 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     rows = wanted.join(texts.withColumnRenamed("doc_id", "node"), "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, of, hub = WordHashes(), None, []
+        of, hub = None, []
         for b in batches:
             a_out, b_out = [], []
             for g, kind, node, t in zip(*(b.column(c).to_pylist() for c in ("g", "kind", "node")), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                mine = shingles(t, k, cache)
+                mine = shingles(t, k)
                 if kind == 0:
                     hub = [*hub, mine] if of == g else [mine]
                     of = g

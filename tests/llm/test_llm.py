@@ -603,6 +603,22 @@ def test_components_against_all_pairs(spark, k, num, den):
     assert got == components_by_hand(rows, k, num, den)
 
 
+def test_word_hashes_part_words_as_split_does(monkeypatch):
+    rng = random.Random(3)
+    bits = [b" ", b"\t", b"\n\x0b", b"\x0c ", b"\r", b"a", b"B", b"b", b"Ab", b"aB", "é".encode(), "É".encode(), b"word", b"x" * 20, b"\xc2\xa0", b"\x1c", b"\x00"]
+    texts = [b"".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(3000)] + [b"", b" ", b"x" * 100, b" " * 100, b"y " * 90]
+    for block in (jaccard.BLOCK, 16):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        of = {}
+        for t in texts:
+            words = t.lower().split()
+            h = jaccard.word_hashes(t).tolist()
+            assert len(h) == len(words)
+            for w, x in zip(words, h, strict=True):
+                assert of.setdefault(w, x) == x
+        assert len(set(of.values())) == len(of) > 1000
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(-(1 << 62), 1 << 62, n)) for n in (0, 1, 5, 40, 300, 900, 5000)]
