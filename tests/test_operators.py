@@ -342,3 +342,23 @@ def test_word_list(spark, tmp_path):
     (tmp_path / "words.txt").write_text("fire\n\n water \n")
     assert rows(files.word_list(spark, f"file://{tmp_path}/words.txt")) == [("fire",), ("water",)]
     assert files.word_list(spark, f"file://{tmp_path}/none.txt").count() == 0 and files.word_list(spark, "no address").count() == 0
+
+
+def test_dictionary_pages_that_were_written_from_entries(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdeü'") for _ in range(rng.randrange(2, 7))).strip("'") or "x"
+    pages = []
+    for p in range(30):
+        entries, lines = [], []
+        for _ in range(rng.randrange(1, 8)):
+            head, pos, first = " ".join(word() for _ in range(rng.randrange(1, 3))), rng.choice(["s", "vt", "adj"]), " ".join(word() for _ in range(3))
+            more = [" ".join(word() for _ in range(2)) for _ in range(rng.randrange(3))]
+            entries.append((head, pos, " ".join([first, *more]), len(lines)))
+            tag = pos + rng.choice(["", ": x", ", y"])
+            lines += ([f"{head} ({tag}) {first}"] if rng.random() < 0.6 else [head, f"({tag}) {first}"]) + [x + rng.choice(["", "\n"]) for x in more]
+            lines = "\n".join(lines).split("\n")
+        pages.append((p, "\n".join(lines), entries))
+    df = spark.createDataFrame([(p, t) for p, t, _ in pages], "p int, text string")
+    got = df.lateralJoin(S.DictionaryPage(F.col("text").outer())).collect()
+    for p, _, entries in pages:
+        assert [(r.headword, r.pos, r.definition, r.line_no) for r in sorted((r for r in got if r.p == p), key=lambda r: r.line_no)] == entries
