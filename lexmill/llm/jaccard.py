@@ -292,9 +292,11 @@ def in_lists(batches: Iterator[pa.RecordBatch], names: list[str], most: int = 1
 
 def split_hubs(postings: DataFrame, num: int, den: int) -> DataFrame:
     """What hubs returns, for columns of any number of rows: rows of like size are a band, and a band's hub comes from an aggregation."""
-    banded = postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / log(den / num) if den > num else F.col("n")))
-    best = banded.groupBy("h", "band").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("n").cast("long").alias("hub_n")), F.struct("rare", "node")).alias("b"))
-    return banded.join(F.broadcast(best), ["h", "band"]).select("h", "node", "n", "pos", "b.hub", "b.hub_n")  # a band of a column of more than SPLIT rows each
+    band = F.floor(F.log(F.col("n").cast("double")) / log(den / num)) if den > num else F.col("n").cast("long")
+    banded = postings.withColumn("cell", F.struct("h", band.alias("band")))
+    hub = F.min_by(F.struct(F.col("node").alias("hub"), F.col("n").cast("long").alias("hub_n")), F.struct("rare", "node")).alias("best")
+    best = stored(banded.groupBy("cell").agg(hub, F.count("*").alias("size")), "hot-hubs")
+    return lookup_skewed(banded, best, "cell", "size").select("h", "node", "n", "pos", "best.hub", "best.hub_n")
 
 
 def hubs(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -437,7 +439,7 @@ def cells(placed: DataFrame, hot: list[int]) -> DataFrame:
     if not hot:
         return placed.select("*", *whole)
     spark = placed.sparkSession
-    names = F.broadcast(spark.createDataFrame([(h,) for h in hot], "h long"))  # columns of more than SPLIT rows: few
+    names = F.broadcast(spark.createDataFrame([(h,) for h in hot], "h long"))  # RANKED at most
     rows = placed.join(names, "h", "left_semi")
     blocks = F.broadcast(rows.groupBy("h").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
