@@ -45,7 +45,7 @@ BROADCAST_IDS = 400_000
 #: Bytes of a bitmap: a quarter of the set's size, as a power of two between these bounds.
 BITMAP_LEAST, BITMAP_MOST = 16, 256
 #: Rows of a column from which on it is split; partners of a hub that one task verifies.
-SPLIT, PARTNERS = 1 << 18, 512
+SPLIT, PARTNERS = 1 << 18, 128
 #: Rows of a cell from which on it is multiplied alone; pairs at once, pairs held for a batch, bitmaps compared at once.
 LARGE, PAIRS_AT_ONCE, PAIRS_HELD, BITMAPS_AT_ONCE = 512, 500_000, 1_000_000, 1 << 15
 
