@@ -46,6 +46,8 @@ BROADCAST_IDS = 400_000
 BITMAP_LEAST, BITMAP_MOST = 16, 256
 #: Rows of a column from which on it is split; partners of a hub that one task verifies.
 SPLIT, PARTNERS = 1 << 18, 128
+#: Postings of a task of the first product, some 20 MB, and most tasks.
+POSTINGS, MOST_PARTS = 750_000, 1 << 17
 #: Rows of a cell from which on it is multiplied alone; pairs at once, pairs held for a batch, bitmaps compared at once.
 LARGE, PAIRS_AT_ONCE, PAIRS_HELD, BITMAPS_AT_ONCE = 512, 500_000, 1_000_000, 1 << 15
 
@@ -299,8 +301,8 @@ def split_hubs(postings: DataFrame, num: int, den: int) -> DataFrame:
     return lookup_skewed(banded, best, "cell", "size").select("h", "node", "n", "pos", "best.hub", "best.hub_n")
 
 
-def hubs(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """h, node, n, pos of columns with two rows or more, and the hub with its size: of the column's rows of like size that with fewest n-grams of its own."""
+def hubs(postings: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """h, node, n, pos of columns with two rows or more, and the hub with its size: of the column's rows of like size that with fewest n-grams of its own; in so many parts."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, on, more in in_lists(batches, ["h", "node", "n", "rare", "pos"]):
@@ -327,7 +329,7 @@ def hubs(postings: DataFrame, num: int, den: int) -> DataFrame:
             hub = np.repeat(best, np.unique(part, return_counts=True)[1])[np.argsort(order, kind="stable")]
             yield pa.RecordBatch.from_arrays([pa.array(v[multi]) for v in (h, x["node"], x["n"], x["pos"], x["node"][hub], n[hub])], ["h", "node", "n", "pos", "hub", "hub_n"])
 
-    return postings.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(find, "h long, node long, n int, pos int, hub long, hub_n long")
+    return postings.repartition(parts, "h").sortWithinPartitions("h", "n", "node").mapInArrow(find, "h long, node long, n int, pos int, hub long, hub_n long")
 
 
 def cross_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -522,11 +524,13 @@ def near_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     size = live.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1")
     copies = lookup_skewed(live.select("doc_id", "sig"), size, "sig", "copies").where("node < doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     postings = columns(distinct)
+    total = distinct.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
+    parts = max(1, min(MOST_PARTS, -(-total // POSTINGS)))
     if hot:
         names = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in hot], "h long"))
-        found = hubs(postings.join(names, "h", "left_anti"), num, den).unionByName(split_hubs(postings.join(names, "h", "left_semi"), num, den))
+        found = hubs(postings.join(names, "h", "left_anti"), num, den, parts).unionByName(split_hubs(postings.join(names, "h", "left_semi"), num, den))
     else:
-        found = hubs(postings, num, den)
+        found = hubs(postings, num, den, parts)
     with batches_of(docs.sparkSession, 16_384):  # numbers only
         shared = stored(found, "columns")
     met = shared.where("hub <> node").groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("na"), F.col("n").cast("long").alias("nb")).agg(F.count("*").alias("shared"))
