@@ -27,12 +27,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         state = found
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _min_neighbour(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(_min_neighbour(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")  # read three times
         small = _min_neighbour(large)
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = small.select("u", F.col("m").alias("v"))
         before, now = now, stored(moved.unionByName(own).distinct(), "edges")
-        discard(before)
+        discard(before, large)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
