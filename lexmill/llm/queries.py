@@ -13,6 +13,7 @@ from lexmill.llm.jaccard import OP9_SQL, op9_ngram_jaccard
 from lexmill.llm.langid import op1_language_id
 from lexmill.llm.licenses import op10_license_scans, op10_sql
 from lexmill.llm.packing import op6_packing
+from lexmill.llm.quality import op13_quality_rules, op13_sql
 from lexmill.llm.secrets import op4_secret_scans
 from lexmill.llm.sharding import op5_sharding, op5_sql
 from lexmill.llm.toxicity import op3_toxicity
@@ -32,8 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": lambda spark, sf_dir: op8_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op9_ngram_jaccard": on(op9_ngram_jaccard, "documents"),
         "op10_license_scans": on(op10_license_scans, "documents"),
+        "op13_quality_rules": on(op13_quality_rules, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op5_sharding": op5_sql(), "op9_ngram_jaccard": OP9_SQL, "op10_license_scans": op10_sql()}
+    return {"op2_warc": OP2_SQL, "op5_sharding": op5_sql(), "op9_ngram_jaccard": OP9_SQL, "op10_license_scans": op10_sql(), "op13_quality_rules": op13_sql()}
