@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm.ann import op7_nearest
 from lexmill.llm.ballkmeans import op12_ball_kmeans, op12_sql
+from lexmill.llm.collocations import op11_collocations, op11_sql
 from lexmill.llm.common import table
 from lexmill.llm.decontaminate import op8_decontamination
 from lexmill.llm.jaccard import OP9_SQL, op9_ngram_jaccard
@@ -34,10 +35,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": lambda spark, sf_dir: op8_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op9_ngram_jaccard": on(op9_ngram_jaccard, "documents"),
         "op10_license_scans": on(op10_license_scans, "documents"),
+        "op11_collocations": on(op11_collocations, "documents"),
         "op12_ball_kmeans": on(op12_ball_kmeans, "embeddings"),
         "op13_quality_rules": on(op13_quality_rules, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op5_sharding": op5_sql(), "op9_ngram_jaccard": OP9_SQL, "op10_license_scans": op10_sql(), "op12_ball_kmeans": op12_sql(), "op13_quality_rules": op13_sql()}
+    return {"op2_warc": OP2_SQL, "op5_sharding": op5_sql(), "op9_ngram_jaccard": OP9_SQL, "op10_license_scans": op10_sql(), "op11_collocations": op11_sql(), "op12_ball_kmeans": op12_sql(), "op13_quality_rules": op13_sql()}
