@@ -18,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexmill.llm.common import discard, lookup_skewed, small_batches, stored
 
@@ -278,6 +278,11 @@ def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     return reduce(DataFrame.unionByName, (f.select("lang", "gram", "f") for f in found)), total
 
 
+def score_of() -> Column:
+    """floor(SCALE a / (l + r)), by whole numbers of 38 digits."""
+    return F.expr(f"CAST(a AS DECIMAL(20, 0)) * CAST({SCALE} AS DECIMAL(18, 0)) DIV (CAST(l AS DECIMAL(20, 0)) + CAST(r AS DECIMAL(20, 0)))")
+
+
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, sizes: int = SIZES, top: int = TOP, cover: int = COVER_PERCENT, bits: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's top phrases of 2 to sizes words with a of least or more.
 
@@ -300,8 +305,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     cuts = cands.select("lang", "gram", F.col("f").alias("a"), "w", "m", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
     cuts = cuts.select("lang", "gram", "a", "k", phrase(F.lit(1), F.col("k")).alias("_first"), phrase(F.col("k") + 1, F.col("m") - F.col("k")).alias("_rest"))
     cut = stored(looked_up(looked_up(cuts, "_first", "l").drop("_first"), "_rest", "r").drop("_rest"), "phrase-cuts")
-    score = F.expr(f"CAST(a AS DECIMAL(20, 0)) * CAST({SCALE} AS DECIMAL(18, 0)) DIV (CAST(l AS DECIMAL(20, 0)) + CAST(r AS DECIMAL(20, 0)))")
-    lowest = cut.withColumn("score", score).groupBy("lang", "gram", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c")).select("lang", "gram", "a", "c.score", "c.l", "c.r")
+    lowest = cut.withColumn("score", score_of()).groupBy("lang", "gram", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c")).select("lang", "gram", "a", "c.score", "c.l", "c.r")
     inner = cands.where("m > 2").select("lang", F.col("f").alias("_b"), "w", "m", F.explode(F.sequence(F.lit(2), F.col("m") - 1)).alias("j"))
     inner = inner.select("lang", "_b", "w", "j", F.explode(F.sequence(F.lit(1), F.col("m") - F.col("j") + 1)).alias("i"))
     covers = inner.select("lang", phrase(F.col("i"), F.col("j")).alias("gram"), "_b").groupBy("lang", "gram").agg(F.max("_b").alias("_b"))
@@ -323,7 +327,8 @@ def op11_sql() -> str:
     sizes = " UNION ALL ".join(f"SELECT lang, {n} AS m, {gram(n)} AS gram FROM (SELECT lang, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w)" for n in range(1, SIZES + 1))
     return rf"""
 WITH p AS (SELECT lang, unnest(regexp_split_to_array({low}, '[.,;:!?
-]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS t FROM documents)),
+
+]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS t FROM documents)),
 w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
 tot AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
 f AS MATERIALIZED (SELECT lang, m, gram, count(*) AS f FROM ({sizes}) GROUP BY ALL HAVING count(*) >= {LEAST}),

@@ -24,7 +24,7 @@ BITS = 6
 LEAST_TEXTS = 200
 #: Fences lie so many quartile distances outside the quartiles, and the least room of each rate: a rate that hardly varies doesn't reject small differences.
 REACH = 4
-ROOM = {"word_length": 2500, "symbols": 200, "capitals": 800, "same_lines": 400, "line_words": None}
+ROOM = {"word_length": 2500, "symbols": 200, "capitals": 800, "same_lines": 400}
 LOW = ("word_length",)
 SPACE = r"[ \t-\r]"
 
@@ -66,11 +66,12 @@ def per_thousand(part: str, whole: str) -> Column:
     return F.expr(f"CASE WHEN {whole} > 0 THEN 1000 * {part} DIV {whole} ELSE 0 END")
 
 
+#: What each rate divides: a count, and the words or lines that it goes by.
 RATES = {
-    "word_length": per_thousand("word_chars", "n_words"),
-    "symbols": per_thousand("n_symbols", "n_words"),
-    "capitals": per_thousand("n_capitals", "n_words"),
-    "same_lines": per_thousand("n_dup_lines", "n_lines"),
+    "word_length": ("word_chars", "n_words"),
+    "symbols": ("n_symbols", "n_words"),
+    "capitals": ("n_capitals", "n_words"),
+    "same_lines": ("n_dup_lines", "n_lines"),
 }
 
 
@@ -122,7 +123,7 @@ def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     """
     named = docs.select(F.col(key).alias("_key"), F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_source"), F.col(text).alias("_text"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    rows = stored(counts(named, "_text").withColumn("base_failed", failed).withColumns({k: F.when(~F.col("base_failed"), v) for k, v in RATES.items()}), "quality")
+    rows = stored(counts(named, "_text").withColumn("base_failed", failed).withColumns({k: F.when(~F.col("base_failed"), per_thousand(*v)) for k, v in RATES.items()}), "quality")
     group = F.concat(F.coalesce(F.concat(F.lit("="), F.col("_lang")), F.lit("")), F.lit("\x1f"), F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("")))
     passed = rows.where("NOT base_failed").withColumn("_lang", F.coalesce(F.concat(F.lit("="), F.col("_lang")), F.lit(""))).withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("")))
     edges = thresholds(stored(sketches(passed, ["_lang", "_source"]), "quality-sketches")).withColumn("_group", F.concat("_lang", F.lit("\x1f"), "_source")).drop("_lang", "_source")
@@ -140,7 +141,7 @@ def op13_quality_rules(docs: DataFrame) -> DataFrame:
 
 def op13_sql() -> str:
     rate = lambda part, whole: f"CASE WHEN {whole} > 0 THEN 1000 * {part} // {whole} ELSE 0 END"
-    parts = {"word_length": rate("word_chars", "n_words"), "symbols": rate("n_symbols", "n_words"), "capitals": rate("n_capitals", "n_words"), "same_lines": rate("n_dup_lines", "n_lines")}
+    parts = {k: rate(*v) for k, v in RATES.items()}
     per = " UNION ALL ".join(f"SELECT l, s, '{k}' AS rate, {k} AS v FROM p WHERE NOT base_failed" for k in RATES)
     room = "CASE rate " + " ".join(f"WHEN '{k}' THEN {ROOM[k]}" for k in RATES) + " END"
     pick = lambda c: f"CASE WHEN o.n >= {LEAST_TEXTS} THEN o.{c} WHEN g.n >= {LEAST_TEXTS} THEN g.{c} ELSE e.{c} END"
