@@ -3,7 +3,9 @@
 Three patterns give the base spans. The method adds spans: candidate strings are runs of token characters;
 within each, for every character class (hex, alphanumeric, base64) a window of fixed width slides over the
 runs of that class while its Shannon entropy is kept by incremental counts (one character enters, one
-leaves). Windows at or above the class's threshold are merged to spans, which the allow-list may suppress.
+leaves). Windows at or above the class's threshold are merged to spans. The allow-list suppresses whole candidates and runs
+that are no secrets in full, and of other runs only the windows that hold a placeholder word: what stands beside such a
+word is scanned.
 """
 
 from __future__ import annotations
@@ -35,15 +37,17 @@ CLASSES = (
     ("alnum", re.compile(r"[A-Za-z0-9]{20,}"), 20, 3.7),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.1),
 )
-#: Candidates that are no secrets: one repeated unit, plain words joined, digits alone, placeholders, UUIDs.
+#: Candidates and runs that are no secrets as a whole: one repeated unit, plain words joined, digits alone, a key that public manuals print, UUIDs.
 ALLOW = (
     re.compile(r"(.{1,4})\1{4,}"),
     re.compile(r"[0-9]+(?:[-_/][0-9]+)*"),
     re.compile(r"[A-Z]?[a-z]+(?:[-_/=+]+[A-Z]?[a-z]+|[A-Z][a-z]+)*[-_/=+]*"),  # a piece begins with a separator or a capital, so there is one way to match
     re.compile(r"[A-Z]+(?:[-_/=+][A-Z]+)*"),
-    re.compile(r".*(?:EXAMPLE|example|placeholder|xxxx|XXXX|0123456789|abcdefghij).*"),
+    re.compile(r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
 )
+#: Words that make a placeholder of the window that holds them.
+PLACEHOLDER = re.compile(r"EXAMPLE|example|placeholder|xxxx|XXXX|0123456789|abcdefghij")
 KINDS = ("assign", "access", "hex")
 
 
@@ -81,7 +85,9 @@ class Scanner:
         return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
     def windows(self, run: str, width: int, least: float) -> Iterator[tuple[int, int]]:
-        """Merged places of the windows of the run whose entropy is at least least."""
+        """Merged places of the windows of the run whose entropy is at least least and that hold no placeholder word."""
+        words = [(m.start(), m.end()) for m in PLACEHOLDER.finditer(run)]
+        w = 0  # the first word that starts no earlier than the window
         counts: dict[str, int] = {}
         total, open_at, end = 0.0, -1, -1  # total: sum of n log2 n over the window's counts
         bound = log2(width) - least
@@ -94,8 +100,10 @@ class Scanner:
                 n = counts[gone]
                 counts[gone] = n - 1
                 total += self.terms[n - 1] - self.terms[n]
-            if i >= width - 1 and total / width <= bound + 1e-9:
-                start = i - width + 1
+            start = i - width + 1
+            while w < len(words) and words[w][0] < start:
+                w += 1
+            if start >= 0 and total / width <= bound + 1e-9 and not (w < len(words) and words[w][1] <= i + 1):
                 if open_at < 0:
                     open_at = start
                 elif start > end:
