@@ -4,7 +4,8 @@ Texts and benchmark items are normalised (lower case; runs of what is no letter
 item of m characters occurs with at most k edits, at least m - q + 1 - k q of its q-grams are shared, and all of them
 on k + 1 neighbouring diagonals (place in the text less place in the item). Shared q-grams are counted in bands of
 2 (k + 1) diagonals that overlap by half, so some band holds them all. Bands that reach the bound are verified by a banded
-alignment with free ends in the text. The filter loses nothing, so the result is exact for the budget.
+alignment with free ends in the text. Items too short for the budget at the usual q have a shorter one, at which the bound
+is at least one. The filter loses nothing: every place that holds an item within its budget is a row or overlaps one.
 """
 
 from __future__ import annotations
@@ -64,8 +65,8 @@ def gram_hashes(s: np.ndarray, q: int = Q) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))) * _MULT
 
 
-def banded(item: np.ndarray, text: np.ndarray, first: int, width: int, anchored: bool = False) -> tuple[int, int]:
-    """Least edits to turn item into a part of text, and the part's end, on diagonals first .. first + width - 1.
+def band_costs(item: np.ndarray, text: np.ndarray, first: int, width: int, anchored: bool = False) -> np.ndarray:
+    """Least edits to turn item into a part of text that ends at each diagonal's last place, on diagonals first .. first + width - 1.
 
     The part may start anywhere on the band, or if anchored on diagonal 0 alone.
     """
@@ -83,95 +84,139 @@ def banded(item: np.ndarray, text: np.ndarray, first: int, width: int, anchored:
         new[:-1] = np.minimum(new[:-1], row[1:] + 1)
         new = np.minimum.accumulate(new - d) + d
         row = np.where((j + 1 >= 0) & (j + 1 <= len(text)), new, far)
+    return row
+
+
+def banded(item: np.ndarray, text: np.ndarray, first: int, width: int, anchored: bool = False) -> tuple[int, int]:
+    """The least of band_costs, and where that part ends."""
+    row = band_costs(item, text, first, width, anchored)
     best = int(row.argmin())
-    return int(row[best]), int(d[best]) + len(item)
+    return int(row[best]), first + best + len(item)
+
+
+def inexact(item: np.ndarray, text: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, edits) of parts of text within k edits of item, from left to right and apart from each other, until any other overlaps one of them.
+
+    The text is aligned a window at a time, so the work is linear in it. Of ends within 2 k of the first one, the best counts.
+    """
+    m, z = len(item), 0
+    window = 4 * (m + k)
+    while len(text) - z >= m - k:
+        part = text[z : z + window]
+        more = z + window < len(text)
+        costs = band_costs(item, part, -k, max(1, len(part) - m + 2 * k + 1))  # by end, from m - k on
+        found = np.flatnonzero(costs <= k)
+        if not len(found):
+            if not more:
+                return
+            z += window - m - k
+            continue
+        near = costs[found[0] : found[0] + 2 * k + 1]
+        end = int(found[0] + near.argmin()) - k + m
+        if more and found[0] + 3 * k + m >= window and end > m + k:  # a better end may lie beyond the window
+            z += end - m - k
+            continue
+        back, length = banded(item[::-1], part[:end][::-1], -k - 1, 2 * k + 3, anchored=True)
+        yield z + max(0, end - length), z + end, min(int(near.min()), back)
+        z += max(1, end)
+
+
+class Grams:
+    """Index of the q-grams of the items of one q: hashes with items and places."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int) -> None:
+        self.q = q
+        grams = [gram_hashes(s, q) for _, s in items]
+        h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.grams, start = np.unique(h[order], return_index=True)
+        self.start = np.append(start, len(h))
+        self.item = np.concatenate([np.full(len(g), n) for (n, _), g in zip(items, grams, strict=True)])[order]
+        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order]
+        self.bitmap = np.zeros(1 << BITS, bool)
+        self.bitmap[self.grams >> np.uint64(64 - BITS)] = True
 
 
 class Items:
-    """Index of benchmark items: q-gram hashes with their places."""
+    """Index of benchmark items: q-gram hashes with their places, for each q that items need."""
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE) -> None:
-        self.q = q
-        self.ids, self.texts, self.budget, self.least = [], [], [], []
-        grams, item, place = [], [], []
+        self.ids, self.texts, self.budget = [], [], []
         self.short = []  # items without a q-gram are sought as they are, as whole words
+        of: dict[int, list[tuple[int, np.ndarray]]] = {}
+        least = []
         for key, text in items:
             s = normalised(text or "")[0]
             s = s[: len(s) - 1] if len(s) and s[-1] == 32 else s
             if not len(s):
                 continue
-            k = max(0, min(int(rate * len(s)), (len(s) - q) // q))
-            n = len(self.ids)
+            k, n = int(rate * len(s)), len(self.ids)
+            mine = min(q, len(s) // (k + 1))  # at this q an item with k edits still shares a q-gram
             self.ids.append(key)
             self.texts.append(s)
             self.budget.append(k)
-            self.least.append(len(s) - q + 1 - k * q)
-            h = gram_hashes(s, q)
-            if not len(h):
+            least.append(len(s) - mine + 1 - k * mine)
+            if len(s) < q:
                 self.short.append(n)
-            grams.append(h)
-            item.append(np.full(len(h), n))
-            place.append(np.arange(len(h)))
-        h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.grams, start = np.unique(h[order], return_index=True)
-        self.start = np.append(start, len(h))
-        self.item = (np.concatenate(item) if item else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(place) if place else np.zeros(0, np.int64))[order]
-        self.bitmap = np.zeros(1 << BITS, bool)
-        self.bitmap[self.grams >> np.uint64(64 - BITS)] = True
+            else:
+                of.setdefault(mine, []).append((n, s))
+        self.grams = [Grams(v, mine) for mine, v in sorted(of.items())]
         self.width = 2 * (np.array(self.budget, np.int64) + 1)
-        self.bound = np.array(self.least, np.int64)
+        self.bound = np.array(least, np.int64)
         self.overlap = 4 * max((len(t) for t in self.texts), default=0) + q
 
-    def find(self, s: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of each region of the normalised text s that holds an item within its budget."""
-        h = gram_hashes(s, self.q)
-        at = np.flatnonzero(self.bitmap[h >> np.uint64(64 - BITS)]) if len(self.grams) else []
-        if not len(at):
-            return
-        k = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
-        real = self.grams[k] == h[at]
-        at, k = at[real], k[real]
-        if len(at) < self.bound[self.bound > 0].min(initial=1):
-            return
-        count = self.start[k + 1] - self.start[k]
-        rep = np.repeat(np.arange(len(k)), count)
-        post = self.start[k][rep] + np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
-        item, place = self.item[post], self.place[post]
-        diagonal = at[rep] - place + (1 << 28)
+    def bands(self, s: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Of each item the bands of diagonals of the normalised text s that hold enough of its q-grams."""
         found: dict[int, list[tuple[int, int]]] = {}
-        for shift in (0, 1):
-            w = self.width[item]
-            band = (diagonal + shift * (w // 2)) // w
-            order = np.lexsort((place, band, item))
-            i, b, p = item[order], band[order], place[order]
-            new = np.concatenate(([True], (i[1:] != i[:-1]) | (b[1:] != b[:-1])))
-            once = np.concatenate(([True], p[1:] != p[:-1])) | new  # an item's q-gram counts once a band
-            first = np.flatnonzero(new)
-            shared = np.add.reduceat(once, first)
-            for f in first[shared >= np.maximum(1, self.bound[i[first]])]:
-                w0 = int(self.width[i[f]])
-                low = int(b[f]) * w0 - shift * (w0 // 2) - (1 << 28)
-                found.setdefault(int(i[f]), []).append((low, low + w0 - 1))
-        for i, bands in found.items():
-            m, k0, taken = len(self.texts[i]), self.budget[i], -1
-            for low, high in self.merged(sorted(bands)):
-                a, z = max(0, low - k0), min(len(s), high + m + k0 + 1)
-                region = s[a:z]
-                exact = self.places(region, self.texts[i])
-                if exact:
-                    hits = [(p, p + m, 0) for p in exact]
-                else:
-                    edits, end = banded(self.texts[i], region, low - k0 - a, high - low + 1 + 2 * k0)
-                    if edits > k0:
-                        continue
-                    back, length = banded(self.texts[i][::-1], region[:end][::-1], -k0 - 1, 2 * k0 + 3, anchored=True)
-                    hits = [(max(0, end - length), end, min(edits, back))]
-                for p, e, edits in hits:
-                    if a + p >= taken:
-                        yield i, a + p, a + e, edits
-                        taken = a + e
+        for g in self.grams:
+            h = gram_hashes(s, g.q)
+            at = np.flatnonzero(g.bitmap[h >> np.uint64(64 - BITS)])
+            if not len(at):
+                continue
+            k = np.minimum(np.searchsorted(g.grams, h[at]), len(g.grams) - 1)
+            real = g.grams[k] == h[at]
+            at, k = at[real], k[real]
+            if not len(at):
+                continue
+            count = g.start[k + 1] - g.start[k]
+            rep = np.repeat(np.arange(len(k)), count)
+            post = g.start[k][rep] + np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
+            item, place = g.item[post], g.place[post]
+            diagonal = at[rep] - place + (1 << 28)
+            for shift in (0, 1):
+                w = self.width[item]
+                band = (diagonal + shift * (w // 2)) // w
+                order = np.lexsort((place, band, item))
+                i, b, p = item[order], band[order], place[order]
+                new = np.concatenate(([True], (i[1:] != i[:-1]) | (b[1:] != b[:-1])))
+                once = np.concatenate(([True], p[1:] != p[:-1])) | new  # an item's q-gram counts once a band
+                first = np.flatnonzero(new)
+                shared = np.add.reduceat(once, first)
+                for f in first[shared >= self.bound[i[first]]]:
+                    w0 = int(self.width[i[f]])
+                    low = int(b[f]) * w0 - shift * (w0 // 2) - (1 << 28)
+                    found.setdefault(int(i[f]), []).append((low, low + w0 - 1))
+        return found
+
+    def find(self, s: np.ndarray, taken: dict[int, int] | None = None) -> Iterator[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of each region of the normalised text s that holds an item within its budget.
+
+        Stretches of the text that bands lead to are searched whole: first exact places, then what lies between them.
+        Regions of an item don't overlap, and every place within the budget is one or overlaps one. taken: where to begin, by item.
+        """
+        for i, bands in self.bands(s).items():
+            item, k = self.texts[i], self.budget[i]
+            m, begin = len(item), (taken or {}).get(i, 0)
+            for low, high in self.merged(sorted((a - k, z + m + k + 1) for a, z in bands)):
+                a, z = max(0, begin, low), min(len(s), high)
+                if z - a < m - k:
+                    continue
+                hits = [(a + p, a + p + m, 0) for p in self.places(s[a:z], item)]
+                edges = [a, *(x for p, e, _ in hits for x in (p, e)), z]
+                for u, v in zip(edges[::2], edges[1::2], strict=True):
+                    hits += [(u + p, u + e, n) for p, e, n in inexact(item, s[u:v], k)] if k else []
+                for p, e, n in sorted(hits):
+                    yield i, p, e, n
 
     @staticmethod
     def merged(bands: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -205,10 +250,12 @@ class Items:
             for p in self.places(s, self.texts[i], overlapping=True):
                 if (p == 0 or s[p - 1] == 32) and (p + m == len(s) or s[p + m] == 32):
                     out.add((self.ids[i], int(at[p]), int(at[p + m - 1]) + 1, 0, m))
+        taken: dict[int, int] = {}
         for p in range(0, max(1, len(s)), PIECE):
-            for i, a, z, edits in self.find(s[p : p + PIECE + self.overlap]):
+            for i, a, z, edits in self.find(s[p : p + PIECE + self.overlap], {i: e - p for i, e in taken.items()}):
                 if a < PIECE:  # later ones are whole in the next piece
                     out.add((self.ids[i], int(at[p + a]), int(at[p + z - 1]) + 1, edits, len(self.texts[i])))
+                    taken[i] = p + z
         return sorted(out)
 
 
@@ -228,10 +275,12 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float = RATE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document and region that holds a benchmark item within its edit budget: doc_id, item_id, start_pos, end_pos, edits, similarity.
 
-    The budget is rate times the item's normalised length, and at most what the filter can bound. Null and empty texts, and
-    items without a letter or digit, have no regions; repeated items count once, repeated documents each. Items of fewer
-    than q normalised characters count where they stand as whole words. Items are
-    held by the tasks in blocks of ITEM_BLOCK or BLOCK_CHARS characters, one pass over the documents for each block.
+    The budget is rate times the item's normalised length, cut to a whole number. Regions of one item in one text don't
+    overlap; where places within the budget do, exact ones count first, then from left to right the best of those that end close to each
+    other, ties to the first. Null and empty texts, and items without a letter or digit, have no regions; repeated items
+    count once, repeated documents each; null ids stay; other columns are not read; empty tables give no rows. Items of
+    fewer than q normalised characters count where they stand as whole words. Whole texts are searched in overlapping
+    pieces, whatever their length. Items are held by the tasks in blocks of ITEM_BLOCK or BLOCK_CHARS characters, one pass over the documents for each block.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -255,6 +304,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = Q, rate: float
 
 
 def op8_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every region of every document that holds a benchmark item; odd cases are as find_leaks states."""
     return find_leaks(docs, benchmark)
 
 
