@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -177,21 +178,23 @@ class Best:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "vec_id", vector: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k rows of largest inner product other than its own, ties to the smaller id.
 
-    Null, zero and non-finite vectors take no part, nor do rows without an id and vectors whose length is not the commonest
-    one. Of rows that share an id the one with the smallest vector counts, among rows and among queries. Of rows with equal
-    vectors the k + 1 with the smallest ids are scanned: no other can be among the k nearest, so a hot vector costs no more.
-    rerank: how many of SCAN_ROWS rows have their exact products taken. Other columns are not read; empty tables give an
-    empty result.
+    Null, zero and non-finite vectors take no part, nor do rows without an id. Products are of vectors of one length, so each
+    length is a search by itself. Of rows that share an id the one with the smallest vector of that length counts, among rows and among
+    queries. Of rows with equal vectors the k + 1 with the smallest ids are scanned: no other can be among the k nearest, so
+    a hot vector costs no more. rerank: how many of SCAN_ROWS rows have their exact products taken. Other columns are not
+    read; empty tables give an empty result.
     """
-    spark = vectors.sparkSession
-    small_batches(spark)
-    rows = usable(vectors, key, vector)
-    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if sizes is None:
-        return empty
-    dim = sizes.d
-    rows = one_per_id(rows.where(F.size("embedding") == dim))
+    small_batches(vectors.sparkSession)
+    rows, asked = usable(vectors, key, vector), usable(queries, key, vector)
+    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect()  # a table has few lengths
+    found = [_nearest_of(one_per_id(rows.where(F.size("embedding") == s.d)), one_per_id(asked.where(F.size("embedding") == s.d)), s.d, s["count"], k, rerank) for s in sizes]
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found or [empty])
+
+
+def _nearest_of(rows: DataFrame, asked: DataFrame, dim: int, size: int, k: int, rerank: int) -> DataFrame:
+    """nearest for usable rows and queries of dim components."""
+    spark = rows.sparkSession
     drawn = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS)  # ids first: tasks send no more vectors than are drawn
     picked = rows.join(F.broadcast(drawn), "vec_id", "left_semi")
     sample = np.array([r.embedding for r in picked.orderBy("vec_id").collect()], np.float64)
@@ -208,10 +211,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "
                 codes = packed(quantiser.encode(matrix(b)))
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "codes"])
 
-    tasks = max(1, ceil(sizes["count"] / TASK_MOST), min(ceil(sizes["count"] / TASK_LEAST), 4 * spark.sparkContext.defaultParallelism))
+    tasks = max(1, ceil(size / TASK_MOST), min(ceil(size / TASK_LEAST), 4 * spark.sparkContext.defaultParallelism))
     kind = "array<float>" if "float" in rows.schema["embedding"].dataType.simpleString() else "array<double>"
     index = stored(kept.repartition(tasks).mapInArrow(encode, f"vec_id long, embedding {kind}, codes binary"), "ann-index")
-    asked = one_per_id(usable(queries, key, vector).where(F.size("embedding") == dim))
     path = shared_dir(spark, "ann-found")
     block: list[tuple[int, list[float]]] = []
     blocks = 0
@@ -239,7 +241,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, key: str = "
         search(block)
         blocks += 1
     if not blocks:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = spark.read.schema("query_id long, vec_id long, score double").parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
