@@ -1,4 +1,4 @@
-"""Text functions on Columns: built-in expressions only, but for nfc, unescape_any and similarity, which need Python."""
+"""Text functions on Columns: built-in expressions only, but for nfc, unescape_any, similarity and common_subsequence, which need Python."""
 
 from __future__ import annotations
 
@@ -301,20 +301,29 @@ def tolerant_hits(expected: Column, actual: Column) -> Column:
     return F.size(F.filter(expected, near))
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, by one dynamic-programming row held in an array."""
-    zero = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
-
-    def next_row(row: Column, x: Column) -> Column:
-        start = F.struct(F.array(F.lit(0)).alias("row"), F.lit(0).alias("i"))
-
-        def cell(s: Column, y: Column) -> Column:
-            best = F.when(x == y, F.element_at(row, s["i"] + 1) + 1).otherwise(F.greatest(F.element_at(row, s["i"] + 2), F.element_at(s["row"], -1)))
-            return F.struct(F.concat(s["row"], F.array(best)).alias("row"), (s["i"] + 1).alias("i"))
-
-        return F.aggregate(b, start, cell, lambda s: s["row"])
-
-    return F.element_at(F.aggregate(a, zero, next_row), -1)
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: each word of the shorter list is one step over bits of the longer one's places, 64 and more at a time."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    places: dict[str, list[int]] = {w: [] for w in a}
+    for i, w in enumerate(b):
+        if w in places:
+            places[w].append(i)
+    # masks of words with many places are kept, of which there are few; others are made when needed, so memory stays far below the square
+    mask_of = lambda of: sum(1 << i for i in of) if len(of) < 16 else int("".join("1" if i in marks else "0" for marks in [set(of)] for i in range(len(b) - 1, -1, -1)), 2)
+    kept = {w: mask_of(of) for w, of in places.items() if len(of) >= 64}
+    full = (1 << len(b)) - 1
+    open_places = full  # a bit is cleared where the length grows
+    for w in a:
+        if places[w]:
+            hit = open_places & (kept[w] if w in kept else mask_of(places[w]))
+            open_places = ((open_places + hit) | (open_places - hit)) & full
+    return len(b) - open_places.bit_count()
+
+
+@F.pandas_udf(T.IntegerType())
+def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two arrays of words; null if either is null."""
+    return pd.Series([None if x is None or y is None else lcs_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -87,20 +87,50 @@ def backfill(rows: DataFrame, known: DataFrame, on: list[str], column: str, orde
     return rows.join(best, on, "left").withColumn(column, F.when(lacks, F.coalesce("_new", column)).otherwise(F.col(column))).select(rows.columns)
 
 
+def bags(words: DataFrame, word: str, rare_first: str) -> DataFrame:
+    """word and bag: its characters, each with the number of its occurrence so far, in an order in which rare ones come first.
+
+    Words share as many bag members as characters, with their multiplicities. Linear in a word's length for each of its letters.
+    """
+    letters = F.filter(F.array_distinct(F.split(word, "")), lambda c: c != "")
+    ordered = F.array_sort(F.transform(letters, lambda c: F.struct(F.coalesce(-F.nullif(F.call_function("instr", F.lit(rare_first), c), F.lit(0)), F.lit(-1000)).alias("o"), c.alias("c"))))
+    times = lambda c: F.length(word) - F.length(F.replace(F.col(word), c, F.lit("")))
+    each = F.transform(ordered, lambda x: F.transform(F.sequence(F.lit(0), times(x["c"]) - 1), lambda k: F.concat(x["c"], k.cast("string"))))
+    return words.withColumn("bag", F.flatten(each))
+
+
+def near_words(words: DataFrame, vocabulary: DataFrame, least: float, band: int) -> DataFrame:
+    """word, match, ratio of all pairs with an equal first letter, lengths that differ by at most band, and a ratio of least or more.
+
+    An exact similarity join. A ratio is at most twice the number of shared characters over both lengths. Words that can
+    reach least therefore share a member among the first (rarest) of their bags: only those are joined, with
+    first letter and length, which splits the blocks of common letters and lengths; each pair comes from its first shared member alone. Pairs whose whole
+    bags share too little go before the ratio itself is taken.
+    """
+    commonest = "".join(r.c for r in vocabulary.select(F.explode(F.array_distinct(F.split("match", ""))).alias("c")).where("c <> ''").groupBy("c").count().orderBy(F.desc("count"), "c").limit(64).collect())
+    need = lambda n: F.ceil(least * n / 2 - 1e-9)  # noqa: E731 - characters that words of n in sum must share
+    shortest = lambda n: F.greatest(F.lit(1), n - band)
+    kept = lambda c, n: F.slice(c, F.lit(1), F.greatest(F.lit(0), n - need(n + shortest(n)) + 1).cast("int"))
+    side = lambda df, name: bags(df, name, commonest).select(name, "bag", F.substring(name, 1, 1).alias("_c"), F.length(name).alias("_n"), kept(F.col("bag"), F.length(name)).alias("_p"))
+    left = side(words, "word").withColumnsRenamed({"bag": "_a", "_n": "_la", "_p": "_pa"})
+    left = left.withColumn("_n", F.explode(F.sequence(shortest(F.col("_la")), F.col("_la") + band))).withColumn("_m", F.explode("_pa"))
+    right = side(vocabulary, "match").withColumn("_m", F.explode("_p"))
+    met = left.join(right, ["_c", "_n", "_m"])
+    first = met.where(F.col("_m") == F.get(F.array_intersect("_pa", "_p"), F.lit(0)))
+    close = first.where(F.size(F.array_intersect("_a", "bag")) >= need(F.col("_la") + F.col("_n")))
+    return close.select("word", "match", similarity("word", "match").alias("ratio")).where(F.col("ratio") >= least)
+
+
 def fuzzy(words: DataFrame, word: str, vocabulary: DataFrame, least: float = 0.85, band: int = 3, variants: int | None = None) -> DataFrame:
     """word, match, ratio, step: a vocabulary word that is equal, else the first spelling variant that is one, else the most similar of like length and equal first letter.
 
-    variants: of the spelling variants only so many are tried. Candidates are found by equality joins on (first letter,
-    length), so vocabularies are never paired in full.
+    variants: of the spelling variants only so many are tried. Null and empty words have no rows.
     """
     base = words.select(F.col(word).alias("word")).where("word <> ''").distinct()
-    known = vocabulary.select(F.col(vocabulary.columns[0]).alias("match")).distinct()
+    known = vocabulary.select(F.col(vocabulary.columns[0]).alias("match")).where("match <> ''").distinct()
     tried = base.select("word", F.posexplode(spellings(F.col("word"), variants)).alias("n", "match")).join(known, "match")
     spelled = pick(tried.select("word", "n", "match"), ["word"], ["n"]).select("word", "match", F.lit(1.0).alias("ratio"), F.when(F.col("n") == 0, "exact").otherwise("variant").alias("step"))
-    rest = base.join(spelled, "word", "left_anti")
-    blocks = rest.select("word", F.substring("word", 1, 1).alias("c"), F.explode(F.sequence(F.greatest(F.lit(1), F.length("word") - band), F.length("word") + band)).alias("n"))
-    near = blocks.join(known.select("match", F.substring("match", 1, 1).alias("c"), F.length("match").alias("n")), ["c", "n"])
-    scored = near.select("word", "match", similarity("word", "match").alias("ratio")).where(F.col("ratio") >= least)
+    scored = near_words(base.join(spelled, "word", "left_anti"), known, least, band)
     best = pick(scored.withColumn("_o", -F.col("ratio")), ["word"], ["_o", "match"]).select("word", "match", "ratio", F.lit("similar").alias("step"))
     return spelled.unionByName(best)
 

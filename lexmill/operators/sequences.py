@@ -1,11 +1,9 @@
-"""Ordered rows: running targets, gap fill, islands, repeats, adjacent rows, and the alignments that need Python."""
+"""Ordered rows: running targets, gap fill, islands, repeats, adjacent rows, dictionary pages."""
 
 from __future__ import annotations
 
 from math import ceil
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
@@ -18,10 +16,10 @@ def running(keys: list[str], order: list[str]):
 
 
 def proportional_targets(rows: DataFrame, keys: list[str], order: list[str], size: str, total: Column) -> DataFrame:
-    """rows with cum (running size) and target (total times its share, cut to an integer)."""
+    """rows with cum (running size) and target (total times its share, cut to an integer; null where the sizes of a key sum to 0)."""
     whole = F.sum(size).over(Window.partitionBy(*keys))
     out = rows.withColumn("cum", F.sum(size).over(running(keys, order)))
-    return out.withColumn("target", F.floor(total * F.col("cum") / whole))
+    return out.withColumn("target", F.floor(total * F.col("cum") / F.nullif(whole, F.lit(0))))
 
 
 def fill_gaps(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -97,146 +95,6 @@ def carry_forward(rows: DataFrame, keys: list[str], order: list[str], value: Col
     return rows.withColumn(name, F.last(value, True).over(running(keys, order)))
 
 
-def split_points(sizes: list[int], points: list[int], total: int) -> list[int]:
-    """Boundaries between parts: one of the points each, in order, with the least sum of squared distances from the proportional times; ties to the earlier points.
-
-    With fewer points than boundaries each boundary takes the point nearest to its time (or the time itself without points).
-    """
-    need, whole = len(sizes) - 1, sum(sizes)
-    if need < 1 or not whole:
-        return []
-    targets = [int(total * c / whole) for c in np.cumsum(sizes)[:-1]]
-    points = sorted(points)
-    if len(points) < need:
-        return sorted(min(points, key=lambda p: abs(p - t)) if points else t for t in targets)
-    p = np.array(points, float)
-    best = np.zeros(len(p) + 1)  # least cost with the last boundary before or at each place; prefix minima replace the inner loop
-    back = []
-    for t in targets:
-        low = np.minimum.accumulate(best)
-        first = np.zeros(len(best), int)
-        for i in range(1, len(best)):
-            first[i] = i if best[i] < low[i - 1] else first[i - 1]
-        cost = np.full(len(best), np.inf)
-        cost[1:] = low[:-1] + (p - t) ** 2
-        back.append(first)
-        best = cost
-    at, chosen = int(best.argmin()), []
-    for first in reversed(back):
-        chosen.append(int(p[at - 1]))
-        at = int(first[at - 1])
-    return sorted(chosen)
-
-
-def split_by_silence(chapters: DataFrame, key: str) -> DataFrame:
-    """key, part, start_ms, end_ms: sizes (array), points (array) and total_ms of a row to the parts' intervals."""
-
-    @F.pandas_udf(structs(part=T.IntegerType(), start_ms=T.LongType(), end_ms=T.LongType()))
-    def parts(sizes: pd.Series, points: pd.Series, total: pd.Series) -> pd.Series:
-        out = []
-        for s, p, t in zip(sizes, points, total, strict=True):
-            edges = [0, *split_points(list(map(int, s)), list(map(int, p)), int(t)), int(t)]
-            out.append([{"part": i, "start_ms": a, "end_ms": b} for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
-        return pd.Series(out)
-
-    return chapters.select(key, F.explode(parts("sizes", "points", "total_ms")).alias("p")).select(key, "p.*")
-
-
-def nearest_unused(chapters: DataFrame, key: str) -> DataFrame:
-    """key, i, target, point: targets take, in order, the nearest point that no earlier one took, ties to the smaller; null when none is left."""
-
-    @F.pandas_udf(structs(i=T.IntegerType(), target=T.LongType(), point=T.LongType()))
-    def take(targets: pd.Series, points: pd.Series) -> pd.Series:
-        out = []
-        for ts, ps in zip(targets, points, strict=True):
-            free, mine = sorted(map(int, ps)), []
-            for i, t in enumerate(map(int, ts)):
-                p = min(free, key=lambda x, t=t: (abs(x - t), x), default=None)
-                if p is not None:
-                    free.remove(p)
-                mine.append({"i": i, "target": t, "point": p})
-            out.append(mine)
-        return pd.Series(out)
-
-    return chapters.select(key, F.explode(take("targets", "points")).alias("p")).select(key, "p.*")
-
-
-# Sounds that are near each other, and the costs of a step.
-SOUNDS = (("aeiou", 0.5), ("szchf", 0.5), ("ptckbdg", 0.5), ("nm", 0.3), ("lr", 0.4))
-SKIP_HEARD, SKIP_TARGET = 0.5, 1.5
-
-
-def sound_cost(a: str, b: str) -> float:
-    return 0.0 if a == b else next((c for chars, c in SOUNDS if a in chars and b in chars), 1.0)
-
-
-def warp(heard: str, target: str) -> list[tuple[int, int]]:
-    """(target place, heard place) of aligned characters: least cost, ties to the diagonal, then to skipping a heard one."""
-    n, m = len(heard), len(target)
-    if not n or not m:
-        return []
-    cost = np.zeros((n + 1, m + 1), np.float32)
-    cost[:, 0] = np.arange(n + 1) * SKIP_HEARD
-    cost[0] = np.arange(m + 1) * SKIP_TARGET
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + sound_cost(heard[i - 1], target[j - 1]), cost[i - 1, j] + SKIP_HEARD, cost[i, j - 1] + SKIP_TARGET)
-    out, i, j = [], n, m
-    while i and j:
-        if cost[i, j] == np.float32(cost[i - 1, j - 1] + sound_cost(heard[i - 1], target[j - 1])):
-            i, j = i - 1, j - 1
-            out.append((j, i))
-        elif cost[i, j] == np.float32(cost[i - 1, j] + SKIP_HEARD):
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
-
-
-@F.pandas_udf(structs(t=T.IntegerType(), s=T.IntegerType()))
-def warp_udf(heard: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else [{"t": t, "s": s} for t, s in warp(a, b)] for a, b in zip(heard, target, strict=True)])
-
-
-def word_bounds(aligned: DataFrame, key: str, words: str, pairs: str) -> DataFrame:
-    """key, word_no, word, first_char, last_char: the heard characters that each word's characters were aligned with; null if none was."""
-    lengths = aligned.select(key, F.posexplode(words).alias("word_no", "word"), pairs)
-    end = F.sum(F.length("word")).over(running([key], ["word_no"]))
-    placed = lengths.withColumn("_e", end)
-    mine = F.transform(F.filter(pairs, lambda p: (p["t"] < F.col("_e")) & (p["t"] >= F.col("_e") - F.length("word"))), lambda p: p["s"])
-    return placed.select(key, "word_no", "word", F.array_min(mine).alias("first_char"), F.array_max(mine).alias("last_char"))
-
-
-def sub_split(start: int, end: int, text: str, points: list[int], most_s: float) -> list[tuple[int, int, str]]:
-    """Parts of a segment that is too long, at the points nearest to equal parts (each used once), words in proportion to time."""
-    seconds = (end - start) / 1000
-    if seconds <= most_s:
-        return [(start, end, text)]
-    words, n = text.split(), max(2, ceil(seconds / (most_s * 0.8)))
-    step = (end - start) / n
-    if len(points) < n - 1:
-        edges = [start + int(i * step) for i in range(n)] + [end]
-        cuts = [len(words) * i // n for i in range(n + 1)]
-        return [(a, b, " ".join(words[i:j])) for a, b, i, j in zip(edges, edges[1:], cuts, cuts[1:], strict=False)]
-    free, chosen = list(points), []
-    for i in range(1, n):
-        p = min(free, key=lambda x, t=start + int(i * step): abs(x - t))
-        free.remove(p)
-        chosen.append(p)
-    edges = [start, *sorted(chosen), end]
-    cuts = [int(len(words) * (e - start) / max(end - start, 1)) for e in edges[:-1]] + [len(words)]
-    parts = [(a, b, " ".join(words[i:j])) for a, b, i, j in zip(edges, edges[1:], cuts, cuts[1:], strict=False)]
-    return [p for p in parts if p[2].strip()] or [(start, end, text)]
-
-
-@F.udtf(returnType="start_ms long, end_ms long, text string")
-class SubSplit:
-    """Table function of sub_split."""
-
-    def eval(self, start: int, end: int, text: str, points: list, most_s: float):
-        yield from sub_split(start, end, text or "", points or [], most_s)
-
-
 @F.udtf(returnType="headword string, pos string, definition string, line_no int")
 class DictionaryPage:
     """Entries of a dictionary page: a line 'headword (pos) definition', to which following lines without a headword are joined;

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from lexmill import vocab
 from lexmill.functions import checks, text as X
 from lexmill.operators import em, stats
-from lexmill.operators.sequences import DictionaryPage, warp_udf, word_bounds
+from lexmill.operators.matching import warp_udf, word_bounds
+from lexmill.operators.sequences import DictionaryPage
 from lexmill.plans import evaluate, phrases, serve
 from lexmill.queries.registry import query, table
 from lexmill.sources import files, html
@@ -203,17 +204,27 @@ def f27_pos_ladder(spark, sf_dir):
 
 @query()
 def f32_fuzzy_match(spark, sf_dir):
-    """Words of benchmark texts matched to the vocabulary of the documents, blocked by first letter and length."""
+    """Words of benchmark texts of two letters and more matched to the vocabulary of the documents; held against brute force in the tests."""
     from lexmill.operators.joins import fuzzy
 
-    words = table(spark, sf_dir, "benchmark").select(F.explode(X.tokens(F.col("text"), least=3)).alias("word")).distinct()
-    known = table(spark, sf_dir, "documents").select(F.explode(X.tokens(F.col("text"), least=3)).alias("word")).distinct()
+    words = table(spark, sf_dir, "benchmark").select(F.explode(X.tokens(F.col("text"))).alias("word")).distinct()
+    known = table(spark, sf_dir, "documents").select(F.explode(X.tokens(F.col("text"))).alias("word")).distinct()
     return fuzzy(words, "word", known)
 
 
-@query()
+_BARE = r"list_filter(list_transform(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> ''), lambda w: trim(w, '.,;:!?')), lambda w: length(w) > 1)"
+
+
+@query(f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT pair_id, {_BARE.format('a')} AS a, {_BARE.format('b')} AS b FROM {PAIRS}),
+r AS (SELECT pair_id, CAST(0 AS BIGINT) AS i, j, CAST(0 AS BIGINT) AS v FROM (SELECT pair_id, unnest(range(0, len(a) + 1)) AS j FROM t WHERE len(a) > 0 AND len(b) > 0)
+  UNION ALL SELECT pair_id, i + 1, j, max(CASE WHEN j > 0 AND w = a[j] THEN before + 1 ELSE v END) OVER (PARTITION BY pair_id ORDER BY j) FROM
+    (SELECT r.pair_id, r.i, r.j, r.v, t.a, t.b[r.i + 1] AS w, lag(r.v) OVER (PARTITION BY r.pair_id ORDER BY r.j) AS before FROM r JOIN t USING (pair_id) WHERE r.i < len(t.b))),
+l AS (SELECT pair_id, max(v) AS n FROM r GROUP BY pair_id)
+SELECT t.pair_id, CAST(len(b) AS INTEGER) AS word_count, CASE WHEN len(a) > 0 AND len(b) > 0 THEN n::DOUBLE / len(b) ELSE 0.0 END AS lcs, coalesce(len(list_filter(b, lambda w: list_contains(a, w)))::DOUBLE / nullif(len(b), 0), 0.0) AS bow
+FROM t LEFT JOIN l USING (pair_id)""")
 def f33_lcs(spark, sf_dir):
-    """Longest common subsequence of the words of a turn and its answer; held against brute force in the tests."""
+    """Longest common subsequence of the words of a turn and its answer."""
     pairs = turn_pairs(spark, sf_dir).select("pair_id", X.bare_words(F.col("a")).alias("a"), X.bare_words(F.col("b")).alias("b"))
     return evaluate.scores(pairs, "a", "b").select("pair_id", "word_count", "lcs", "bow")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from lexmill.functions import text as X
-from lexmill.operators import joins, picks, sequences as S
+from lexmill.operators import joins, matching as M, picks, sequences as S
 from lexmill.operators.durable import shared_base
 from lexmill.queries.corpus import LINES, lines
 from lexmill.queries.registry import query, table
@@ -128,31 +128,46 @@ def a14_upper_median(spark, sf_dir):
     return upper_median(e, keys, "value").join(rest, keys)
 
 
-def chapters(spark, sf_dir) -> DataFrame:
-    """user_id, sizes, points, total_ms: lengths of a user's values, and times of gaps."""
-    e = events(spark, sf_dir).withColumn("ms", (F.col("ts").cast("timestamp").cast("double") * 1000).cast("long"))
-    g = e.groupBy("user_id").agg(F.min("ms").alias("low"), F.max("ms").alias("high"), F.array_sort(F.collect_list(F.struct("event_id", (F.col("value") * 10 + 1).cast("int").alias("n"), "event_type", "ms"))).alias("rows"))
-    return g.select("user_id", F.transform(F.filter("rows", lambda r: r["event_type"] == "purchase"), lambda r: r["n"]).alias("sizes"), F.transform(F.filter("rows", lambda r: r["event_type"] != "view"), lambda r: r["ms"] - F.col("low")).alias("points"), (F.col("high") - F.col("low")).alias("total_ms"))
+def timed(spark, sf_dir) -> DataFrame:
+    """user_id, event_id, event_type, n, at: sizes of events, and times since the user's first one in milliseconds."""
+    e = events(spark, sf_dir).withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    low = e.groupBy("user_id").agg(F.min("ms").alias("low"))
+    return e.join(low, "user_id").select("user_id", "event_id", "event_type", (F.col("value") * 10 + 1).cast("int").alias("n"), (F.col("ms") - F.col("low")).alias("at"))
 
 
 @query()
 def g02_dp_split(spark, sf_dir):
-    """Boundaries by dynamic programming; held against brute force in the tests."""
-    return S.split_by_silence(chapters(spark, sf_dir).where(F.size("sizes") > 0), "user_id")
+    """Boundaries by dynamic programming over streamed rows; held against brute force in the tests."""
+    e = timed(spark, sf_dir)
+    totals = e.groupBy("user_id").agg(F.max("at").alias("total_ms"))
+    sizes = e.where("event_type = 'purchase'").select("user_id", "event_id", "n")
+    return M.split_by_points(sizes, e.where("event_type <> 'view'").select("user_id", F.col("at").alias("point")), totals, "user_id", "event_id", "n", "point", "total_ms")
 
 
-@query()
+_TIMED = "(SELECT user_id, event_id, event_type, CAST(trunc(value * 10 + 1) AS BIGINT) AS n, epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS ms FROM events)"
+
+
+@query(f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_TIMED}), p AS (SELECT user_id, list(ms ORDER BY ms) AS free FROM e WHERE event_type <> 'view' GROUP BY user_id),
+t AS MATERIALIZED (SELECT user_id, event_id, n * 1000000 AS target, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM e WHERE event_type = 'purchase'),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS target, CAST(NULL AS BIGINT) AS point, free FROM p
+  UNION ALL SELECT user_id, i, event_id, target, free[k], list_concat(free[1 : k - 1], free[k + 1 :]) FROM (SELECT r.user_id, t.i, t.event_id, t.target, r.free,
+    list_position(r.free, list_sort(list_transform(r.free, lambda x: struct_pack(d := abs(x - t.target), x := x)))[1].x) AS k FROM r JOIN t ON t.user_id = r.user_id AND t.i = r.i + 1))
+SELECT user_id, event_id, target, point FROM r WHERE i > 0""")
 def j28_nearest_unused(spark, sf_dir):
-    """Each target takes the nearest point that is free; held against brute force in the tests."""
-    rows = chapters(spark, sf_dir).select("user_id", F.transform("sizes", lambda n: n.cast("long") * 1_000_000).alias("targets"), "points")
-    return S.nearest_unused(rows, "user_id")
+    """Each target takes the nearest point that is free."""
+    e = timed(spark, sf_dir)
+    targets = e.where("event_type = 'purchase'").select("user_id", "event_id", (F.col("n").cast("long") * 1_000_000).alias("target"))
+    return M.nearest_unused(targets, e.where("event_type <> 'view'").select("user_id", F.col("at").alias("point")), "user_id", "event_id", "target", "point")
 
 
 @query()
 def g04_sub_split(spark, sf_dir):
-    """Segments that are too long, split by a table function at the nearest gaps."""
-    rows = chapters(spark, sf_dir).select("user_id", "total_ms", "points", F.concat_ws(" ", F.transform("sizes", lambda n: n.cast("string"))).alias("words"))
-    return rows.lateralJoin(S.SubSplit(F.lit(0).cast("long"), F.col("total_ms").outer(), F.col("words").outer(), F.col("points").outer(), F.lit(400_000.0))).select("user_id", "start_ms", "end_ms", "text")
+    """Texts read at 70 ms a character; those of more than 30 s are cut near the ends of lines, words in proportion; held against brute force in the tests."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.lit(0).cast("long").alias("start_ms"), (F.length("text") * 70).cast("long").alias("end_ms"), "text")
+    each = lines(spark, sf_dir).select("doc_id", "pos", (F.length("line") + 1).alias("n"))
+    ends = S.proportional_targets(each, ["doc_id"], ["pos"], "n", F.lit(1.0)).select("doc_id", (F.col("cum") * 70).cast("long").alias("point"))
+    return M.sub_split(docs, ends, "doc_id", 30.0)
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")

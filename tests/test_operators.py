@@ -93,37 +93,6 @@ def test_silences(spark):
     assert len(rows(S.silences(f, ["path"], 400, 10))) == 2 and len(rows(S.silences(f, ["path"], 400, 10, keep_open=False))) == 1
 
 
-def test_split_points():
-    assert S.split_points([10, 10, 20], [900, 1500, 2100], 4000) == [900, 2100]
-    assert S.split_points([10], [900], 4000) == [] and S.split_points([1, 1], [], 100) == [50]
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 20), min_size=2, max_size=5), st.lists(st.integers(0, 1000), min_size=4, max_size=8, unique=True))
-def test_split_points_against_all_choices(sizes, points):
-    total, need = 1000, len(sizes) - 1
-    targets = [int(total * c / sum(sizes)) for c in itertools.accumulate(sizes)][:-1]
-    cost = lambda ps: sum((p - t) ** 2 for p, t in zip(ps, targets, strict=True))
-    got = S.split_points(sizes, points, total)
-    assert cost(got) == min(cost(c) for c in itertools.combinations(sorted(points), need)) and got == sorted(set(got))
-
-
-def test_warp():
-    assert S.warp("abc", "abc") == [(0, 0), (1, 1), (2, 2)] and S.warp("", "a") == []
-    assert S.warp("axb", "ab") == [(0, 0), (1, 2)]
-
-
-def test_sub_split():
-    assert S.sub_split(0, 1000, "a b", [], 2.0) == [(0, 1000, "a b")]
-    assert S.sub_split(0, 4000, "a b c d", [], 2.5) == [(0, 2000, "a b"), (2000, 4000, "c d")]
-    assert S.sub_split(0, 4000, "a b c d", [1000, 2100], 2.5)[0][:2] == (0, 2100)
-
-
-def test_nearest_unused(spark):
-    df = spark.createDataFrame([(1, [10, 11, 12], [11, 20])], "k int, targets array<long>, points array<long>")
-    assert [r.point for r in S.nearest_unused(df, "k").orderBy("i").collect()] == [11, 20, None]
-
-
 def test_intervals(spark):
     df = spark.createDataFrame([([(0.0, 1.0), (None, None), (3.0, 4.0)],)], "s array<struct<start:double,end:double>>")
     assert [tuple(x) for x in df.select(S.fill_intervals(F.col("s")).alias("x")).first().x] == [(0.0, 1.0), (1.0, 2.0), (3.0, 4.0)]
@@ -258,46 +227,6 @@ def test_nearest_against_all_pairs(spark, at, spots, width):
     assert rows(joins.nearest(targets, points, "key", "t", "p", width=width), "t", "p") == sorted(want, key=str)
 
 
-def test_nearest_unused_by_hand(spark):
-    rng = random.Random(3)
-    cases = [(i, [rng.randrange(50) for _ in range(rng.randrange(6))], [rng.randrange(50) for _ in range(rng.randrange(6))]) for i in range(40)]
-    got = {(r.k, r.i): r.point for r in S.nearest_unused(spark.createDataFrame(cases, "k int, targets array<long>, points array<long>"), "k").collect()}
-    want = {}
-    for k, targets, points in cases:
-        free = list(points)
-        for i, t in enumerate(targets):
-            order = sorted(free, key=lambda p, t=t: (abs(p - t), p))
-            want[k, i] = order[0] if order else None
-            if order:
-                free.remove(order[0])
-    assert got == want
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.text("aszplnm", max_size=6), st.text("aeszpktlr", max_size=6))
-def test_warp_costs_least(heard, target):
-    @functools.cache
-    def least(i, j):
-        if not i or not j:
-            return i * S.SKIP_HEARD + j * S.SKIP_TARGET
-        return min(least(i - 1, j - 1) + S.sound_cost(heard[i - 1], target[j - 1]), least(i - 1, j) + S.SKIP_HEARD, least(i, j - 1) + S.SKIP_TARGET)
-
-    pairs = S.warp(heard, target)
-    cost = sum(S.sound_cost(heard[s], target[t]) for t, s in pairs) + (len(heard) - len(pairs)) * S.SKIP_HEARD + (len(target) - len(pairs)) * S.SKIP_TARGET
-    assert abs(cost - least(len(heard), len(target))) < 1e-5 and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
-
-
-@settings(max_examples=100, deadline=None)
-@given(st.integers(1, 40), st.lists(st.integers(1, 99_999), unique=True, max_size=8), st.integers(1, 30))
-def test_sub_split_keeps_words_and_time(n_words, points, most):
-    text, end = " ".join(f"w{i}" for i in range(n_words)), 100_000
-    parts = S.sub_split(0, end, text, points, most)
-    assert " ".join(p[2] for p in parts).split() == text.split() and all(a[1] <= b[0] for a, b in zip(parts, parts[1:]))
-    n = 1 if most >= 100 else max(2, ceil(100 / (most * 0.8)))
-    edges = points if len(points) >= n - 1 else [int(i * (end / n)) for i in range(n)]
-    assert parts[-1][1] == end and {p[0] for p in parts[1:]} <= {0, *edges}
-
-
 def test_respelled_phrases_against_all_pairs(spark):
     rng = random.Random(5)
     known = sorted({"".join(rng.choice("cjpkshtau") for _ in range(rng.randrange(2, 7))) for _ in range(60)} | {"pjaa", "cjua"})

@@ -34,7 +34,7 @@ def test_fuzzy_match_knows_rare_words(spark, tmp_path):
     texts = ["The river bends northward", "lanterns glow softly; lantern makers sleep", "harbours and harbour walls", "river river river"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "lanternz glow rivers"), (2, "northwards harboor zzz")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    known = sorted({w for t in texts for w in "".join(c if c.isalpha() else " " for c in t.lower()).split() if len(w) >= 3})
+    known = sorted({w for t in texts for w in "".join(c if c.isalpha() else " " for c in t.lower()).split() if len(w) >= 2})
     words = ["lanternz", "glow", "rivers", "northwards", "harboor", "zzz"]
     every = spark.createDataFrame([(w, k) for w in words for k in known], "word string, match string")
     ratio = {(r.word, r.match): r.r for r in every.select("word", "match", joins.similarity("word", "match").alias("r")).collect()}
