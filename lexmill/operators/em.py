@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lexmill.operators.durable import durable
 
@@ -14,18 +14,21 @@ def _pairs(rows: DataFrame, key: str, en: str, tol: str) -> DataFrame:
 
 
 def model1(rows: DataFrame, key: str, en: str, tol: str, rounds: int = 5) -> DataFrame:
-    """en, tol, p after so many rounds from a uniform start. Each round is checkpointed, as lineage grows with them."""
-    occ = _pairs(rows, key, en, tol)
-    v = rows.select(F.explode(tol).alias("w")).agg(F.count_distinct("w").alias("v"))
-    table = occ.select("en", "tol").distinct().crossJoin(F.broadcast(v)).select("en", "tol", (1.0 / F.col("v")).alias("p"))  # v is one row
+    """en, tol, p after so many rounds from a uniform start.
+
+    The pairs of a row are made and stored once. A round joins them with the table, sums over the words of one row by a window
+    (a row's pairs, so small), and adds up; it is checkpointed, as lineage grows with rounds.
+    """
+    occ = durable(_pairs(rows, key, en, tol))
+    v = rows.select(F.explode(tol).alias("w")).agg(F.count_distinct("w").alias("v")).first().v
+    table = None
     for i in range(rounds):
-        e = occ.join(table, ["en", "tol"])
-        z = e.groupBy(key, "tol").agg(F.sum(F.col("m_en") * F.col("p")).alias("z"))
-        soft = e.join(z, [key, "tol"]).groupBy("en", "tol").agg(F.sum(F.col("m_tol") * F.col("m_en") * F.col("p") / F.col("z")).alias("c"))
+        e = occ.withColumn("p", F.lit(1.0 / max(1, v))) if table is None else occ.join(table, ["en", "tol"])
+        z = F.sum(F.col("m_en") * F.col("p")).over(Window.partitionBy(key, "tol"))
+        soft = e.withColumn("z", z).groupBy("en", "tol").agg(F.sum(F.col("m_tol") * F.col("m_en") * F.col("p") / F.col("z")).alias("c"))
+        soft = durable(soft) if i + 1 < rounds else soft
         total = soft.groupBy("en").agg(F.sum("c").alias("n"))
         table = soft.join(total, "en").select("en", "tol", (F.col("c") / F.col("n")).alias("p"))
-        if i + 1 < rounds:
-            table = durable(table)
     return table
 
 

@@ -4,54 +4,51 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from lexmill.operators.stretches import Ordered
 
 
 def structs(**fields: T.DataType) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(k, v) for k, v in fields.items()]))
 
 
-def running(keys: list[str], order: list[str]):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-
-
-def proportional_targets(rows: DataFrame, keys: list[str], order: list[str], size: str, total: Column) -> DataFrame:
-    """rows with cum (running size) and target (total times its share, cut to an integer; null where the sizes of a key sum to 0)."""
-    whole = F.sum(size).over(Window.partitionBy(*keys))
-    out = rows.withColumn("cum", F.sum(size).over(running(keys, order)))
-    return out.withColumn("target", F.floor(total * F.col("cum") / F.nullif(whole, F.lit(0))))
+def proportional_targets(rows: DataFrame, keys: list[str], order: list[str], size: str, total: Column, most: int | None = None) -> DataFrame:
+    """rows with cum (running size) and target (total times its share, cut to an integer; null where the sizes of a key sum to 0). most: see Ordered, as below."""
+    out = Ordered(rows, keys, order, most).scan(cum=("sum", F.col(size)), _whole=("total", F.col(size))).rows
+    return out.select(*rows.columns, "cum", F.floor(total * F.col("cum") / F.nullif(F.col("_whole"), F.lit(0))).alias("target"))
 
 
-def fill_gaps(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def fill_gaps(rows: DataFrame, keys: list[str], order: list[str], value: str, most: int | None = None) -> DataFrame:
     """rows with filled: the value, else the last one before, else the first one after."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn("filled", F.coalesce(before, after))
+    out = Ordered(rows, keys, order, most).scan(_before=("last", F.col(value)), _after=("next", F.col(value))).rows
+    return out.select(*rows.columns, F.coalesce("_before", "_after").alias("filled"))
 
 
-def fill_intervals(spans: Column) -> Column:
-    """An ordered array of (start, end) with nulls: a missing start is the (already filled) end before, a missing end half way to the next known start."""
-    zero = F.struct(F.array().cast("array<struct<start:double,end:double>>").alias("done"), F.lit(0.0).alias("last"), F.lit(0).alias("i"))
+def fill_spans(rows: DataFrame, keys: list[str], order: list[str], start: str, end: str, most: int | None = None) -> DataFrame:
+    """rows with filled_start and filled_end: a missing start is the (filled) end before, or 0 for a key's first row; a missing end lies half way to the next known start, or at the start if none follows.
 
-    def step(a: Column, s: Column) -> Column:
-        start = F.coalesce(s["start"].cast("double"), a["last"])
-        later = F.get(F.filter(F.slice(spans, a["i"] + 2, F.size(spans)), lambda x: x["start"].isNotNull()), F.lit(0))["start"].cast("double")
-        end = F.coalesce(s["end"].cast("double"), F.when(later.isNotNull(), start + (later - start) / 2), start)
-        return F.struct(F.concat(a["done"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("done"), end.alias("last"), (a["i"] + 1).alias("i"))
-
-    return F.aggregate(spans, zero, step, lambda a: a["done"])
+    Where starts and ends are missing one after another, each step halves what is left to the next known start, so a
+    start is that start less its distance from the last anchor (a known start, or one after a known end) halved once a step.
+    """
+    scan = Ordered(rows.withColumn("_a", F.col(start).cast("double")).withColumn("_z", F.col(end).cast("double")), keys, order, most)
+    scan.scan(_before=("lag", F.col("_z")), _later=("lead", F.col("_a")), _n=("sum", F.lit(1)), _first=("first_row", F.lit(1)))
+    scan.rows = scan.rows.withColumn("_anchor", F.coalesce("_a", "_before", F.when(F.col("_first"), 0.0)))
+    scan.scan(_from=("last", F.when(F.col("_anchor").isNotNull(), F.struct(F.col("_anchor").alias("v"), F.col("_n").alias("n")))), _next=("next", F.col("_later")))
+    begun = F.when(F.col("_next").isNull(), F.col("_from.v")).otherwise(F.col("_next") - (F.col("_next") - F.col("_from.v")) * F.pow(F.lit(0.5), F.col("_n") - F.col("_from.n")))
+    out = scan.rows.withColumn("filled_start", F.coalesce("_anchor", begun))
+    half = F.coalesce("_z", F.col("filled_start") + (F.col("_next") - F.col("filled_start")) / 2, "filled_start")
+    return out.select(*rows.columns, "filled_start", half.alias("filled_end"))
 
 
-def islands(rows: DataFrame, keys: list[str], order: list[str], inside: Column, least: int = 1, keep_open: bool = True) -> DataFrame:
+def islands(rows: DataFrame, keys: list[str], order: list[str], inside: Column, least: int = 1, keep_open: bool = True, most: int | None = None) -> DataFrame:
     """keys, island, first, last (of the first order column), n: maximal runs of rows where inside holds, of at least so many rows.
 
     keep_open False drops a run that the key's last row is in.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    flagged = rows.withColumn("_in", F.coalesce(inside, F.lit(False)))
-    marked = flagged.withColumn("_new", (F.col("_in") & ~F.lag("_in", 1, False).over(w)).cast("int")).withColumn("_open", F.lead("_in").over(w).isNull())
-    runs = marked.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_in")
+    scan = Ordered(rows.withColumn("_in", F.coalesce(inside, F.lit(False))), keys, order, most).scan(_before=("lag", F.col("_in")), _after=("lead", F.col("_in")))
+    scan.scan(island=("sum", (F.col("_in") & ~F.coalesce("_before", F.lit(False))).cast("int")))
+    runs = scan.rows.where("_in").withColumn("_open", F.col("_after").isNull())
     out = runs.groupBy(*keys, "island").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("n"), F.max("_open").alias("_open")).where(F.col("n") >= least)
     return (out if keep_open else out.where("NOT _open")).drop("_open")
 
@@ -63,36 +60,36 @@ def silences(frames: DataFrame, keys: list[str], threshold: float, least_ms: int
     return runs.select(*keys, start.alias("start_ms"), end.alias("end_ms"), F.floor((start + end) / 2).alias("mid_ms"))
 
 
-def longest_run(runs: DataFrame, keys: list[str], until: Column, after: int = 20, least: int = 8) -> DataFrame:
-    """Per key the longest run that starts after and before the given places; ties to the first."""
-    good = runs.where((F.col("first") > after) & (F.col("n") >= least) & (F.col("first") < until))
+def longest_run(runs: DataFrame, keys: list[str], until: Column, after: int | None = 20, least: int = 8) -> DataFrame:
+    """Per key the longest run of at least so many rows that starts after (if given) and before the given places; ties to the first."""
+    good = runs.where((F.col("n") >= least) & (F.col("first") < until))
+    good = good if after is None else good.where(F.col("first") > after)
     return good.groupBy(*keys).agg(F.min_by(F.struct("first", "last", "n"), F.struct(-F.col("n"), "first")).alias("r")).select(*keys, "r.*")
 
 
-def collapse_repeats(rows: DataFrame, keys: list[str], order: list[str], value: str, blank: str | None = None) -> DataFrame:
+def collapse_repeats(rows: DataFrame, keys: list[str], order: list[str], value: str, blank: str | None = None, most: int | None = None) -> DataFrame:
     """Rows whose value differs from the row before, without blanks (which part repeats)."""
-    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
-    kept = rows.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col(value))).drop("_b")
+    out = Ordered(rows, keys, order, most).scan(_b=("lag", F.col(value))).rows
+    kept = out.where(F.col("_b").isNull() | (F.col("_b") != F.col(value))).select(rows.columns)
     return kept if blank is None else kept.where(F.col(value) != blank)
 
 
-def adjacent(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def adjacent(rows: DataFrame, keys: list[str], order: list[str], value: str, most: int | None = None) -> DataFrame:
     """rows with next_value; a key's last row has none and goes."""
-    return rows.withColumn("next_value", F.lead(value).over(Window.partitionBy(*keys).orderBy(*order))).where("next_value IS NOT NULL")
+    return Ordered(rows, keys, order, most).scan(next_value=("lead", F.col(value))).done(*rows.columns, "next_value").where("next_value IS NOT NULL")
 
 
-def consumed_pairs(rows: DataFrame, keys: list[str], order: list[str], value: str, opens: Column, closes: Column) -> DataFrame:
+def consumed_pairs(rows: DataFrame, keys: list[str], order: list[str], value: str, opens: Column, closes: Column, most: int | None = None) -> DataFrame:
     """Pairs of neighbours where opens holds for the first and closes for the second, and no row is in two pairs: of a chain of candidate pairs every other is taken."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    flags = rows.withColumn("_o", opens).withColumn("_c", closes)
-    cand = flags.withColumn("next_value", F.lead(value).over(w)).withColumn("_p", F.coalesce(F.col("_o") & F.lead("_c").over(w), F.lit(False)))
-    run = cand.withColumn("_s", (F.col("_p") & ~F.lag("_p", 1, False).over(w)).cast("int")).withColumn("_run", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(*order))
-    return run.where("_p").withColumn("_i", place).where("_i % 2 = 1").select(*rows.columns, "next_value")
+    scan = Ordered(rows.withColumn("_o", opens).withColumn("_cl", closes), keys, order, most).scan(next_value=("lead", F.col(value)), _after=("lead", F.col("_cl")), _n=("sum", F.lit(1)))
+    scan.rows = scan.rows.withColumn("_p", F.coalesce(F.col("_o") & F.col("_after"), F.lit(False)))
+    scan.scan(_b=("lag", F.col("_p")))
+    scan.scan(_from=("last", F.when(F.col("_p") & ~F.coalesce("_b", F.lit(False)), F.col("_n"))))
+    return scan.rows.where(F.col("_p") & ((F.col("_n") - F.col("_from")) % 2 == 0)).select(*rows.columns, "next_value")
 
 
-def carry_forward(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    return rows.withColumn(name, F.last(value, True).over(running(keys, order)))
+def carry_forward(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str, most: int | None = None) -> DataFrame:
+    return Ordered(rows, keys, order, most).scan(**{name: ("last", value)}).done(*rows.columns, name)
 
 
 @F.udtf(returnType="headword string, pos string, definition string, line_no int")

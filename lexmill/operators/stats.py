@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from lexmill.operators.stretches import Ordered
 
 
 def term_counts(rows: DataFrame, words: str, keys: list[str] | None = None) -> DataFrame:
@@ -60,11 +62,12 @@ def bucket(score: Column, buckets: int = 10) -> Column:
     return F.least(F.floor(score * buckets).cast("int"), F.lit(buckets - 1))
 
 
-def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The element at n // 2 of each key's sorted values, by row numbers and counts: no key's values are gathered in one array."""
-    w = Window.partitionBy(*keys)
-    numbered = rows.where(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count("*").over(w).alias("_n"))
-    return numbered.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col(value).alias("upper_median"))
+def upper_median(rows: DataFrame, keys: list[str], value: str, most: int | None = None) -> DataFrame:
+    """The element at n // 2 of each key's sorted values. Equal values are counted first; then the first value whose running count passes n // 2 is taken, by stretches where a key has very many values."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_m"))
+    scan = Ordered(counted, keys, [value], most).scan(_upto=("sum", F.col("_m")), _n=("total", F.col("_m")))
+    half = F.floor(F.col("_n") / 2)
+    return scan.rows.where((F.col("_upto") > half) & (F.col("_upto") - F.col("_m") <= half)).select(*keys, F.col(value).alias("upper_median"))
 
 
 def skeletons(rows: DataFrame, words: str) -> DataFrame:
@@ -89,9 +92,9 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def contexts(rows: DataFrame, a: str, b: str, top: int | None = 3) -> DataFrame:
     """a, b, context, cnt: for every two words of aligned units the other words of a's side, sorted, at most top of them; with top None a digest of them all."""
-    others = F.array_remove("_a", F.col("a_word"))  # sorted once a row
-    context = F.sha2(F.array_join(others, " "), 256) if top is None else F.array_join(F.slice(others, 1, top), " ")
+    others = lambda w: F.array_remove("_a", w)  # noqa: E731 - sorted once a row
+    context = lambda w: F.sha2(F.array_join(others(w), " "), 256) if top is None else F.array_join(F.slice(others(w), 1, top), " ")
     sides = rows.select(F.array_sort(F.array_distinct(a)).alias("_a"), F.array_distinct(b).alias("_b"))
-    units = sides.select(F.explode("_a").alias("a_word"), "_a", "_b")
-    every = units.select("a_word", context.alias("context"), F.explode("_b").alias("b_word"))
-    return every.groupBy("a_word", "b_word", "context").agg(F.count("*").alias("cnt"))
+    # contexts are made within the first generator's input: once for each word of a's side, not again for each of b's
+    units = sides.select(F.inline(F.transform("_a", lambda w: F.struct(w.alias("a_word"), context(w).alias("context")))), "_b")
+    return units.select("a_word", "context", F.explode("_b").alias("b_word")).groupBy("a_word", "b_word", "context").agg(F.count("*").alias("cnt"))

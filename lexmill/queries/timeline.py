@@ -57,6 +57,23 @@ def w12_gap_fill(spark, sf_dir):
     return S.fill_gaps(rows, USER, TIME, "v").select("event_id", "filled")
 
 
+@query("""
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, row_number() OVER w AS i, CASE WHEN event_type IN ('click', 'purchase') THEN CAST(row_number() OVER w * 10 AS DOUBLE) END AS a, CASE WHEN event_id % 3 = 0 THEN row_number() OVER w * 10 + value / 10 END AS z
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS MATERIALIZED (SELECT *, first_value(a IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM e),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, 0.0::DOUBLE AS s, 0.0::DOUBLE AS t FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT n.user_id, n.i, n.event_id, coalesce(n.a, r.t), coalesce(n.z, coalesce(n.a, r.t) + (n.nx - coalesce(n.a, r.t)) / 2, coalesce(n.a, r.t)) FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
+SELECT event_id, s AS filled_start, t AS filled_end FROM r WHERE i > 0""")
+def w12_half_way(spark, sf_dir):
+    """Spans with missing starts and ends, filled from the end before and half way to the next start."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) * 10
+    e = events(spark, sf_dir).withColumn("p", place)
+    spans = e.select("user_id", "ts", "event_id", F.when(F.col("event_type").isin("click", "purchase"), F.col("p").cast("double")).alias("a"), F.when(F.col("event_id") % 3 == 0, F.col("p") + F.col("value") / 10).alias("z"))
+    return S.fill_spans(spans, USER, TIME, "a", "z").select("event_id", "filled_start", "filled_end")
+
+
 _RUNS = f"""(SELECT user_id, island, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM
   (SELECT *, value < 10 AS inside, CASE WHEN value < 10 AND NOT coalesce(lag(value < 10) {OVER}, false) THEN 1 ELSE 0 END AS s FROM events)) WHERE inside GROUP BY user_id, island)"""
 
@@ -71,8 +88,8 @@ def w13_islands(spark, sf_dir):
 @query(f"SELECT user_id, arg_min(first_ts, -n * 1000000 + island) AS first_ts, max(n) AS n FROM {_RUNS} WHERE n >= 2 AND first_ts < TIMESTAMP '2024-02-01' GROUP BY user_id")
 def w14_longest_run(spark, sf_dir):
     """Each user's longest run that starts in the first part, ties to the first."""
-    runs = S.islands(events(spark, sf_dir), USER, TIME, F.col("value") < 10, 2).where("first < timestamp'2024-02-01'")
-    return runs.groupBy("user_id").agg(F.min_by(F.struct(F.col("first").alias("first_ts"), "n"), F.struct(-F.col("n"), "island")).alias("r")).select("user_id", "r.*")
+    runs = S.islands(events(spark, sf_dir), USER, TIME, F.col("value") < 10, 2)
+    return S.longest_run(runs, USER, F.expr("timestamp'2024-02-01'"), after=None, least=2).select("user_id", F.col("first").alias("first_ts"), "n")
 
 
 @query("""

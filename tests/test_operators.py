@@ -93,11 +93,6 @@ def test_silences(spark):
     assert len(rows(S.silences(f, ["path"], 400, 10))) == 2 and len(rows(S.silences(f, ["path"], 400, 10, keep_open=False))) == 1
 
 
-def test_intervals(spark):
-    df = spark.createDataFrame([([(0.0, 1.0), (None, None), (3.0, 4.0)],)], "s array<struct<start:double,end:double>>")
-    assert [tuple(x) for x in df.select(S.fill_intervals(F.col("s")).alias("x")).first().x] == [(0.0, 1.0), (1.0, 2.0), (3.0, 4.0)]
-
-
 def test_longest_run_and_upper_median(spark):
     runs = spark.createDataFrame([(1, 30, 40, 11), (1, 50, 60, 11), (1, 5, 19, 15)], "k int, first int, last int, n int")
     assert rows(S.longest_run(runs, ["k"], F.lit(100)), "first") == [(30,)]
