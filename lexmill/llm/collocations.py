@@ -26,7 +26,7 @@ LEAST, SIZES, TOP, COVER_PERCENT, SCALE = 30, 4, 2000, 80, 2_000_000
 #: Bits of the hash that name a bucket: a bucket for every BYTES_A_BUCKET bytes of text, within these bounds.
 BITS_LEAST, BITS_MOST, BYTES_A_BUCKET = 16, 26, 32
 #: Buckets that travel together; bytes scanned at once.
-CHUNK_BITS, SLICE = 12, 1 << 21
+CHUNK_BITS, SLICE = 12, 1 << 20
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[32, 9]] = 1
@@ -292,6 +292,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     language and hash class meets in one task. Products are decimals of 38 digits, divided as whole numbers.
     """
     freq, total = frequent_phrases(docs, text=text, lang=lang, least=least, sizes=sizes, bits=bits)
+    freq = stored(freq, "phrases-frequent")
     key = lambda g: F.concat("lang", F.lit("\n"), g)  # noqa: E731 - words hold no line break
     known = freq.select(key(F.col("gram")).alias("_k"), F.col("f").alias("_f"))
     cands = freq.withColumn("w", F.split("gram", " ")).withColumn("m", F.size("w")).where("m > 1")
@@ -304,7 +305,8 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
 
     cuts = cands.select("lang", "gram", F.col("f").alias("a"), "w", "m", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
     cuts = cuts.select("lang", "gram", "a", "k", phrase(F.lit(1), F.col("k")).alias("_first"), phrase(F.col("k") + 1, F.col("m") - F.col("k")).alias("_rest"))
-    cut = stored(looked_up(looked_up(cuts, "_first", "l").drop("_first"), "_rest", "r").drop("_rest"), "phrase-cuts")
+    half = stored(looked_up(stored(cuts, "phrase-cuts"), "_first", "l").drop("_first"), "phrase-cuts")
+    cut = stored(looked_up(half, "_rest", "r").drop("_rest"), "phrase-cuts")
     lowest = cut.withColumn("score", score_of()).groupBy("lang", "gram", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c")).select("lang", "gram", "a", "c.score", "c.l", "c.r")
     inner = cands.where("m > 2").select("lang", F.col("f").alias("_b"), "w", "m", F.explode(F.sequence(F.lit(2), F.col("m") - 1)).alias("j"))
     inner = inner.select("lang", "_b", "w", "j", F.explode(F.sequence(F.lit(1), F.col("m") - F.col("j") + 1)).alias("i"))
