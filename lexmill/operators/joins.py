@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexmill import vocab
-from lexmill.functions.text import split_words, similarity, spellings, without_accents
+from lexmill.functions.text import file_stem, split_words, similarity, spellings, without_accents
 from lexmill.operators.picks import pick
 
 
@@ -80,6 +80,32 @@ def substitute_words(rows: DataFrame, key: str, words: str, known: DataFrame) ->
     return out.select(key, F.array_join(F.transform("_ws", lambda x: x["w"]), " ").alias("text"), "changed")
 
 
+def whole_or_words(rows: DataFrame, key: str, text: str, glosses: DataFrame, known: DataFrame) -> DataFrame:
+    """key, text, how, changed: the value of the whole (folded, stripped) text where glosses (gloss, value, unique by gloss) has it, else the text word by word, and only where a word changed.
+
+    Null texts have no rows; keys should be unique. known: word, value, unique by word.
+    """
+    folded = rows.select(key, F.lower(F.trim(text)).alias("_t")).where("_t IS NOT NULL")
+    whole = folded.join(glosses.select(F.col("gloss").alias("_t"), "value"), "_t").select(key, F.col("value").alias("text"), F.lit("whole").alias("how"), F.lit(1).cast("long").alias("changed"))
+    rest = folded.join(glosses.select(F.col("gloss").alias("_t")), "_t", "left_anti").select(key, split_words(F.col("_t")).alias("_w"))
+    return whole.unionByName(substitute_words(rest, key, "_w", known).select(key, "text", F.lit("words").alias("how"), "changed"))
+
+
+def candidates(keys: DataFrame, key: str, steps: list[tuple[str, DataFrame, float]]) -> DataFrame:
+    """key, rank, value, found_by, percent: all values of all steps (name, frame of key and value, confidence), a value under its best step, by confidence, then value."""
+    rows = reduce(DataFrame.unionByName, (df.select(key, "value", F.lit(name).alias("found_by"), F.lit(c).alias("_c"), F.lit(i).alias("_i")) for i, (name, df, c) in enumerate(steps)))
+    best = pick(rows.where("value IS NOT NULL").join(keys.select(key).distinct(), key, "left_semi").withColumn("_o", -F.col("_c")), [key, "value"], ["_o", "_i"])
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_c"), "value"))
+    return best.select(key, rank.alias("rank"), "value", "found_by", F.round(F.col("_c") * 100).cast("int").alias("percent"))
+
+
+def by_file(manifest: DataFrame, segments: DataFrame, file: str, path: str) -> DataFrame:
+    """manifest rows whose file has a segment, joined by the stem of the name, whatever folder and ending; of several segments of a stem the first by path."""
+    stem = lambda c: file_stem(F.substring_index(c, "/", -1))
+    own = pick(segments.withColumn("_stem", stem(path)), ["_stem"], [path])
+    return manifest.withColumn("_stem", stem(file)).join(own, "_stem").drop("_stem")
+
+
 def backfill(rows: DataFrame, known: DataFrame, on: list[str], column: str, order: list[str], empty: Column | None = None) -> DataFrame:
     """rows whose column is empty (null, or as empty says) get it from the first known row of equal keys."""
     best = pick(known.select(*on, *(o for o in order if o not in on and o != column), column), on, order).select(*on, F.col(column).alias("_new"))

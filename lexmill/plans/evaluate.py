@@ -26,6 +26,12 @@ def histogram(scored: DataFrame, score: str = "bow") -> DataFrame:
     return scored.groupBy(bucket(F.col(score)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def missed_words(rows: DataFrame, expected: str, got: str, top: int = 20) -> DataFrame:
+    """word, missed: how many rows expect a word and lack it, the top ones, the cut being the feature; ties to the smaller word. Arrays of words."""
+    each = rows.select(F.explode(F.array_except(expected, got)).alias("word"))
+    return each.groupBy("word").agg(F.count("*").alias("missed")).orderBy(F.desc("missed"), "word").limit(top)
+
+
 def report_lines(scored: DataFrame, key: str, score: str = "bow") -> DataFrame:
     """key and one line of text each: rows, those at least half right, and their share in per cent with one decimal."""
     half = F.count_if(F.col(score) >= 0.5)

@@ -30,6 +30,14 @@ def entry(entries: DataFrame, sentences: DataFrame, head: str, word: str, text:
     return meanings.unionByName(found.select(F.lit("sentence").alias("kind"), F.col(text).alias("text")))
 
 
+def lookup(entries: DataFrame, query: str, lang: str, columns: dict[str, str], most: int = 50) -> DataFrame:
+    """The entries whose column of the language contains the query (folded), shortest first, at most so many, the cut being the feature; no rows for an unknown language or an empty query."""
+    if lang not in columns or not query:
+        return entries.limit(0)
+    c = columns[lang]
+    return entries.where(F.lower(c).contains(query.lower())).orderBy(F.length(c), c, *(x for x in entries.columns if x != c)).limit(most)
+
+
 def inverted_index(rows: DataFrame, key: str, words: str) -> DataFrame:
     """token, key, tf."""
     return rows.select(key, F.explode(words).alias("token")).groupBy("token", key).agg(F.count("*").alias("tf"))

@@ -77,7 +77,7 @@ def s08_pair_scan(spark, sf_dir):
 WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">(.*?)</a></li>', 1)) AS target, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">(.*?)</a></li>', 2)) AS label FROM pages)
 SELECT page_id, target, label FROM x""")
 def s10_adjacency_explode(spark, sf_dir):
-    """Links of pages as edges."""
+    """Links of pages as edges (J25's input)."""
     return html.links(table(spark, sf_dir, "pages"), ["page_id"])
 
 
@@ -85,7 +85,7 @@ def s10_adjacency_explode(spark, sf_dir):
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, last_value(CASE WHEN length(line) <= 40 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS header
 FROM {LINES}""")
 def s12_record_state(spark, sf_dir):
-    """Short lines set a state that the lines after them carry."""
+    """Short lines set a state that the lines after them carry."""
     from lexmill.operators.sequences import carry_forward
 
     return carry_forward(lines(spark, sf_dir), ["doc_id"], ["pos"], F.when(F.length("line") <= 40, F.col("line")), "header").select("doc_id", "pos", "header")
@@ -184,7 +184,7 @@ def f21_sentences(spark, sf_dir):
 @query(r"""
 SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1) AS lang, CAST(nullif(regexp_extract(url, '/(\d+)', 1), '') AS INTEGER) AS number, url LIKE 'http%://%:%' OR url LIKE '%?%=%' AS has_query FROM pages""")
 def f22_tag_parse(spark, sf_dir):
-    """Parts of a tag by regular expressions."""
+    """Parts of a tag by regular expressions."""
     get = lambda p: F.regexp_extract("url", p, 1)
     return table(spark, sf_dir, "pages").select("page_id", get("^https?://([^/]+)/").alias("host"), get("^https?://[^/]+/([a-z]{2})/").alias("lang"), F.nullif(get(r"/(\d+)"), F.lit("")).cast("int").alias("number"), (F.col("url").like("http%://%:%") | F.col("url").like("%?%=%")).alias("has_query"))
 
@@ -253,11 +253,11 @@ def f41_word_slices(spark, sf_dir):
 WITH t AS (SELECT {SPLIT.format("trim(lower(text))")} AS w FROM documents), g AS (
 SELECT 1 AS n, unnest(w) AS gram FROM t UNION ALL SELECT 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM t
 UNION ALL SELECT 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM t)
-SELECT n, gram, count(*) AS cnt FROM g GROUP BY n, gram HAVING count(*) >= 5""")
+SELECT n, gram, count(*) AS cnt FROM g GROUP BY n, gram""")
 def a05_ngrams(spark, sf_dir):
-    """Word n-grams of whole texts, n = 1, 2, 3, that occur five times."""
+    """Word n-grams of whole texts, n = 1, 2, 3."""
     rows = table(spark, sf_dir, "documents").select(X.split_words(F.lower("text")).alias("w"))
-    return stats.ngram_counts(rows, "w").where("cnt >= 5")
+    return stats.ngram_counts(rows, "w")
 
 
 @query(f"""
@@ -425,7 +425,7 @@ def w17_sentence_carry(spark, sf_dir):
 WITH w AS (SELECT unnest({WORDS.format('text')}) AS w FROM documents), c AS (SELECT w AS term, count(*) AS n FROM w GROUP BY w)
 SELECT term, n FROM (SELECT term, n FROM c ORDER BY n DESC, term LIMIT 200) WHERE term NOT IN (SELECT unnest({WORDS.format('text')}) FROM benchmark)""")
 def j21_missing_words(spark, sf_dir):
-    """Of the 200 commonest words those that no benchmark text has."""
+    """Of the 200 commonest words those that no benchmark text has."""
     from lexmill.operators.joins import missing_words
 
     counts = stats.term_counts(table(spark, sf_dir, "documents").select(X.tokens(F.col("text")).alias("w")), "w")

@@ -59,7 +59,7 @@ def found_values(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT * FROM {_LADDER}")
 def j04_lookup_ladder(spark, sf_dir):
-    """Three tiers of lookup, with the tier's name and confidence."""
+    """Three tiers of lookup, with the tier's name and confidence."""
     return found_values(spark, sf_dir)
 
 
@@ -162,7 +162,7 @@ def j13_backfill(spark, sf_dir):
 WITH u AS (SELECT DISTINCT doc_id AS unit, unnest({WORDS.format('text')}) AS word FROM documents), p(a, b) AS (VALUES ('the', 'of'), ('la', 'de'), ('und', 'der'), ('the', 'der'), ('nothere', 'the'))
 SELECT p.a, p.b, count(*) AS evidence FROM p JOIN u x ON x.word = p.a JOIN u y ON y.word = p.b AND y.unit = x.unit GROUP BY ALL HAVING count(*) >= 2""")
 def j19_pivot_verify(spark, sf_dir):
-    """Pairs that stand together in at least two texts."""
+    """J19 (by whole words): pairs that stand together in at least two texts."""
     pairs = spark.createDataFrame([("the", "of"), ("la", "de"), ("und", "der"), ("the", "der"), ("nothere", "the")], "a string, b string")
     units = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("word"))
     return joins.pivot_verify(F.broadcast(pairs), units, "a", "b", 2)
@@ -215,7 +215,7 @@ WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), b AS
 u AS (SELECT 0 AS p, doc_id, unnest(range(0, len(x))) AS n, unnest(x) AS line FROM a UNION ALL SELECT 1, doc_id, unnest(range(0, len(x))), unnest(x) FROM b UNION ALL SELECT 2, doc_id, unnest(range(0, len(x))), unnest(x) FROM c)
 SELECT doc_id, CAST(n AS INTEGER) AS line_no, length(line) AS n_chars, p AS pass FROM u QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY length(regexp_replace(line, '[^a-z]', '', 'g')) DESC, p) = 1""")
 def j27_page_merge(spark, sf_dir):
-    """Three passes over a text, each line from the best one."""
+    """Three passes over a text, each line from the best one."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     passes = [d.select("doc_id", "text"), d.where("lang <> 'de'").select("doc_id", F.upper("text").alias("text")), d.select("doc_id", F.replace("text", F.lit("."), F.lit("")).alias("text"))]
     tagged = [p.select("doc_id", F.concat(F.lit(f"{i}"), F.array_join(F.split("text", "\n"), f"\n{i}")).alias("text")) for i, p in enumerate(passes)]
@@ -357,7 +357,7 @@ def o05_tiered_cap(spark, sf_dir):
 
 @query("SELECT doc_id, lang FROM documents WHERE (doc_id * 2654435761) % 1000 < 100")
 def o07_hash_sample(spark, sf_dir):
-    """A sample by a hash of the key, the sample being the feature."""
+    """A share by a hash of the key, the sample being the feature."""
     return picks.hash_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), F.col("doc_id"), 1000, 100)
 
 
@@ -365,7 +365,7 @@ def o07_hash_sample(spark, sf_dir):
 WITH g AS (SELECT lower(p_name) AS headword_lower, min(p_name) AS headword, array_to_string(list_sort(list_distinct(list(p_type)))[1:4], '; ') AS meanings FROM part WHERE contains(lower(p_name), 'r') GROUP BY lower(p_name))
 SELECT headword_lower, headword, meanings, (SELECT count(*) FROM g) AS total, CAST(ceil((SELECT count(*) FROM g) / 10.0) AS BIGINT) AS pages, 2 AS page FROM g ORDER BY headword_lower LIMIT 10 OFFSET 10""")
 def o10_search_page(spark, sf_dir):
-    """The second page of a search, meanings cut to four, pages being the feature."""
+    """The second page of a search, meanings cut to four, pages being the feature."""
     return serve.search_page(table(spark, sf_dir, "part"), "R", "p_name", "p_type", number=2, per_page=10)
 
 

@@ -36,7 +36,7 @@ def s03_first_verses(spark, sf_dir):
 
 @query("SELECT conv_id, turn, text FROM conversations")
 def s05_json_entries(spark, sf_dir):
-    """Turns appended to JSON lines in two batches, and entries read with a schema."""
+    """Turns appended to JSON lines in two batches, and entries read with a schema."""
     rows, path = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), folder(spark, "entries")
     sinks.append_jsonl(rows.where("conv_id % 2 = 0"), path)
     sinks.append_jsonl(rows.where("conv_id % 2 = 1 OR conv_id IS NULL"), path)

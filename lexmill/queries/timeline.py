@@ -80,7 +80,7 @@ _RUNS = f"""(SELECT user_id, island, min(ts) AS first_ts, max(ts) AS last_ts, co
 
 @query(f"SELECT user_id, CAST(island AS BIGINT) AS island, first_ts, last_ts, n FROM {_RUNS} WHERE n >= 3")
 def w13_islands(spark, sf_dir):
-    """Runs below a threshold of at least three rows."""
+    """Runs below a threshold of at least three rows."""
     out = S.islands(events(spark, sf_dir), USER, TIME, F.col("value") < 10, 3)
     return out.withColumnsRenamed({"first": "first_ts", "last": "last_ts"})
 
@@ -124,7 +124,7 @@ WITH s AS (SELECT doc_id, pos, len(list_filter(regexp_split_to_array(line, '\s+'
 e AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM s), w AS (SELECT doc_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS w FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents))
 SELECT w.doc_id, CAST(w.pos AS BIGINT) AS word_no, CAST(e.pos AS INTEGER) AS line_no, w.w AS word FROM w JOIN e ON e.doc_id = w.doc_id AND w.pos >= e.e - e.n AND w.pos < e.e""")
 def j30_positional(spark, sf_dir):
-    """Words and the lines they lie in, by running offsets."""
+    """Words and the lines they lie in, by running offsets."""
     spans = lines(spark, sf_dir).select("doc_id", F.col("pos").alias("line_no"), F.size(X.split_words(F.col("line"))).cast("long").alias("n"))
     words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.split_words(F.col("text"))).alias("pos", "word"))
     out = joins.positional(spans, words.withColumn("pos", F.col("pos").cast("long")), "doc_id", "line_no", "n")
