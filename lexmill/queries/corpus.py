@@ -77,7 +77,7 @@ def s08_pair_scan(spark, sf_dir):
 WITH x AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">(.*?)</a></li>', 1)) AS target, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">(.*?)</a></li>', 2)) AS label FROM pages)
 SELECT page_id, target, label FROM x""")
 def s10_adjacency_explode(spark, sf_dir):
-    """Links of pages as edges (J25's input)."""
+    """Links of pages as edges."""
     return html.links(table(spark, sf_dir, "pages"), ["page_id"])
 
 

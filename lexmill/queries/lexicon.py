@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from lexmill.functions import text as X
+from lexmill.operators.buckets import Buckets
+from lexmill.operators.durable import shared_base
 from lexmill.operators import joins, merge, picks, stats
 from lexmill.plans import serve
 from lexmill.queries.corpus import WORDS, turn_pairs
@@ -270,6 +274,17 @@ def k02_upsert_max(spark, sf_dir):
     return merge.upsert_max(*ratings(spark, sf_dir), KEYS, "value", ["seq"])
 
 
+@query(_MERGED("CASE WHEN o.value IS NOT NULL AND n.value IS NOT NULL THEN greatest(o.value, n.value) ELSE coalesce(o.value, n.value) END"))
+def k02_bucketed(spark, sf_dir):
+    """The same upsert into a table of buckets, in two batches, each of which rewrites the buckets it touches."""
+    old, new = ratings(spark, sf_dir)
+    kept = Buckets(spark, f"{shared_base(spark).rstrip('/')}/lexmill/ratings-{uuid.uuid4().hex}", KEYS, 16, old.schema).create(old)
+    first = picks.pick(new, KEYS, ["seq"])
+    for part in (first.where("user_id % 5 = 0"), first.where("user_id % 5 <> 0 OR user_id IS NULL")):
+        kept.apply(part, lambda a, b: merge.upsert_max(a, b, KEYS, "value", ["seq"]))
+    return kept.read()
+
+
 @query(_MERGED("CASE WHEN o.user_id IS NOT NULL AND n.user_id IS NOT NULL THEN CASE WHEN o.source IN ('s0', 's1') THEN o.value ELSE greatest(o.value, n.value) END ELSE coalesce(o.value, n.value) END"))
 def k03_guarded_upsert(spark, sf_dir):
     """Protected sources are left alone."""

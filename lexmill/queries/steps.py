@@ -12,9 +12,10 @@ from lexmill.queries.corpus import LINES, PAIRS, SPLIT, STOP, WORDS, lines, turn
 from lexmill.queries.registry import query, table
 from lexmill.queries.rules import folder
 from lexmill.queries.search import _NEXT, neighbours
-from lexmill.sources import files, sinks
+from lexmill.sources import files, ranges, sinks
 
 NAMES = vocab.STOP_EN + vocab.STOP_ES + vocab.PROPER_NOUNS
+_ASCII = r"regexp_replace(line, '[^a-zA-Z\s]', '', 'g')"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
@@ -26,7 +27,7 @@ def p06_without_names(spark, sf_dir):
 
 
 @query(rf"""
-WITH t AS (SELECT doc_id, pos, line, {_STRIP.format("regexp_replace(line, '[^a-zA-Z\s]', '', 'g')")} AS letters FROM {LINES}), u AS (SELECT *, {SPLIT.format('letters')} AS w FROM t)
+WITH t AS (SELECT doc_id, pos, line, {_STRIP.format(_ASCII)} AS letters FROM {LINES}), u AS (SELECT *, {SPLIT.format('letters')} AS w FROM t)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, length({_STRIP.format('line')}) < 2 OR length(letters) < 2 OR (len(w) <= 2 AND len(list_filter(w, lambda x: length(x) <> 1)) = 0) AS english,
   length({_STRIP.format('line')}) < 1 OR regexp_matches(line, '^[0-9\s.,;:!?]+$') AS gloss FROM u""")
 def p10_garbage(spark, sf_dir):
@@ -200,3 +201,19 @@ def o08_accepted_draw(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fits = lambda part: part.withColumn("n", F.size(X.tokens(F.col("text")))).where(F.col("n").between(20, 200)).select("doc_id", "n")
     return draws.draw_accepted(docs, "doc_id", 50, fits)
+
+
+_LOUD = """(SELECT user_id, event_id // 4000 AS part, list(CAST(trunc(value * 300) AS BIGINT) - 3000 ORDER BY event_id) AS s FROM events GROUP BY ALL)"""
+
+
+@query(f"""
+WITH f AS (SELECT user_id, part, s, unnest(range(0, len(s) // 10)) AS frame FROM {_LOUD})
+SELECT user_id || '-' || part || '.wav' AS path, frame, CAST(1000 AS INTEGER) AS rate, sqrt(list_sum(list_transform(s[frame * 10 + 1 : frame * 10 + 10], lambda x: CAST(x AS DOUBLE) * x)) / 10) AS rms FROM f""")
+def s16_wav_frames(spark, sf_dir):
+    """Values of users written as WAV files of a few thousand samples and scanned frame by frame."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor(F.col("event_id") / 4000)).alias("part"), ((F.col("value") * 300).cast("int") - 3000).alias("v"))
+    held = e.groupBy("user_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "v"))), lambda x: x["v"]).alias("samples"))  # 4,000 samples at most
+    path = folder(spark, "audio")
+    name = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("part").cast("string"), F.lit(".wav"))
+    ranges.write_files(held.select(name.alias("name"), sinks.wav_bytes("samples", F.lit(1000)).alias("content")), path)
+    return ranges.wav_frames(spark, path)

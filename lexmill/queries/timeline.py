@@ -199,3 +199,14 @@ def x01_stream_window(spark, sf_dir):
     # complete mode returns the last windows too, which append mode holds back until the watermark passes them
     logs.rewrite_once(out, f"{path}/rows", f"{path}/progress")
     return spark.read.schema(out.schema).parquet(f"{path}/rows").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
+
+
+_SESSIONS = """(SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events WHERE value < 10))"""
+
+
+@query(f"SELECT user_id, min(ts) AS first_ts, max(ts) + INTERVAL 6 HOUR AS end_ts, count(*) AS n FROM {_SESSIONS} GROUP BY user_id, k")
+def x02_quiet_sessions(spark, sf_dir):
+    """Streaming extension: runs of small values of a user, less than six hours apart, by session windows; here over all that is there, in the tests as a stream with late rows and a restart."""
+    out = logs.quiet_runs(events(spark, sf_dir), "ts", F.col("value") < 10, USER, "6 hours")
+    stamp = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return out.select("user_id", stamp("first_ts"), stamp("end_ts"), "n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lexmill.operators.buckets import Buckets
 from lexmill.operators.merge import upsert_max
 
 PROGRESS = "ts_utc timestamp, global_step long, epoch long, avg map<string,double>"
@@ -23,11 +24,6 @@ def every_step(progress: DataFrame, step: int = 250) -> DataFrame:
     return progress.where(F.col("global_step") % step == 0)
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Work off all that is there, as one query with a durable checkpoint."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-
-
 def rewrite_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Work off all that is there; each batch replaces the result by the windows as they then are. Nothing passes through the driver."""
     stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(path)  # the result if there is nothing
@@ -35,12 +31,33 @@ def rewrite_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_stream(stream: DataFrame, target: str, checkpoint: str, keys: list[str], column: str, order: list[str]) -> None:
-    """Merge each micro-batch into the table at target/v<batch>; a batch that runs again writes the same version."""
-    spark = stream.sparkSession
+def upsert_stream(stream: DataFrame, table: Buckets, checkpoint: str, column: str, order: list[str]) -> None:
+    """Merge each micro-batch into the buckets it touches, the larger value of the column staying; a batch that runs again after a failure changes nothing."""
 
     def merge(batch: DataFrame, n: int) -> None:
-        base = spark.read.schema(batch.schema).parquet(f"{target}/v{n - 1}") if n else spark.createDataFrame([], batch.schema)
-        upsert_max(base, batch, keys, column, order).write.mode("overwrite").parquet(f"{target}/v{n}")
+        table.apply(batch, lambda old, new: upsert_max(old, new, table.keys, column, order), n + 1)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def once_each(events: DataFrame, ts: str, keys: list[str], late: str = "2 hours") -> DataFrame:
+    """The first event of each key within the watermark; state of keys that it has passed is dropped."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+
+
+def sessions(events: DataFrame, ts: str, value: str, keys: list[str], gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """keys, first_ts, end_ts, n, total of runs of events of a key that lie less than gap apart; a session is given out once the watermark has passed its end. In a batch query all sessions are."""
+    out = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("_w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return out.select(*keys, F.col("_w.start").alias("first_ts"), F.col("_w.end").alias("end_ts"), "n", "total")
+
+
+def quiet_runs(events: DataFrame, ts: str, inside, keys: list[str], gap: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """keys, first_ts, end_ts, n, total: sessions of the events for which inside holds, as runs below a threshold are found in a stream."""
+    return sessions(events.where(inside).withColumn("_one", F.lit(1)), ts, "_one", keys, gap, late)
+
+
+def follow(spark: SparkSession, source: str, schema, make, path: str, checkpoint: str, files: int = 1) -> DataFrame:
+    """Work off what is new in a folder of Parquet files since the last call, some files a micro-batch, by make (stream to stream) in append mode; the rows given out so far."""
+    stream = make(file_stream(spark, source, schema, files=files))
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
