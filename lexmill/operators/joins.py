@@ -26,7 +26,7 @@ def align_from(lead: DataFrame, sides: dict[str, DataFrame], keys: list[str], wi
 
 def chain_first(first: DataFrame, second: DataFrame, seq: str = "seq") -> DataFrame:
     """key, via, value: first(key, via, seq) joined with second(via, value); each key keeps its first via that has a value."""
-    return pick(first.join(second, "via").select("key", "via", "value", seq), ["key"], [seq, "value"]).select("key", "via", "value")
+    return pick(first.join(second, "via").select("key", "via", "value", seq), ["key"], [seq, "value", "via"]).select("key", "via", "value")
 
 
 def ladder(keys: DataFrame, key: str, steps: list[tuple[str, DataFrame, float]]) -> DataFrame:

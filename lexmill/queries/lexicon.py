@@ -43,7 +43,7 @@ def j03_chain_first_match(spark, sf_dir):
     """Each order's first line whose part qualifies."""
     first = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("via"), F.col("l_linenumber").alias("seq"))
     second = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("via"), F.col("p_name").alias("value"))
-    return picks.pick(first.join(second, "via"), ["key"], ["seq", "value", "via"]).select("key", "via", "value")
+    return joins.chain_first(first, second)
 
 
 _LADDER = """(SELECT c_custkey, coalesce(d.v, e.v, f.v) AS value, CASE WHEN d.v IS NOT NULL THEN 'direct' WHEN e.v IS NOT NULL THEN 'chain' WHEN f.v IS NOT NULL THEN 'inferred' ELSE 'not_found' END AS found_by,

@@ -8,11 +8,11 @@ from lexmill import vocab
 from lexmill.functions import checks, text as X
 from lexmill.operators import draws, joins, stats
 from lexmill.plans import evaluate, serve
-from lexmill.queries.corpus import LINES, PAIRS, SPLIT, STOP, WORDS, lines, turn_pairs
+from lexmill.queries.corpus import CLEAN, LINES, PAIRS, SPLIT, STOP, WORDS, lines, turn_pairs
 from lexmill.queries.registry import query, table
 from lexmill.queries.rules import folder
 from lexmill.queries.search import _NEXT, neighbours
-from lexmill.sources import files, ranges, sinks
+from lexmill.sources import files, html, ranges, sinks
 
 NAMES = vocab.STOP_EN + vocab.STOP_ES + vocab.PROPER_NOUNS
 _ASCII = r"regexp_replace(line, '[^a-zA-Z\s]', '', 'g')"
@@ -203,7 +203,7 @@ def o08_accepted_draw(spark, sf_dir):
     return draws.draw_accepted(docs, "doc_id", 50, fits)
 
 
-_LOUD = """(SELECT user_id, event_id // 4000 AS part, list(CAST(trunc(value * 300) AS BIGINT) - 3000 ORDER BY event_id) AS s FROM events GROUP BY ALL)"""
+_LOUD = """(SELECT user_id, event_id // 4000 AS part, list(CAST(trunc(value * 100) AS BIGINT) - 3000 ORDER BY event_id) AS s FROM events GROUP BY ALL)"""
 
 
 @query(f"""
@@ -211,9 +211,40 @@ WITH f AS (SELECT user_id, part, s, unnest(range(0, len(s) // 10)) AS frame FROM
 SELECT user_id || '-' || part || '.wav' AS path, frame, CAST(1000 AS INTEGER) AS rate, sqrt(list_sum(list_transform(s[frame * 10 + 1 : frame * 10 + 10], lambda x: CAST(x AS DOUBLE) * x)) / 10) AS rms FROM f""")
 def s16_wav_frames(spark, sf_dir):
     """Values of users written as WAV files of a few thousand samples and scanned frame by frame."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor(F.col("event_id") / 4000)).alias("part"), ((F.col("value") * 300).cast("int") - 3000).alias("v"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor(F.col("event_id") / 4000)).alias("part"), ((F.col("value") * 100).cast("int") - 3000).alias("v"))
     held = e.groupBy("user_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "v"))), lambda x: x["v"]).alias("samples"))  # 4,000 samples at most
     path = folder(spark, "audio")
     name = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("part").cast("string"), F.lit(".wav"))
     ranges.write_files(held.select(name.alias("name"), sinks.wav_bytes("samples", F.lit(1000)).alias("content")), path)
     return ranges.wav_frames(spark, path)
+
+
+_BOOKS = [*vocab.NT_BOOKS, "GEN", "PSA"]
+_CHAPTER = f"(list_value({', '.join(repr(b) for b in _BOOKS)}))[doc_id % {len(_BOOKS)} + 1]"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {_CHAPTER} AS book, doc_id // {len(_BOOKS)} % 199 + 1 AS chapter, 'l' || doc_id // {len(_BOOKS) * 199} AS lang, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+x AS (SELECT lang, book, chapter, unnest(range(1, len(ls) + 1)) AS verse, unnest(ls) AS line FROM d WHERE book NOT IN ('GEN', 'PSA'))
+SELECT lang, book, CAST(chapter AS INTEGER) AS chapter, CAST(verse AS INTEGER) AS verse, {CLEAN.format('line')} AS text FROM x WHERE {CLEAN.format('line')} <> ''""")
+def s04_corpus(spark, sf_dir):
+    """Texts written as chapter files of 29 books in a folder a language, of which 27 books are read."""
+    n, path = F.lit(len(_BOOKS)), folder(spark, "corpus")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    span = lambda line, i: F.concat(F.lit('<span class="verse" id="V">'), (i + 1).cast("string"), F.lit("&#160;</span>"), line)
+    page = F.concat(F.array_join(F.transform(F.split("text", "\n"), span), " "), F.lit('<ul class="tnav">'))
+    book = F.get(F.array(*map(F.lit, _BOOKS)), (F.col("doc_id") % n).cast("int"))
+    chapter = F.format_string("%03d.htm", (F.expr(f"doc_id DIV {len(_BOOKS)}") % 199 + 1).cast("int"))
+    lang = F.concat(F.lit("l"), F.expr(f"doc_id DIV {len(_BOOKS) * 199}").cast("string"))
+    ranges.write_files(docs.select(F.concat(lang, F.lit("/"), book, chapter).alias("name"), F.encode(page, "UTF-8").alias("content")), path)
+    langs = [r.l for r in docs.select(lang.alias("l")).distinct().collect()]  # one for 5,771 texts
+    return html.read_corpus(spark, {x: f"{path}/{x}" for x in sorted(langs)}, books=vocab.NT_BOOKS)
+
+
+@query("SELECT p_name AS source_word, p_type AS target FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT split_part(p_name, ' ', 1), split_part(p_name, ' ', 2) FROM part WHERE p_partkey % 2 = 1 AND len(string_split(p_name, ' ')) = 2")
+def s08_pair_files(spark, sf_dir):
+    """Files of pairs parted by a tab or by white space, written and scanned; lines without two fields are left out."""
+    path = folder(spark, "pairs")
+    line = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit("\t"), "p_type")).otherwise(F.col("p_name"))
+    table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
+    return files.word_pairs(spark, path, ("source_word", "target"))

@@ -36,12 +36,16 @@ def first_verses(pages: DataFrame, keys: list[str], html: str = "value", n: int
     return pages.select(*keys, F.posexplode(body).alias("pos", "body")).select(*keys, "pos", collapse(unescape(strip_tags(F.col("body"), ""))).alias("text")).where(F.length("text") > least)
 
 
-def read_corpus(spark: SparkSession, paths: dict[str, str], merged: str = "drop") -> DataFrame:
-    """lang, book, chapter, verse, text of chapter files named like MAT01.htm or PSA001.htm, from a path per language."""
+def read_corpus(spark: SparkSession, paths: dict[str, str], merged: str = "drop", books: list[str] | None = None, most: int = 199) -> DataFrame:
+    """lang, book, chapter, verse, text of chapter files named like MAT01.htm or PSA001.htm, from a path per language.
+
+    books: only these are read: files of other names are not listed, let alone opened. Chapters beyond most are left out.
+    """
+    glob = "{" + ",".join(f"{b}*.htm" for b in books) + "}" if books else "*.htm"
     out = None
     for lang, path in paths.items():
-        files = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.input_file_name(), r"([A-Z0-9]{3})(\d{2,3})\.htm", 1).alias("book"), F.regexp_extract(F.input_file_name(), r"([A-Z0-9]{3})(\d{2,3})\.htm", 2).cast("int").alias("chapter"))
-        part = verses(files.where("book <> '' AND chapter > 0"), ["book", "chapter"], merged=merged).withColumn("lang", F.lit(lang))
+        files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select("value", F.regexp_extract(F.input_file_name(), r"([A-Z0-9]{3})(\d{2,3})\.htm", 1).alias("book"), F.regexp_extract(F.input_file_name(), r"([A-Z0-9]{3})(\d{2,3})\.htm", 2).cast("int").alias("chapter"))
+        part = verses(files.where(f"book <> '' AND chapter BETWEEN 1 AND {most}"), ["book", "chapter"], merged=merged).withColumn("lang", F.lit(lang))
         out = part if out is None else out.unionByName(part)
     return out.select("lang", "book", "chapter", "verse", "text")
 

@@ -139,18 +139,22 @@ class FilesWriter(DataSourceArrowWriter):
 
         system, root = located(self.path)
         system.create_dir(root, recursive=True)
+        made: set[str] = set()
         task = TaskContext.get().taskAttemptId()
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held = f"{root.rstrip('/')}/.{task}-{name}"
-                with system.open_output_stream(held) as f:
+                folder, _, last = f"{root.rstrip('/')}/{name}".rpartition("/")
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{folder}/.{task}-{last}") as f:
                     f.write(content)
-                system.move(held, f"{root.rstrip('/')}/{name}")
+                system.move(f"{folder}/.{task}-{last}", f"{folder}/{last}")
         return Written()
 
 
 class Files(DataSource):
-    """Writes rows of a name and a content as files of a folder; rows that share a name replace each other."""
+    """Writes rows of a name (also with folders) and a content as files below a folder; rows that share a name replace each other."""
 
     @classmethod
     def name(cls) -> str:

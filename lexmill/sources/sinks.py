@@ -12,11 +12,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from lexmill.functions.text import file_stem, to_samples
 
 
-def write_json_document(df: DataFrame, path: str, field: str) -> None:
-    """One object a part file line; for documents small enough for one list use document()."""
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(f"{path}/{field}")
-
-
 def document(df: DataFrame, field: str, order: list[str]) -> DataFrame:
     """One row with a JSON document that lists all rows in order. For small report tables only: the list is one value."""
     rows = F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in order))))

@@ -3,7 +3,6 @@
 # Stop words by language.
 STOP_ES = "a al ante con de del desde e el ella ellos en entre es esa ese esta este fue ha hasta la las le les lo los me más ni no nos o para pero por que se si sin su sus un una y ya él".split()
 STOP_EN = "a an and are as at be been but by did do for from had has have he her him his i if in into is it its me my no not of on or our she so than that the their them then there they this to up us was we were what which who will with you your".split()
-STOP_TOL = "la na ne nin ca wa way ya ma mpes jis".split()
 # Words that no keyword may be.
 STOP_KEYWORDS = "i he she it we they my his her its our their the a an is are was were am be been being to in on at of for and or but not no yes very much more also just only this that these those do does did will would shall should can could may might".split()
 # Names that are no vocabulary.
@@ -25,7 +24,6 @@ INDICATORS = "el la los las de del en es un una que por con para cuando muy traj
 HEADWORD_FUNCTION_WORDS = "el la los las un una de del en que es no se su con por para muy".split()
 MIXED_LINE_WORDS = "nosotros ustedes ellos porque cuando también entonces".split()
 ENTRY_POS = "sustantivo verbo adjetivo adverbio pronombre conjunción preposición interjección".split()
-FUNCTION_WORDS = {"es": STOP_ES, "en": STOP_EN}
 # Letters of one script read as another's, and accents.
 CYRILLIC_ONE = ("аеорсухАЕОРСУХтпнкмийКМИЙвВдзлбгфыэьїієґ", "aeopcyxAEOPCYXtpnkmiüKMIÜvVdzlbgfye'iieg")
 CYRILLIC_MANY = (("ц", "ts"), ("ж", "zh"), ("щ", "shch"), ("ш", "sh"), ("ю", "yu"), ("я", "ya"), ("ъ", ""))
