@@ -64,10 +64,10 @@ def crc_mod(column: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % divisor
 
 
-def labelled_sample(df: DataFrame, label: str, per_label: int, *, key: str = "doc_id", text: str = "text", max_chars: int = 20_000, max_labels: int = 64, seed: int = 17) -> list[tuple[str, object]]:
+def labelled_sample(df: DataFrame, label: str, per_label: int, *, key: str = "doc_id", text: str = "text", max_chars: int = 20_000, max_labels: int = 64, max_total: int = 32_000_000, seed: int = 17) -> list[tuple[str, object]]:
     """At most per_label (text, label) pairs of every label, drawn by a hash of the key; fewer a label if there are more than max_labels.
 
-    Bounded by per_label * max_labels * max_chars characters, or max_chars a label. Texts of more than max_chars are drawn
+    Bounded by max_total characters (500 a text at least), as max_chars goes down where there are many texts to draw. Texts of more than max_chars are drawn
     where a label has too few others, and of those the first max_chars. What is drawn first is a few times per_label, whatever the number of rows.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
@@ -75,6 +75,7 @@ def labelled_sample(df: DataFrame, label: str, per_label: int, *, key: str = "do
     if not counts:
         return []
     per_label = max(1, min(per_label, per_label * max_labels // len(counts)))
+    max_chars = max(500, min(max_chars, max_total // (per_label * len(counts))))
     h = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 40))
     below = [(value, int(min(1.0, (3.0 * per_label + 30) / n) * (1 << 40))) for value, n in counts]
     bound = F.broadcast(df.sparkSession.createDataFrame(below, f"_y {df.schema[label].dataType.simpleString()}, _below long"))

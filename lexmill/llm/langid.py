@@ -26,6 +26,8 @@ BUCKETS = 1 << 14
 UND = "und"
 #: Parameters of the fit: documents per language, landmarks per language, ridge.
 PER_LANG, LANDMARKS, RIDGE = 400, 48, 1e-2
+#: Landmarks of all languages together at most (each language has one at least), and how many have presence rows at once.
+MOST_MARKS, MARK_BLOCK = 1024, 64
 #: Rejection: least share of letters among visible characters; letters from which on a text is long, and the least share of
 #: a language's landmarks that hold an n-gram of a long text, on average over its n-grams and for the language that has most.
 #: With fewer than KNOWN n-grams in all landmarks, too little is known of the languages for that.
@@ -120,24 +122,51 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     if not langs:
         none = np.zeros((len(ORDERS) * BUCKETS, 0), np.float32)
         return LangModel([], none, np.zeros(0), none)
+    landmarks = max(1, min(landmarks, MOST_MARKS // len(langs)))
     marks, owner = zip(*((t, k) for k, lang in enumerate(langs) for t in [t for t, y in sample if y == lang][:landmarks]), strict=True)
-    p, size = presence(list(marks))
-    usual = np.stack([p[np.array(owner) == k].mean(0) for k in range(len(langs))], 1)
-    b = (p / np.sqrt(np.maximum(size, 1))[:, None]).T
-    del p
-    values, vectors = np.linalg.eigh((b.T @ b).astype(np.float64))
+    found = [gram_buckets(t) if t else None for t in marks]  # an n-gram a text holds has its bucket; texts, not rows of all buckets, are kept
+    size = np.array([0 if f is None else len(np.unique(f)) for f in found], np.float64)
+    norm = np.sqrt(np.maximum(size, 1))
+    starts = range(0, len(marks), MARK_BLOCK)
+
+    def block(i: int) -> np.ndarray:
+        """Presence rows of a block of landmarks, by their norms."""
+        part = found[i : i + MARK_BLOCK]
+        p = np.zeros((len(part), len(ORDERS) * BUCKETS), np.float32)
+        for row, f in zip(p, part, strict=True):
+            if f is not None:
+                row[f] = 1
+        return p / norm[i : i + MARK_BLOCK, None].astype(np.float32)
+
+    kernel = np.zeros((len(marks), len(marks)))
+    usual = np.zeros((len(ORDERS) * BUCKETS, len(langs)), np.float32)
+    share = np.zeros((len(marks), len(langs)), np.float32)
+    share[np.arange(len(marks)), list(owner)] = 1
+    share /= share.sum(0)
+    for i in starts:
+        one = block(i)
+        usual += (one * norm[i : i + MARK_BLOCK, None].astype(np.float32)).T @ share[i : i + MARK_BLOCK]
+        for j in range(i, len(marks), MARK_BLOCK):
+            kernel[i : i + MARK_BLOCK, j : j + MARK_BLOCK] = one @ (one if i == j else block(j)).T
+            kernel[j : j + MARK_BLOCK, i : i + MARK_BLOCK] = kernel[i : i + MARK_BLOCK, j : j + MARK_BLOCK].T
+    values, vectors = np.linalg.eigh(kernel)
     keep = values > 1e-6 * values.max(initial=1e-12)
     to_map = vectors[:, keep] / np.sqrt(values[keep])
-    feats = []
-    for i in range(0, len(sample), 64):
-        q, n = presence([t for t, _ in sample[i : i + 64]])
-        feats.append(((q @ b) / np.sqrt(np.maximum(n, 1))[:, None]) @ to_map)
+    raw = np.zeros((len(sample), len(marks)), np.float32)
+    for k in starts:
+        one = block(k).T
+        for i in range(0, len(sample), 64):
+            q, n = presence([t for t, _ in sample[i : i + 64]])
+            raw[i : i + 64, k : k + MARK_BLOCK] = (q @ one) / np.sqrt(np.maximum(n, 1))[:, None]
+    feats = [raw @ to_map]
     phi = np.hstack([np.vstack(feats), np.ones((len(sample), 1))])
     y = np.where(np.array([[lang == got for lang in langs] for _, got in sample]), 1.0, -1.0)
     reg = ridge * len(sample) / max(1, phi.shape[1]) * np.eye(phi.shape[1])
     reg[-1, -1] = 1e-9
     weights = np.linalg.solve(phi.T @ phi + reg, phi.T @ y)
-    return LangModel(langs, (b @ (to_map @ weights[:-1])).astype(np.float32), weights[-1], usual, TYPICAL if size.sum() >= KNOWN else 0.0)
+    fold = (to_map @ weights[:-1]).astype(np.float32)
+    folded = sum(block(i).T @ fold[i : i + MARK_BLOCK] for i in starts)
+    return LangModel(langs, folded, weights[-1], usual, TYPICAL if size.sum() >= KNOWN else 0.0)
 
 
 def fit_documents(docs: DataFrame, per_lang: int = PER_LANG, *, lang: str = "lang") -> LangModel:

@@ -175,3 +175,24 @@ def test_each_length_is_searched(spark):
         mine = dict(rows)[q]
         want = sorted(((float(np.dot(mine, v)), -i) for i, v in rows if i != q and len(v) == len(mine)), reverse=True)[:20]
         assert np.allclose([s for _, s in found], [s for s, _ in want]) and [i for i, _ in found] == [-i for _, i in want]
+
+
+# --- language identification
+
+
+def test_a_hundred_languages_in_bounded_memory():
+    """Landmarks of all languages together are bounded, and presence rows are made a block at a time."""
+    import tracemalloc
+
+    from lexmill.llm import langid
+
+    rng = random.Random(3)
+    langs = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) for _ in range(40)] for k in range(100)}
+    sample = [(" ".join(rng.choices(words, k=30)), lang) for lang, words in langs.items() for _ in range(12)]
+    tracemalloc.start()
+    model = langid.fit(sample)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    texts = [(" ".join(rng.choices(words, k=30)), lang) for lang, words in langs.items() for _ in range(2)]
+    got, _ = model.predict([t for t, _ in texts])
+    assert sum(a == b for a, (_, b) in zip(got, texts, strict=True)) > 0.95 * len(texts) and peak < 200e6
