@@ -553,6 +553,7 @@ def near_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
 
 
 def op9_ngram_jaccard(docs: DataFrame) -> DataFrame:
+    """Four-word shingles and 85 / 100 over every document; odd cases are as near_components states. Very long texts are shingled whole, in blocks of bytes."""
     return near_components(docs)
 
 

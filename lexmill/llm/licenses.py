@@ -126,7 +126,9 @@ def scan_licenses(docs: DataFrame, index: TemplateIndex | None = None, *, key: s
     """Per row: its words, base places and labels, the labels with those of the method, and a score.
 
     The score is 1 with a base label, else the best containment that met the threshold, else 0. Null and empty
-    texts: no words, places null, no labels, 0. Rows are repeated as they come; other columns are not read.
+    texts: no words, places null, no labels, 0. Rows are repeated as they come, null keys stay; other columns are not read, so
+    their names don't matter. Whole texts are scanned, whatever their length, in time linear in it; of templates met alike all labels
+    count. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     index = index or TemplateIndex(frequency=frequencies(docs, text=text))
@@ -152,6 +154,7 @@ def scan_licenses(docs: DataFrame, index: TemplateIndex | None = None, *, key: s
 
 
 def op10_license_scans(docs: DataFrame) -> DataFrame:
+    """Every document under the templates and phrases of this module; odd cases are as scan_licenses states."""
     return scan_licenses(docs)
 
 

@@ -458,6 +458,7 @@ def pack(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "
 
 
 def op6_packing(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents under the vocabulary of the contract; odd cases are as pack states. Very long texts are tokenised in parts whose ends are put right, and cut into windows of their own."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -65,7 +65,11 @@ def place(rows: DataFrame, key: str, shards: list[str], *, slots: int = SLOTS, w
 
 
 def op5_sharding(docs: DataFrame, n: int = 64) -> DataFrame:
-    """Each document's slot and shard of n, and its shard when the first one is lost."""
+    """Each document's slot and shard of n, and its shard when the first one is lost.
+
+    A null id is placed as the empty string is; repeated ids share a shard; texts and other columns are not
+    read, so their names don't matter; an empty table gives no rows. There are no ties: each slot has one shard.
+    """
     names = [f"shard-{i:03d}" for i in range(n)]
     placed = place(docs.select("doc_id"), "doc_id", names)
     without = F.broadcast(table_frame(docs.sparkSession, fill_table(names[1:]), "shard_after_loss"))
