@@ -91,6 +91,16 @@ def whole_or_words(rows: DataFrame, key: str, text: str, glosses: DataFrame, kno
     return whole.unionByName(substitute_words(rest, key, "_w", known).select(key, "text", F.lit("words").alias("how"), "changed"))
 
 
+def first_category(rows: DataFrame, key: str, words: str, keywords: DataFrame, order: str, other: str = "other") -> DataFrame:
+    """key and category: of the categories whose keywords (word, category, and the order in which they are tried) are among a row's words, the first; other if none.
+
+    For keyword tables of any size, by a join; see text.semantic_category for a few words. Keys should be unique; equal orders go by category.
+    """
+    each = rows.select(key, F.explode(F.array_distinct(words)).alias("word")).join(keywords.select("word", "category", F.col(order).alias("_o")), "word")
+    best = each.groupBy(key).agg(F.min(F.struct("_o", "category")).alias("_b"))
+    return rows.select(key).join(best, key, "left").select(key, F.coalesce("_b.category", F.lit(other)).alias("category"))
+
+
 def candidates(keys: DataFrame, key: str, steps: list[tuple[str, DataFrame, float]]) -> DataFrame:
     """key, rank, value, found_by, percent: all values of all steps (name, frame of key and value, confidence), a value under its best step, by confidence, then value."""
     rows = reduce(DataFrame.unionByName, (df.select(key, "value", F.lit(name).alias("found_by"), F.lit(c).alias("_c"), F.lit(i).alias("_i")) for i, (name, df, c) in enumerate(steps)))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lexmill.functions.text import bag_overlap, common_subsequence
+from lexmill.functions.text import bag_overlap, common_subsequence, split_words
+from lexmill.operators.draws import draw_accepted
+from lexmill.operators.joins import whole_or_words
 from lexmill.operators.stats import bucket, threshold_counts
 
 
@@ -16,6 +18,33 @@ def scores(rows: DataFrame, got: str, wanted: str) -> DataFrame:
     return out.withColumn("lcs", lcs).withColumn("bow", F.coalesce(bag_overlap(F.col("_w"), F.col("_g")), F.lit(0.0))).drop("_g", "_w")
 
 
+def sampled_phrases(pairs: DataFrame, key: str, source: str, target: str, n: int, seed: int = 42, shortest: int = 2, longest: int = 10, attempts: int = 20) -> DataFrame:
+    """key, phrase, reference (arrays of words): n phrases of shortest to longest words from places of aligned texts (arrays of words), by a seeded draw with rejection.
+
+    Length and place of a pair's phrase come from a hash of seed and key; a pair is rejected if it is shorter than its phrase, has no target
+    words, or the phrase has a word of one letter. The reference is the part of the target in the same proportion.
+    """
+    number = lambda what, of: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{what}:"), F.col(key).cast("string"))), 1, 12), 16, 10).cast("long") % of
+
+    def accept(part: DataFrame) -> DataFrame:
+        size, m = F.size(source), F.size(target)
+        sized = part.withColumn("_k", (number("length", longest - shortest + 1) + shortest).cast("int")).where((size >= F.col("_k")) & (m > 0))
+        placed = sized.withColumn("_a", number("place", size - F.col("_k") + 1).cast("int"))
+        first, last = F.expr(f"size({target}) * _a DIV size({source})").cast("int"), F.expr(f"size({target}) * (_a + _k) DIV size({source})").cast("int")
+        cut = placed.withColumn("phrase", F.slice(source, F.col("_a") + 1, F.col("_k"))).withColumn("reference", F.slice(target, first + 1, last - first))
+        return cut.where(F.forall("phrase", lambda w: F.length(w) > 1)).select(key, "phrase", "reference")
+
+    return draw_accepted(pairs, key, n, accept, seed, attempts)
+
+
+def evaluation(phrases: DataFrame, key: str, glosses: DataFrame, known: DataFrame) -> DataFrame:
+    """key, how, word_count, lcs, bow: sampled phrases translated as a whole or word by word (untranslated ones as they are), scored against their references."""
+    text = phrases.select(key, F.array_join("phrase", " ").alias("text"))
+    done = whole_or_words(text, key, "text", glosses, known).select(key, F.col("text").alias("_got"), "how")
+    rows = phrases.join(text, key).join(done, key, "left").select(key, F.coalesce("how", F.lit("none")).alias("how"), split_words(F.coalesce("_got", "text")).alias("got"), F.col("reference").alias("wanted"))
+    return scores(rows, "got", "wanted").select(key, "how", "word_count", "lcs", "bow")
+
+
 def report(scored: DataFrame, keys: list[str], score: str = "bow") -> DataFrame:
     s = F.col(score)
     cuts = {"perfect": s >= 1.0, "half": s >= 0.5, "quarter": s >= 0.25, "some": s > 0, "none": s == 0}

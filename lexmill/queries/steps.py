@@ -248,3 +248,55 @@ def s08_pair_files(spark, sf_dir):
     line = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit("\t"), "p_type")).otherwise(F.col("p_name"))
     table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
     return files.word_pairs(spark, path, ("source_word", "target"))
+
+
+_PHRASE_H = "md5('42:' || CAST(pair_id AS VARCHAR))[1:16]"
+_NUMBER = lambda what: f"CAST(concat('0x', md5('42:{what}:' || CAST(pair_id AS VARCHAR))[1:12]) AS BIGINT)"
+_BARE = r"list_filter(list_transform(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> ''), lambda w: trim(w, '.,;:!?')), lambda w: w <> '')"
+
+
+@query(rf"""
+WITH RECURSIVE p AS (SELECT pair_id, {_BARE.format('a')} AS a, {_BARE.format('b')} AS b FROM {PAIRS} ORDER BY {_PHRASE_H}, pair_id LIMIT 2000),
+k AS (SELECT *, CAST({_NUMBER('length')} % 9 + 2 AS INTEGER) AS k FROM p), q AS (SELECT *, CAST({_NUMBER('place')} % (len(a) - k + 1) AS INTEGER) AS s FROM k WHERE len(a) >= k AND len(b) > 0),
+c AS (SELECT pair_id, a[s + 1 : s + k] AS ph, b[len(b) * s // len(a) + 1 : len(b) * (s + k) // len(a)] AS ref FROM q),
+d AS MATERIALIZED (SELECT * FROM c WHERE len(list_filter(ph, lambda w: length(w) <= 1)) = 0 ORDER BY {_PHRASE_H}, pair_id LIMIT 100),
+g AS (SELECT lower(trim(a)) AS gloss, min(b) AS value FROM {PAIRS} GROUP BY 1), n AS (SELECT a AS word, min(b) AS value FROM {_NEXT} GROUP BY a),
+w AS (SELECT pair_id, string_agg(coalesce(value, word), ' ' ORDER BY i) AS t, count(value) AS c FROM (SELECT pair_id, unnest(ph) AS word, unnest(range(0, len(ph))) AS i FROM d) LEFT JOIN n USING (word) GROUP BY pair_id),
+o AS (SELECT d.pair_id, CASE WHEN g.value IS NOT NULL THEN 'whole' WHEN c > 0 THEN 'words' ELSE 'none' END AS how, coalesce(lower(g.value), w.t) AS t, coalesce(g.value, w.t) AS got, ref FROM d JOIN w USING (pair_id) LEFT JOIN g ON gloss = array_to_string(ph, ' ')),
+t AS MATERIALIZED (SELECT pair_id, how, list_filter(regexp_split_to_array(got, '\s+'), lambda x: length(x) > 1) AS a, list_filter(ref, lambda x: length(x) > 1) AS b FROM o),
+r AS (SELECT pair_id, CAST(0 AS BIGINT) AS i, j, CAST(0 AS BIGINT) AS v FROM (SELECT pair_id, unnest(range(0, len(a) + 1)) AS j FROM t WHERE len(a) > 0 AND len(b) > 0)
+  UNION ALL SELECT pair_id, i + 1, j, max(CASE WHEN j > 0 AND w = a[j] THEN before + 1 ELSE v END) OVER (PARTITION BY pair_id ORDER BY j) FROM
+    (SELECT r.pair_id, r.i, r.j, r.v, t.a, t.b[r.i + 1] AS w, lag(r.v) OVER (PARTITION BY r.pair_id ORDER BY r.j) AS before FROM r JOIN t USING (pair_id) WHERE r.i < len(t.b))),
+l AS (SELECT pair_id, max(v) AS m FROM r GROUP BY pair_id)
+SELECT pair_id, how, CAST(len(b) AS INTEGER) AS word_count, CASE WHEN len(a) > 0 AND len(b) > 0 THEN m::DOUBLE / len(b) ELSE 0.0 END AS lcs, coalesce(len(list_filter(b, lambda x: list_contains(a, x)))::DOUBLE / nullif(len(b), 0), 0.0) AS bow
+FROM t LEFT JOIN l USING (pair_id)""")
+def x03_evaluation(spark, sf_dir):
+    """O08 F33 F34 J12 end to end: a hundred phrases drawn from turns, translated and scored against their answers, the draw being the feature."""
+    pairs = turn_pairs(spark, sf_dir)
+    glosses = pairs.groupBy(F.lower(F.trim("a")).alias("gloss")).agg(F.min("b").alias("value"))
+    known = neighbours(spark, sf_dir).groupBy(F.col("a").alias("word")).agg(F.min("b").alias("value"))
+    phrases = evaluate.sampled_phrases(pairs.select("pair_id", X.bare_words(F.col("a")).alias("a"), X.bare_words(F.col("b")).alias("b")), "pair_id", "a", "b", 100)
+    return evaluate.evaluation(phrases, "pair_id", glosses, known)
+
+
+_KEYWORDS = f"(SELECT w AS word, 'c' || length(w) % 7 AS category, min(item_id) AS o FROM (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark) GROUP BY w)"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, unnest(list_distinct({WORDS.format('text')})) AS word FROM documents), b AS (SELECT doc_id, min(struct_pack(o := o, c := category)).c AS category FROM d JOIN {_KEYWORDS} USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(category, 'other') AS category FROM documents LEFT JOIN b USING (doc_id)""")
+def f27_first_category(spark, sf_dir):
+    """The first category of each text by a table of keywords, all words of the benchmark."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.tokens(F.col("text"))).alias("word"))
+    keywords = words.groupBy("word").agg(F.min("item_id").alias("o")).withColumn("category", F.concat(F.lit("c"), (F.length("word") % 7).cast("string")))
+    return joins.first_category(table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("w")), "doc_id", "w", keywords, "o")
+
+
+@query("""
+SELECT l_orderkey AS path, l_linenumber AS name, CAST(2 * (least(900, l_linenumber * 30 * 8 + 240) - least(900, l_linenumber * 30 * 8)) + 44 AS INTEGER) AS n_bytes FROM lineitem WHERE least(900, l_linenumber * 30 * 8 + 240) > least(900, l_linenumber * 30 * 8) AND l_orderkey IS NOT NULL""")
+def k12_segments(spark, sf_dir):
+    """Segments cut out of sounds of 900 samples, an order each, as WAV files; what lies behind a sound's end is cut off."""
+    orders = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("name"))
+    audio = orders.select("path").distinct().select("path", F.lit(8000).alias("rate"), F.transform(F.sequence(F.lit(1), F.lit(900)), lambda i: (i * 7 + F.col("path").cast("int") % 100) % 2000 - 1000).alias("samples"))
+    cuts = orders.select("path", "name", (F.col("name") * 30).cast("long").alias("start_ms"), (F.col("name") * 30 + 30).cast("long").alias("end_ms"))
+    return sinks.cut_segments(audio, cuts).select("path", "name", F.octet_length("content").alias("n_bytes"))
