@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexmill import vocab
 from lexmill.functions.text import file_stem, split_words, similarity, spellings, without_accents
+from lexmill.operators.durable import durable
 from lexmill.operators.picks import pick
 
 
@@ -162,8 +163,8 @@ def fuzzy(words: DataFrame, word: str, vocabulary: DataFrame, least: float = 0.8
 
     variants: of the spelling variants only so many are tried. Null and empty words have no rows.
     """
-    base = words.select(F.col(word).alias("word")).where("word <> ''").distinct()
-    known = vocabulary.select(F.col(vocabulary.columns[0]).alias("match")).where("match <> ''").distinct()
+    base = durable(words.select(F.col(word).alias("word")).where("word <> ''").distinct())  # both are read several times
+    known = durable(vocabulary.select(F.col(vocabulary.columns[0]).alias("match")).where("match <> ''").distinct())
     tried = base.select("word", F.posexplode(spellings(F.col("word"), variants)).alias("n", "match")).join(known, "match")
     spelled = pick(tried.select("word", "n", "match"), ["word"], ["n"]).select("word", "match", F.lit(1.0).alias("ratio"), F.when(F.col("n") == 0, "exact").otherwise("variant").alias("step"))
     scored = near_words(base.join(spelled, "word", "left_anti"), known, least, band)
