@@ -12,6 +12,18 @@ from pyspark.sql import Column, functions as F, types as T
 
 from lexmill import vocab
 
+# Patterns of glosses, source tags and dictionary lines.
+QUALIFIERS = r"\([^)]*\)|\{[^}]*\}|\[[^\]]*\]"
+FORM_OF = r'(?:form|spelling|variant) of "([^"]+)"'
+COLON = r"^(.+?):\s+(.+)$"
+FIRST_PERSON = r"^I\s+(\w+)"
+OTHER_PERSON = r"(?i)^(?:he|she|it|they)\s+(\w+)"
+POSSESSIVE = r"(?i)^(?:my|his|her|its|our|their)\s+(\w+)"
+IT_IS = r"^It'?s\s+(\S+)"
+SOURCE_TAG = r":([A-Z0-9]{3})(\d{2,3}):(\d+)$"
+HEADWORD_LINE = r"^\s*([^()\d][^()]*?)\s*\(([^)]+)\)\s*(.+)$"
+REVERSE_LINES = (r"^([^:=()]+):\s*(.+)$", r"^([^:=()]+)=\s*(.+)$", r"^([^()]+)\([^)]*\)\s*(.+)$")
+
 WORD_CHARS = r"[a-záéíóúüñ']+"
 
 
@@ -133,8 +145,8 @@ def trim_definition(c: Column) -> Column:
 
 def gloss_terms(c: Column) -> Column:
     """Terms of a gloss: qualifiers dropped, 'form of "X"' is X alone, parts at semicolons without article, verbs also bare."""
-    c = F.regexp_replace(c, r"\([^)]*\)|\{[^}]*\}|\[[^\]]*\]", "")
-    form = F.regexp_extract(c, r'(?:form|spelling|variant) of "([^"]+)"', 1)
+    c = F.regexp_replace(c, QUALIFIERS, "")
+    form = F.regexp_extract(c, FORM_OF, 1)
     parts = F.filter(F.transform(F.split(c, ";"), lambda p: F.lower(strip(p))), lambda p: (p != "") & (F.length(p) <= 60))
     each = F.transform(parts, lambda p: F.filter(F.array(strip(F.regexp_replace(p, "^(the |an? )", "")), F.when(p.startswith("to "), strip(F.substring(p, 4, 60)))), lambda t: t.isNotNull() & (t != "")))
     return F.when(form != "", F.array(F.lower(strip(form)))).otherwise(F.array_distinct(F.filter(F.flatten(each), lambda t: F.length(t) >= 2)))
@@ -143,14 +155,14 @@ def gloss_terms(c: Column) -> Column:
 def keywords(c: Column) -> Column:
     """Keywords of a gloss: before a colon, the verb after a pronoun, the noun after a possessive, what "it's" names, glosses of two words, article and noun."""
     gloss = F.rtrim(strip(F.regexp_replace(strip(c), r"\s*\([^)]*\)\s*", " ")), F.lit(".,;:!?"))
-    before, after = F.regexp_extract(gloss, r"^(.+?):\s+(.+)$", 1), F.regexp_extract(gloss, r"^(.+?):\s+(.+)$", 2)
+    before, after = F.regexp_extract(gloss, COLON, 1), F.regexp_extract(gloss, COLON, 2)
     pick = lambda x, p: F.lower(F.nullif(F.regexp_extract(x, p, 1), F.lit("")))
     words = split_words(gloss)
     head = F.rtrim(strip(before), F.lit(".,;:"))
-    colon = F.array(F.when((head != "") & (F.size(split_words(head)) <= 3), F.lower(head)), pick(after, r"^I\s+(\w+)"), pick(after, r"(?i)^(?:he|she|it|they)\s+(\w+)"), pick(after, r"(?i)^(?:my|his|her|its|our|their)\s+(\w+)"))
-    its = F.rtrim(pick(gloss, r"^It'?s\s+(\S+)"), F.lit(".,;:"))
+    colon = F.array(F.when((head != "") & (F.size(split_words(head)) <= 3), F.lower(head)), pick(after, FIRST_PERSON), pick(after, OTHER_PERSON), pick(after, POSSESSIVE))
+    its = F.rtrim(pick(gloss, IT_IS), F.lit(".,;:"))
     other = F.array(
-        pick(gloss, r"^I\s+(\w+)"),
+        pick(gloss, FIRST_PERSON),
         F.when(F.length(its) > 2, its),
         F.when(F.size(words) <= 2, F.rtrim(F.lower(gloss), F.lit(".,;:"))).when((F.size(words) == 3) & F.lower(F.get(words, F.lit(0))).isin("the", "a", "an"), F.lower(F.get(words, F.lit(2)))),
     )
@@ -188,21 +200,21 @@ def carried_sentences(c: Column, least: int = 3) -> Column:
 
 def source_tag(c: Column) -> dict[str, Column]:
     """book, chapter and verse of a tag such as bible_align:MAT01:3; null where it is no such tag."""
-    pattern = r":([A-Z0-9]{3})(\d{2,3}):(\d+)$"
+    pattern = SOURCE_TAG
     get = lambda i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
     return {"book": get(1), "chapter": get(2).cast("int"), "verse": get(3).cast("int")}
 
 
 def headword_entry(c: Column) -> dict[str, Column]:
     """headword, pos and definition of a line 'headword (pos) definition'."""
-    pattern = r"^\s*([^()\d][^()]*?)\s*\(([^)]+)\)\s*(.+)$"
+    pattern = HEADWORD_LINE
     get = lambda i: F.nullif(strip(F.regexp_extract(c, pattern, i)), F.lit(""))
     return {"headword": get(1), "pos": F.substring_index(F.substring_index(get(2), ":", 1), ",", 1), "definition": get(3)}
 
 
 def reverse_entry(c: Column) -> dict[str, Column]:
     """term and headword of a line of the reverse section: at a colon, else at an equals sign, else around a bracketed pos."""
-    patterns = (r"^([^:=()]+):\s*(.+)$", r"^([^:=()]+)=\s*(.+)$", r"^([^()]+)\([^)]*\)\s*(.+)$")
+    patterns = REVERSE_LINES
     get = lambda i: F.coalesce(*(F.nullif(strip(F.regexp_extract(c, p, i)), F.lit("")) for p in patterns))
     return {"term": get(1), "headword": get(2)}
 
