@@ -181,21 +181,15 @@ def sentences(c: Column) -> Column:
 
 
 def carried_sentences(c: Column, least: int = 3) -> Column:
-    """Sentences at white space after an end mark; a fragment of fewer words without end mark is carried into the next one, or the last one."""
-    raw = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("carry"))
-
-    def step(a: Column, s: Column) -> Column:
-        both = strip(F.concat(a["carry"], F.lit(" "), s))
-        short = (F.size(split_words(both)) < least) & ~both.rlike("[.!?]$")
-        return F.struct(F.when(short, a["done"]).otherwise(F.concat(a["done"], F.array(both))).alias("done"), F.when(short, both).otherwise(F.lit("")).alias("carry"))
-
-    def finish(a: Column) -> Column:
-        n = F.size(a["done"])
-        joined = F.concat(F.slice(a["done"], F.lit(1), n - 1), F.array(F.concat(F.element_at(a["done"], -1), F.lit(" "), a["carry"])))
-        return F.when(a["carry"] == "", a["done"]).when(n > 0, joined).otherwise(F.array(a["carry"]))
+    """Sentences at white space after an end mark; a fragment of fewer words without end mark joins the sentence before it.
 
-    return F.aggregate(raw, zero, step, finish)
+    All parts but the last end with a mark, so only the last can be such a fragment: nothing needs to be carried through the others.
+    """
+    raw = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
+    last, n = F.element_at(raw, -1), F.size(raw)
+    short = (F.size(split_words(last)) < least) & ~last.rlike("[.!?]$")
+    joined = F.concat(F.slice(raw, F.lit(1), n - 2), F.array(F.concat(F.element_at(raw, -2), F.lit(" "), last)))
+    return F.when(n < 2, raw).when(short, joined).otherwise(raw)
 
 
 def source_tag(c: Column) -> dict[str, Column]:
