@@ -203,7 +203,7 @@ def o08_accepted_draw(spark, sf_dir):
     return draws.draw_accepted(docs, "doc_id", 50, fits)
 
 
-_LOUD = """(SELECT user_id, event_id // 4000 AS part, list(CAST(trunc(value * 100) AS BIGINT) - 3000 ORDER BY event_id) AS s FROM events GROUP BY ALL)"""
+_LOUD = """(SELECT user_id, event_id // 4000 AS part, list(least(32767, CAST(trunc(value * 100) AS BIGINT) - 3000) ORDER BY event_id) AS s FROM events GROUP BY ALL)"""
 
 
 @query(f"""
@@ -211,7 +211,7 @@ WITH f AS (SELECT user_id, part, s, unnest(range(0, len(s) // 10)) AS frame FROM
 SELECT user_id || '-' || part || '.wav' AS path, frame, CAST(1000 AS INTEGER) AS rate, sqrt(list_sum(list_transform(s[frame * 10 + 1 : frame * 10 + 10], lambda x: CAST(x AS DOUBLE) * x)) / 10) AS rms FROM f""")
 def s16_wav_frames(spark, sf_dir):
     """Values of users written as WAV files of a few thousand samples and scanned frame by frame."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor(F.col("event_id") / 4000)).alias("part"), ((F.col("value") * 100).cast("int") - 3000).alias("v"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor(F.col("event_id") / 4000)).alias("part"), F.least(F.lit(32767), (F.col("value") * 100).cast("int") - 3000).alias("v"))
     held = e.groupBy("user_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "v"))), lambda x: x["v"]).alias("samples"))  # 4,000 samples at most
     path = folder(spark, "audio")
     name = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("part").cast("string"), F.lit(".wav"))

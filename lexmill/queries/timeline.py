@@ -58,7 +58,7 @@ def w12_gap_fill(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, row_number() OVER w AS i, CASE WHEN event_type IN ('click', 'purchase') THEN CAST(row_number() OVER w * 10 AS DOUBLE) END AS a, CASE WHEN event_id % 3 = 0 THEN row_number() OVER w * 10 + value / 10 END AS z
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, row_number() OVER w AS i, CASE WHEN event_type IN ('click', 'purchase') THEN CAST(row_number() OVER w * 10 AS DOUBLE) END AS a, CASE WHEN event_id % 3 = 0 THEN CAST(row_number() OVER w * 10 + event_id % 8 AS DOUBLE) END AS z
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS MATERIALIZED (SELECT *, first_value(a IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM e),
 r AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, 0.0::DOUBLE AS s, 0.0::DOUBLE AS t FROM (SELECT DISTINCT user_id FROM e)
@@ -70,7 +70,7 @@ def w12_half_way(spark, sf_dir):
 
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) * 10
     e = events(spark, sf_dir).withColumn("p", place)
-    spans = e.select("user_id", "ts", "event_id", F.when(F.col("event_type").isin("click", "purchase"), F.col("p").cast("double")).alias("a"), F.when(F.col("event_id") % 3 == 0, F.col("p") + F.col("value") / 10).alias("z"))
+    spans = e.select("user_id", "ts", "event_id", F.when(F.col("event_type").isin("click", "purchase"), F.col("p").cast("double")).alias("a"), F.when(F.col("event_id") % 3 == 0, (F.col("p") + F.col("event_id") % 8).cast("double")).alias("z"))
     return S.fill_spans(spans, USER, TIME, "a", "z").select("event_id", "filled_start", "filled_end")
 
 
