@@ -5,11 +5,12 @@ residual that is parallel to the vector ETA times as much as the rest, as that p
 products. Codes are chosen by coordinate descent under this loss, and centres are the weighted least-squares
 solution. The quantiser is fitted on a bounded sample (SAMPLE_ROWS); every row is indexed.
 
-Queries are searched in blocks. For a block, each task scans its rows' codes against per-query tables (two
-codes share a byte and a table of 256 sums). Of every SCAN_ROWS rows each query's RERANK best are reranked by exact inner
-products in double precision, so the depth goes with the rows scanned, however files are split into tasks, and are merged
-with the best so far; a task returns k rows a query. Tasks get more rows as the table grows, so that their results stay a
-small part of what they scan.
+Rows and queries are searched in one job. The index holds chunks of SCAN_ROWS rows, dealt to parts that one task can keep
+in memory; queries are packed into blocks, and every part gets every block. A task takes up its part's chunks first and then
+streams the blocks past them: each chunk's codes are scanned against per-query tables (two codes share a byte and a table of
+256 sums), each query's RERANK best of a chunk are reranked by exact inner products in double precision and merged with the
+best so far, and k rows a query leave the task. Nothing but the quantiser's sample passes through the driver. Parts grow
+with the table up to PART_BYTES, so that queries are sent as few times as memory allows.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lexmill.llm.common import shared_dir, small_batches, stored
+from lexmill.llm.common import small_batches, stored
 
 CENTRES, WIDTH, SAMPLE_ROWS, ROUNDS, THRESHOLD = 16, 2, 4096, 6, 0.2
-#: Rows scanned at once and how many of them are reranked; queries of a pass and of a step; least and most rows of a task.
-SCAN_ROWS, RERANK, QUERY_BLOCK, QUERY_STEP, TASK_LEAST, TASK_MOST = 4096, 160, 4096, 64, 4096, 1 << 20
+#: Rows scanned at once and how many of them are reranked; queries of a block and of a step; least rows of a part.
+SCAN_ROWS, RERANK, QUERY_BLOCK, QUERY_STEP, PART_LEAST = 4096, 160, 1024, 64, 4096
+#: Most bytes of the vectors of a chunk, of a block of queries, and of a part, which bound a task's memory whatever the vectors' length.
+CHUNK_BYTES, BLOCK_BYTES, PART_BYTES = 16 << 20, 4 << 20, 128 << 20
 
 
 @dataclass
@@ -201,48 +204,38 @@ def _nearest_of(rows: DataFrame, asked: DataFrame, dim: int, size: int, k: int,
     quantiser = fit(sample)
     tie = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     kept = rows.withColumn("_n", tie).where(F.col("_n") <= k + 1).drop("_n")
-
-    def matrix(b: pa.RecordBatch | pa.Table) -> np.ndarray:
-        return np.asarray(b.column("embedding").combine_chunks().flatten() if isinstance(b, pa.Table) else b.column("embedding").flatten(), np.float64).reshape(-1, dim)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fits = lambda held, most: max(1, min(most, held // (8 * dim)))  # noqa: E731 - vectors of so many bytes
+    parts = max(1, ceil(size / fits(PART_BYTES, size)), min(ceil(size / PART_LEAST), 4 * spark.sparkContext.defaultParallelism))
+    shape = "ids binary, vectors binary, codes binary"
+
+    def pack(batches: Iterator[pa.RecordBatch], most: int, coded: bool) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches, most):
+            x = np.asarray(t.column("embedding").combine_chunks().flatten(), np.float64).reshape(-1, dim)
+            codes = np.ascontiguousarray(packed(quantiser.encode(x)).T).tobytes() if coded else None
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (t.column("vec_id").to_numpy().astype(np.int64).tobytes(), x.tobytes(), codes)], ["ids", "vectors", "codes"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
         for b in batches:
-            if b.num_rows:
-                codes = packed(quantiser.encode(matrix(b)))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "codes"])
-
-    tasks = max(1, ceil(size / TASK_MOST), min(ceil(size / TASK_LEAST), 4 * spark.sparkContext.defaultParallelism))
-    kind = "array<float>" if "float" in rows.schema["embedding"].dataType.simpleString() else "array<double>"
-    index = stored(kept.repartition(tasks).mapInArrow(encode, f"vec_id long, embedding {kind}, codes binary"), "ann-index")
-    path = shared_dir(spark, "ann-found")
-    block: list[tuple[int, list[float]]] = []
-    blocks = 0
-
-    def search(block: list[tuple[int, list[float]]]) -> None:
-        held = spark.sparkContext.broadcast((np.array([b[0] for b in block], np.int64), np.array([b[1] for b in block], np.float64)))  # of QUERY_BLOCK rows at most
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = held.value
-            tables, best = quantiser.tables(q), Best(ids, q, k)
-            for part in chunks(batches, SCAN_ROWS):
-                codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                best.scan(tables, codes, part.column("vec_id").to_numpy(), matrix(part), rerank)
-            yield best.rows()
-
-        index.mapInArrow(scan, "query_id long, vec_id long, score double").write.mode("append").parquet(path)
-        held.destroy()
-
-    for r in asked.toLocalIterator():  # a block at a time
-        block.append((r.vec_id, r.embedding))
-        if len(block) == QUERY_BLOCK:
-            search(block)
-            block, blocks = [], blocks + 1
-    if block:
-        search(block)
-        blocks += 1
-    if not blocks:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = spark.read.schema("query_id long, vec_id long, score double").parquet(path)
+            for of, ids, vectors, codes in zip(*(b.column(c).to_pylist() for c in ("part", "ids", "vectors", "codes")), strict=True):
+                if of != part:
+                    part, held = of, []
+                names, x = np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim)
+                if codes is not None:
+                    held.append((np.frombuffer(codes, np.uint8).reshape(-1, len(names)).T, names, x))
+                    continue
+                tables, best = quantiser.tables(x), Best(names, x, k)
+                for chunk in held:
+                    best.scan(tables, *chunk, rerank)
+                yield best.rows()
+
+    index = kept.repartition(parts).mapInArrow(lambda b: pack(b, fits(CHUNK_BYTES, SCAN_ROWS), True), shape)
+    index = stored(index.withColumn("part", F.spark_partition_id()), "ann-index")
+    blocks = stored(asked.mapInArrow(lambda b: pack(b, fits(BLOCK_BYTES, QUERY_BLOCK), False), shape), "ann-queries")
+    sent = index.unionByName(blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
+    # a part's chunks come before the blocks, which have no codes
+    dealt = sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("codes").isNull())
+    found = dealt.mapInArrow(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -177,6 +177,23 @@ def test_each_length_is_searched(spark):
         assert np.allclose([s for _, s in found], [s for s, _ in want]) and [i for i, _ in found] == [-i for _, i in want]
 
 
+def test_many_parts_and_blocks(spark, monkeypatch):
+    """Every part sees every block of queries, each query's rows are merged over parts, and repartitioned input gives the same rows."""
+    for name, held in (("CHUNK_BYTES", 8 * 8 * 16), ("BLOCK_BYTES", 8 * 8 * 3), ("PART_BYTES", 8 * 8 * 64)):
+        monkeypatch.setattr(ann, name, held)  # chunks of 16 rows, blocks of 3 queries, parts of 64 rows
+    x = np.random.default_rng(5).integers(-9, 9, (700, 8)).astype(float) + 0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plan = ann.op7_nearest(df)
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in plan.orderBy("query_id", "rank").collect()]
+    assert got == [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.op7_nearest(df.repartition(7)).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in range(0, 700, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want += [(q, n + 1, int(v), float(s[v])) for n, v in enumerate(np.lexsort((np.arange(700), -s))[:20])]
+    assert got == want  # chunks of 16 rows are reranked whole
+
+
 # --- language identification
 
 
