@@ -92,8 +92,9 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def contexts(rows: DataFrame, a: str, b: str, top: int | None = 3) -> DataFrame:
     """a, b, context, cnt: for every two words of aligned units the other words of a's side, sorted, at most top of them; with top None a digest of them all."""
-    others = lambda w: F.array_remove("_a", w)  # noqa: E731 - sorted once a row
-    context = lambda w: F.sha2(F.array_join(others(w), " "), 256) if top is None else F.array_join(F.slice(others(w), 1, top), " ")
+    whole = lambda w: F.sha2(F.array_join(F.array_remove("_a", w), " "), 256)  # noqa: E731 - sorted once a row
+    few = lambda w: F.array_join(F.slice(F.array_remove(F.slice("_a", 1, top + 1), w), 1, top), " ")  # noqa: E731 - the first ones of the others are among the first of all and one more
+    context = whole if top is None else few
     sides = rows.select(F.array_sort(F.array_distinct(a)).alias("_a"), F.array_distinct(b).alias("_b"))
     # contexts are made within the first generator's input: once for each word of a's side, not again for each of b's
     units = sides.select(F.inline(F.transform("_a", lambda w: F.struct(w.alias("a_word"), context(w).alias("context")))), "_b")

@@ -210,3 +210,23 @@ def x02_quiet_sessions(spark, sf_dir):
     out = logs.quiet_runs(events(spark, sf_dir), "ts", F.col("value") < 10, USER, "6 hours")
     stamp = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return out.select("user_id", stamp("first_ts"), stamp("end_ts"), "n")
+
+
+@query(f"""
+WITH e AS (SELECT *, coalesce(value < 10, false) AS inside FROM events),
+s AS (SELECT *, CASE WHEN inside AND NOT coalesce(lag(inside) {OVER}, false) THEN 1 ELSE 0 END AS s, lead(ts) {OVER} AS next_ts, lead(inside) {OVER} AS next_inside FROM e),
+r AS (SELECT *, sum(s) {OVER[:-1]} ROWS UNBOUNDED PRECEDING) AS island FROM s),
+g AS (SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, max(CASE WHEN NOT next_inside THEN next_ts END) AS closed FROM r WHERE inside GROUP BY user_id, island)
+SELECT user_id, first_ts, last_ts, n FROM g WHERE n >= 2 AND closed <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 2 HOUR""")
+def x03_stream_runs(spark, sf_dir):
+    """Streaming extension of W13: closed runs of small values of a user, by a state of each user with timers over a file stream, all that is there worked off once.
+
+    Runs that no later row of the user ended before the watermark (two hours before the last event) are still open.
+    """
+    e = events(spark, sf_dir)
+    path = f"{shared_base(spark).rstrip('/')}/lexmill/runs-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
+    out = logs.closed_runs(stream, "ts", "event_id", F.col("value") < 10, USER, 2)
+    got = logs.drain(out, f"{path}/rows", f"{path}/progress")
+    stamp = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return got.select("user_id", stamp("first_ts"), stamp("last_ts"), "n")

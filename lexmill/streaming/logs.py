@@ -1,8 +1,13 @@
-"""File streams with watermarks, and upserts by micro-batch."""
+"""File streams with watermarks, runs by a state of each key, and upserts by micro-batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from lexmill.operators.buckets import Buckets
 from lexmill.operators.merge import upsert_max
@@ -56,8 +61,57 @@ def quiet_runs(events: DataFrame, ts: str, inside, keys: list[str], gap: str = "
     return sessions(events.where(inside).withColumn("_one", F.lit(1)), ts, "_one", keys, gap, late)
 
 
-def follow(spark: SparkSession, source: str, schema, make, path: str, checkpoint: str, files: int = 1) -> DataFrame:
-    """Work off what is new in a folder of Parquet files since the last call, some files a micro-batch, by make (stream to stream) in append mode; the rows given out so far."""
-    stream = make(file_stream(spark, source, schema, files=files))
+def closed_runs(events: DataFrame, ts: str, tie: str, inside: Column, keys: list[str], least: int = 1, late: str = "2 hours") -> DataFrame:
+    """keys, first_ts, last_ts, n of a stream's maximal runs of rows of a key where inside holds, of at least so many rows.
+
+    The rows' order is ts, then tie (whole numbers), whatever order they come in: rows wait in the key's state until the
+    watermark passes them, a timer wakes a key without new rows, and a run is given out once a row outside it has been passed.
+    State is the rows that the watermark has not passed and one open run a key; a key without either has none. Rows
+    later than the watermark are dropped by Spark, those without ts here; a null in inside or keys counts as outside, or as a key of its own.
+    """
+    stamped = events.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(ts).isNotNull()).withWatermark(ts, late)
+    rows = stamped.select(*keys, ts, F.unix_micros(ts).alias("_at"), F.coalesce(F.col(tie).cast("long"), F.lit(0)).alias("_tie"), F.coalesce(inside, F.lit(False)).alias("_in"))
+
+    def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, first, last, n = state.get if state.exists else ([], 0, 0, 0)
+        waiting = [tuple(w) for w in waiting]
+        for b in batches:
+            waiting += zip(b["_at"].tolist(), b["_tie"].tolist(), b["_in"].tolist(), strict=True)
+        waiting.sort()
+        passed = state.getCurrentWatermarkMs() * 1000
+        done: list[tuple] = []
+        settled = 0
+        for at, _, within in waiting:
+            if at > passed:
+                break
+            settled += 1
+            if within:
+                first, last, n = first if n else at, at, n + 1
+            else:
+                if n >= max(1, least):
+                    done.append((*key, first, last, n))
+                n = 0
+        waiting = waiting[settled:]
+        if waiting or n:
+            state.update((waiting, first, last, n))
+            if waiting:
+                state.setTimeoutTimestamp(waiting[0][0] // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(done, columns=[*keys, "_first", "_last", "n"])
+
+    out = StructType([rows.schema[k] for k in keys]).add("_first", "long").add("_last", "long").add("n", "long")
+    held = "waiting array<struct<at: long, tie: long, inside: boolean>>, first long, last long, n long"
+    runs = rows.groupBy(*keys).applyInPandasWithState(settle, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+    return runs.select(*keys, F.timestamp_micros("_first").alias("first_ts"), F.timestamp_micros("_last").alias("last_ts"), "n")
+
+
+def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Work off what is new, in append mode; the rows given out so far."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def follow(spark: SparkSession, source: str, schema, make, path: str, checkpoint: str, files: int = 1) -> DataFrame:
+    """drain by make (stream to stream) of a folder of Parquet files, some files a micro-batch."""
+    return drain(make(file_stream(spark, source, schema, files=files)), path, checkpoint)

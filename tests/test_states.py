@@ -79,6 +79,34 @@ def test_sessions_of_a_stream_with_late_rows_and_a_restart(spark, tmp_path):
     assert again.count() == len(got)  # nothing new
 
 
+def test_runs_of_a_stream_in_any_order_with_late_rows_and_a_restart(spark, tmp_path):
+    """Closed runs equal the batch operator's over the rows that were in time and have been passed."""
+    rng = random.Random(8)
+    source, out, check = (f"{tmp_path}/{x}" for x in ("in", "out", "check"))
+    make = lambda s: logs.closed_runs(s, "ts", "id", F.col("v") < 5, ["k"], 2, "1 hour")
+    rows = [(rng.choice(["a", "b", None]), m // 2, rng.choice([1.0, 2.0, 9.0, None]), m) for m in range(600)]  # two rows a minute, so there are ties
+    for n in range(5):
+        part = rows[n * 120 : (n + 1) * 120]
+        rng.shuffle(part)
+        if n == 3:
+            part += [("a", 0, 9.0, 9000), ("late", 1, 1.0, 9001)]  # later than the watermark
+        put(spark, source, n, part)
+        logs.follow(spark, source, spark.read.parquet(source).schema, make, out, check)
+    put(spark, source, 5, [("idle", 299 + 90, 9.0, 9999)])  # keys without new rows wake by their timers
+    got = sorted((str(r.k), r.first_ts, r.last_ts, r.n) for r in logs.follow(spark, source, spark.read.parquet(source).schema, make, out, check).collect())
+    want = []
+    for k in ("a", "b", None):
+        run = []
+        for _, m, v, _ in [r for r in rows if r[0] == k]:
+            if v is not None and v < 5:
+                run.append(START + timedelta(minutes=m))
+            else:
+                want += [(str(k), run[0], run[-1], len(run))] if len(run) >= 2 else []
+                run = []
+    assert got == sorted(want) and len(got) > 50
+    assert logs.follow(spark, source, spark.read.parquet(source).schema, make, out, check).count() == len(got)  # nothing new
+
+
 def test_ratings_count_once_within_the_watermark(spark, tmp_path):
     source, out, check = (f"{tmp_path}/{x}" for x in ("in", "out", "check"))
     make = lambda s: logs.once_each(s, "ts", ["k", "id"], "1 hour")
