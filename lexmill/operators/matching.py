@@ -33,11 +33,15 @@ def key_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[bool
 
 
 def streamed(targets: DataFrame, points: DataFrame, key: str, order: str, target: str, point: str) -> DataFrame:
-    """_kind, key, order, v: a key's points by value, then its targets in their order; a key's rows follow each other in one partition. Null points and targets go."""
+    """_kind, key, order, v: a key's points by value, then its targets in their order; a key's rows follow each other in one partition. Null points and targets go.
+
+    Rows are dealt by a hash of the key: where both sides come out of joins on the key they already are dealt by the key itself, each in its
+    own number of merged partitions, and Spark would leave the exchange out.
+    """
     kind = targets.schema[order].dataType
     spots = points.where(F.col(point).isNotNull()).select(F.lit(0).alias("_kind"), key, F.lit(None).cast(kind).alias(order), F.col(point).cast("long").alias("v"))
     rows = spots.unionByName(targets.where(F.col(target).isNotNull()).select(F.lit(1).alias("_kind"), key, order, F.col(target).cast("long").alias("v")))
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, "_kind", F.col(order).asc_nulls_first(), "v")
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, "_kind", F.col(order).asc_nulls_first(), "v")
 
 
 class Free:

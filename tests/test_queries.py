@@ -94,3 +94,17 @@ def test_extrema_of_large_ids(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     assert same_rows([r.asDict() for r in got], [dict(zip(("p_name", "n", "dearest", "first_brand", "last_brand", "shortest"), r, strict=True)) for r in c.execute(ORACLES["a17_arg_extrema"]).fetchall()])
+
+
+def test_nearest_unused_without_broadcasts(spark):
+    """Targets and points that both come out of joins on the key, whose partitions Spark merges differently."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40k"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = [r.asDict() for r in QUERIES["j28_nearest_unused"](spark, "/root/testdata/sf0.01").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert same_rows(got, duck(ORACLES["j28_nearest_unused"], "/root/testdata/sf0.01"))
