@@ -91,11 +91,20 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def contexts(rows: DataFrame, a: str, b: str, top: int | None = 3) -> DataFrame:
-    """a, b, context, cnt: for every two words of aligned units the other words of a's side, sorted, at most top of them; with top None a digest of them all."""
+    """a, b, context, cnt: for every two words of aligned units the other words of a's side, sorted, at most top of them; with top None a digest of them all.
+
+    With a whole context, a word and its context are one to one with a's side, so b's words are counted by a digest of that side, and
+    what a side's words and b's words make together is neither shuffled nor stored.
+    """
     whole = lambda w: F.sha2(F.array_join(F.array_remove("_a", w), " "), 256)  # noqa: E731 - sorted once a row
     few = lambda w: F.array_join(F.slice(F.array_remove(F.slice("_a", 1, top + 1), w), 1, top), " ")  # noqa: E731 - the first ones of the others are among the first of all and one more
     context = whole if top is None else few
     sides = rows.select(F.array_sort(F.array_distinct(a)).alias("_a"), F.array_distinct(b).alias("_b"))
+    if top is None:
+        sides = sides.withColumn("_s", F.unhex(F.sha2(F.array_join("_a", " "), 256)))
+        counts = sides.select("_s", F.explode("_b").alias("b_word")).groupBy("_s", "b_word").agg(F.count("*").alias("cnt"))
+        each = sides.groupBy("_s").agg(F.first("_a").alias("_a")).select("_s", F.inline(F.transform("_a", lambda w: F.struct(w.alias("a_word"), context(w).alias("context")))))
+        return counts.join(each, "_s").select("a_word", "b_word", "context", "cnt")
     # contexts are made within the first generator's input: once for each word of a's side, not again for each of b's
     units = sides.select(F.inline(F.transform("_a", lambda w: F.struct(w.alias("a_word"), context(w).alias("context")))), "_b")
     return units.select("a_word", "context", F.explode("_b").alias("b_word")).groupBy("a_word", "b_word", "context").agg(F.count("*").alias("cnt"))
