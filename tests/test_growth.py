@@ -20,3 +20,19 @@ def nodes(df, kinds):
 def test_whole_contexts_are_not_shuffled(spark):
     moved = nodes(QUERIES["a23_whole_contexts"](spark, SF), "Exchange")
     assert moved and not any("context" in m for m in moved)
+
+
+def test_equal_names_are_aligned_once(spark, tmp_path):
+    rows = [(i, ("red ring", "hot bolt", " odd  one")[i % 3], ("TIN", "LARGE")[i % 2]) for i in range(60)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["g03_dtw"](spark, str(tmp_path))
+    assert not nodes(df, "ArrowEvalPython")  # done for the distinct pairs, and kept
+    want = set()
+    for k, name, kind in rows:
+        at, pairs = 0, M.warp(f"{kind} {name}".lower(), "".join(name.split(" ")))
+        for i, w in enumerate(name.split(" ")):
+            s = [s for t, s in pairs if at <= t < at + len(w)]
+            want.add((k, i, w, min(s, default=None), max(s, default=None)))
+            at += len(w)
+    got = [tuple(r[c] for c in ("p_partkey", "word_no", "word", "first_char", "last_char")) for r in df.collect()]
+    assert len(got) == len(want) and set(got) == want
