@@ -36,3 +36,18 @@ def test_equal_names_are_aligned_once(spark, tmp_path):
             at += len(w)
     got = [tuple(r[c] for c in ("p_partkey", "word_no", "word", "first_char", "last_char")) for r in df.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_short_sounds_share_partitions(spark, tmp_path):
+    import wave
+
+    for i in range(300):
+        with wave.open(str(tmp_path / f"{i}.wav"), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(1000)
+            w.writeframes(np.full(i % 40, i, "<i2").tobytes())
+    (tmp_path / ".7-new.wav").write_bytes(b"RIFF")  # being written
+    df = ranges.wav_frames(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() <= 2
+    assert sorted((r.path, r.frame, r.rate, r.rms) for r in df.collect()) == sorted((f"{i}.wav", k, 1000, float(i)) for i in range(300) for k in range(i % 40 // 10))
