@@ -22,6 +22,14 @@ def test_whole_contexts_are_not_shuffled(spark):
     assert moved and not any("context" in m for m in moved)
 
 
+def test_samples_are_neither_shuffled_nor_sorted(spark):
+    held = {"spark.sql.autoBroadcastJoinThreshold": spark.conf.get("spark.sql.autoBroadcastJoinThreshold")}
+    for limit in ("-1", held["spark.sql.autoBroadcastJoinThreshold"]):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        moved = nodes(QUERIES["k12_segments"](spark, SF), "Exchange|BroadcastExchange|Sort")
+        assert moved and not any("samples" in m for m in moved)
+
+
 def test_equal_names_are_aligned_once(spark, tmp_path):
     rows = [(i, ("red ring", "hot bolt", " odd  one")[i % 3], ("TIN", "LARGE")[i % 2]) for i in range(60)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
