@@ -225,7 +225,8 @@ def priority_merge(parts: list[DataFrame], key: str, fields: list[str], source:
 
 
 def group_pairs(members: DataFrame, group: str, member: str) -> DataFrame:
-    """word, synonym in both directions for every two members of a group."""
+    """word, synonym in both directions for every two members of a group; repeated members are one."""
+    members = members.select(group, member).distinct()
     a, b = members.select(group, F.col(member).alias("word")), members.select(group, F.col(member).alias("synonym"))
     return a.join(b, group).where("word <> synonym").select("word", "synonym").distinct()
 

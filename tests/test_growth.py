@@ -59,3 +59,10 @@ def test_short_sounds_share_partitions(spark, tmp_path):
     df = ranges.wav_frames(spark, str(tmp_path))
     assert df.rdd.getNumPartitions() <= 2
     assert sorted((r.path, r.frame, r.rate, r.rms) for r in df.collect()) == sorted((f"{i}.wav", k, 1000, float(i)) for i in range(300) for k in range(i % 40 // 10))
+
+
+def test_repeated_members_of_a_group(spark):
+    rows = spark.range(60_000).selectExpr("1 AS g", "'m' || id % 3 AS m")
+    began = time.time()
+    got = {tuple(r) for r in joins.group_pairs(rows, "g", "m").collect()}
+    assert got == {(f"m{a}", f"m{b}") for a in range(3) for b in range(3) if a != b} and time.time() - began < 30
