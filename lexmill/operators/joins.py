@@ -200,12 +200,18 @@ def missing_words(counts: DataFrame, word: str, maps: list[DataFrame], top: int)
 
 
 def residual(pairs: DataFrame, left: str, right: str, known: DataFrame, key: str) -> DataFrame:
-    """key, left_word, right_word of pairs with exactly one word on each side that is in no known pair (known: left_word, right_word) of the two sides."""
-    l = pairs.select(key, F.explode(F.array_distinct(left)).alias("left_word"))
-    r = pairs.select(key, F.explode(F.array_distinct(right)).alias("right_word"))
-    hits = l.join(known, "left_word").join(r, [key, "right_word"])
-    only = lambda df, w: df.join(hits.select(key, w).distinct(), [key, w], "left_anti").groupBy(key).agg(F.min(w).alias(w), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    return only(l, "left_word").join(only(r, "right_word"), key)
+    """key, left_word, right_word of pairs (unique key) with exactly one word on each side that is in no known pair (known: left_word, right_word) of the two sides.
+
+    The two sides of a pair, a few words each, are crossed where they are and looked up; pairs are read once.
+    """
+    sides = pairs.where(F.col(key).isNotNull()).select(key, F.array_distinct(left).alias("_l"), F.array_distinct(right).alias("_r"))
+    each = sides.withColumn("left_word", F.explode("_l")).withColumn("right_word", F.explode("_r"))
+    met = each.join(known.select("left_word", "right_word", F.lit(True).alias("_k")).distinct(), ["left_word", "right_word"], "left")
+    hit = lambda w: F.collect_set(F.when(F.col("_k"), F.col(w)))  # noqa: E731 - of one pair
+    out = met.groupBy(key).agg(F.first("_l").alias("_l"), F.first("_r").alias("_r"), hit("left_word").alias("_hl"), hit("right_word").alias("_hr"))
+    rest = lambda side, hits: F.filter(side, lambda w: w.isNull() | ~F.array_contains(hits, w))
+    left_over = out.select(key, rest("_l", "_hl").alias("_l"), rest("_r", "_hr").alias("_r")).where((F.size("_l") == 1) & (F.size("_r") == 1))
+    return left_over.select(key, F.col("_l")[0].alias("left_word"), F.col("_r")[0].alias("right_word"))
 
 
 def without_conflicts(rows: DataFrame, verified: DataFrame, key: str, value: str, source: str, low: list[str] = vocab.LOW_SOURCES) -> DataFrame:

@@ -66,3 +66,12 @@ def test_repeated_members_of_a_group(spark):
     began = time.time()
     got = {tuple(r) for r in joins.group_pairs(rows, "g", "m").collect()}
     assert got == {(f"m{a}", f"m{b}") for a in range(3) for b in range(3) if a != b} and time.time() - began < 30
+
+
+def test_residual_reads_pairs_once(spark):
+    df = QUERIES["j22_residual_align"](spark, SF)
+    text = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert text.count("lineitem.parquet") == 1
+    pairs = spark.createDataFrame([(1, ["a", "b"], ["x", "y"]), (2, ["a"], ["x"]), (3, ["c"], ["z"]), (4, ["a", "c", None], ["x", "q"]), (5, [], ["x"]), (None, ["c"], ["z"])], "k int, l array<string>, r array<string>")
+    known = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "q")], "left_word string, right_word string")
+    assert {tuple(r) for r in joins.residual(pairs, "l", "r", known, "k").collect()} == {(1, "b", "y"), (3, "c", "z")}
