@@ -75,3 +75,15 @@ def test_residual_reads_pairs_once(spark):
     pairs = spark.createDataFrame([(1, ["a", "b"], ["x", "y"]), (2, ["a"], ["x"]), (3, ["c"], ["z"]), (4, ["a", "c", None], ["x", "q"]), (5, [], ["x"]), (None, ["c"], ["z"])], "k int, l array<string>, r array<string>")
     known = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "q")], "left_word string, right_word string")
     assert {tuple(r) for r in joins.residual(pairs, "l", "r", known, "k").collect()} == {(1, "b", "y"), (3, "c", "z")}
+
+
+def test_languages_of_a_corpus_are_one_read(spark, tmp_path):
+    from lexmill.sources import html
+
+    for lang in ("aa", "bb", "cc"):
+        (tmp_path / lang).mkdir()
+        for book in ("MAT01", "GEN01"):
+            (tmp_path / lang / f"{book}.htm").write_text(f'<span class="verse" id="V">1&#160;</span>{lang} {book} <span class="verse" id="V">2&#160;</span>more <ul class="tnav">')
+    df = html.read_corpus(spark, {f"l-{x}": f"{tmp_path}/{x}" for x in ("aa", "bb", "cc")}, books=["MAT"])
+    assert len(nodes(df, "Union")) == 0 and "Union" not in df._jdf.queryExecution().toString()
+    assert {tuple(r) for r in df.collect()} == {(f"l-{x}", "MAT", 1, v, t) for x in ("aa", "bb", "cc") for v, t in ((1, f"{x} MAT01"), (2, "more"))}
