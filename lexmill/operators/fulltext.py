@@ -57,6 +57,18 @@ def build(rows: DataFrame, key: str, words: str, ranges: int | None = None) -> I
     return Index(durable(postings), terms, n, mean or 1.0)
 
 
+def vocabulary(rows: DataFrame, key: str, words: str) -> DataFrame:
+    """token, df: the terms of the index of these rows, without its postings.
+
+    Where keys are unique a row's distinct words are counted as they are, with partial counts in the tasks; rows that share a key are one document.
+    """
+    docs = rows.where(F.col(key).isNotNull() & F.col(words).isNotNull()).select(F.col(key).alias("doc"), F.array_distinct(words).alias("_w"))
+    each = docs.select("doc", F.explode("_w").alias("token"))
+    if docs.groupBy("doc").count().where("count > 1").limit(1).count():
+        each = each.distinct()
+    return each.groupBy("token").agg(F.count("*").alias("df"))
+
+
 def ranked(index: Index, queries: DataFrame, query: str, words: str, k: int = 10) -> DataFrame:
     """query, rank, doc, score: each query's k best documents by BM25 (millionths), ties to the smaller document; those that hold none of its words are no results.
 
@@ -98,8 +110,9 @@ def phrases(index: Index, queries: DataFrame, query: str, words: str) -> DataFra
     return starts.where(F.col("c") == F.col("m")).groupBy("query", "doc").agg(F.count("*").alias("n"), F.min("start").alias("first")).withColumnRenamed("query", query)
 
 
-def prefixes(index: Index, queries: DataFrame, query: str, prefix: str, least: int = 2) -> DataFrame:
-    """query, token, df: known tokens that begin with the prefix (of at least so many characters), joined on its first characters."""
+def prefixes(index: Index | DataFrame, queries: DataFrame, query: str, prefix: str, least: int = 2) -> DataFrame:
+    """query, token, df: known tokens that begin with the prefix (of at least so many characters), joined on its first characters. index: an index, or its terms alone."""
+    terms = index.terms if isinstance(index, Index) else index
     head = lambda c: F.substring(c, 1, least)
     asked = queries.select(F.col(query), F.col(prefix).alias("_p")).where(F.length("_p") >= least).withColumn("_h", head("_p"))
-    return asked.join(index.terms.withColumn("_h", head("token")), "_h").where(F.col("token").startswith(F.col("_p"))).select(query, "token", "df")
+    return asked.join(terms.withColumn("_h", head("token")), "_h").where(F.col("token").startswith(F.col("_p"))).select(query, "token", "df")

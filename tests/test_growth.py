@@ -77,6 +77,15 @@ def test_residual_reads_pairs_once(spark):
     assert {tuple(r) for r in joins.residual(pairs, "l", "r", known, "k").collect()} == {(1, "b", "y"), (3, "c", "z")}
 
 
+def test_prefixes_need_no_postings(spark):
+    from lexmill.operators import fulltext
+
+    assert not any("places" in m or "at" in m for m in nodes(QUERIES["g08_prefix"](spark, SF), "Exchange|Scan ExistingRDD"))
+    rows = spark.createDataFrame([(1, ["ab", "ab", "b"]), (1, ["ab"]), (2, ["ab", "abc"]), (3, None), (None, ["ab"])], "k int, w array<string>")
+    assert {tuple(r) for r in fulltext.vocabulary(rows, "k", "w").collect()} == {("ab", 2), ("b", 1), ("abc", 1)}
+    assert {tuple(r) for r in fulltext.vocabulary(rows.where("k = 2"), "k", "w").collect()} == {("ab", 1), ("abc", 1)}
+
+
 def test_languages_of_a_corpus_are_one_read(spark, tmp_path):
     from lexmill.sources import html
 
