@@ -275,6 +275,19 @@ def positional(spans: DataFrame, words: DataFrame, key: str, order: str, n: str)
     return each.join(words, [key, "pos"])
 
 
+def positional_arrays(spans: DataFrame, rows: DataFrame, key: str, order: str, n: str, words: str) -> DataFrame:
+    """spans' columns, pos, word: as positional, for rows (unique key) that hold their words as an array.
+
+    A row's words and its spans meet by the key as arrays, and each span takes its slice, so words are not shuffled one by one.
+    """
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    others = [c for c in spans.columns if c != key]
+    held = spans.withColumn("_at", F.sum(n).over(w) - F.col(n)).where(F.col(n) > 0).groupBy(key).agg(F.collect_list(F.struct(*others, "_at")).alias("_spans"))  # of one row
+    part = lambda s: F.slice(words, (s["_at"] + 1).cast("int"), s[n].cast("int"))
+    cut = F.transform("_spans", lambda s: F.struct(*(s[c].alias(c) for c in others), s["_at"].alias("_at"), part(s).alias("_w")))
+    return rows.join(held, key).select(key, F.inline(cut)).select(key, *others, "_at", F.posexplode("_w").alias("_i", "word")).select(key, *others, (F.col("_at") + F.col("_i")).alias("pos"), "word")
+
+
 def salvage(new: DataFrame, old: DataFrame, keys: list[str], valid: Column) -> DataFrame:
     """new, and the old rows whose keys are not in it and that are valid."""
     return new.unionByName(old.where(valid).join(new.select(*keys).distinct(), keys, "left_anti"))

@@ -126,8 +126,8 @@ SELECT w.doc_id, CAST(w.pos AS BIGINT) AS word_no, CAST(e.pos AS INTEGER) AS lin
 def j30_positional(spark, sf_dir):
     """Words and the lines they lie in, by running offsets."""
     spans = lines(spark, sf_dir).select("doc_id", F.col("pos").alias("line_no"), F.size(X.split_words(F.col("line"))).cast("long").alias("n"))
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.split_words(F.col("text"))).alias("pos", "word"))
-    out = joins.positional(spans, words.withColumn("pos", F.col("pos").cast("long")), "doc_id", "line_no", "n")
+    words = table(spark, sf_dir, "documents").select("doc_id", X.split_words(F.col("text")).alias("w"))
+    out = joins.positional_arrays(spans, words, "doc_id", "line_no", "n", "w")
     return out.select("doc_id", F.col("pos").alias("word_no"), "line_no", "word")
 
 

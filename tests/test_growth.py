@@ -86,6 +86,10 @@ def test_prefixes_need_no_postings(spark):
     assert {tuple(r) for r in fulltext.vocabulary(rows.where("k = 2"), "k", "w").collect()} == {("ab", 1), ("abc", 1)}
 
 
+def test_words_of_lines_are_shuffled_as_arrays(spark):
+    assert not any("word" in m for m in nodes(QUERIES["j30_positional"](spark, SF), "Exchange"))
+
+
 def test_languages_of_a_corpus_are_one_read(spark, tmp_path):
     from lexmill.sources import html
 
