@@ -368,7 +368,7 @@ def g01_em_all_words(spark, sf_dir):
     """Five rounds of IBM Model 1 over all words of more than one letter, the turns' without stop words."""
     content = F.filter(X.tokens(F.col("a")), lambda w: ~w.isin(list(vocab.STOP_EN + vocab.STOP_ES)))
     rows = turn_pairs(spark, sf_dir).select("pair_id", content.alias("aw"), X.tokens(F.col("b")).alias("bw"))
-    t = em.model1(rows, "pair_id", "aw", "bw")
+    t = em.model1(rows, "pair_id", "aw", "bw", least=0.1)
     return t.select("en", "tol", F.round(F.col("p") * 1_000_000).cast("long").alias("p_millionths")).where("p_millionths > 100000")
 
 

@@ -100,3 +100,38 @@ def test_languages_of_a_corpus_are_one_read(spark, tmp_path):
     df = html.read_corpus(spark, {f"l-{x}": f"{tmp_path}/{x}" for x in ("aa", "bb", "cc")}, books=["MAT"])
     assert len(nodes(df, "Union")) == 0 and "Union" not in df._jdf.queryExecution().toString()
     assert {tuple(r) for r in df.collect()} == {(f"l-{x}", "MAT", 1, v, t) for x in ("aa", "bb", "cc") for v, t in ((1, f"{x} MAT01"), (2, "more"))}
+
+
+def test_pairs_of_words_are_not_stored(spark, monkeypatch):
+    from lexmill.operators import em
+    from lexmill.operators.durable import durable
+
+    rng = np.random.default_rng(3)
+    words = lambda c, n: [f"{c}{int(i)}" for i in rng.zipf(1.5, n) % 25]
+    data = [(int(i % 70), words("e", 3 + i % 5), words("t", 4 + i % 7)) for i in range(80)]  # ten keys have two rows
+    units = {}
+    for k, a, b in data:
+        units.setdefault(k, ([], []))[0].extend(a)
+        units[k][1].extend(b)
+    p = {}
+    for r in range(5):
+        c, n = {}, {}
+        for a, b in units.values():
+            for t in b:
+                z = sum(p.get((e, t), 0.0) if r else 1.0 for e in a)
+                for e in a:
+                    c[e, t] = c.get((e, t), 0) + (p[e, t] if r else 1.0) / z
+        for (e, _), v in c.items():
+            n[e] = n.get(e, 0) + v
+        p = {(e, t): v / n[e] for (e, t), v in c.items()}
+    df = spark.createDataFrame([*data, (None, ["e1"], ["t1"])], "k int, a array<string>, b array<string>")
+    kept = []
+    monkeypatch.setattr(em, "durable", lambda x: kept.append(set(x.columns)) or durable(x))
+    for part, hot in ((4_000_000, 8_000_000), (300, 500), (100, 10**9)):
+        monkeypatch.setattr(em, "PAIRS", part)
+        monkeypatch.setattr(em, "HOT", hot)
+        kept.clear()
+        got = {(x.en, x.tol): x.p for x in em.model1(df, "k", "a", "b", least=0.0).collect()}
+        assert got.keys() == p.keys() and all(abs(got[x] - p[x]) < 1e-9 for x in p)
+        assert hot == 500 or not any({"en", "tol"} <= c or {"e", "t"} <= c and "me" not in c or {"me", "k"} <= c for c in kept)
+    assert {(x.en, x.tol) for x in em.model1(df, "k", "a", "b", least=0.2).collect()} == {x for x, v in p.items() if v >= 0.2}
