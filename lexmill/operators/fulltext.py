@@ -39,9 +39,12 @@ def impact(tf: Column, length: Column, df: Column, n: int, mean: float) -> Colum
     return F.floor(UNIT * (idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / mean))))
 
 
-def build(rows: DataFrame, key: str, words: str, ranges: int | None = None) -> Index:
+def build(rows: DataFrame, key: str, words: str, ranges: int | None = None, among: DataFrame | None = None, places: bool = True) -> Index:
     """The index of words (an array) of each row; a row's places count from 0.
 
+    With among (a column token, nulls and repeats allowed), only these tokens are indexed; lengths, frequencies and numbers of documents are those of all
+    words, so queries of these tokens have the same results. Without places, entries hold none: enough for ranked queries.
+
     Rows without words are documents too. Keys should be unique: rows that share one are one document of their joined entries. Null keys and null arrays are left
     out. The words of one document in one range are gathered in one row; nothing else is.
     """
@@ -49,11 +52,14 @@ def build(rows: DataFrame, key: str, words: str, ranges: int | None = None) -> I
     n, mean = docs.agg(F.count("*"), F.avg("len")).first()
     ranges = ranges or max(1, ceil(n / RANGE))
     each = docs.select("doc", "len", F.posexplode("_w").alias("at", "token"))
-    tf = each.groupBy("token", "doc").agg(F.max("len").alias("len"), F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("places"))  # of one document
+    if among is not None:
+        each = each.join(among.select("token").distinct(), "token", "left_semi")
+    of_each = [F.array_sort(F.collect_list("at")).alias("places")] if places else []  # of one document
+    tf = each.groupBy("token", "doc").agg(F.max("len").alias("len"), F.count("*").alias("tf"), *of_each)
     entries = durable(tf.withColumn("range", F.pmod(F.xxhash64("doc"), F.lit(ranges)).cast("int")))
     terms = durable(entries.groupBy("token").agg(F.count("*").alias("df")))
     scored = entries.join(terms, "token").withColumn("impact", impact(F.col("tf"), F.col("len"), F.col("df"), n, mean or 1.0))
-    postings = scored.groupBy("token", "range").agg(F.max("impact").alias("most"), F.array_sort(F.collect_list(F.struct("doc", "impact", "places"))).alias("entries"))
+    postings = scored.groupBy("token", "range").agg(F.max("impact").alias("most"), F.array_sort(F.collect_list(F.struct("doc", "impact", *(["places"] if places else [])))).alias("entries"))
     return Index(durable(postings), terms, n, mean or 1.0)
 
 

@@ -8,6 +8,7 @@ from conftest import SF, duck, same_rows
 
 from lexmill.operators import joins, matching as M
 from lexmill.queries import ORACLES, QUERIES
+from lexmill.queries.corpus import WORDS as ORACLE_WORDS
 from lexmill.sources import ranges
 
 
@@ -135,3 +136,24 @@ def test_pairs_of_words_are_not_stored(spark, monkeypatch):
         assert got.keys() == p.keys() and all(abs(got[x] - p[x]) < 1e-9 for x in p)
         assert hot == 500 or not any({"en", "tol"} <= c or {"e", "t"} <= c and "me" not in c or {"me", "k"} <= c for c in kept)
     assert {(x.en, x.tol) for x in em.model1(df, "k", "a", "b", least=0.2).collect()} == {x for x, v in p.items() if v >= 0.2}
+
+
+def test_an_index_of_what_is_asked(spark, monkeypatch):
+    from lexmill.operators import fulltext
+
+    rng = np.random.default_rng(5)
+    docs = [(i, [f"w{int(j)}" for j in rng.zipf(1.4, i % 30) % 40]) for i in range(300)]
+    rows = spark.createDataFrame([*docs, (7, ["w1", "w2"]), (400, None)], "k int, w array<string>")
+    asked = spark.createDataFrame([(1, ["w1", "w2"]), (2, ["w3", "w1", "w1"]), (3, ["zz"]), (4, ["w5"]), (5, None)], "q int, w array<string>")
+    among = asked.selectExpr("explode(w) AS token")
+    full, some, bare = (fulltext.build(rows, "k", "w", 5, **x) for x in ({}, {"among": among}, {"among": among, "places": False}))
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    assert plain(fulltext.ranked(full, asked, "q", "w", 4)) == plain(fulltext.ranked(bare, asked, "q", "w", 4))
+    assert plain(fulltext.phrases(full, asked, "q", "w")) == plain(fulltext.phrases(some, asked, "q", "w"))
+    assert {r.token for r in some.postings.collect()} == {"w1", "w2", "w3", "w5"} and (bare.n, bare.mean) == (full.n, full.mean)
+    made, build = [], fulltext.build
+    monkeypatch.setattr(fulltext, "build", lambda *a, **k: made.append(build(*a, **k)) or made[-1])
+    for name, longest in (("g08_phrase", 3), ("g08_ranked", 8)):
+        QUERIES[name](spark, SF)
+        known = {w for r in duck(f"SELECT ({ORACLE_WORDS.format('text')})[1:{longest}] AS w FROM benchmark") for w in r["w"]}
+        assert {r.token for r in made[-1].terms.collect()} <= known and ("places" in str(made[-1].postings.schema)) == (name == "g08_phrase")
