@@ -7,6 +7,7 @@ the tasks for one scan; counts are added up in the tasks, so what is shuffled ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from math import ceil
@@ -19,10 +20,15 @@ from lexmill.operators.durable import durable
 
 #: Pairs of a block, and characters of their terms.
 BLOCK_PAIRS, BLOCK_CHARS = 200_000, 1 << 21
+#: Runs of a task whose terms are kept, and characters of one.
+RUNS, RUN_CHARS = 1 << 17, 32
 
 
 class Finder:
-    """The distinct terms that a text holds."""
+    """The distinct terms that a text holds.
+
+    A term stands within a run of characters that terms have. Short runs come again and again, so what they hold is kept, in bounded memory.
+    """
 
     def __init__(self, terms: list[str]) -> None:
         import ahocorasick
@@ -31,9 +37,24 @@ class Finder:
         for i, t in enumerate(terms):
             self.automaton.add_word(t, i)
         self.automaton.make_automaton()
+        chars = sorted({c for t in terms for c in t})
+        self.runs = re.compile("[" + "".join(map(re.escape, chars)) + "]+") if chars else None
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> set[int]:
-        return {i for _, i in self.automaton.iter(text)} if text and len(self.automaton) else set()
+        if not text or self.runs is None:
+            return set()
+        found: set[int] = set()
+        for run in set(self.runs.findall(text)):
+            held = self.known.get(run)
+            if held is None:
+                held = tuple({i for _, i in self.automaton.iter(run)})
+                if len(run) <= RUN_CHARS:
+                    if len(self.known) >= RUNS:
+                        self.known.clear()
+                    self.known[run] = held
+            found.update(held)
+        return found
 
 
 def blocks_of(pairs: DataFrame, columns: list[str]) -> list[DataFrame]:
@@ -48,7 +69,7 @@ def evidence(pairs: DataFrame, units: DataFrame, a: str, b: str, left: str, righ
     """a, b, evidence: the distinct pairs of terms of which the first is a substring of left and the second of right in at least so many units.
 
     Case is folded on both sides. Null and empty terms are no pairs, null texts hold no term; repeated units each count; an empty table
-    on either side gives no rows. A term with very many partners costs each text the fewer of its partners and the terms found.
+    on either side gives no rows. A term that is found costs a text its partners, as whole arrays.
     """
     spark = units.sparkSession
     rows = units.select(F.lower(left).alias("_l"), F.lower(right).alias("_r")).where("_l IS NOT NULL AND _r IS NOT NULL")
@@ -57,23 +78,28 @@ def evidence(pairs: DataFrame, units: DataFrame, a: str, b: str, left: str, righ
 
 def _block_evidence(spark, block: DataFrame, rows: DataFrame, a: str, b: str) -> DataFrame:
     asked = [(r[0], r[1]) for r in block.select(a, b).collect()]  # of BLOCK_PAIRS rows and BLOCK_CHARS characters, about
-    firsts, seconds = sorted({p[0] for p in asked}), sorted({p[1] for p in asked})
-    at_a, at_b = {t: i for i, t in enumerate(firsts)}, {t: i for i, t in enumerate(seconds)}
-    partners: list[dict[int, int]] = [{} for _ in firsts]
-    for i, (x, y) in enumerate(asked):
-        partners[at_a[x]][at_b[y]] = i
-    shared = spark.sparkContext.broadcast((asked, firsts, seconds, partners))
+    terms = sorted({t for p in asked for t in p})
+    at = {t: i for i, t in enumerate(terms)}
+    asked.sort(key=lambda p: at[p[0]])
+    first, second = (np.array([at[p[i]] for p in asked], np.int64) for i in (0, 1))
+    starts = np.searchsorted(first, np.arange(len(terms) + 1))  # a term's pairs lie together
+    shared = spark.sparkContext.broadcast((asked, terms, second, starts))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, firsts, seconds, partners = shared.value
-        find_a, find_b, counts = Finder(firsts), Finder(seconds), np.zeros(len(asked), np.int64)
+        asked, terms, second, starts = shared.value
+        find, counts, held = Finder(terms), np.zeros(len(asked), np.int64), np.zeros(len(terms), bool)
         for batch in batches:
             for x, y in zip(batch.column("_l").to_pylist(), batch.column("_r").to_pylist(), strict=True):
-                one = find_a(x)
-                other = find_b(y) if one else one
-                for i in one if other else ():
-                    of = partners[i]
-                    counts[[of[j] for j in (other if len(other) < len(of) else of) if j in of and j in other]] += 1
+                one = find(x)
+                other = one if x == y else find(y) if one else one
+                if not other:
+                    continue
+                i, j = np.fromiter(one, np.int64, len(one)), np.fromiter(other, np.int64, len(other))
+                n = starts[i + 1] - starts[i]
+                pairs = np.repeat(starts[i] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                held[j] = True
+                counts[pairs[held[second[pairs]]]] += 1
+                held[j] = False
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([asked[i][0] for i in some], pa.string()), pa.array([asked[i][1] for i in some], pa.string()), pa.array(counts[some])], ["a", "b", "n"])
 

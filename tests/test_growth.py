@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 from conftest import SF, duck, same_rows
+from pyspark.sql import functions as F
 
 from lexmill.operators import joins, matching as M
 from lexmill.queries import ORACLES, QUERIES
@@ -157,3 +158,17 @@ def test_an_index_of_what_is_asked(spark, monkeypatch):
         QUERIES[name](spark, SF)
         known = {w for r in duck(f"SELECT ({ORACLE_WORDS.format('text')})[1:{longest}] AS w FROM benchmark") for w in r["w"]}
         assert {r.token for r in made[-1].terms.collect()} <= known and ("places" in str(made[-1].postings.schema)) == (name == "g08_phrase")
+
+
+def test_runs_are_sought_once(spark, monkeypatch):
+    from lexmill.operators import substrings
+
+    monkeypatch.setattr(substrings, "RUNS", 3)  # so that all are let go once
+    find = substrings.Finder(["a", "ab", "b c", "]^-", "\\"])
+    scans = []
+    real = find.automaton
+    find.automaton = type("Counted", (), {"iter": lambda self, t: scans.append(t) or real.iter(t)})()
+    terms = ["a", "ab", "b c", "]^-", "\\"]
+    for text in ("xab", "ab", "zab!", "", None, "b c]^-\\", "bxc", "b" * 50 + " c", "ab"):
+        assert find(text) == {i for i, t in enumerate(terms) if text and t in text}
+    assert scans.count("ab") == 2 and scans[0] == "ab" != scans[1] and len(find.known) <= 3 and substrings.Finder([])("a") == set()
