@@ -179,18 +179,19 @@ def sub_split(segments: DataFrame, points: DataFrame, key: str, most_s: float, s
     """
     span = F.col("end_ms") - F.col("start_ms")
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    long = segments.where(span > most_s * 1000).withColumn("_n", F.greatest(F.lit(2), F.ceil(span / 1000 / (most_s * share))).cast("int")).withColumn("_w", words)
+    long = segments.where(span > most_s * 1000).withColumn("_n", F.greatest(F.lit(2), F.ceil(span / 1000 / (most_s * share))).cast("int"))
+    sized = long.select(key, "start_ms", "end_ms", "_n", F.size(words).alias("_words"))  # without the texts, which are moved once, to their cuts
     had = points.where(F.col("point").isNotNull()).groupBy(key).agg(F.count("*").alias("_p"))
-    wanted = long.join(had, key, "left").select(key, "start_ms", "end_ms", "_n", F.size("_w").alias("_words"), (F.coalesce("_p", F.lit(0)) >= F.col("_n") - 1).alias("_enough"), F.explode(F.sequence(F.lit(1), F.col("_n") - 1)).alias("i"))
+    wanted = sized.join(had, key, "left").select(key, "start_ms", "end_ms", "_n", "_words", (F.coalesce("_p", F.lit(0)) >= F.col("_n") - 1).alias("_enough"), F.explode(F.sequence(F.lit(1), F.col("_n") - 1)).alias("i"))
     wanted = wanted.withColumn("target", F.col("start_ms") + F.floor(F.col("i") * (span / F.col("_n"))).cast("long"))
     even = wanted.where("NOT _enough").select(key, F.col("target").alias("at"), F.expr("_words * i DIV _n").cast("int").alias("word"))
     taken = nearest_unused(wanted.where("_enough").select(key, "i", "target"), points, key, "i", "target", "point")
-    word = F.floor(F.size("_w") * (F.col("point") - F.col("start_ms")) / F.greatest(span, F.lit(1))).cast("int")
-    near = taken.join(long, key).select(key, F.col("point").alias("at"), word.alias("word"))
-    begin = long.select(key, F.col("start_ms").alias("at"), F.lit(0).alias("word"))
+    word = F.floor(F.col("_words") * (F.col("point") - F.col("start_ms")) / F.greatest(span, F.lit(1))).cast("int")
+    near = taken.join(sized, key).select(key, F.col("point").alias("at"), word.alias("word"))
+    begin = sized.select(key, F.col("start_ms").alias("at"), F.lit(0).alias("word"))
     cuts = begin.unionByName(even).unionByName(near).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("_cuts"))  # of one segment
     ends = F.transform("_cuts", lambda c, i: F.struct(c["at"].alias("start_ms"), F.coalesce(F.get("_cuts", i + 1)["at"], F.col("end_ms")).alias("end_ms"), F.array_join(F.slice("_w", c["word"] + 1, F.greatest(F.lit(0), F.coalesce(F.get("_cuts", i + 1)["word"], F.size("_w")) - c["word"])), " ").alias("text")))
-    parts = long.join(cuts, key).withColumn("_parts", F.filter(ends, lambda p: p["text"] != "")).withColumn("_one", F.array(F.struct("start_ms", "end_ms", F.col("text").alias("text"))))
+    parts = long.select(key, "start_ms", "end_ms", "text").join(cuts, key).withColumn("_w", words).withColumn("_parts", F.filter(ends, lambda p: p["text"] != "")).withColumn("_one", F.array(F.struct("start_ms", "end_ms", F.col("text").alias("text"))))
     cut = parts.select(key, F.inline(F.when(F.size("_parts") > 0, F.col("_parts")).otherwise(F.col("_one"))))
     return segments.where(~(span > most_s * 1000)).select(key, "start_ms", "end_ms", "text").unionByName(cut)
 

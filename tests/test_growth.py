@@ -172,3 +172,14 @@ def test_runs_are_sought_once(spark, monkeypatch):
     for text in ("xab", "ab", "zab!", "", None, "b c]^-\\", "bxc", "b" * 50 + " c", "ab"):
         assert find(text) == {i for i, t in enumerate(terms) if text and t in text}
     assert scans.count("ab") == 2 and scans[0] == "ab" != scans[1] and len(find.known) <= 3 and substrings.Finder([])("a") == set()
+
+
+def test_texts_are_moved_once_to_their_cuts(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        moved = nodes(QUERIES["g04_sub_split"](spark, SF), "Exchange")
+    finally:
+        spark.conf.set(name, before)
+    assert moved and not any("_w" in m for m in moved) and sum("text" in m for m in moved) == 1
