@@ -33,11 +33,12 @@ def ngram_counts(rows: DataFrame, words: str, sizes: tuple[int, ...] = (1, 2, 3)
     return grams.groupBy("n", "gram").agg(F.count("*").alias("cnt"))
 
 
-def cooccurrence(rows: DataFrame, key: str, a: str, b: str, least: int, marginal: str = "doc") -> DataFrame:
+def cooccurrence(rows: DataFrame, key: str, a: str, b: str, least: int, marginal: str = "doc", keep: Column | None = None) -> DataFrame:
     """a, b, together, a_n, b_n of items that share at least so many units; a and b are array columns, one row per key.
 
     Items rarer than least can't qualify, so they go before pairs are made. Marginals are the items' own numbers of
     units (doc), or as inflated by the other side's size (pair: a's units times the b items of each, and the reverse).
+    keep: a condition on a_n and b_n; pairs that it doesn't hold for are not made.
     """
     units = rows.select(key, F.array_distinct(a).alias("_a"), F.array_distinct(b).alias("_b"))
     weight = {"_a": F.lit(1), "_b": F.lit(1)} if marginal == "doc" else {"_a": F.size("_b"), "_b": F.size("_a")}
@@ -45,10 +46,11 @@ def cooccurrence(rows: DataFrame, key: str, a: str, b: str, least: int, marginal
     def side(column: str, name: str) -> tuple[DataFrame, DataFrame]:
         each = units.select(key, F.explode(column).alias(name), weight[column].alias("_w"))
         n = each.groupBy(name).agg(F.sum("_w").cast("long").alias(f"{column[1]}_n"), F.count("*").alias("_u")).where(F.col("_u") >= least).drop("_u")
-        return each.drop("_w").join(n.select(name), name, "left_semi"), n
+        return each.drop("_w").join(n if keep is not None else n.select(name), name), n
 
     (left, left_n), (right, right_n) = side("_a", a), side("_b", b)
-    together = left.join(right, key).groupBy(a, b).agg(F.count("*").alias("together")).where(F.col("together") >= least)
+    met = left.join(right, key) if keep is None else left.join(right, key).where(keep)
+    together = met.groupBy(a, b).agg(F.count("*").alias("together")).where(F.col("together") >= least)
     return together.join(left_n, a).join(right_n, b).select(a, b, "together", "a_n", "b_n")
 
 

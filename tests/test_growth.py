@@ -183,3 +183,18 @@ def test_texts_are_moved_once_to_their_cuts(spark):
     finally:
         spark.conf.set(name, before)
     assert moved and not any("_w" in m for m in moved) and sum("text" in m for m in moved) == 1
+
+
+def test_pairs_that_cannot_pass_are_not_made(spark):
+    from lexmill.operators import stats
+    from lexmill.plans import phrases
+
+    rows = spark.createDataFrame([(i, [f"g{i % 40}", "often"], ["all", f"w{i % 40}"]) for i in range(200)], "k int, a array<string>, b array<string>")
+    got = {tuple(r)[:5] for r in phrases.phrase_pairs(rows, "k", "a", "b", least=2).collect()}
+    assert got == {(f"g{i}", f"w{i}", 5, 5, 5) for i in range(40)} | {("often", "all", 200, 200, 200)}
+    met = phrases.phrase_pairs(rows, "k", "a", "b", least=2)._jdf.queryExecution().optimizedPlan().toString()
+    joins_ = [line for line in met.splitlines() if "Join Inner" in line and "least(" in line]
+    assert len(joins_) == 1  # where pairs are made
+    for marginal in ("doc", "pair"):
+        every = {tuple(r) for r in stats.cooccurrence(rows, "k", "a", "b", 2, marginal).collect()}
+        assert {p for p in every if p[3] == p[4]} == {tuple(r) for r in stats.cooccurrence(rows, "k", "a", "b", 2, marginal, F.expr("a_n = b_n")).collect()}
