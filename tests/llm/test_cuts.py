@@ -1,6 +1,7 @@
 """Inputs on which operators once lost rows: each named case gives its whole result."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -45,6 +46,21 @@ def test_the_draw(spark):
     assert toxicity.labelled_texts(extra.repartition(7), more.repartition(3), F.lit(True), 8, 60) == (rows, counts)
 
 
+def test_all_labelled_texts_are_learned_from(spark):
+    """25 rude words in eight texts each: a draw of five texts a label holds hardly any of them."""
+    rng = random.Random(3)
+    rows = [(i, f"{talk(rng, False, 20)} mark{i // 3 % 25 if i % 3 == 0 else 'less'} {talk(rng, False, 20)}", "en") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, F.lit(True), per_label=5)
+    assert zlib.crc32(b"mark24") in model.rows
+    new = spark.createDataFrame([(i, f"{talk(rng, False, 15)} mark{i} {talk(rng, False, 15)}") for i in range(25)] + [(100 + i, talk(rng, False, 30)) for i in range(25)], "doc_id long, text string")
+    got = {r.doc_id: r.score >= 0.3 for r in toxicity.score_toxicity(new, model).collect()}
+    assert sum(got[i] for i in range(25)) >= 24 and sum(got[100 + i] for i in range(25)) <= 1
+    again = toxicity.fit_toxicity(docs.repartition(7), labels.repartition(3), F.lit(True), per_label=5)
+    assert again.cuts == model.cuts and all(np.array_equal(a, b) for x, y in zip(again.tables, model.tables, strict=True) for a, b in zip(x, y, strict=True))
+
+
 def test_held_out_by_language(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.op3_toxicity(docs, labels).join(labels, "doc_id").join(docs.where("length(text) > 0").select("doc_id", "lang"), "doc_id").where("held_out").collect()
