@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexmill.operators.stretches import Ordered
 
+#: Words whose grams a task counts at once, words whose grams a group sums, and a prime whose products fit 64 bits.
+GRAM_WORDS, GROUP_WORDS, PRIME = 1 << 21, 1 << 19, (1 << 31) - 1
+
 
 def term_counts(rows: DataFrame, words: str, keys: list[str] | None = None) -> DataFrame:
     return rows.select(*(keys or []), F.explode(words).alias("term")).groupBy(*(keys or []), "term").agg(F.count("*").alias("n"))
@@ -25,12 +32,71 @@ def document_counts(rows: DataFrame, words: str) -> DataFrame:
 
 
 def ngram_counts(rows: DataFrame, words: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """n, gram, count; no gram crosses a row. Words are exploded once, each with those that follow it, and grams are joined from these."""
-    ahead = [F.col(words).alias("_0"), *(F.slice(words, k + 1, F.greatest(F.size(words), F.lit(0))).alias(f"_{k}") for k in range(1, max(sizes)))]
-    each = rows.select(F.inline(F.arrays_zip(*ahead)))
-    gram = lambda n: F.concat(*[F.col("_0"), *(F.concat(F.lit(" "), F.col(f"_{k}")) for k in range(1, n))])
-    grams = each.select(F.inline(F.array(*(F.struct(F.lit(n).alias("n"), gram(n).alias("gram")) for n in sizes)))).where("gram IS NOT NULL")
-    return grams.groupBy("n", "gram").agg(F.count("*").alias("cnt"))
+    """n, gram, cnt; no gram crosses a row, and none holds a null.
+
+    Tasks count stretches of GRAM_WORDS words as numbers: a gram's number is that of its first words and its last word, so equal
+    grams are one before they become strings. Each stretch's grams are dealt as arrays, by a hash of their text, to groups of about
+    GROUP_WORDS words each, whatever the table's size; a group sums the counts of its grams.
+    """
+    most = max(sizes)
+    total = rows.agg(F.sum(F.greatest(F.size(words), F.lit(0)))).first()[0] or 0
+    groups = 1 + total // GROUP_WORDS
+
+    def dealt(n: int, grams: pa.Array, hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        group = hashes % groups
+        order = np.argsort(group, kind="stable")
+        found, starts = np.unique(group[order], return_index=True)
+        offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, a) for a in (grams.take(pa.array(order)).cast(pa.string()), pa.array(counts[order]))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n, np.int32)), pa.array(found), *lists], ["n", "part", "grams", "counts"])
+
+    def counted(words: pa.Array, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counts over words; row tells which belong together."""
+        coded = words.dictionary_encode()
+        code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        vocabulary, many = coded.dictionary, max(1, len(coded.dictionary))
+        # a text's hash is the number that its bytes spell, modulo a prime: that of joined texts follows from theirs
+        text = [w.encode() for w in vocabulary.to_pylist()]
+        spelt, shift = (np.array(v, np.int64) for v in ([int.from_bytes(w) % PRIME for w in text], [pow(256, len(w), PRIME) for w in text]))
+        at = np.flatnonzero(code >= 0)  # where a gram of the present length starts
+        number, grams, hashes = code[at], vocabulary, spelt
+        for n in range(1, most + 1):
+            if n > 1:
+                at, number = (a[at + n - 1 < len(code)] for a in (at, number))
+                last = at + n - 1
+                at, number = (a[(code[last] >= 0) & (row[last] == row[at])] for a in (at, number))
+                both, number = np.unique(number * many + code[at + n - 1], return_inverse=True)
+                first, word = both // many, both % many
+                grams = pc.binary_join_element_wise(grams.take(pa.array(first)), vocabulary.take(pa.array(word)), pa.scalar(" ", pa.large_string()))
+                hashes = ((hashes[first] * 256 + ord(" ")) % PRIME * shift[word] + spelt[word]) % PRIME
+            if n in sizes and len(grams):
+                yield dealt(n, grams, hashes, np.bincount(number, minlength=len(grams)))
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
+        lengths: list[np.ndarray] = []
+
+        def count() -> Iterator[pa.RecordBatch]:
+            n = np.concatenate(lengths)
+            yield from counted(pa.concat_arrays(held), np.repeat(np.arange(len(n)), n))
+            held.clear()
+            lengths.clear()
+
+        for b in batches:
+            held.append(b.column(0).flatten().cast(pa.large_string()))
+            lengths.append(pc.list_value_length(b.column(0)).fill_null(0).to_numpy(zero_copy_only=False))
+            if sum(map(len, held)) >= GRAM_WORDS or sum(a.nbytes for a in held) >= 16 * GRAM_WORDS:
+                yield from count()
+        if held:
+            yield from count()
+
+    def summed(key: tuple, table: pa.Table) -> pa.Table:
+        flat = pa.table({c: pa.chunked_array([a.flatten() for a in table.column(f).chunks], kind) for c, f, kind in (("gram", "grams", pa.string()), ("cnt", "counts", pa.int64()))})
+        out = flat.group_by("gram", use_threads=False).aggregate([("cnt", "sum")])
+        return pa.table({"n": pa.array(np.full(len(out), key[0].as_py(), np.int32)), "gram": out.column("gram"), "cnt": out.column("cnt_sum")})
+
+    parts = rows.select(words).mapInArrow(stretches, "n int, part long, grams array<string>, counts array<long>")
+    return parts.groupBy("n", "part").applyInArrow(summed, "n int, gram string, cnt long")
 
 
 def cooccurrence(rows: DataFrame, key: str, a: str, b: str, least: int, marginal: str = "doc", keep: Column | None = None) -> DataFrame:

@@ -2,12 +2,13 @@
 
 import re
 import time
+from collections import Counter
 
 import numpy as np
 from conftest import SF, duck, same_rows
 from pyspark.sql import functions as F
 
-from lexmill.operators import joins, matching as M
+from lexmill.operators import joins, matching as M, stats
 from lexmill.queries import ORACLES, QUERIES
 from lexmill.queries.corpus import WORDS as ORACLE_WORDS
 from lexmill.sources import ranges
@@ -24,6 +25,20 @@ def test_whole_contexts_are_not_shuffled(spark):
     assert moved and not any("context" in m for m in moved)
 
 
+def test_grams_are_counted_before_they_are_rows(spark, monkeypatch):
+    """Grams are dealt as arrays; stretches, groups, nulls and words with spaces don't change their numbers."""
+    moved = nodes(QUERIES["a05_ngrams"](spark, SF), "Exchange")
+    assert moved and not any("gram" in m for m in moved)
+    assert same_rows([r.asDict() for r in QUERIES["a05_ngrams"](spark, SF).collect()], duck(ORACLES["a05_ngrams"]))
+    monkeypatch.setattr(stats, "GRAM_WORDS", 5)
+    monkeypatch.setattr(stats, "GROUP_WORDS", 3)
+    texts = [["a", "b", "a", "b"], ["a b", "ä"], [], None, ["a", None, "b", "ä"], ["x" * 50_000], ["a", "b", "ä", ""]] * 4
+    rows = spark.createDataFrame([(t,) for t in texts], "w array<string>").repartition(3)
+    want = Counter((n, " ".join(t[i : i + n])) for t in texts if t for n in (1, 3) for i in range(len(t) - n + 1) if None not in t[i : i + n])
+    assert {(r.n, r.gram): r.cnt for r in stats.ngram_counts(rows, "w", (1, 3)).collect()} == want
+    assert stats.ngram_counts(rows.limit(0), "w").collect() == []
+
+
 def test_samples_are_neither_shuffled_nor_sorted(spark):
     held = {"spark.sql.autoBroadcastJoinThreshold": spark.conf.get("spark.sql.autoBroadcastJoinThreshold")}
     for limit in ("-1", held["spark.sql.autoBroadcastJoinThreshold"]):
