@@ -78,6 +78,35 @@ def test_short_sounds_share_partitions(spark, tmp_path):
     assert sorted((r.path, r.frame, r.rate, r.rms) for r in df.collect()) == sorted((f"{i}.wav", k, 1000, float(i)) for i in range(300) for k in range(i % 40 // 10))
 
 
+def test_planned_sounds_are_not_named(spark, tmp_path):
+    """What the driver plans grows with folders and long sounds, not with the number of files; each frame is read once."""
+    import pickle
+    import wave
+
+    want = set()
+    for name, n in [*((f"{'many' if i % 3 else f'few/{i % 7}'}/{i}.wav", 10 + i % 20) for i in range(2000)), ("few/3/long.wav", 3000), ("many/long.wav", 650), ("none/0.wav", 0), ("top.wav", 40)]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        with wave.open(str(tmp_path / name), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(1000)
+            w.writeframes(np.full(n, n, "<i2").tobytes())
+        want |= {(name, k, 1000, float(n)) for k in range(n // 10)}
+    (tmp_path / "many" / ".7-new.wav").write_bytes(b"RIFF")  # being written
+    (tmp_path / "many" / "gone.wav").symlink_to(tmp_path / "none.wav")
+    parts = ranges.WavFramesReader(str(tmp_path), 10, 300).partitions()
+    assert {x for p in parts for x in p.paths} == {"few/3/long.wav", "many/long.wav"} and not any(b".wav" in pickle.dumps(p) for p in parts if not p.paths)
+    assert sum(p.slices[:1] == [("many", k, ranges.SLICES)] for k in range(ranges.SLICES) for p in parts) == ranges.SLICES
+    got = [tuple(r) for r in ranges.wav_frames(spark, str(tmp_path), partition_frames=300).collect()]
+    assert len(got) == len(want) and set(got) == want
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = ranges.wav_frames(spark, str(tmp_path), partition_frames=300).where("path = 'many/19.wav' AND frame >= 1").collect()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert [tuple(r) for r in got] == [("many/19.wav", 1, 1000, 29.0)]
+
+
 def test_repeated_members_of_a_group(spark):
     rows = spark.range(60_000).selectExpr("1 AS g", "'m' || id % 3 AS m")
     began = time.time()
